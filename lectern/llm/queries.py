@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing
+from lectern.llm import mixing, quality_rules, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
+    "op4_quality_rules": quality_rules.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
