@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, quality_rules, warc
+from lectern.llm import mixing, quality_rules, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op7_token_files": token_files.op7_token_files,
     "op9_mixing": mixing.op9_mixing,
 }
 
