@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, quality_rules, token_files, warc
+from lectern.llm import fm_index, mixing, quality_rules, simhash, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_decontaminate": fm_index.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_simhash": simhash.op6_simhash,
     "op7_token_files": token_files.op7_token_files,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op3_decontaminate": fm_index.OP3_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
