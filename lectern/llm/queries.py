@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.llm import fm_index, mixing, quality_rules, simhash, token_files, warc
+from lectern.llm import fm_index, mixing, noisy_channel, quality_rules, simhash, subwords, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_decontaminate": fm_index.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_quality_classifier": subwords.op5_quality_classifier,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_files": token_files.op7_token_files,
+    "op10_toxicity": noisy_channel.op10_toxicity,
     "op9_mixing": mixing.op9_mixing,
 }
 
