@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import fm_index, mixing, noisy_channel, quality_rules, simhash, subwords, token_files, warc
+from lectern.llm import cover_dedup, fm_index, mixing, noisy_channel, quality_rules, simhash, subwords, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_classifier": subwords.op5_quality_classifier,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_files": token_files.op7_token_files,
+    "op8_cover_dedup": cover_dedup.op8_cover_dedup,
     "op10_toxicity": noisy_channel.op10_toxicity,
     "op9_mixing": mixing.op9_mixing,
 }
@@ -19,5 +20,6 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op3_decontaminate": fm_index.OP3_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
+    "op8_cover_dedup": cover_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
