@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import cover_dedup, fm_index, mixing, noisy_channel, quality_rules, simhash, subwords, token_files, warc
+from lectern.llm import cover_dedup, fm_index, mixing, noisy_channel, quality_rules, simhash, subwords, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_decontaminate": fm_index.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_quality_classifier": subwords.op5_quality_classifier,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op3_decontaminate": fm_index.OP3_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op8_cover_dedup": cover_dedup.OP8_SQL,

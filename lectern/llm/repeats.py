@@ -131,7 +131,7 @@ class Sent:
     cut: np.ndarray
 
 
-def _sent(hashes: np.ndarray, items: np.ndarray, n: int) -> Sent:
+def sent_items(hashes: np.ndarray, items: np.ndarray, n: int) -> Sent:
     bucket = _buckets(hashes[items], n)
     order = np.argsort(bucket, kind="stable")
     names, cut = np.unique(bucket[order], return_index=True)
@@ -159,7 +159,7 @@ class _Work:
         found = units.anchors()
         ids = part.ids[found.doc]
         above, lost = _least_per_key(found.anchor, found.context, ids)
-        return found, ids, above & ~lost, _sent(found.anchor, np.flatnonzero(~above & ~lost), self.buckets)
+        return found, ids, above & ~lost, sent_items(found.anchor, np.flatnonzero(~above & ~lost), self.buckets)
 
     def send_anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = self.units()
@@ -243,7 +243,7 @@ class _Work:
         a, b = units.window_hashes(at)
         ids = part.ids[np.searchsorted(units.firsts, at, side="right") - 1]
         above, lost = _least_per_key(a, b, ids)
-        return at, a, b, ids, above & ~lost, _sent(a, np.flatnonzero(~above & ~lost), self.buckets)
+        return at, a, b, ids, above & ~lost, sent_items(a, np.flatnonzero(~above & ~lost), self.buckets)
 
 
 def told_rows(parts: DataFrame, told: DataFrame) -> DataFrame:
