@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import kernels as K
 from lectern.plans.storage import materialize
@@ -242,7 +243,7 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
             columns = [*batch.columns, pa.array(np.diff(firsts)), *lists, pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_words", "hit_from", "hit_to", "item_ids"])
 
-    return docs.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in docs.dtypes) + ", " + _DDL)
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_DDL).fields]))
 
 
 def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
@@ -257,19 +258,19 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield rows
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, hit_from and hit_to (byte ranges of the hit words, in order), item_ids (sorted as strings)."""
-    out = None
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text, the columns to carry, n_words, hit_from and hit_to (byte ranges of the hit words, in order), item_ids (sorted as strings)."""
+    own, out = ["doc_id", "text", *(carry or [])], None
     for rows in _blocks(bench, block_bytes):
         if out is None:
-            out = _pass(docs.select("doc_id", "text"), phrases_of(rows, window))
+            out = _pass(docs.select(*own), phrases_of(rows, window))
             continue
-        done = materialize(out, "decontaminate").select("doc_id", "text", F.arrays_zip("hit_from", "hit_to").alias("old"), F.col("item_ids").alias("old_items"))
+        done = materialize(out, "decontaminate").select(*own, F.arrays_zip("hit_from", "hit_to").alias("old"), F.col("item_ids").alias("old_items"))
         both = _pass(done, phrases_of(rows, window))
         hits = F.array_sort(F.array_distinct(F.concat("old", F.arrays_zip("hit_from", "hit_to"))))
-        out = both.select("doc_id", "text", "n_words", hits.getField("hit_from").alias("hit_from"), hits.getField("hit_to").alias("hit_to"), F.array_distinct(F.concat("old_items", "item_ids")).alias("item_ids"))
+        out = both.select(*own, "n_words", hits.getField("hit_from").alias("hit_from"), hits.getField("hit_to").alias("hit_to"), F.array_distinct(F.concat("old_items", "item_ids")).alias("item_ids"))
     if out is None:
-        out = _pass(docs.select("doc_id", "text"), None)
+        out = _pass(docs.select(*own), None)
     return out.withColumn("item_ids", F.array_sort("item_ids"))
 
 
@@ -293,7 +294,7 @@ def removal_spans(marked: DataFrame) -> DataFrame:
                 kept.append(None if raw is None else b"".join([*out, raw[at:]]).decode("utf-8", "replace"))
             yield batch.append_column("clean_text", pa.array(kept, pa.string()))
 
-    return marked.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in marked.dtypes) + ", clean_text string")
+    return marked.mapInArrow(work, T.StructType([*marked.schema.fields, T.StructField("clean_text", T.StringType())]))
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

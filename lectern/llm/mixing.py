@@ -28,9 +28,9 @@ WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size in words, and the seeded place in the order: slot and key."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def sized(docs: DataFrame, seed: str = SEED, key: str = "doc_id") -> DataFrame:
+    """doc_id, source, size in words, and the seeded place in the order, from a hash of column key: slot and key."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select("doc_id", "source", size.alias("size"), key.alias("key")).withColumn("slot", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
 
@@ -57,9 +57,9 @@ def targets(totals: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weig
     return levels.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, key: str = "doc_id") -> DataFrame:
     """doc_id, source, size, source_size, target, whole (repetitions), part (words of a further one), taken."""
-    base = materialize(sized(docs, seed), "mix-sized")
+    base = materialize(sized(docs, seed, key), "mix-sized")
     slots = materialize(base.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "mix-slots")
     plan = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), share, max_epochs, weights)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))

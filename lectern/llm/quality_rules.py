@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Fixed values of the contract: white space that ends words, symbols, and the base limits.
 SPACES = " \t\n\x0b\x0c\r"
@@ -119,21 +120,23 @@ _FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa
 _DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lost double, kept boolean"
 
 
-def quality_rules(docs: DataFrame, rules: LineRules | None = None, want_text: bool = False) -> DataFrame:
-    """doc_id, the base counts, base_failed, the share of text lost, kept, and clean_text if wanted."""
+def quality_rules(docs: DataFrame, rules: LineRules | None = None, want_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns to carry, the base counts, base_failed, the share of text lost, kept, and clean_text if wanted."""
     rules = rules or LineRules()
     fields = [*_FIELDS, *([("clean_text", pa.string())] if want_text else [])]
 
+    own = ["doc_id", *(carry or [])]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [judge(t.as_py(), rules, want_text) for t in part.column("text")]
-                columns = [part.column("doc_id"), *(pa.array([f[name] for f in found], kind) for name, kind in fields)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(name for name, _ in fields)])
+                columns = [*(part.column(c) for c in own), *(pa.array([f[name] for f in found], kind) for name, kind in fields)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*own, *(name for name, _ in fields)])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {_DDL}" + ", clean_text string" * want_text)
+    added = T.StructType.fromDDL(_DDL + ", clean_text string" * want_text)
+    return docs.select(*own, "text").mapInArrow(work, T.StructType([*(docs.schema[c] for c in own), *added.fields]))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
