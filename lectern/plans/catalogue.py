@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import queries_text
+
+QUERIES: dict = {**queries_text.QUERIES}
+ORACLES: dict = {**queries_text.ORACLES}
