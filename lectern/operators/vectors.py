@@ -41,7 +41,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, by: list[str], k: int) ->
 def mmr(pool: Column | str, k: int = 3, min_rel: float = 0.2, weight: float = 0.72, max_chars: int = 650) -> Column:
     """Positions (0-based, ascending) that greedy maximal marginal relevance takes from a pool.
 
-    pool: array of structs with rel (relevance), emb (vector), chars (length), in reading order.  The
+    pool: array of structs with rel (relevance, compared to nine digits), emb (vector), chars (length), in reading order.  The
     next pick has the largest weight * rel - (1 - weight) * (largest similarity to a pick); the first of
     equals wins.  Selection stops after k picks, at max_chars, or before the first pick but one that
     would pass it.
@@ -52,7 +52,7 @@ def mmr(pool: Column | str, k: int = 3, min_rel: float = 0.2, weight: float = 0.
         def step(state: Column, _: Column) -> Column:
             def best(chosen: Column) -> Column:
                 value = lambda p: F.round(F.lit(weight) * p["rel"] - F.lit(1.0 - weight) * F.coalesce(F.array_max(F.transform(chosen, lambda c: dot(p["emb"], F.get(pool, c)["emb"]))), F.lit(0.0)), 9)
-                scored = F.transform(pool, lambda p, i: F.when((p["rel"] >= min_rel) & ~F.array_contains(chosen, i), F.struct(value(p).alias("v"), (-i).alias("at"), p["chars"].alias("chars"))))
+                scored = F.transform(pool, lambda p, i: F.when((F.round(p["rel"], 9) >= min_rel) & ~F.array_contains(chosen, i), F.struct(value(p).alias("v"), (-i).alias("at"), p["chars"].alias("chars"))))
                 return F.array_max(F.filter(scored, lambda s: s.isNotNull()))
 
             open_ = ~state["done"] & (state["total"] < max_chars)
