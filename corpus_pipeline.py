@@ -30,15 +30,15 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_rest"))
 
 
-def _unpacked(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
-    """The columns of docs from rows with doc_id and _rest, with another text, and n_chars to fit."""
+def _unpacked(rows: DataFrame, docs: DataFrame, text=None) -> DataFrame:
+    """The columns of docs from rows with doc_id, text and _rest; with another text, if given, and n_chars to fit."""
     out = []
     for field in docs.schema.fields:
         if field.name == "doc_id":
             value = F.col("doc_id")
         elif field.name == "text":
-            value = text
-        elif field.name == "n_chars":
+            value = F.col("text") if text is None else text
+        elif field.name == "n_chars" and text is not None:
             value = F.length(text).cast(field.dataType)
         else:
             value = F.col("_rest").getField(field.name)
@@ -54,11 +54,11 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one document: that with the smallest id."""
-    numbered = _row_numbers(docs, "pipeline-rows")
+    numbered = _row_numbers(_packed(docs), "pipeline-rows")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     groups = simhash.near_duplicates(numbered.select(key.alias("doc_id"), "text"))
     stays = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id._row").alias("_row"))
-    return numbered.join(stays, "_row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return _unpacked(numbered.join(stays, "_row", "left_semi"), docs)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
