@@ -40,7 +40,7 @@ BLOCK = 1 << 16
 LANES = 64
 LOW = np.uint64(1 << 32)
 FILE_IDS = 1 << 22
-MEMO = 400_000
+MEMO = 800_000
 
 
 def scaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -111,8 +111,10 @@ def rans_decode(words: np.ndarray, per_block: np.ndarray, states: np.ndarray, n:
         states = f64[s] * (states >> shift) + slot - start[s]
         need = states < LOW
         where = at[:, None] + np.cumsum(need, axis=1) - 1
-        states = np.where(need, (states << np.uint64(32)) | words[np.where(need, where, -1)], states)
+        states = np.where(need, (states << np.uint64(32)) | words[np.where(need, np.minimum(where, len(words) - 1), -1)], states)
         at += need.sum(axis=1)
+    if (states != LOW).any():  # a checksum for free: the coder began with these
+        raise ValueError("the states don't return to their start, as a checksum of all words")
     return out.reshape(-1)[:n]
 
 
@@ -163,24 +165,54 @@ class OddSpace(ValueError):
     """White space other than single spaces and line feeds between other characters."""
 
 
+def _byte_letters() -> dict[int, int]:
+    """The printable characters that byte-level BPE writes for bytes: its own for printable bytes, the rest from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class Pieces(dict):
-    """Ids (bytes of u32) of pieces of text by piece; a piece that starts with no line feed stands for one after a space."""
+    """Ids (bytes of u32) of pieces of text.
+
+    A piece that starts with a line feed or with NUL (the start of a text) stands for what follows
+    these; any other stands for itself behind a space.  Letters and the marks behind them are never
+    one pre-token, so letters go to the library's model alone, and marks have a memo of their own.
+    """
+
+    BEHIND = ".,;:!?*%&$#|)\"]}"
+    LETTERS = _byte_letters()
 
     def __init__(self, tokenizer, special: tuple[str, ...]) -> None:
         super().__init__()
-        self.tokenizer, self.special, self.marks = tokenizer, special, {}
+        self.tokenizer, self.model, self.special, self.marks = tokenizer, tokenizer.model, special, {"": b""}
+        self.line = self.coded("\n")
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
 
     def coded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.removeprefix("\n").split() != [piece.removeprefix("\n")]:
+        lead, body = ("", piece[1:]) if piece[:1] in ("\n", "\x00") else (" ", piece)
+        word = body.rstrip(self.BEHIND)
+        if word.isalpha():
+            token = (lead + word).encode().decode("latin-1").translate(self.LETTERS)
+            marks = body[len(word) :]
+            if marks not in self.marks:
+                if len(self.marks) >= MEMO:
+                    self.marks.clear()
+                    self.marks[""] = b""
+                self.marks[marks] = self.coded(marks)
+            got = self.packed([t.id for t in self.model.tokenize(token)]) + self.marks[marks]
+        elif body.split() != [body]:
             raise OddSpace
-        if len(piece) > 2 and piece[-1] in ".,;:!?" and piece[-2].isalpha():  # letters and a mark are never one pre-token
-            last = self.marks.get(piece[-1]) or self.marks.setdefault(piece[-1], self.coded(piece[-1]))
-            got = self[piece[:-1]] + last
         else:
-            got = self.coded(piece if piece[:1] == "\n" else " " + piece)
+            got = self.coded(lead + body)
+        if piece[:1] == "\n":
+            got = self.line + got
         if len(self) >= MEMO:
             self.clear()
         self[piece] = got
@@ -189,20 +221,25 @@ class Pieces(dict):
     def document(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if first.split() != [first] or any(s in text for s in self.special):
+        if "\x00" in text or any(s in text for s in self.special):
             return self.coded(text)
         try:
-            return self.coded(first) + b"".join(map(self.__getitem__, rest))
+            return b"".join(map(self.__getitem__, ("\x00" + text.replace("\n", " \n")).split(" ")))
         except OddSpace:
             return self.coded(text)
 
 
+_LOADED: dict[str, Pieces] = {}
+
+
 def load_pieces(vocabulary: str) -> Pieces:
-    from tokenizers import Tokenizer
+    """A worker's memo for a vocabulary; tasks of one worker share it."""
+    if vocabulary not in _LOADED:
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    return Pieces(tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
+        tokenizer = Tokenizer.from_file(vocabulary)
+        _LOADED[vocabulary] = Pieces(tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
+    return _LOADED[vocabulary]
 
 
 def default_vocabulary() -> str:
