@@ -347,6 +347,10 @@ SELECT label, block, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS chosen
     "focused_passage": _with(*_TO_ANSWER) + "SELECT q_id, kb_id, focused, sup_ci FROM answered WHERE relevant",
     "evidence_pack": _with(*_TO_ANSWER, _EVIDENCE) + "SELECT q_id, kb_id, coalesce(evidence, '') AS evidence FROM answered LEFT JOIN packs USING (q_id, kb_id) WHERE relevant",
     "extras": _with(*_TO_ANSWER, _EXTRAS) + "SELECT q_id, kb_id, n, snippet, round(e.score, 6) AS score FROM extras_ e JOIN (SELECT q_id, kb_id FROM answered WHERE relevant) USING (q_id, kb_id)",
+    "context_pack": _with(*_TO_HYBRID, f"""pieces AS (
+  SELECT q_id, kb_id, rank, CASE WHEN attr <> '' THEN '[' || attr || '] ' ELSE '' END || {NORM.format('chunk')} AS piece FROM hybrid h JOIN chunks c USING (kb_id, chunk_idx) WHERE rank <= 4 AND score >= 0.01)""", "cut AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY q_id, kb_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces)") + """
+SELECT q_id, kb_id, trim(coalesce(string_agg(substr(piece, 1, (1800 - before)::INT), chr(10) || chr(10) ORDER BY rank) FILTER (WHERE before < 1800), ''), ' ' || chr(10)) AS context
+FROM (SELECT q_id, kb_id FROM hybrid WHERE rank = 1) LEFT JOIN cut USING (q_id, kb_id) GROUP BY q_id, kb_id""",
     "message_history": _with(*_TO_ANSWER, _EXTRAS, f"""given AS (SELECT q_id, kb_id, (kb_id % 3 * 2)::INT AS next, CASE WHEN relevant THEN body ELSE {_NOTHING} END AS answer_text, CASE WHEN relevant THEN attr ELSE '' END AS attr_text, relevant FROM answered)""") + """
 SELECT kb_id, t::INT AS turn, CASE WHEN t % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, 'earlier' AS content, NULL::VARCHAR AS answer_text, NULL::VARCHAR AS attr_text, NULL::INT AS n_extras FROM given, range(0, 4) r(t) WHERE t < next
 UNION ALL SELECT g.kb_id, next, 'user', question, NULL, NULL, NULL FROM given g JOIN asks a USING (q_id, kb_id)
