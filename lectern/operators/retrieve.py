@@ -29,9 +29,9 @@ class Index:
     postings: DataFrame
 
 
-def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] = HashingEmbedder) -> Index:
-    """Vectors and TF-IDF of chunks."""
-    vocab = tfidf.vocabulary(chunks, cfg)
+def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] = HashingEmbedder, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+    """Vectors and TF-IDF of chunks. keep writes (or caches) the vocabulary, which postings and every question need."""
+    vocab = keep(tfidf.vocabulary(chunks, cfg))
     postings = tfidf.weights(chunks, vocab, ["kb_id", "chunk_idx"], "embed_text")
     return Index(chunks.withColumn("embedding", vectors.embed("embed_text", embedder)), vocab, postings)
 

@@ -40,7 +40,7 @@ def _asks(spark, d) -> DataFrame:
 
 def _index(spark, d) -> retrieve.Index:
     chunks = materialize(_chunks(spark, d), "chunks")
-    return retrieve.build_index(chunks, SMALL)
+    return retrieve.build_index(chunks, SMALL, keep=lambda vocab: materialize(vocab, "vocab"))
 
 
 def _hybrid(spark, d) -> DataFrame:
