@@ -225,7 +225,7 @@ def compare_contexts(blobs: list[tuple[bytes, int]]) -> list[bytes]:
 
 
 #: Contexts are compared in runs of about so many bytes; buckets are never cut.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 3 << 20
 
 
 def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame, object]:
