@@ -39,8 +39,8 @@ MAGIC = b"LTOK0001"
 BLOCK = 1 << 16
 LANES = 64
 LOW = np.uint64(1 << 32)
-FILE_IDS = 1 << 22
-MEMO = 800_000
+FILE_IDS = 1 << 21
+MEMO = 600_000
 
 
 def scaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -185,12 +185,12 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, special: tuple[str, ...]) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.special, self.marks = tokenizer, tokenizer.model, special, {"": b""}
+        self.tokenizer, self.model, self.special, self.marks = tokenizer, tokenizer.model, special, {}
         self.line = self.coded("\n")
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def coded(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -198,15 +198,18 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         lead, body = ("", piece[1:]) if piece[:1] in ("\n", "\x00") else (" ", piece)
         word = body.rstrip(self.BEHIND)
-        if word.isalpha():
-            token = (lead + word).encode().decode("latin-1").translate(self.LETTERS)
+        if word.isalpha() and len(word) < len(body):
             marks = body[len(word) :]
             if marks not in self.marks:
                 if len(self.marks) >= MEMO:
                     self.marks.clear()
-                    self.marks[""] = b""
                 self.marks[marks] = self.coded(marks)
-            got = self.packed([t.id for t in self.model.tokenize(token)]) + self.marks[marks]
+            got = self[piece[: -len(marks)]] + self.marks[marks]
+            self[piece] = got
+            return got
+        if word.isalpha():
+            token = (lead + word).encode().decode("latin-1").translate(self.LETTERS)
+            got = self.packed([t.id for t in self.model.tokenize(token)])
         elif body.split() != [body]:
             raise OddSpace
         else:
