@@ -49,7 +49,7 @@ class Bytes(Units):
         none = np.zeros(0, np.int64)
         if self.n < WINDOW:
             return Anchors(none.astype(np.uint64), none.astype(np.uint64), none, none, none)
-        bits = np.uint64(max(1, int(self.n).bit_length()))
+        bits = np.uint64(max(24, int(self.n).bit_length()))  # the same for all slices of up to 16 MB, so that ties fall alike
         _, down = K.powers(len(self.prefix))
         m = self.n - GRAM + 1
         grams = K.mix64((self.prefix[GRAM:] - self.prefix[:-GRAM]) * down[:m])
