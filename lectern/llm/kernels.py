@@ -48,7 +48,10 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
+    """base**i and base**-i modulo 2**64 for i up to n at least; the longest rows asked for are kept."""
+    for known, rows in _POWERS.items():
+        if known >= n:
+            return rows
     size = max(1 << 16, 1 << int(n).bit_length())
     if size not in _POWERS:
         out = []
