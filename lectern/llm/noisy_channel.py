@@ -3,7 +3,9 @@
 Words that look disguised (digits or signs among letters, a letter three or more times, letters parted
 by spaces or marks) become lattices: each character may stand for itself, for a letter it imitates, or
 for nothing (a separator, a repetition), at a cost.  Viterbi search over pairs of last letters finds
-the cheapest readings under a character trigram model.  Restored words join the text's own words.
+the cheapest readings under a character trigram model.  A separator may part letters of one word or two
+words: the search takes what is cheaper, and all that stands between any two separators is looked up.
+Restored words join the text's own words.
 
 A lexicon of words and of word beginnings (4 to 6 bytes) is learned from the labels: those that mark
 toxic documents of different make with high precision.  A document's score is a logistic function of
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ IMITATES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "°": "o", "%": "o", "#": "h",
 }
 SEPARATORS = " .-_*~'`^/\\,"
+GLUE, GAP = "\x1f", " "  # a separator within a word, and between two; readings have GLUE for both
 COST_IMITATES, COST_SEPARATOR, COST_REPEAT = 1.0, 0.2, 0.4
 LETTERS = 28  # a-z, 26: a word's edge, 27: any other letter
 EDGE, OTHER = 26, 27
@@ -76,7 +80,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each character of a lower-case word what it may stand for ('' for nothing), with costs."""
+    """For each character of a lower-case word what it may stand for ('' for nothing, GLUE and GAP for a separator), with costs."""
     out: list[list[tuple[str, float]]] = []
     for i, c in enumerate(word):
         ways: list[tuple[str, float]] = []
@@ -87,7 +91,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         else:
             ways += [(x, COST_IMITATES) for x in IMITATES.get(c, "")]
             if c in SEPARATORS or not ways:
-                ways.append(("", COST_SEPARATOR))
+                ways += [(GLUE, COST_SEPARATOR), (GAP, COST_SEPARATOR)]
             elif i in (0, len(word) - 1) and not c.isdigit():
                 ways.append(("", COST_SEPARATOR))
             elif i and word[i - 1] == c:
@@ -96,18 +100,21 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(word: str, costs: np.ndarray, most: int = READINGS) -> list[str]:
-    """The cheapest readings of a disguised word, best first: Viterbi search with `most` paths per state."""
+def readings(word: str, costs: np.ndarray, most: int = READINGS) -> list[str]:
+    """The cheapest readings of a disguised word, best first, with GLUE for separators: Viterbi search with `most` paths per state."""
     states: dict[tuple[int, int], list[tuple[float, str]]] = {(EDGE, EDGE): [(0.0, "")]}
-    for ways in lattice(word[:MAX_WORD]):
+    for ways in lattice(word):
         ahead: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), paths in states.items():
             for c, fee in ways:
-                if c:
+                key = (a, b)
+                if c == GAP:
+                    if b == EDGE:  # no word to end
+                        continue
+                    key, fee, c = (EDGE, EDGE), fee + costs[a, b, EDGE], GLUE
+                elif c and c != GLUE:
                     k = letter(c)
                     key, fee = (b, k), fee + costs[a, b, k]
-                else:
-                    key = (a, b)
                 ahead.setdefault(key, []).extend((cost + fee, text + c) for cost, text in paths)
         states = {}
         for key, paths in ahead.items():
@@ -115,8 +122,13 @@ def restore(word: str, costs: np.ndarray, most: int = READINGS) -> list[str]:
             for cost, text in sorted(paths)[: 4 * most]:
                 best.setdefault(text, cost)
             states[key] = [(cost, text) for text, cost in list(best.items())[:most]]
-    ends = sorted((cost + costs[a, b, EDGE], text) for (a, b), paths in states.items() for cost, text in paths)
-    return list(dict.fromkeys(text for _, text in ends if text))[:most]
+    ends = sorted((cost + (costs[a, b, EDGE] if b != EDGE else 0.0), text) for (a, b), paths in states.items() for cost, text in paths)
+    return list(dict.fromkeys(text for _, text in ends if text.strip(GLUE)))[:most]
+
+
+def restore(word: str, costs: np.ndarray, most: int = READINGS) -> list[str]:
+    """The cheapest readings of a disguised word as one word each, best first."""
+    return list(dict.fromkeys(text.replace(GLUE, "") for text in readings(word, costs, most)))
 
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -163,28 +175,67 @@ def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[st
     return np.concatenate(docs), texts
 
 
-def entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of words and of their beginnings, with the indexes of the words they are of."""
+def entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of words and of their beginnings (those of the words in longest, if given), with the indexes of the words they are of."""
     prefix = K.prefix_hash(K.BYTE_VALUE[data])
     every = np.arange(len(starts))
     yield K.range_hash(prefix, starts, ends), every
+    longest = every if longest is None else longest
     for n in PREFIXES:
-        some = every[ends - starts > n]
+        some = longest[(ends - starts)[longest] > n]
         yield K.mix64(K.range_hash(prefix, starts[some], starts[some] + n) + np.uint64(n)), some
 
 
+def pieces(word: str) -> list[str]:
+    """What of a disguised word is read at once."""
+    return [word]
+
+
 class Memo(dict):
-    """Readings of disguised words, forgotten when there are too many."""
+    """Entry hashes of the readings of disguised words (only those that are in `known`, if given), forgotten when there are too many."""
 
-    def __init__(self, costs: np.ndarray) -> None:
+    def __init__(self, costs: np.ndarray, known: np.ndarray | None = None) -> None:
         super().__init__()
-        self.costs = costs
+        self.costs, self.known, self.size = costs, known, 0
 
-    def __missing__(self, word: str) -> list[str]:
-        if len(self) > 100_000:
+    def look_up(self, words: list[str]) -> list[np.ndarray]:
+        if len(self) > 100_000 or self.size > 1 << 22:
             self.clear()
-        got = self[word] = restore(word, self.costs)
-        return got
+            self.size = 0
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        for at in range(0, len(new), 1024):
+            self._read(new[at : at + 1024])
+        return [self[w] for w in words]
+
+    def _read(self, words: list[str]) -> None:
+        data, starts, ends, longest, owner, base = [], [], [], [], [], 0
+        for k, word in enumerate(words):
+            for reading in dict.fromkeys(r for piece in pieces(word) for r in readings(piece, self.costs)):
+                parts = [p.encode() for p in reading.split(GLUE) if p]
+                cuts = [base, *(base + x for x in accumulate(map(len, parts)))]
+                for i, a in enumerate(cuts[:-1]):
+                    starts += [a] * (len(cuts) - 1 - i)
+                    ends += cuts[i + 1 :]
+                    longest.append(len(ends) - 1)
+                owner += [k] * (len(starts) - len(owner))
+                data += parts
+                base = cuts[-1]
+        whole = np.frombuffer(b"".join(data), np.uint8)
+        of = np.array(owner, np.int64)
+        found = [(h, of[w]) for h, w in entries(whole, np.array(starts, np.int64), np.array(ends, np.int64), np.array(longest, np.int64))]
+        hashes, of = (np.concatenate(x) for x in zip(*found, strict=True))
+        if self.known is not None:
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            hit = self.known[at] == hashes
+            hashes, of = hashes[hit], of[hit]
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(len(words) + 1))
+        for k, word in enumerate(words):
+            self[word] = np.unique(hashes[order[cut[k] : cut[k + 1]]]) if cut[k] < cut[k + 1] else _NONE
+            self.size += len(self[word])
+
+
+_NONE = np.zeros(0, np.uint64)
 
 
 def evidence(low: np.ndarray, offsets: np.ndarray, memo: Memo) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,13 +246,9 @@ def evidence(low: np.ndarray, offsets: np.ndarray, memo: Memo) -> Iterator[tuple
         yield hashes, doc[word]
     docs, texts = disguised(low, offsets)
     if texts:
-        read = [memo[t] for t in texts]
-        whole = [r.encode() for rs in read for r in rs]
-        data = np.frombuffer(b"".join(whole), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(w) for w in whole]))).astype(np.int64)
-        owner = np.repeat(docs, [len(rs) for rs in read])
-        for hashes, word in entries(data, at[:-1], at[1:]):
-            yield hashes, owner[word]
+        read = memo.look_up(texts)
+        sizes = np.array([len(r) for r in read])
+        yield np.concatenate([r for r in read if len(r)] or [_NONE]), np.repeat(docs, sizes)
 
 
 @dataclass(frozen=True)
@@ -313,7 +360,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        memo, n = Memo(model.costs), len(model.hashes)
+        memo, n = Memo(model.costs, model.hashes), len(model.hashes)
         for batch, data, offsets in K.slices(batches):
             docs_, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if n:

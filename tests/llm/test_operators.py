@@ -317,6 +317,23 @@ def test_disguised_toxic_words_are_found():
         assert np.isin(hashes(text), model.hashes).any() == toxic
 
 
+def found_in(text, words=("idiot", "stupid", "asshole"), corpus=("idiot", "stupid", "asshole", "such", "a", "the", "other", "patriot", "audio", "ridicule")):
+    """Which of the words are among the entries of a text."""
+    low = kernels.LOWER[np.frombuffer(text.encode(), np.uint8)]
+    got = np.concatenate([h for h, _ in noisy_channel.evidence(low, np.array([0, len(low)]), noisy_channel.Memo(language(corpus * 40)))])
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    hashes = next(noisy_channel.entries(data, np.concatenate(([0], ends[:-1])), ends))[0]
+    return [w for w, h in zip(words, hashes, strict=True) if h in got]
+
+
+@pytest.mark.parametrize("before", ["", "a ", "7 ", "x y ", " ".join("abcdefghijklmnopqrstuvwxyz" * 3) + " "])
+@pytest.mark.parametrize("after", ["", " a", " 7", " " + " ".join("qrstuvw" * 9)])
+def test_spaced_words_are_found_anywhere_in_a_run(before, after):
+    assert found_in(f"such {before}i d i o t{after} it is") == ["idiot"]
+    assert found_in(f"such {before}s t u p 1 d i d i 0 t{after} it is") == ["idiot", "stupid"]
+
+
 @pytest.mark.parametrize("kind,pattern", [(kernels.TEXT_WORD, rb"[^\x20\x09-\x0D]+"), (kernels.ALNUM_WORD, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_word_bounds(kind, pattern):
     texts = ["", "a b", " é ñ\n", "x", "", "a1-b2 c", "end"]
