@@ -19,6 +19,7 @@ itself.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -42,7 +43,7 @@ GLUE, GAP = "\x1f", " "  # a separator within a word, and between two; readings
 COST_IMITATES, COST_SEPARATOR, COST_REPEAT = 1.0, 0.2, 0.4
 LETTERS = 28  # a-z, 26: a word's edge, 27: any other letter
 EDGE, OTHER = 26, 27
-MAX_WORD = 64
+MAX_WORD = 64  # characters that are read at once
 READINGS = 4
 PREFIXES = (4, 5, 6)
 
@@ -131,6 +132,7 @@ def restore(word: str, costs: np.ndarray, most: int = READINGS) -> list[str]:
     return list(dict.fromkeys(text.replace(GLUE, "") for text in readings(word, costs, most)))
 
 
+_AGAIN = re.compile(r"(.)\1{2,}", re.DOTALL)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
@@ -156,7 +158,7 @@ def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[st
     mixed = (letters >= 2) & (signs - ending * _DISGUISE[last] >= 1) & (letters * 3 >= size)
     parted = (letters >= 3) & (marks - ending * _MARK[last] >= 2) & (marks * 3 >= size - 1)
     alone = ((letters == 1) | (signs == 1)) & (size <= 2)
-    odd = (mixed | parted | twin) & (size <= MAX_WORD) & ~alone
+    odd = (mixed | parted | twin) & ~alone
     doc = K.owner(firsts)
     raw = low.tobytes()
     where = np.flatnonzero(odd)
@@ -164,14 +166,9 @@ def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[st
     # runs of at least three single letters or signs within a document, one space apart
     linked = alone[1:] & alone[:-1] & (starts[1:] - ends[:-1] == 1) & (doc[1:] == doc[:-1])
     opens, closes = K.runs(linked)
-    long = (closes - opens >= 2) & (closes - opens <= MAX_WORD // 2)
+    long = closes - opens >= 2
     docs.append(doc[opens[long]])
     texts += [raw[a:b].decode("utf-8", "ignore") for a, b in zip(starts[opens[long]].tolist(), ends[closes[long]].tolist(), strict=True)]
-    # longer runs are cut into overlapping pieces
-    for a, b in zip(opens[(closes - opens) > MAX_WORD // 2].tolist(), closes[(closes - opens) > MAX_WORD // 2].tolist(), strict=True):
-        for k in range(a, b, MAX_WORD // 4):
-            docs.append(doc[k : k + 1])
-            texts.append(raw[starts[k] : ends[min(b, k + MAX_WORD // 2)]].decode("utf-8", "ignore"))
     return np.concatenate(docs), texts
 
 
@@ -186,9 +183,18 @@ def entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: np.
         yield K.mix64(K.range_hash(prefix, starts[some], starts[some] + n) + np.uint64(n)), some
 
 
+def squeezed(word: str) -> str:
+    """The word with at most three of a character in a row, or one separator.
+
+    Leaving out a repetition costs the same for each, so the order of readings with up to three doesn't change.
+    """
+    return _AGAIN.sub(lambda m: m[1] if m[1] in SEPARATORS else m[1] * 3, word)
+
+
 def pieces(word: str) -> list[str]:
-    """What of a disguised word is read at once."""
-    return [word]
+    """What of a disguised word is read at once: long ones in overlapping windows, so that half a window lies whole in one."""
+    word = squeezed(word)
+    return [word[at : at + MAX_WORD] for at in range(0, max(1, len(word) - MAX_WORD // 2), MAX_WORD // 2)]
 
 
 class Memo(dict):

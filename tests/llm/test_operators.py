@@ -334,6 +334,19 @@ def test_spaced_words_are_found_anywhere_in_a_run(before, after):
     assert found_in(f"such {before}s t u p 1 d i d i 0 t{after} it is") == ["idiot", "stupid"]
 
 
+@pytest.mark.parametrize("form", ["id" + "i" * 90 + "ot", "i" * 5000 + "d1ot", "id10" + "t" * 70, "-".join("suchapatriot" * 4 + "idiot"), ".".join("idiot" + "other" * 9), ".".join("thesuch" * 300 + "idiot" + "audio" * 300), "i" + "-" * 80 + "d-i-o-t"])
+def test_long_disguised_words_are_found(form):
+    assert found_in(f"so {form} it is") == ["idiot"]
+
+
+def test_windows_of_long_words_overlap():
+    word = "".join(chr(0x4E00 + k) for k in range(500))
+    for size in (1, 64, 65, 96, 97, 500):
+        got = noisy_channel.pieces(word[:size])
+        assert max(map(len, got)) <= noisy_channel.MAX_WORD
+        assert all(any(word[a : min(size, a + 32)] in p for p in got) for a in range(size))
+
+
 @pytest.mark.parametrize("kind,pattern", [(kernels.TEXT_WORD, rb"[^\x20\x09-\x0D]+"), (kernels.ALNUM_WORD, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_word_bounds(kind, pattern):
     texts = ["", "a b", " é ñ\n", "x", "", "a1-b2 c", "end"]
