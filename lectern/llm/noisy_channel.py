@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Words that look disguised (digits or signs among letters, a letter three or more times, letters parted
-by spaces or marks) become lattices: each character may stand for itself, for a letter it imitates, or
+Words that may be disguised (a digit or sign beside a letter, a doubled letter, letters parted by spaces
+or marks) become lattices: each character may stand for itself, for a letter it imitates, or
 for nothing (a separator, a repetition), at a cost.  Viterbi search over pairs of last letters finds
 the cheapest readings under a character trigram model.  A separator may part letters of one word or two
 words: the search takes what is cheaper, and all that stands between any two separators is looked up.
@@ -136,10 +136,35 @@ _AGAIN = re.compile(r"(.)\1{2,}", re.DOTALL)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
-_DISGUISE = np.zeros(256, dtype=bool)
-_DISGUISE[[*range(0x30, 0x3A), *b"@$!|+(<%#"]] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[[*b".-_*~'`^/\\,"]] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[0x30:0x3A] = True
+_DISGUISE = _DIGIT.copy()
+_DISGUISE[[*b"@$!|+(<%#"]] = True
+_MARK = ~(_LETTER | _DISGUISE)
+_WIDE_SIGNS = [c.encode() for c in IMITATES if not c.isascii()]
+
+
+def _signs(low: np.ndarray) -> np.ndarray:
+    """Which bytes are signs, or the first byte of one, that imitate letters."""
+    out = _DISGUISE[low]
+    for sign in _WIDE_SIGNS:
+        at = np.flatnonzero(low[: max(0, len(low) - len(sign) + 1)] == sign[0])
+        for k in range(1, len(sign)):
+            at = at[low[at + k] == sign[k]]
+        out[at] = True
+    return out
+
+
+def _twice(low: np.ndarray) -> np.ndarray:
+    """Where a letter of one to four bytes begins that also stands before."""
+    out = np.zeros(len(low), dtype=bool)
+    for n, (first, end) in enumerate(((0x61, 0x7B), (0xC2, 0xE0), (0xE0, 0xF0), (0xF0, 0xF5)), 1):
+        row = low[: max(0, len(low) - 2 * n + 1)]
+        at = np.flatnonzero((row >= first) & (row < end))
+        for k in range(n):
+            at = at[low[at + k] == low[at + n + k]]
+        out[at + n] = True
+    return out
 
 
 def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -148,17 +173,21 @@ def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[st
     if not len(starts):
         return np.zeros(0, np.int64), []
     sums = lambda mask: (lambda c: c[ends] - c[starts])(np.concatenate(([0], np.cumsum(mask))))
-    is_letter, size = _LETTER[low], ends - starts
-    letters, signs, marks = sums(is_letter), sums(_DISGUISE[low]), sums(_MARK[low])
+    is_letter, is_sign, size = _LETTER[low], _signs(low), ends - starts
+    letters, signs = sums(is_letter), sums(is_sign)
     last = low[ends - 1]
-    ending = (~_LETTER[last] & ~((last >= 0x30) & (last <= 0x39))).astype(np.int64)  # one mark that ends a word is no disguise
-    thrice = np.zeros(len(low), dtype=bool)
-    thrice[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & is_letter[2:]
-    twin = sums(thrice & (np.arange(len(low)) >= 2)) > 0
-    mixed = (letters >= 2) & (signs - ending * _DISGUISE[last] >= 1) & (letters * 3 >= size)
-    parted = (letters >= 3) & (marks - ending * _MARK[last] >= 2) & (marks * 3 >= size - 1)
+    ending = _DISGUISE[last] & ~_DIGIT[last]  # one sign that ends a word is no disguise
+    twice = _twice(low)
+    twice[starts] = False
+    # marks with a letter or sign of their word on both sides
+    solid = np.concatenate(([0], np.cumsum(is_letter | is_sign)))
+    mark = np.flatnonzero(_MARK[low])
+    word = np.searchsorted(starts, mark, side="right") - 1
+    mark, word = mark[word >= 0], word[word >= 0]
+    inner = np.zeros(len(starts), dtype=bool)
+    inner[word[(mark < ends[word]) & (solid[mark] > solid[starts[word]]) & (solid[ends[word]] > solid[mark])]] = True
     alone = ((letters == 1) | (signs == 1)) & (size <= 2)
-    odd = (mixed | parted | twin) & ~alone
+    odd = (letters >= 1) & ((signs - ending >= 1) | inner | (sums(twice) > 0)) & ~alone
     doc = K.owner(firsts)
     raw = low.tobytes()
     where = np.flatnonzero(odd)

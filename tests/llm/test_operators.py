@@ -322,7 +322,7 @@ def found_in(text, words=("idiot", "stupid", "asshole"), corpus=("idiot", "stupi
     low = kernels.LOWER[np.frombuffer(text.encode(), np.uint8)]
     got = np.concatenate([h for h, _ in noisy_channel.evidence(low, np.array([0, len(low)]), noisy_channel.Memo(language(corpus * 40)))])
     data = np.frombuffer("".join(words).encode(), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
+    ends = np.cumsum([len(w.encode()) for w in words])
     hashes = next(noisy_channel.entries(data, np.concatenate(([0], ends[:-1])), ends))[0]
     return [w for w, h in zip(words, hashes, strict=True) if h in got]
 
@@ -347,6 +347,11 @@ def test_windows_of_long_words_overlap():
         assert all(any(word[a : min(size, a + 32)] in p for p in got) for a in range(size))
 
 
+@pytest.mark.parametrize("form,word", [("1d107", "idiot"), ("455h0l3", "asshole"), ("id-iot", "idiot"), ("st.upid", "stupid"), ("st-up-id", "stupid"), ("iddiot", "idiot"), ("¡diot", "idiot"), ("id:iot", "idiot"), ("(st'upid)", "stupid"), ("дуррак", "дурак")])
+def test_slightly_disguised_words_are_found(form, word):
+    assert found_in(f"so {form} it is", words=("idiot", "stupid", "asshole", "дурак")) == [word]
+
+
 @pytest.mark.parametrize("kind,pattern", [(kernels.TEXT_WORD, rb"[^\x20\x09-\x0D]+"), (kernels.ALNUM_WORD, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_word_bounds(kind, pattern):
     texts = ["", "a b", " é ñ\n", "x", "", "a1-b2 c", "end"]
