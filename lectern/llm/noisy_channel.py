@@ -9,8 +9,9 @@ Restored words join the text's own words.
 
 A lexicon of words and of word beginnings (4 to 6 bytes) is learned from the labels: those that mark
 toxic documents of different make with high precision.  A document's score is a logistic function of
-the evidence of its distinct lexicon entries.  Models come from a bounded sample (`max_train` labelled
-documents, whole texts); scoring reads whole texts of all documents.  What is broadcast is bounded.
+the evidence of its distinct lexicon entries.  Trigrams are counted in all texts; lexicon and curve come
+from a bounded sample (`max_train` labelled documents, whole texts); scoring reads whole texts of all
+documents.  What is broadcast is bounded.
 
 Nulls: null and empty texts have no words and get the score of no evidence.  Without labelled rows
 every score is 0.5; with one class only it is that class's share.  Repeated rows are scored each for
@@ -67,7 +68,9 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     row = np.concatenate(([EDGE], row, [EDGE]))
     # the trigram (edge, edge, x) stands for a word's first letter
     first = row[1:][(row[:-1] == EDGE) & (row[1:] != EDGE)]
-    out = np.bincount(row[:-2] * LETTERS * LETTERS + row[1:-1] * LETTERS + row[2:], minlength=LETTERS**3)
+    # none reaches over an edge, so counts of slices add up to those of the whole
+    within = np.flatnonzero(row[1:-1] != EDGE)
+    out = np.bincount(row[within] * LETTERS * LETTERS + row[within + 1] * LETTERS + row[within + 2], minlength=LETTERS**3)
     return out + np.bincount(EDGE * LETTERS * LETTERS + EDGE * LETTERS + first, minlength=LETTERS**3)
 
 
@@ -305,16 +308,20 @@ class Model:
 _MOST = 6.0
 
 
-def _sampled(rows: DataFrame) -> DataFrame:
-    """Letter trigram counts of a slice of the sample (a row without y)."""
+def trigram_totals(docs: DataFrame) -> np.ndarray:
+    """Letter trigram counts of all texts: at most 28**3 sums from a task, added up in an aggregate."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, dtype=np.int64)
         for _, data, offsets in K.slices(batches):
             total += trigram_counts(K.LOWER[data], offsets)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["trigram", "n"])
 
-    return rows.mapInArrow(work, "counts binary")
+    out = np.zeros(LETTERS**3, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(work, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect():
+        out[r.trigram] = r.n
+    return out
 
 
 def _evident(rows: DataFrame, costs: np.ndarray) -> DataFrame:
@@ -379,11 +386,10 @@ def train(documents: list[tuple[int, bytes]], costs: np.ndarray, how: Training)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", how: Training | None = None) -> Model:
-    """Language model, lexicon and curve from a bounded sample; the executors read its texts."""
+    """The language model from all texts, lexicon and curve from a bounded sample; the executors read the texts."""
     how = how or Training()
     rows = sample(docs, labels, label, how.max_train)
-    counts = sum((np.frombuffer(bytes(r.counts), np.int64) for r in _sampled(rows).collect()), np.zeros(LETTERS**3, dtype=np.int64))
-    costs = language_model(counts)
+    costs = language_model(trigram_totals(docs))
     found = _evident(rows, costs).collect()
     found.sort(key=lambda r: (r.doc_id, r.y, bytes(r.hashes)))
     return train([(r.y, bytes(r.hashes)) for r in found], costs, how)

@@ -352,6 +352,15 @@ def test_slightly_disguised_words_are_found(form, word):
     assert found_in(f"so {form} it is", words=("idiot", "stupid", "asshole", "дурак")) == [word]
 
 
+def test_language_model_counts_all_documents(spark):
+    texts = [f"Some 0text {k} é " + "abcdefgh"[k % 8 :] for k in range(40)] + [None, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    whole = [np.frombuffer((t or "").lower().encode(), np.uint8) for t in texts]
+    counts = sum(noisy_channel.trigram_counts(t, np.array([0, len(t)])) for t in whole if len(t))
+    assert np.allclose(noisy_channel.fit(docs, labels).costs, noisy_channel.language_model(counts))
+
+
 @pytest.mark.parametrize("kind,pattern", [(kernels.TEXT_WORD, rb"[^\x20\x09-\x0D]+"), (kernels.ALNUM_WORD, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_word_bounds(kind, pattern):
     texts = ["", "a b", " é ñ\n", "x", "", "a1-b2 c", "end"]
