@@ -9,8 +9,8 @@ Shards are slices of a partition of some MB, so an index needs little memory and
 costs its shards only.  The benchmark is a query set: it is read in blocks of at most `block_bytes`,
 so what is broadcast is bounded; one pass over the documents serves each block.
 
-Nulls: null and empty texts have no words, and aren't contaminated.  Benchmark rows without an id or without words are
-ignored; rows that repeat an item id count as that item once.  An empty benchmark leaves all documents
+Nulls: null and empty texts have no words, and aren't contaminated.  Benchmark rows without words are
+ignored; rows that repeat an item id count as that item once, and all rows without an id as one item (a null in item_ids).  An empty benchmark leaves all documents
 clean.  Extra columns of either table are ignored.
 """
 
@@ -233,7 +233,7 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
                 which = phrases.items[np.repeat(phrases.item_first[pairs[:, 1]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
                 both = np.unique(np.stack((np.repeat(pairs[:, 0], sizes), which), axis=1), axis=0)
                 for d, i in both.tolist():
-                    items[d].append(str(phrases.item_ids[i]))
+                    items[d].append(None if phrases.item_ids[i] is None else str(phrases.item_ids[i]))
             lists = []
             hits = np.flatnonzero(hit)
             cut = np.searchsorted(hits, firsts)
@@ -248,7 +248,7 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
 
 def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     rows, size = [], 0
-    for row in bench.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
+    for row in bench.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         rows.append((row[0], row[1]))
         size += len(row[1])
         if size >= block_bytes:

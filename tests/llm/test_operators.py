@@ -225,6 +225,14 @@ def test_decontamination_in_blocks(spark, tables):
     assert rows_of(whole) == rows_of(parts)
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_benchmark_rows_without_id(spark, block_bytes):
+    docs = spark.createDataFrame([(1, "so one two three then"), (2, "four five"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, "four five"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in fm_index.removal_spans(fm_index.decontaminate(docs, bench, block_bytes=block_bytes)).collect()}
+    assert {i: (len(r.hit_from), r.item_ids, r.clean_text) for i, r in got.items()} == {1: (3, [None], "so  then"), 2: (2, ["7", None], ""), 3: (0, [], "none")}
+
+
 def test_fm_index_search_and_locate():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 400)
