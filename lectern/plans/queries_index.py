@@ -124,13 +124,16 @@ def hybrid_topk(spark, d):
 
 
 def _holding(spark, d) -> DataFrame:
-    """asks of every item to the documents that hold it word for word, found by its first eight words."""
+    """asks of every item to the documents that hold it word for word, found by its first eight words; items of fewer words are held against all documents."""
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
-    items = items.withColumn("key", F.array_join(F.slice(T.words("question"), 1, 8), " "))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("kb_id"), T.normalize_ws("text").alias("whole")).withColumn("w", F.split("whole", " ")).where(F.size("w") >= 8)
-    keys = docs.select("kb_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("key"))
-    near = keys.join(items, "key").select("q_id", "kb_id", "question").distinct()
-    return near.join(docs, "kb_id").where(F.contains(F.col("whole"), T.normalize_ws("question"))).select("q_id", "kb_id", "question")
+    long = F.size(T.words("question")) >= 8
+    keyed = items.where(long).withColumn("key", F.array_join(F.slice(T.words("question"), 1, 8), " "))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("kb_id"), T.normalize_ws("text").alias("whole")).withColumn("w", F.split("whole", " "))
+    keys = docs.where(F.size("w") >= 8).select("kb_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("key"))
+    near = keys.join(keyed, "key").select("q_id", "kb_id", "question").distinct()
+    holds = F.contains(F.col("whole"), T.normalize_ws("question"))
+    found = near.join(docs, "kb_id").where(holds).select("q_id", "kb_id", "question")
+    return found.unionByName(docs.join(items.where(~long), holds).select("q_id", "kb_id", "question"))
 
 
 def retrieval_recall(spark, d):
