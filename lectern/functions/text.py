@@ -9,14 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Dialect of white space, line ends, mathematical symbols, headings, labels.
-WS = r"(?U)[\s\x1c-\x1f]"
-EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = r"(?U:[\s\x1c-\x1f])"
+_NUMBER = r"\p{Nd}"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 MATH = "[∀-⋿℀-⅏⟀-⟯⦀-⧿⨀-⫿]"
 LATEX = r"\\\[[\s\S]*?\\\]"
-HEADING = r"^(?:\d+[\d\.]*[ \t]+)?[A-Z][^\n]{0,80}$"
-LABEL = r"^[A-Za-z][A-Za-z\s\-]{0,40}:\s+"
-NUMBERED = r"\b\d+(?:\.\d+)+\s+[^\n]{1,80}?(?=\n|\s{2,}|\s*[:\-]\s|\.(?:\s|$)|$)"
+HEADING = rf"^(?:{_NUMBER}+[{_NUMBER}\.]*{WS}+)?[A-Z][^\n]{{0,80}}$"
+LABEL = rf"^[A-Za-z](?:[A-Za-z\-]|{WS}){{0,40}}:{WS}+"
+NUMBERED = rf"(?U)\b(?-U){_NUMBER}+(?:\.{_NUMBER}+)+{WS}+[^\n]{{1,80}}?(?=\n|{WS}{{2,}}|{WS}*[:\-]{WS}|\.(?:{WS}|$)|$)"
 NOISE_CHARS = 35
 STRONG, PARTIAL = 0.25, 0.08
 
@@ -39,7 +40,7 @@ def as_text(x: Column | str, kind: str = "string") -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(as_column(x), EDGES, "")
+    return F.btrim(as_column(x), F.lit(SPACES))
 
 
 def normalize_ws(x: Column | str) -> Column:
@@ -59,7 +60,7 @@ def split_sentences(x: Column | str) -> Column:
 
 def words(x: Column | str) -> Column:
     """Words between white space."""
-    return F.filter(F.split(as_column(x), f"{WS}+"), lambda w: w != "")
+    return F.filter(F.split(normalize_ws(x), " "), lambda w: w != "")
 
 
 def lines(x: Column | str) -> Column:
@@ -80,13 +81,12 @@ def is_math_heavy(x: Column | str) -> Column:
 
 def is_noise_sentence(x: Column | str) -> Column:
     """Empty, under 35 characters, a display formula as a whole, or with mathematical symbols."""
-    n = normalize_ws(x)
-    return (F.length(n) < NOISE_CHARS) | n.rlike(r"^\\\[[\s\S]*\\\]$") | is_math_heavy(n)
+    return let(normalize_ws(x), lambda n: (F.length(n) < NOISE_CHARS) | n.rlike(r"^\\\[[\s\S]*\\\]$") | is_math_heavy(n))
 
 
 def strip_leading_latex(x: Column | str) -> Column:
     """Without one display formula at the start."""
-    return strip(F.regexp_replace(F.coalesce(as_column(x), F.lit("")), rf"^[\s\x1c-\x1f]*{LATEX}", ""))
+    return strip(F.regexp_replace(F.coalesce(as_column(x), F.lit("")), rf"^{WS}*{LATEX}", ""))
 
 
 def remove_latex(x: Column | str) -> Column:
@@ -156,6 +156,7 @@ def cache_key(source_name: Column | str, text: Column | str) -> Column:
     return F.md5(F.concat_ws(":", as_column(source_name), text_hash(text)).cast("binary"))
 
 
+#: Fixed value: the reply where the document has no answer.
 CANNOT = "I cannot determine this from the document."
 
 

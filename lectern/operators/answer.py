@@ -20,21 +20,27 @@ from lectern.operators import vectors
 from lectern.operators.retrieve import PAIR
 from lectern.providers import Embedder, Generator, HashingEmbedder
 
+#: Fixed value: the reply to a question that nothing answers.
 NOTHING = "Nothing relevant found. Try rephrasing using keywords from the document."
+#: Fixed value: sentences of the best chunk that stand in for a supporting passage.
+FALLBACK_SENTENCES = 3
 
 
 def gathered(reranked: DataFrame, embedder: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
     """One row per question and collection: question, and tops, an array in order of rank.
 
-    tops: rank, chunk_idx, chunk, score, attr, sents (all sentences in order: si, sent, noise, clean, rel, emb).
+    tops: rank, chunk_idx, chunk, score, attr, sents (all sentences in order: si, sent, noise, clean, rel, emb, raw_rel).
+    rel and emb are those of the sentence without a leading formula, raw_rel is that of the sentence as it stands.
     """
     columns = [*PAIR, "question", "q_embedding", "rank", "chunk_idx", "chunk", "score", T.attribution("section", "page").alias("attr")]
     sents = reranked.select(*columns, F.posexplode_outer(T.split_sentences("chunk")).alias("si", "sent"))
     sents = sents.withColumn("noise", T.is_noise_sentence(F.coalesce("sent", F.lit("")))).withColumn("clean", F.when(~F.col("noise"), T.strip_leading_latex("sent")))
     sents = sents.withColumn("emb", vectors.embed(F.coalesce("clean", F.lit("")), embedder)).withColumn("rel", vectors.dot("emb", "q_embedding"))
-    sent = F.struct("si", "sent", "noise", "clean", "rel", "emb")
-    tops = sents.groupBy(*PAIR, "question", "rank", "chunk_idx", "chunk", "score", "attr").agg(F.array_sort(F.collect_list(F.when(F.col("sent").isNotNull(), sent))).alias("sents"))
-    return tops.groupBy(*PAIR, "question").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_idx", "chunk", "score", "attr", "sents"))).alias("tops"))
+    other = vectors.dot(vectors.embed(F.when(~F.col("noise") & (F.col("clean") != F.col("sent")), F.col("sent")), embedder), "q_embedding")
+    sents = sents.withColumn("raw_rel", F.when(F.col("clean") == F.col("sent"), F.col("rel")).otherwise(other))
+    sent = F.struct("si", "sent", "noise", "clean", "rel", "emb", "raw_rel")
+    tops = sents.groupBy(*PAIR, "question", "rank", "chunk_idx", "chunk", "score", "attr").agg(F.sort_array(F.collect_list(F.when(F.col("sent").isNotNull(), sent))).alias("sents"))
+    return tops.groupBy(*PAIR, "question").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_idx", "chunk", "score", "attr", "sents"))).alias("tops"))
 
 
 def sentence_pool(tops: Column | str, cfg: Settings = DEFAULT) -> Column:
@@ -52,8 +58,8 @@ def _good(top: Column) -> Column:
 
 def _best(sents: Column, n: int) -> Column:
     """The n most relevant sentences, best first; the first of equals is better."""
-    order = F.transform(sents, lambda s: F.struct((-F.round(s["rel"], 9)).alias("k"), s["si"].alias("si"), s["sent"].alias("sent")))
-    return F.slice(F.array_sort(order), 1, n)
+    order = F.transform(sents, lambda s: F.struct((-F.round(s["raw_rel"], 9)).alias("k"), s["si"].alias("si"), s["sent"].alias("sent")))
+    return F.slice(F.sort_array(order), 1, n)
 
 
 def evidence_pack(tops: Column | str, cfg: Settings = DEFAULT) -> Column:
@@ -91,7 +97,7 @@ def extras(tops: Column | str, cfg: Settings = DEFAULT) -> Column:
 
     def snippet(t: Column) -> Column:
         good = _good(t)
-        best = F.array_sort(F.transform(_best(good, 3), lambda s: F.struct(s["si"].alias("si"), s["sent"].alias("sent"))))
+        best = F.sort_array(F.transform(_best(good, 3), lambda s: F.struct(s["si"].alias("si"), s["sent"].alias("sent"))))
         return F.struct(T.remove_latex(F.array_join(F.transform(best, lambda s: s["sent"]), " ")).alias("snippet"), t["score"].alias("score"))
 
     return F.filter(F.transform(T.let(keyed, new), lambda r: snippet(r["top"])), lambda e: e["snippet"] != "")
@@ -116,7 +122,9 @@ def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[],
     rows = rows.withColumn("sup_si", F.when(has, F.transform(F.filter("picks", lambda p: p["ci"] == F.col("sup_ci")), lambda p: p["si"])))
     near = F.filter(F.get("tops", F.col("sup_ci"))["sents"], lambda s: F.exists(F.col("sup_si"), lambda i: F.abs(i - s["si"]) <= 1))
     around = T.remove_latex(T.strip_leading_latex(F.array_join(F.transform(near, lambda s: s["sent"]), " ")))
-    rows = rows.withColumn("focused", F.when(has, around).otherwise(T.remove_latex(F.array_join("picked", " "))))
+    cleaned = F.filter(F.transform(_good(F.col("top")), lambda s: s["clean"]), lambda c: c != "")
+    instead = F.array_join(F.when(F.size("picked") > 0, F.col("picked")).otherwise(F.slice(cleaned, 1, FALLBACK_SENTENCES)), " ")
+    rows = rows.withColumn("focused", F.when(has, around).otherwise(T.strip(instead)))
     rows = rows.withColumn("evidence", evidence_pack("tops", cfg)).withColumn("extras", extras("tops", cfg))
     extractive = T.remove_latex(T.format_extractive("picked", "attr_text"))
     if generator is None or cfg.mode == "structured":
@@ -154,5 +162,7 @@ def _generated(rows: DataFrame, cfg: Settings, make: Callable[[], Generator]) ->
     hosted = cfg.mode == "hosted"
     prompt = gates.hosted_prompt if hosted else gates.local_prompt
     gate = gates.hosted_answer if hosted else gates.local_answer
-    raw = rows.withColumn("_raw", F.when(F.col("relevant"), generate(prompt("question", "evidence"))))
-    return raw.withColumn("generated", gate("_raw", "evidence")).drop("_raw")
+    # Spark computes a Python function for all rows, whatever a condition says: only relevant ones go there
+    raw = rows.where("relevant").withColumn("_raw", generate(prompt("question", "evidence")))
+    made = raw.withColumn("generated", gate("_raw", "evidence")).drop("_raw")
+    return made.unionByName(rows.where("NOT relevant").withColumn("generated", F.lit(None).cast("string")))

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, Settings
 from lectern.functions import text as T
+from lectern.plans.session import spread
 
 
 def dedup_paragraphs(x: Column | str, least: int = 40) -> Column:
     """Lines, stripped and not blank; of lines of `least` characters or more that are equal but for case and spaces, the first."""
     kept = F.filter(F.transform(T.lines(F.coalesce(T.as_column(x), F.lit(""))), T.strip), lambda s: s != "")
-    keyed = F.array_sort(F.transform(kept, lambda s, i: F.struct(F.lower(T.normalize_ws(s)).alias("key"), i.alias("at"), s.alias("line"))))
+    keyed = F.sort_array(F.transform(kept, lambda s, i: F.struct(F.lower(T.normalize_ws(s)).alias("key"), i.alias("at"), s.alias("line"))))
     # in order of (key, place) a line repeats if the one before has its key
     new = lambda rows: F.filter(rows, lambda r, i: (F.length(r["key"]) < least) | (i == 0) | (F.get(rows, i - 1)["key"] != r["key"]))
-    back = F.array_sort(F.transform(T.let(keyed, new), lambda r: F.struct(r["at"].alias("at"), r["line"].alias("line"))))
+    back = F.sort_array(F.transform(T.let(keyed, new), lambda r: F.struct(r["at"].alias("at"), r["line"].alias("line"))))
     return F.array_join(F.transform(back, lambda r: r["line"]), "\n")
 
 
@@ -30,37 +31,44 @@ def dedup_long(docs: DataFrame, key: str = "doc_id", least: int = 40) -> DataFra
     rows = rows.withColumn("norm", F.lower(T.normalize_ws("line")))
     first = F.row_number().over(Window.partitionBy(key, "norm").orderBy("pos"))
     kept = rows.withColumn("n", first).where((F.length("norm") < least) | (F.col("n") == 1))
-    joined = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    joined = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("rows"))
     joined = joined.select(key, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
     return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def chunk_array(x: Column | str, cfg: Settings = DEFAULT) -> Column:
-    """The chunks of a text as an array of strings."""
-    paras = F.filter(F.transform(F.split(F.coalesce(T.as_column(x), F.lit("")), "\n"), T.words), lambda w: F.size(w) > 0)
-    none = F.array().cast("array<string>")
+    """The chunks of a text as an array of strings.
+
+    A running chunk is always a range of the document's words (what it keeps of the chunk before are the
+    words just before it), so the fold runs over word counts and gives ranges, which are cut out at the end.
+    """
     size, overlap, limit, stride = cfg.chunk_size, cfg.overlap, cfg.limit, cfg.stride
+    paras = F.filter(F.transform(F.split(F.coalesce(T.as_column(x), F.lit("")), "\n"), T.normalize_ws), lambda p: p != "")
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(acc: Column, para: Column) -> Column:
+        a, b, out = acc["a"], acc["b"], acc["out"]
 
-    def step(acc: Column, w: Column) -> Column:
-        cur, out = acc["cur"], acc["out"]
-        full = (F.size(cur) > 0) & (F.size(cur) + F.size(w) > size)
-        tail = F.slice(cur, F.greatest(F.size(cur) - (overlap - 1), F.lit(1)), overlap)
-        grown = F.concat(F.when(full, tail).otherwise(cur), w)
-        before = F.when(full, F.array(F.array_join(cur, " "))).otherwise(none)
+        def grow(n: Column) -> Column:
+            full = (b > a) & (b - a + n > size)
+            start, end = F.when(full, F.greatest(a, b - overlap)).otherwise(a), b + n
 
-        def cut(base: Column) -> Column:
-            n = F.greatest(F.lit(0), F.ceil((F.size(base) - limit) / stride).cast("int"))
-            windows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(base, k * stride + 1, size), " "))).otherwise(none)
-            return F.struct(F.slice(base, n * stride + 1, F.size(base)).alias("cur"), F.concat(out, before, windows).alias("out"))
+            def cut(windows: Column) -> Column:
+                made = F.concat(
+                    out, F.when(full, F.array(pair(a, b))).otherwise(none),
+                    F.when(windows > 0, F.transform(F.sequence(F.lit(0), windows - 1), lambda k: pair(start + k * stride, start + k * stride + size))).otherwise(none),
+                )
+                return F.struct((start + windows * stride).cast("int").alias("a"), end.alias("b"), F.when(full | (windows > 0), made).otherwise(out).alias("out"))
 
-        return T.let(grown, cut)
+            return T.let(F.greatest(F.lit(0), F.ceil((end - start - limit) / stride).cast("int")), cut)
 
-    def finish(acc: Column) -> Column:
-        rest = F.when(F.size(acc["cur"]) > 0, F.array(F.array_join(acc["cur"], " "))).otherwise(none)
-        return F.concat(acc["out"], rest)
+        return T.let(F.size(F.split(para, " ")), grow)
 
-    chunks = F.aggregate(paras, F.struct(none.alias("cur"), none.alias("out")), step, finish)
-    return F.filter(chunks, lambda c: F.length(T.strip(c)) >= cfg.min_chunk_chars)
+    finish = lambda acc: F.when(acc["b"] > acc["a"], F.concat(acc["out"], F.array(pair(acc["a"], acc["b"])))).otherwise(acc["out"])
+    ranges = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), none.alias("out")), step, finish)
+    cut_out = lambda ps: T.let(F.split(F.array_join(ps, " "), " "), lambda w: F.transform(ranges(ps), lambda r: F.array_join(F.slice(w, r["a"] + 1, r["b"] - r["a"]), " ")))
+    return F.filter(T.let(paras, cut_out), lambda c: F.length(c) >= cfg.min_chunk_chars)
 
 
 def as_of(entries: Column | str, at: Column | str) -> Column:
@@ -86,9 +94,10 @@ def chunks(docs: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataF
     Attribution probes the maps, which are keyed by paragraph, with the chunk's index; this is how the
     engine has always read them.
     """
-    made = docs.withColumn("_chunks", chunk_array(dedup_paragraphs("text", cfg.dedup_min_chars), cfg))
+    # an inner explode would infer a filter that computes the chunks again
+    made = spread(docs).withColumn("_chunks", chunk_array(dedup_paragraphs("text", cfg.dedup_min_chars), cfg))
     maps = [c for c in ("section_map", "page_map") if c in docs.columns]
-    made = made.select(kb, *maps, F.posexplode("_chunks").alias("chunk_idx", "chunk"))
+    made = made.select(kb, *maps, F.posexplode_outer("_chunks").alias("chunk_idx", "chunk")).where("chunk_idx IS NOT NULL")
     section = F.coalesce(as_of("section_map", "chunk_idx"), F.lit("")) if "section_map" in maps else F.lit("")
     page = as_of("page_map", "chunk_idx") if "page_map" in maps else F.lit(None).cast("int")
     return made.select(kb, "chunk_idx", "chunk", section.alias("section"), page.alias("page")).withColumn("embed_text", T.embed_text("section", "chunk"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lectern.config import DEFAULT, Settings
-from lectern.operators import tfidf, vectors
+from lectern.operators import chunking, tfidf, vectors
+from lectern.plans.storage import materialize
 from lectern.providers import Embedder, HashingEmbedder, Reranker
 
 PAIR = ["q_id", "kb_id"]
@@ -22,23 +23,28 @@ PAIR = ["q_id", "kb_id"]
 
 @dataclass(frozen=True)
 class Index:
-    """A collection's index as frames: chunks with vectors, vocabulary, postings; all with kb_id."""
+    """A collection's index as frames: chunks with vectors, vocabulary, postings; all with kb_id; and the stop list they were made with."""
 
     chunks: DataFrame
     vocab: DataFrame
     postings: DataFrame
+    stop_words: tuple[str, ...] = tfidf.STOP_WORDS
 
 
-def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] = HashingEmbedder, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
-    """Vectors and TF-IDF of chunks. keep writes (or caches) the vocabulary, which postings and every question need."""
-    vocab = keep(tfidf.vocabulary(chunks, cfg))
-    postings = tfidf.weights(chunks, vocab, ["kb_id", "chunk_idx"], "embed_text")
-    return Index(chunks.withColumn("embedding", vectors.embed("embed_text", embedder)), vocab, postings)
+def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] = HashingEmbedder, stop_words: tuple[str, ...] = tfidf.STOP_WORDS) -> Index:
+    """Vectors and TF-IDF of chunks; collections of fewer than `min_chunks` chunks aren't indexed (see `chunking.indexable`).
 
+    Term counts and vocabulary, which all else needs, are written to the shared folder.
+    """
+    few = materialize(chunking.indexable(chunks, cfg).where("err <> ''").select("kb_id"), "too-few")  # its size is known: a small one is broadcast
+    chunks = chunks.join(few, "kb_id", "left_anti")
+    counts = materialize(tfidf.term_counts(chunks, ["kb_id", "chunk_idx"], "embed_text", stop_words), "term-counts")
+    vocab = materialize(tfidf.vocabulary(counts, cfg), "vocab")
+    return Index(chunks.withColumn("embedding", vectors.embed("embed_text", embedder)), vocab, tfidf.weights(counts, vocab, ["kb_id", "chunk_idx"]), stop_words)
 
-def norm01(x: Column, over) -> Column:
-    """Min-max over a window; 0 where all are equal."""
-    low, high = F.min(x).over(over), F.max(x).over(over)
+
+def norm01(x: Column, low: Column, high: Column) -> Column:
+    """Min-max scaling; 0 where all are equal."""
     return F.when(high - low < 1e-12, F.lit(0.0)).otherwise((x - low) / (high - low))
 
 
@@ -48,20 +54,31 @@ def dynamic_k(n: Column, cfg: Settings = DEFAULT) -> Column:
 
 def sparse_scores(index: Index, asks: DataFrame) -> DataFrame:
     """q_id, kb_id, chunk_idx, sparse: cosine of every chunk that shares a term with the question."""
-    asked = tfidf.weights(asks, index.vocab, PAIR, "question")
+    asked = tfidf.weights(tfidf.term_counts(asks, PAIR, "question", index.stop_words), index.vocab, PAIR)
     return tfidf.cosine(asked, index.postings, PAIR, ["kb_id", "chunk_idx"]).withColumnRenamed("cosine", "sparse")
 
 
 def hybrid(index: Index, asks: DataFrame, cfg: Settings = DEFAULT, top_k: int | None = None, embedder: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
-    """The best chunks of each question and collection: chunk columns, dense, sparse, score, rank, n_chunks."""
-    asked = asks.withColumn("q_embedding", vectors.embed("question", embedder))
-    pairs = index.chunks.join(asked, "kb_id").withColumn("dense", vectors.dot("embedding", "q_embedding"))
-    pairs = pairs.join(sparse_scores(index, asks), [*PAIR, "chunk_idx"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
-    over = Window.partitionBy(*PAIR)
-    score = F.lit(cfg.alpha) * norm01(F.col("dense"), over) + F.lit(1 - cfg.alpha) * norm01(F.col("sparse"), over)
-    scored = pairs.withColumn("score", score).withColumn("n_chunks", F.count(F.lit(1)).over(over))
-    ranked = scored.withColumn("rank", F.row_number().over(over.orderBy(F.round("score", 9).desc(), "chunk_idx")))
-    return ranked.where(F.col("rank") <= (F.lit(top_k) if top_k else dynamic_k(F.col("n_chunks"), cfg)))
+    """The best chunks of each question and collection: chunk columns, question, dense, sparse, score, rank, n_chunks.
+
+    Both scores go with ids only and are written once.  Their ranges are aggregates, and ranks cut every
+    task's rows to the most that can be asked for before the shuffle, so a question to a large collection
+    is spread over tasks; texts are fetched for the chosen chunks alone.
+    """
+    asked = materialize(asks.withColumn("q_embedding", vectors.embed("question", embedder)), "asked")
+    near = index.chunks.select("kb_id", "chunk_idx", "embedding").join(asked.select(*PAIR, "q_embedding"), "kb_id")
+    near = near.select(*PAIR, "chunk_idx", vectors.dot("embedding", "q_embedding").alias("dense"))
+    scores = near.join(sparse_scores(index, asks), [*PAIR, "chunk_idx"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
+    scores = materialize(scores, "scores")
+    span = scores.groupBy(*PAIR).agg(*(f(c).alias(f"{n}_{c}") for c in ("dense", "sparse") for n, f in (("low", F.min), ("high", F.max))), F.count(F.lit(1)).alias("n_chunks"))
+    part = lambda c: norm01(F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}"))
+    scored = scores.join(span, PAIR).withColumn("score", F.lit(cfg.alpha) * part("dense") + F.lit(1 - cfg.alpha) * part("sparse"))
+    most = top_k or cfg.dynamic_high
+    rank = F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.round("score", 9).desc(), "chunk_idx"))
+    ranked = scored.select(*PAIR, "chunk_idx", "dense", "sparse", "score", "n_chunks", rank.alias("rank")).where(F.col("rank") <= most)
+    if not top_k:
+        ranked = ranked.where(F.col("rank") <= dynamic_k(F.col("n_chunks"), cfg))
+    return ranked.join(index.chunks.drop("embedding"), ["kb_id", "chunk_idx"]).join(asked, PAIR)
 
 
 def rerank(candidates: DataFrame, cfg: Settings = DEFAULT, reranker: Callable[[], Reranker] | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 """TF-IDF per collection as relations: vocabulary, weights, and cosine scores by an inverted-index join.
 
+A text's terms are counted within its row (`term_counts`), so that counting needs no shuffle; the counts
+are written once and serve the vocabulary and the weights.
+
 Unigrams and bigrams of tokens of two word characters or more, lower case; stop words go before bigrams
 are formed.  tf = 1 + ln(count), idf = ln((1 + n) / (1 + df)) + 1, rows of unit length.  The vocabulary
 keeps the most frequent terms of a collection (ties by term).
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, Settings
 from lectern.functions.text import as_column, let
+from lectern.plans.storage import materialize
 from lectern.providers import TOKEN
 
 #: The default stop list: English function words. Another one can be given wherever this is used.
@@ -22,33 +26,61 @@ STOP_WORDS = tuple(
 )
 
 
+#: Collections with more terms than the cap are ranked in so many parts first.
+RANK_PARTS = 64
+
+
 def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Unigrams and bigrams of a text, as often as they occur."""
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce(as_column(x), F.lit(""))), F.lit(f"({TOKEN})")), lambda t: ~F.array_contains(stop, t))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(as_column(x), F.lit(""))), F.lit(f"({TOKEN})"))
+    if stop_words:
+        tokens = F.filter(tokens, lambda t: ~t.isin(*stop_words))  # a hash set
     pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return let(tokens, lambda t: F.concat(t, pairs(t)))
 
 
-def counts(texts: DataFrame, by: list[str], text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """by columns, term, n: how often each term occurs."""
-    return texts.select(*by, F.explode(terms(text, stop_words)).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
+def counted(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """array<struct<term, n>>: how often each term of a text occurs, in order of terms."""
+    # in sorted order a term's count is the distance to the next one's first place
+    firsts = lambda t: F.when(F.size(t) > 0, F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))).otherwise(F.array().cast("array<int>"))
+    runs = lambda t: let(firsts(t), lambda f: F.transform(f, lambda at, k: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(t)) - at).cast("long").alias("n"))))
+    return let(F.sort_array(terms(x, stop_words)), runs)
+
+
+def term_counts(texts: DataFrame, by: list[str], text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """by columns (which tell rows apart) and tf, the counts of a text's terms."""
+    return texts.select(*by, counted(text, stop_words).alias("tf"))
+
+
+def _exploded(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by columns, term, n."""
+    return counts.select(*by, F.explode_outer("tf").alias("t")).where("t IS NOT NULL").select(*by, "t.term", "t.n")
+
 
+def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
+    """kb_id, term, df, cf, idf of the terms a collection keeps, from the counts (best written before) of its chunks.
 
-def vocabulary(chunks: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """kb_id, term, df, cf, idf of the terms a collection keeps."""
-    per = counts(chunks, [kb, "chunk_idx"], "embed_text", stop_words)
-    every = per.groupBy(kb, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
-    sizes = chunks.groupBy(kb).agg(F.count(F.lit(1)).alias("n_chunks"))
-    rank = F.row_number().over(Window.partitionBy(kb).orderBy(F.col("cf").desc(), "term"))
-    kept = every.withColumn("rank", rank).where(F.col("rank") <= cfg.max_features)
+    Only collections that may have more terms than the cap are ranked: in parts by hash first, each of
+    which keeps `max_features` terms, then the parts' terms together, so that no task sorts a collection.
+    """
+    every = lambda rows: _exploded(rows, [kb]).groupBy(kb, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+    sizes = materialize(counts.groupBy(kb).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.size("tf")).alias("most")), "tfidf-sizes")
     idf = F.log((1 + F.col("n_chunks")) / (1 + F.col("df"))) + 1
-    return kept.join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
+    large = sizes.where(F.col("most") > cfg.max_features)
+    if large.isEmpty():
+        return every(counts).join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
+    kept = every(counts.join(large, kb, "left_anti"))
+    part = F.pmod(F.xxhash64("term"), F.lit(RANK_PARTS)).alias("part")
+    order = [F.col("cf").desc(), F.col("term")]
+    ranked = every(counts.join(large, kb, "left_semi")).select("*", part)
+    for keys in ([kb, "part"], [kb]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= cfg.max_features).drop("rank")
+    return kept.unionByName(ranked.drop("part")).join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
 
 
-def weights(texts: DataFrame, vocab: DataFrame, by: list[str], text: str, kb: str = "kb_id", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+def weights(counts: DataFrame, vocab: DataFrame, by: list[str], kb: str = "kb_id") -> DataFrame:
     """by columns (kb_id among them), term, weight; each text's weights have unit length. Unknown terms are ignored."""
-    raw = counts(texts, by, text, stop_words).join(vocab.select(kb, "term", "idf"), [kb, "term"]).withColumn("w", (1 + F.log("n")) * F.col("idf"))
+    raw = _exploded(counts, by).join(vocab.select(kb, "term", "idf"), [kb, "term"]).withColumn("w", (1 + F.log("n")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
     return raw.select(*by, "term", (F.col("w") / norm).alias("weight"))
 

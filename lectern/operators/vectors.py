@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,13 +16,14 @@ from lectern.providers import Embedder, HashingEmbedder
 
 
 def embed(text: Column | str, make: Callable[[], Embedder] = HashingEmbedder) -> Column:
-    """array<double> of a text; the provider is made once for each stream of batches."""
+    """array<double> of a text; the provider is made once for each stream of batches and sees a text once for each batch."""
 
     @pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for batch in batches:
-            yield pd.Series(list(model.encode(batch)))
+            place, once = pd.factorize(batch.fillna(""))
+            yield pd.Series(list(model.encode(once)[place]))
 
     return encode(as_column(text))
 
@@ -31,11 +34,58 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k nearest vectors (vec_id, embedding) of each query (q_id, q_embedding) with equal `by` columns."""
-    scored = vectors.join(queries, by).select(*by, "q_id", "vec_id", F.round(dot("embedding", "q_embedding"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q_id", *by).orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+QUERY_BLOCK = 4096
+_SLICE = 512
+
+
+def _query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list = []
+    for row in queries.where("q_embedding IS NOT NULL").select("q_id", "q_embedding").toLocalIterator():
+        held.append(row)
+        if len(held) == rows:
+            yield np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)
+            held = []
+    if held:
+        yield np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest of all vectors (vec_id, embedding) to each query (q_id, q_embedding): q_id, vec_id, score, rank.
+
+    Queries are read in blocks of `block_rows`, which bounds what is broadcast; a pass over the vectors
+    serves a block by matrix products, and a task hands on its k best for each query only.
+    """
+    spark = vectors.sparkSession
+    found = spark.createDataFrame([], "q_id long, vec_id long, score double")
+    for block in _query_blocks(queries, block_rows):
+        found = found.unionByName(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(block), k), found.schema))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        query, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(names), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                rows = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                every = np.round(matrix @ rows.T, 6)
+                q, v = np.nonzero(every >= least[:, None])
+                query, score = np.concatenate((query, q)), np.concatenate((score, every[q, v]))
+                vec = np.concatenate((vec, part.column("vec_id").to_numpy()[v]))
+                order = np.lexsort((vec, -score, query))
+                query, vec, score = query[order], vec[order], score[order]
+                first = np.searchsorted(query, np.arange(len(names)))
+                place = np.arange(len(query)) - first[query]
+                full = place == k - 1
+                least[query[full]] = score[full]
+                query, vec, score = (x[place < k] for x in (query, vec, score))
+        yield pa.RecordBatch.from_arrays([pa.array(names[query], pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["q_id", "vec_id", "score"])
+
+    return work
 
 
 def mmr(pool: Column | str, k: int = 3, min_rel: float = 0.2, weight: float = 0.72, max_chars: int = 650) -> Column:

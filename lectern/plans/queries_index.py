@@ -6,7 +6,7 @@ benchmark question, by an equi-join on the question's number, so that work grows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, SMALL
@@ -40,7 +40,7 @@ def _asks(spark, d) -> DataFrame:
 
 def _index(spark, d) -> retrieve.Index:
     chunks = materialize(_chunks(spark, d), "chunks")
-    return retrieve.build_index(chunks, SMALL, keep=lambda vocab: materialize(vocab, "vocab"))
+    return retrieve.build_index(chunks, SMALL)
 
 
 def _hybrid(spark, d) -> DataFrame:
@@ -51,6 +51,10 @@ def _answers(spark, d) -> DataFrame:
     return answer.answers(retrieve.rerank(_hybrid(spark, d), SMALL), SMALL)
 
 
+def _counts(chunks: DataFrame) -> DataFrame:
+    return materialize(tfidf.term_counts(chunks, ["kb_id", "chunk_idx"], "embed_text"), "term-counts")
+
+
 def chunk_docs_default(spark, d):
     return chunking.chunks(_documents(spark, d, False), DEFAULT).select("kb_id", "chunk_idx", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
@@ -76,13 +80,13 @@ def asof_section(spark, d):
 
 
 def tfidf_vocab(spark, d):
-    v = tfidf.vocabulary(_chunks(spark, d), SMALL)
+    v = tfidf.vocabulary(_counts(_chunks(spark, d)), SMALL)
     return v.select("kb_id", "term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_weights(spark, d):
-    c = materialize(_chunks(spark, d), "chunks")
-    w = tfidf.weights(c, tfidf.vocabulary(c, SMALL), ["kb_id", "chunk_idx"], "embed_text")
+    c = _counts(_chunks(spark, d))
+    w = tfidf.weights(c, tfidf.vocabulary(c, SMALL), ["kb_id", "chunk_idx"])
     return w.select("kb_id", "chunk_idx", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -92,27 +96,27 @@ def sparse_scores(spark, d):
 
 
 def score_sentences(spark, d):
-    """TF-IDF cosine of a question with the sentences of the first chunk of its collection."""
+    """TF-IDF cosine of a question with every sentence of its collection's chunks."""
     c = materialize(_chunks(spark, d), "chunks")
-    vocab = tfidf.vocabulary(c, SMALL)
-    sents = c.where("chunk_idx = 0").select("kb_id", F.posexplode(T.split_sentences("chunk")).alias("si", "sent"))
-    asked = tfidf.weights(_asks(spark, d), vocab, ["q_id", "kb_id"], "question")
-    scored = tfidf.cosine(asked, tfidf.weights(sents, vocab, ["kb_id", "si"], "sent"), ["q_id", "kb_id"], ["kb_id", "si"])
-    return scored.select("q_id", "kb_id", "si", F.round("cosine", 6).alias("cosine"))
+    vocab = materialize(tfidf.vocabulary(_counts(c), SMALL), "vocab")
+    sents = c.select("kb_id", "chunk_idx", F.posexplode(T.split_sentences("chunk")).alias("si", "sent"))
+    asked = tfidf.weights(tfidf.term_counts(_asks(spark, d), ["q_id", "kb_id"], "question"), vocab, ["q_id", "kb_id"])
+    place = ["kb_id", "chunk_idx", "si"]
+    scored = tfidf.cosine(asked, tfidf.weights(tfidf.term_counts(sents, place, "sent"), vocab, place), ["q_id", "kb_id"], place)
+    return scored.select("q_id", *place, F.round("cosine", 6).alias("cosine"))
 
 
 def dense_topk(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    q = e.where(F.col("vec_id") % 25 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"), "label")
-    return vectors.dense_topk(e.select("vec_id", "embedding", "label"), q, ["label"], 5).select("label", "q_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    """The five nearest of all vectors to each vector whose id is divisible by 50."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"))
+    return vectors.dense_topk(e, q, 5).select("q_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def mmr_select(spark, d):
-    """MMR over pools of the first twelve vectors of each label and block of 200 ids; the first vector is the question."""
+    """MMR over pools of all vectors of each label and block of 200 ids; the first vector is the question."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("block", F.floor(F.col("vec_id") / 200))
-    place = F.row_number().over(Window.partitionBy("label", "block").orderBy("vec_id"))
-    few = e.withColumn("n", place).where("n <= 12")
-    pool = few.groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("p"))
+    pool = e.groupBy("label", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("p"))
     first = F.get("p", 0)["embedding"]
     rows = F.transform("p", lambda x: F.struct(x["vec_id"].alias("vec_id"), F.round(vectors.dot(x["embedding"], first), 9).alias("rel"), x["embedding"].cast("array<double>").alias("emb"), (F.lit(150) + x["vec_id"] % 140).cast("int").alias("chars")))
     chosen = pool.withColumn("pool", rows).withColumn("chosen", vectors.mmr("pool", min_rel=-1.0))
@@ -123,17 +127,32 @@ def hybrid_topk(spark, d):
     return _hybrid(spark, d).select("q_id", "kb_id", "chunk_idx", F.round("dense", 6).alias("dense"), F.round("sparse", 6).alias("sparse"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Words of an item's inside by which documents are found.
+_KEY_WORDS = 6
+
+
+def _runs_of_words(n: int) -> Column:
+    """The distinct runs of n words of an array w."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
+
+
 def _holding(spark, d) -> DataFrame:
-    """asks of every item to the documents that hold it word for word, found by its first eight words; items of fewer words are held against all documents."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
-    long = F.size(T.words("question")) >= 8
-    keyed = items.where(long).withColumn("key", F.array_join(F.slice(T.words("question"), 1, 8), " "))
+    """asks of every item to the documents whose text, with single spaces, contains it.
+
+    A match may begin and end within a word, but all words between are whole: documents are found by up
+    to six of these. Items of one or two words have none; this stated query set is held against all documents.
+    """
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q_id"), F.col("text").alias("question")).where("question IS NOT NULL")
+    items = items.withColumn("w", T.words("question")).withColumn("length", F.least(F.size("w") - 2, F.lit(_KEY_WORDS)))
+    keyed = items.where("length > 0").withColumn("key", F.array_join(F.slice("w", 2, F.col("length")), " "))
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("kb_id"), T.normalize_ws("text").alias("whole")).withColumn("w", F.split("whole", " "))
-    keys = docs.where(F.size("w") >= 8).select("kb_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("key"))
-    near = keys.join(keyed, "key").select("q_id", "kb_id", "question").distinct()
     holds = F.contains(F.col("whole"), T.normalize_ws("question"))
-    found = near.join(docs, "kb_id").where(holds).select("q_id", "kb_id", "question")
-    return found.unionByName(docs.join(items.where(~long), holds).select("q_id", "kb_id", "question"))
+    found = docs.join(items.where("length <= 0"), holds).select("q_id", "kb_id", "question")
+    for n in [r[0] for r in keyed.select("length").distinct().collect()]:  # six at most
+        keys = docs.where(F.size("w") >= n).select("kb_id", F.explode(_runs_of_words(n)).alias("key"))
+        near = keys.join(keyed.where(F.col("length") == n), "key").select("q_id", "kb_id", "question")
+        found = found.unionByName(near.join(docs, "kb_id").where(holds).select("q_id", "kb_id", "question"))
+    return found
 
 
 def retrieval_recall(spark, d):
@@ -232,6 +251,8 @@ _ATTR = """chunks AS (
     SELECT kb_id, chunk_idx, chunk, CASE WHEN chunk_idx >= 1 THEN source || ' part ' || least(31, (chunk_idx - 1) // 3 * 3 + 1) ELSE '' END AS section,
            CASE WHEN kb_id % 2 = 0 THEN (least(30, chunk_idx // 2 * 2) + kb_id % 5 + 1)::INT END AS page
     FROM chunks0 JOIN documents ON kb_id = doc_id))"""
+#: Collections of one chunk aren't indexed.
+_INDEXED = _ATTR[:-1] + "\n    WHERE kb_id IN (SELECT kb_id FROM chunks0 GROUP BY kb_id HAVING count(*) >= 2))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in tfidf.STOP_WORDS) + "]"
 _TERMS = rf"(SELECT list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM (SELECT list_filter(regexp_extract_all(lower({{}}), '[\p{{{{L}}}}\p{{{{N}}}}_]{{{{2,}}}}'), lambda x: NOT list_contains({_STOP}, x)) AS t))".replace("{{{{", "{{").replace("}}}}", "}}")
 _ASKS = """asks AS (SELECT item_id AS q_id, doc_id AS kb_id, b.text AS question FROM documents JOIN benchmark b ON doc_id % (SELECT count(*) FROM benchmark) = item_id)"""
@@ -318,7 +339,8 @@ def _with(*parts: str) -> str:
 
 _SMALL = _fold(100, 10)
 _TO_VOCAB = (_SMALL, _ATTR, _ASKS, _VOCAB)
-_TO_HYBRID = (*_TO_VOCAB, _QW, _SPARSE, _DENSE, _HYBRID)
+_TO_INDEX = (_SMALL, _INDEXED, _ASKS, _VOCAB)
+_TO_HYBRID = (*_TO_INDEX, _QW, _SPARSE, _DENSE, _HYBRID)
 _TO_ANSWER = (*_TO_HYBRID, _SENTS)
 _NOTHING = f"'{answer.NOTHING}'"
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -331,17 +353,17 @@ ORACLES = {
     "asof_section": _with(_SMALL, "entries AS (SELECT doc_id AS kb_id, i AS para_idx, source || ' part ' || i AS section FROM documents, range(1, 32, 3) t(i))") + "SELECT c.kb_id, c.chunk_idx, e.section FROM chunks0 c ASOF LEFT JOIN entries e ON c.kb_id = e.kb_id AND c.chunk_idx >= e.para_idx",
     "tfidf_vocab": _with(*_TO_VOCAB) + "SELECT kb_id, term, df, cf, round(idf, 6) AS idf FROM vocab",
     "tfidf_weights": _with(*_TO_VOCAB) + "SELECT kb_id, chunk_idx, term, round(weight, 6) AS weight FROM postings",
-    "sparse_scores": _with(*_TO_VOCAB, _QW, _SPARSE) + "SELECT q_id, kb_id, chunk_idx, round(sparse, 6) AS sparse FROM sparse",
-    "score_sentences": _with(*_TO_VOCAB, _QW, f"ss AS (SELECT kb_id, unnest(s) AS sent, (generate_subscripts(s, 1) - 1)::INT AS si FROM (SELECT kb_id, {SENTENCES.format('chunk')} AS s FROM chunks WHERE chunk_idx = 0))", f"sp AS (SELECT kb_id, si, term, w / sqrt(sum(w * w) OVER (PARTITION BY kb_id, si)) AS weight FROM (SELECT kb_id, si, term, (1 + ln(n)) * idf AS w FROM (SELECT kb_id, si, term, count(*) AS n FROM (SELECT kb_id, si, unnest({_TERMS.format('sent')}) AS term FROM ss) GROUP BY ALL) JOIN vocab USING (kb_id, term)))") + "SELECT q_id, kb_id, si, round(sum(a.weight * p.weight), 6) AS cosine FROM asked a JOIN sp p USING (kb_id, term) GROUP BY ALL",
-    "dense_topk": "SELECT * FROM (SELECT q.label, q.vec_id AS q_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q USING (label) WHERE q.vec_id % 25 = 0) WHERE rank <= 5",
-    "mmr_select": """WITH few AS (SELECT label, vec_id // 200 AS block, vec_id, embedding::DOUBLE[] AS e, 150 + vec_id % 140 AS chars FROM embeddings QUALIFY row_number() OVER (PARTITION BY label, vec_id // 200 ORDER BY vec_id) <= 12),
+    "sparse_scores": _with(*_TO_INDEX, _QW, _SPARSE) + "SELECT q_id, kb_id, chunk_idx, round(sparse, 6) AS sparse FROM sparse",
+    "score_sentences": _with(*_TO_VOCAB, _QW, f"ss AS (SELECT kb_id, chunk_idx, unnest(s) AS sent, (generate_subscripts(s, 1) - 1)::INT AS si FROM (SELECT kb_id, chunk_idx, {SENTENCES.format('chunk')} AS s FROM chunks))", f"sp AS (SELECT kb_id, chunk_idx, si, term, w / sqrt(sum(w * w) OVER (PARTITION BY kb_id, chunk_idx, si)) AS weight FROM (SELECT kb_id, chunk_idx, si, term, (1 + ln(n)) * idf AS w FROM (SELECT kb_id, chunk_idx, si, term, count(*) AS n FROM (SELECT kb_id, chunk_idx, si, unnest({_TERMS.format('sent')}) AS term FROM ss) GROUP BY ALL) JOIN vocab USING (kb_id, term)))") + "SELECT q_id, kb_id, chunk_idx, si, round(sum(a.weight * p.weight), 6) AS cosine FROM asked a JOIN sp p USING (kb_id, term) GROUP BY ALL",
+    "dense_topk": "SELECT * FROM (SELECT q.vec_id AS q_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5",
+    "mmr_select": """WITH few AS (SELECT label, vec_id // 200 AS block, vec_id, embedding::DOUBLE[] AS e, 150 + vec_id % 140 AS chars FROM embeddings),
 pool AS (SELECT f.*, round(list_inner_product(f.e, q.e), 9) AS rel FROM few f JOIN (SELECT label, block, arg_min(e, vec_id) AS e FROM few GROUP BY ALL) q USING (label, block)),
 p1 AS (SELECT * FROM pool WHERE rel >= -1 QUALIFY row_number() OVER (PARTITION BY label, block ORDER BY round(0.72::DOUBLE * rel, 9) DESC, vec_id) = 1),
 p2 AS (SELECT * FROM (SELECT p.*, a.e AS e1, a.vec_id AS id1, a.chars + 1 AS before, row_number() OVER (PARTITION BY p.label, p.block ORDER BY round(0.72::DOUBLE * p.rel - (1 - 0.72::DOUBLE) * list_inner_product(p.e, a.e), 9) DESC, p.vec_id) AS r FROM pool p JOIN p1 a USING (label, block) WHERE p.vec_id <> a.vec_id AND p.rel >= -1) WHERE r = 1 AND before + 1 + chars <= 650),
 p3 AS (SELECT * FROM (SELECT p.*, b.before + b.chars + 1 AS before, row_number() OVER (PARTITION BY p.label, p.block ORDER BY round(0.72::DOUBLE * p.rel - (1 - 0.72::DOUBLE) * greatest(list_inner_product(p.e, b.e), list_inner_product(p.e, b.e1)), 9) DESC, p.vec_id) AS r FROM pool p JOIN p2 b USING (label, block) WHERE p.vec_id NOT IN (b.vec_id, b.id1) AND p.rel >= -1) WHERE r = 1 AND before + 1 + chars <= 650)
 SELECT label, block, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS chosen FROM (SELECT label, block, vec_id FROM p1 UNION ALL SELECT label, block, vec_id FROM p2 UNION ALL SELECT label, block, vec_id FROM p3) GROUP BY ALL""",
     "hybrid_topk": _with(*_TO_HYBRID) + "SELECT q_id, kb_id, chunk_idx, round(dense, 6) + 0.0 AS dense, round(sparse, 6) AS sparse, round(score, 6) AS score, rank FROM hybrid",
-    "retrieval_recall": _with(_SMALL, _ATTR, rf"asks AS (SELECT item_id AS q_id, doc_id AS kb_id, b.text AS question FROM documents d JOIN benchmark b ON contains({NORM.format('d.text')}, {NORM.format('b.text')}))", _VOCAB, _QW, _SPARSE, _DENSE, _HYBRID, r"""best AS (
+    "retrieval_recall": _with(_SMALL, _INDEXED, rf"asks AS (SELECT item_id AS q_id, doc_id AS kb_id, b.text AS question FROM documents d JOIN benchmark b ON contains({NORM.format('d.text')}, {NORM.format('b.text')}))", _VOCAB, _QW, _SPARSE, _DENSE, _HYBRID, r"""best AS (
   SELECT q_id, kb_id, max(len(list_filter(w, lambda x: list_contains(cw, x))) / len(w)) AS share FROM (
     SELECT h.q_id, h.kb_id, list_distinct(list_filter(string_split_regex(s.question, '\s+'), lambda z: z <> '')) AS w, string_split(c.chunk, ' ') AS cw
     FROM hybrid h JOIN asks s USING (q_id, kb_id) JOIN chunks c ON c.kb_id = h.kb_id AND c.chunk_idx = h.chunk_idx WHERE rank <= 5) GROUP BY ALL)""") + "SELECT q_id, count(*) AS n_holding, count(*) FILTER (WHERE share >= 0.5) AS n_found FROM asks LEFT JOIN best USING (q_id, kb_id) GROUP BY q_id",
@@ -358,6 +380,6 @@ FROM (SELECT q_id, kb_id FROM hybrid WHERE rank = 1) LEFT JOIN cut USING (q_id,
 SELECT kb_id, t::INT AS turn, CASE WHEN t % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, 'earlier' AS content, NULL::VARCHAR AS answer_text, NULL::VARCHAR AS attr_text, NULL::INT AS n_extras FROM given, range(0, 4) r(t) WHERE t < next
 UNION ALL SELECT g.kb_id, next, 'user', question, NULL, NULL, NULL FROM given g JOIN asks a USING (q_id, kb_id)
 UNION ALL SELECT kb_id, next + 1, 'assistant', NULL, answer_text, attr_text, CASE WHEN relevant THEN (SELECT count(*) FROM extras_ e WHERE e.q_id = g.q_id AND e.kb_id = g.kb_id) ELSE 0 END::INT FROM given g""",
-    "index_roundtrip": _with(*_TO_VOCAB) + "SELECT kb_id, chunk_idx, term, round(weight, 6) AS weight FROM postings",
-    "missing_index": _with(_SMALL) + "SELECT doc_id AS kb_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id NOT IN (SELECT kb_id FROM chunks0)",
+    "index_roundtrip": _with(*_TO_INDEX) + "SELECT kb_id, chunk_idx, term, round(weight, 6) AS weight FROM postings",
+    "missing_index": _with(_SMALL) + "SELECT doc_id AS kb_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id NOT IN (SELECT kb_id FROM chunks0 GROUP BY kb_id HAVING count(*) >= 2)",
 }

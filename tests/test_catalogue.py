@@ -46,9 +46,9 @@ def test_short_items_find_their_documents(spark, tmp_path):
 
     texts = ["one two  three", "so one two three then and more words to follow", "none two three", "a b c d e f g h i", "x", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "one two three"), (2, "b c d e f g h i"), (3, "x"), (4, "two four"), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "one two three"), (2, "b c d e f g h i"), (3, "x"), (4, "two four"), (5, None), (6, "ne two thr")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = queries_index._holding(spark, str(tmp_path))
-    assert sorted((r.q_id, r.kb_id) for r in got.collect()) == [(1, 0), (1, 1), (1, 2), (2, 3), (3, 4)]
+    assert sorted((r.q_id, r.kb_id) for r in got.collect()) == [(1, 0), (1, 1), (1, 2), (2, 3), (3, 4), (6, 0), (6, 1), (6, 2)]
 
 
 def test_entry_points(spark):
