@@ -130,10 +130,26 @@ def owner(firsts: np.ndarray) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places some range covers."""
-    steps = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, ends, -1)
-    return np.cumsum(steps[:-1]) > 0
+    if not len(starts):
+        return np.zeros(n, dtype=bool)
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each place but the last seven the number that eight bytes from it make, first byte highest."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray((max(0, len(data) - 7),), ">u8", data, strides=(1,))
+
+
+def same_ranges(eight: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of `size` bytes (eight at least) from places a and b are equal, byte for byte."""
+    out, open_ = np.ones(len(a), dtype=bool), np.arange(len(a))
+    for at in range(0, int(size.max()) if len(size) else 0, 8):
+        open_ = open_[out[open_] & (size[open_] > at)]
+        step = np.minimum(at, size[open_] - 8)  # the last number overlaps the one before
+        out[open_] = eight[a[open_] + step] == eight[b[open_] + step]
+    return out
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

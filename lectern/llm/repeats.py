@@ -5,15 +5,18 @@ joined by document and no key is hot.  Then
 
 1. every slice samples anchors, such that equal windows hold equal anchors at equal places, and sends
    short hashes of each anchor and of its context (all windows it speaks for), dealt out by anchor;
-2. a task that holds all occurrences of an anchor tells each: nothing repeats; all your windows repeat
-   (the context stands in a smaller document); or compare your windows (contexts differ);
-3. the slices send the windows of the last kind, and a second task compares them exactly;
+2. a task that holds all occurrences of an anchor tells each whether it has to be compared;
+3. the slices send what has to be compared, and a second task compares it: bytes (`suffix_dedup`), or
+   hashes of windows (`cover_dedup`, which takes equal context hashes for equal contexts in step 2);
 4. the slices gather what repeats and cut it.
 
 A slice sends one occurrence only for each anchor and context among its documents, that of the
-smallest id (larger ones in it are known to repeat), so a passage that a third of all documents share
-gives as many rows as there are slices.  Anchors with very many contexts are compared by window hash,
-which spreads them.
+smallest id (of larger ones in it the windows are known to repeat), so a passage that a third of all
+documents share gives as many rows as there are slices.  Anchors with more than `spread_over` contexts
+are compared window by window, dealt out by window, which spreads them.
+
+Rows of a verdict come in order of bucket and are judged a few buckets at a time; the numbers of buckets
+and of partitions follow the number of slices, so what a task holds doesn't grow with the input.
 
 A null doc_id isn't ordered: such documents are neither cut nor a reason to cut.
 """
@@ -36,6 +39,10 @@ from lectern.plans.storage import materialize
 
 NONE, WHOLE, COMPARE, SPREAD = 0, 1, 2, 3
 SPREAD_OVER = 4096
+#: Blobs are judged in runs of about so many bytes; buckets are never cut.
+RUN_BYTES = 3 << 20
+#: Slices for each partition of a shuffle, buckets for each partition, and the most partitions.
+SLICES_A_TASK, BUCKETS_A_TASK, MOST_TASKS = 4, 6, 50_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -85,9 +92,9 @@ class Units:
     def anchors(self) -> Anchors:
         raise NotImplementedError
 
-    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows that start at these units."""
-        raise NotImplementedError
+    def same_contexts(self, found: Anchors) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+        """Whether the contexts of pairs of anchors are equal, for operators that look."""
+        return None
 
 
 def pack_slices(docs: DataFrame, most: int = K.SLICE_BYTES) -> DataFrame:
@@ -138,28 +145,74 @@ def sent_items(hashes: np.ndarray, items: np.ndarray, n: int) -> Sent:
     return Sent(items[order], names, np.append(cut, len(items)))
 
 
-def _least_per_key(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For items with key (a, b): whether a smaller id has the same key, and whether the id is NO_ID."""
-    order = np.lexsort((ids, b, a))
-    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))) if len(a) else np.zeros(0, bool)
-    least = ids[order][new]
-    above = np.empty(len(a), bool)
-    above[order] = ids[order] > least[np.cumsum(new) - 1]
-    return above, ids == NO_ID
+def representatives(keys: tuple[np.ndarray, ...], ids: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each item the first item of the smallest id with equal keys; itself where `same` finds that the two differ."""
+    order = np.lexsort((ids, *keys))
+    new = np.zeros(len(ids), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    like = np.empty(len(ids), np.int64)
+    like[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else like
+    if same is not None:
+        some = np.flatnonzero(like != np.arange(len(ids)))
+        wrong = some[~same(some, like[some])]
+        like[wrong] = wrong
+    return like
+
+
+def runs_of_buckets(batches: Iterator[pa.RecordBatch], most: int = RUN_BYTES) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Rows (bucket, slice_id, kind, blob), which come in order of bucket, in lists of whole buckets of about `most` bytes."""
+    run: list[tuple[int, int, int, bytes]] = []
+    size, last = 0, None
+    for batch in batches:
+        for bucket, slice_id, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("slice_id").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            if bucket != last and size > most:
+                yield run
+                run, size = [], 0
+            run.append((bucket, slice_id, kind, blob.as_py()))
+            size, last = size + len(run[-1][3]), bucket
+    if run:
+        yield run
+
+
+def sent_rows(slice_id: int, buckets: list[int], kinds: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([slice_id] * len(blobs), pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "slice_id", "kind", "blob"])
+
+
+def told_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    ids, names, blobs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["slice_id", "bucket", "blob"])
+
+
+@dataclass
+class Found:
+    """A slice's anchors of documents with an id, their ids, the one each is like, and what is sent.
+
+    like: an anchor of the smallest id with the same context (or itself); above: whether its own id is larger.
+    """
+
+    anchors: Anchors
+    ids: np.ndarray
+    like: np.ndarray
+    above: np.ndarray
+    sent: Sent
 
 
 class _Work:
-    """The tasks of both operators. Made on the driver, sent to the executors."""
+    """The tasks of both operators. Made on the driver, sent to the executors with its limits."""
 
-    def __init__(self, units: Callable[[], Units], buckets: int) -> None:
-        self.units, self.buckets = units, buckets
+    def __init__(self, units: Callable[[], Units], buckets: int, spread_over: int = SPREAD_OVER, trust_contexts: bool = False) -> None:
+        self.units, self.buckets, self.spread_over, self.trust = units, buckets, spread_over, trust_contexts
 
     # 1: anchors to hashes
-    def _anchors(self, units: Units, part: Slice) -> tuple[Anchors, np.ndarray, np.ndarray, Sent]:
-        found = units.anchors()
-        ids = part.ids[found.doc]
-        above, lost = _least_per_key(found.anchor, found.context, ids)
-        return found, ids, above & ~lost, sent_items(found.anchor, np.flatnonzero(~above & ~lost), self.buckets)
+    def found(self, units: Units, part: Slice) -> Found:
+        a = units.anchors()
+        own = np.flatnonzero(part.ids[a.doc] != NO_ID)
+        a = Anchors(a.anchor[own], a.context[own], a.doc[own], a.first[own], a.last[own])
+        ids = part.ids[a.doc]
+        like = representatives((a.anchor, a.context), ids, units.same_contexts(a))
+        return Found(a, ids, like, ids > ids[like], sent_items(a.anchor, np.flatnonzero(like == np.arange(len(ids))), self.buckets))
 
     def send_anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = self.units()
@@ -167,31 +220,32 @@ class _Work:
             for slice_id, payload in zip(batch.column("slice_id").to_pylist(), batch.column("payload"), strict=True):
                 part = Slice.unpack(payload.as_py())
                 units.load(part)
-                found, ids, _, sent = self._anchors(units, part)
+                f = self.found(units, part)
                 blobs = []
-                for a, b in zip(sent.cut[:-1].tolist(), sent.cut[1:].tolist(), strict=True):
-                    own = sent.item[a:b]
-                    blobs.append(planes(found.anchor[own], 5) + planes(found.context[own], 6) + planes(ids[own], 8))
-                yield pa.RecordBatch.from_arrays([pa.array(sent.bucket, pa.int64()), pa.array([slice_id] * len(blobs), pa.int64()), pa.array([19] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "slice_id", "kind", "blob"])
-
-    # 2 and 3: verdicts on hashes
-    @staticmethod
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Codes (a byte each) of the items of every blob that has some that repeat."""
+                for a, b in zip(f.sent.cut[:-1].tolist(), f.sent.cut[1:].tolist(), strict=True):
+                    own = f.sent.item[a:b]
+                    blobs.append(planes(f.anchors.anchor[own], 5) + planes(f.anchors.context[own], 6) + planes(f.ids[own], 8))
+                yield sent_rows(slice_id, f.sent.bucket.tolist(), [19] * len(blobs), blobs)
+
+    # 2: verdicts on hashes
+    def judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes (a byte each) of the items of every blob that has some to act on."""
+        for run in runs_of_buckets(batches):
+            out = self._judged(run)
+            if out:
+                yield told_batch(out)
+
+    def _judged(self, run: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
         rows, parts = [], []
-        for batch in batches:
-            for bucket, slice_id, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("slice_id").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                blob = blob.as_py()
-                n, at = len(blob) // kind, 0
-                a, at = from_planes(blob, at, n, 5 if kind == 19 else 8)
-                c, at = from_planes(blob, at, n, 6)
-                ids, at = from_planes(blob, at, n, 8)
-                rows.append((slice_id, bucket, n))
-                if kind == 19:  # the bucket is a part of the hash that isn't sent
-                    a |= np.uint64(bucket << 40)
-                parts.append((a, c, ids.view(np.int64)))
-        if not rows:
-            return
+        for bucket, slice_id, kind, blob in run:
+            n, at = len(blob) // kind, 0
+            a, at = from_planes(blob, at, n, 5 if kind == 19 else 8)
+            c, at = from_planes(blob, at, n, 6)
+            ids, at = from_planes(blob, at, n, 8)
+            rows.append((slice_id, bucket, n))
+            if kind == 19:  # the bucket is a part of the hash that isn't sent
+                a |= np.uint64(bucket << 40)
+            parts.append((a, c, ids.view(np.int64)))
         anchor, context, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         order = np.lexsort((ids, context, anchor))
@@ -199,14 +253,15 @@ class _Work:
         new_a = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         new_c = new_a | np.concatenate(([True], context[1:] != context[:-1]))
         group, sub = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
-        least_sub = ids[new_c]  # the first of each context
         starts = np.flatnonzero(new_a)
         least, most = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
         contexts = np.add.reduceat(new_c.astype(np.int64), starts)
-        above = ids > least_sub[sub]
-        compare = ~above & (least < most)[group] & (contexts > 1)[group]
-        code = np.where(above, WHOLE, np.where(compare, np.where((contexts > SPREAD_OVER)[group], SPREAD, COMPARE), NONE)).astype(np.uint8)
-        back = np.empty_like(code)
+        code = np.where((contexts > self.spread_over)[group], SPREAD, COMPARE)
+        code = np.where((least < most)[group], code, NONE)
+        if self.trust:  # the first of each context has its smallest id
+            above = ids > ids[new_c][sub]
+            code = np.where(above, WHOLE, np.where((contexts > 1)[group], code, NONE))
+        back = np.empty(len(code), np.uint8)
         back[order] = code
         at, out = 0, []
         for slice_id, bucket, n in rows:
@@ -214,9 +269,7 @@ class _Work:
             at += n
             if own.any():
                 out.append((slice_id, bucket, zstandard.compress(own.tobytes(), 1)))
-        for at in range(0, len(out), 4096):
-            ids_, names, blobs = zip(*out[at : at + 4096], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["slice_id", "bucket", "blob"])
+        return out
 
     def codes(self, n: int, sent: Sent, told: dict[int, bytes]) -> np.ndarray:
         """The codes of n items, of which some were sent."""
@@ -227,35 +280,32 @@ class _Work:
             out[sent.item[sent.cut[k] : sent.cut[k + 1]]] = np.frombuffer(zstandard.decompress(blob), np.uint8)
         return out
 
-    def whole(self, units: Units, part: Slice, told: dict[int, bytes]) -> tuple[Anchors, np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors, their ids and codes, and which windows are known to repeat after the first verdict."""
-        found, ids, here, sent = self._anchors(units, part)
-        code = self.codes(len(found.anchor), sent, told)
-        code[here] = WHOLE
-        # equal anchors and contexts of the same id have the same code: all of them were sent
-        full = code == WHOLE
-        return found, ids, code, K.covered(units.n, found.first[full], found.last[full] + 1)
-
-    def spread_windows(self, units: Units, part: Slice, found: Anchors, code: np.ndarray, repeat: np.ndarray, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sent]:
-        """Windows to compare by hash: places, hashes, ids, whether a smaller id of the slice has them, and what is sent."""
-        ask = np.isin(code, kinds)
-        at = np.flatnonzero(K.covered(units.n, found.first[ask], found.last[ask] + 1) & ~repeat)
-        a, b = units.window_hashes(at)
-        ids = part.ids[np.searchsorted(units.firsts, at, side="right") - 1]
-        above, lost = _least_per_key(a, b, ids)
-        return at, a, b, ids, above & ~lost, sent_items(a, np.flatnonzero(~above & ~lost), self.buckets)
-
-
-def told_rows(parts: DataFrame, told: DataFrame) -> DataFrame:
+    def told_codes(self, f: Found, told: dict[int, bytes]) -> np.ndarray:
+        """The codes of all of a slice's anchors: those that weren't sent share that of the one they are like, or repeat as a whole."""
+        code = self.codes(len(f.ids), f.sent, told)
+        return np.where(f.above, WHOLE, code[f.like])
+
+    @staticmethod
+    def windows(units: Units, f: Found, which: np.ndarray) -> np.ndarray:
+        """Which windows belong to some of the anchors."""
+        return K.covered(units.n, f.anchors.first[which], f.anchors.last[which] + 1)
+
+
+def told_rows(parts: DataFrame, told: DataFrame, tasks: int) -> DataFrame:
     """Slices behind what was told of them: rows (slice_id, bucket, blob), the payload last with bucket NO_ID."""
     return (
         told.select("slice_id", "bucket", "blob")
         .unionByName(parts.select("slice_id", F.lit(int(NO_ID)).cast("long").alias("bucket"), F.col("payload").alias("blob")))
-        .repartition("slice_id")
+        .repartition(tasks, "slice_id")
         .sortWithinPartitions("slice_id", "bucket")
     )
 
 
+def dealt(sent: DataFrame, tasks: int) -> DataFrame:
+    """What slices sent, whole buckets to a task and in their order."""
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+
 def told_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice, dict[int, bytes]]]:
     """slice_id, slice, and blobs by bucket, of rows in told_rows' order."""
     told: dict[int, bytes] = {}
@@ -268,18 +318,21 @@ def told_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice,
             told = {}
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets for the session's shuffle partitions; a few for each, so that partitions are even."""
-    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def task_count(df: DataFrame, slices: int) -> int:
+    """Partitions for a shuffle of what slices send: by the number of slices, so that each has about the same to do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(MOST_TASKS, max(min(cores, slices), -(-slices // SLICES_A_TASK))))
 
 
 SENT = "bucket long, slice_id long, kind int, blob binary"
 TOLD = "slice_id long, bucket long, blob binary"
 
 
-def first_verdict(docs: DataFrame, units: Callable[[], Units]) -> tuple[_Work, DataFrame, DataFrame]:
-    """Packed slices and the first verdict on their anchors."""
-    work = _Work(units, bucket_count(docs))
+def first_verdict(docs: DataFrame, units: Callable[[], Units], spread_over: int = SPREAD_OVER, trust_contexts: bool = False) -> tuple[_Work, DataFrame, DataFrame, int]:
+    """The tasks, packed slices, the first verdict on their anchors, and the number of partitions."""
     parts = materialize(pack_slices(docs), "slices")
-    told = materialize(parts.mapInArrow(work.send_anchors, SENT).repartition("bucket").mapInArrow(work.judge, TOLD), "verdict")
-    return work, parts, told
+    slices = parts.count()
+    tasks = task_count(docs, slices)
+    work = _Work(units, max(BUCKETS_A_TASK * tasks, slices), spread_over, trust_contexts)
+    told = materialize(dealt(parts.mapInArrow(work.send_anchors, SENT), tasks).mapInArrow(work.judge, TOLD), "verdict")
+    return work, parts, told, tasks

@@ -1,19 +1,24 @@
 """Suffix-array dedup of bytes: repeats of `WINDOW` bytes from documents with a smaller id.
 
 Anchors are minimizers: of each window of 50 bytes the 16-byte string with the least hash, so equal
-windows have equal anchors at equal places.  Contexts of anchors that don't settle the matter go, as
-bytes, to the task that holds all of an anchor's contexts.  There their windows, which are suffixes of
-the contexts cut at 50 bytes, are sorted deep-shallow: a multikey quicksort on characters of eight
-bytes orders them to a depth of 16; groups that are still equal there are small sets of long common
-prefixes, which blind tries order (sets of two are compared at once).  Windows that end up in one
-class are equal byte for byte, and each learns the smallest id of its class.
-
-An anchor with over 4,096 contexts (the edge of a passage that very many documents share) is compared
-by window hash instead, so that it is spread over tasks.
+windows have equal anchors at equal places.  Hashes only decide what has to be compared.  Wherever an
+anchor stands in several documents, its contexts go, as bytes, to the task that holds all of them.
+There every different context stands once, with its smallest id, and the windows of all, which are
+suffixes of the contexts cut at 50 bytes, are sorted deep-shallow: a multikey quicksort on characters
+of eight bytes orders them to a depth of 16; groups that are still equal there are small sets of long
+common prefixes, which blind tries order (sets of two are compared at once).  Windows that end up in
+one class are equal byte for byte, and each learns the smallest id of its class.  So each byte that is
+removed stands in a window whose bytes were found equal, by the sort, or because its whole context is
+byte for byte a context that was sorted (or, within a slice, a context of a smaller id).
+
+An anchor with over `spread_over` contexts (the edge of a passage that very many documents share) sends
+its windows each for itself, dealt out by window, so that they are spread over tasks; they are
+sorted in the same way.
 
 Nulls: a null or empty text has no bytes and the SHA-256 of nothing.  Texts of fewer than 50 bytes
 stay whole.  Rows that repeat a doc_id are each compared with smaller ids only.  Removal can cut a
-character of several bytes, so kept texts are bytes.  Extra columns are ignored.
+character of several bytes, so kept texts are bytes.  A text longer than a slice is a slice of its own,
+in which anchors are found piece by piece.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels as K
-from lectern.llm.repeats import COMPARE, NO_ID, SENT, SPREAD, TOLD, WHOLE, Anchors, Slice, Units, first_verdict, from_planes, planes, sent_items, told_rows, told_slices
+from lectern.llm.repeats import COMPARE, NO_ID, SENT, SPREAD, SPREAD_OVER, TOLD, Anchors, Found, Sent, Slice, Units, dealt, first_verdict, from_planes, planes, representatives, runs_of_buckets, sent_items, sent_rows, told_batch, told_rows, told_slices
 from lectern.plans.storage import materialize
 
 WINDOW = 50
 GRAM = 16
 SHALLOW = 16
-#: Kinds of what slices send in the second round: window hashes, contexts.
-HASHES, CONTEXTS = 22, 1
+#: Kinds of what slices send in the second round: contexts, and windows of anchors that are spread.
+CONTEXTS, WINDOWS = 1, 2
+#: Verdicts on contexts: no window repeats, all do, or as the bits say.
+NO, ALL, SOME = 0, 1, 2
+#: Windows whose anchors are found at once; places in a piece, and 49 bytes more, fit in 24 bits.
+PIECE = 1 << 20
 
 
 class Bytes(Units):
@@ -43,25 +52,32 @@ class Bytes(Units):
     def load(self, part: Slice) -> None:
         self.data, self.firsts, self.n = part.data, part.offsets, len(part.data)
         self.prefix = K.prefix_hash(K.BYTE_VALUE[part.data])
-        self._second = None
+        self.eight = K.eights(part.data)
+
+    def _least(self) -> np.ndarray:
+        """For each window the place of its 16-byte string with the least hash (its first 40 bits; the first of equals)."""
+        windows, width = self.n - WINDOW + 1, WINDOW - GRAM + 1
+        _, down = K.powers(len(self.prefix))
+        out, low = np.empty(windows, np.int64), np.uint64(24)
+        for lo in range(0, windows, PIECE):
+            n = min(PIECE, windows - lo)
+            m = n + width - 1
+            grams = K.mix64((self.prefix[lo + GRAM : lo + GRAM + m] - self.prefix[lo : lo + m]) * down[lo : lo + m])
+            least, span = (grams >> low << low) | np.arange(m, dtype=np.uint64), 1
+            while span * 2 <= width:
+                least = np.minimum(least[:-span], least[span:])
+                span *= 2
+            least = np.minimum(least[:n], least[width - span : width - span + n])
+            out[lo : lo + n] = (least & np.uint64((1 << 24) - 1)).astype(np.int64) + lo
+        return out
 
     def anchors(self) -> Anchors:
         none = np.zeros(0, np.int64)
         if self.n < WINDOW:
             return Anchors(none.astype(np.uint64), none.astype(np.uint64), none, none, none)
-        bits = np.uint64(max(24, int(self.n).bit_length()))  # the same for all slices of up to 16 MB, so that ties fall alike
-        _, down = K.powers(len(self.prefix))
-        m = self.n - GRAM + 1
-        grams = K.mix64((self.prefix[GRAM:] - self.prefix[:-GRAM]) * down[:m])
-        least = (grams >> bits << bits) | np.arange(m, dtype=np.uint64)
-        span, width, windows = 1, WINDOW - GRAM + 1, self.n - WINDOW + 1
-        while span * 2 <= width:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        least = np.minimum(least[:windows], least[width - span : width - span + windows])
-        own = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        own = self._least()
         # windows within a document; those of one anchor are neighbours
-        inside = np.ones(windows, dtype=bool)
+        inside = np.ones(len(own), dtype=bool)
         for end in self.firsts[1:-1].tolist():
             inside[max(0, end - WINDOW + 1) : end] = False
         places = np.flatnonzero(inside)
@@ -71,23 +87,25 @@ class Bytes(Units):
         last = places[np.append(new[1:], len(own)) - 1] if len(own) else none
         doc = np.searchsorted(self.firsts, first, side="right") - 1
         context = K.mix64(K.range_hash(self.prefix, first, last + WINDOW) + np.uint64(3) * (at - first).astype(np.uint64))
-        return Anchors(grams[at], context, doc, first, last)
+        return Anchors(K.range_hash(self.prefix, at, at + GRAM), context, doc, first, last)
 
-    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self._second is None:
-            self._second = K.prefix_hash(K.mix64(K.BYTE_VALUE + np.uint64(0xD6E8FEB86659FD93))[self.data])
-        return K.range_hash(self.prefix, at, at + WINDOW), K.range_hash(self._second, at, at + WINDOW)
+    def same_contexts(self, found: Anchors):
+        size = found.last + WINDOW - found.first
 
+        def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = size[i] == size[j]
+            out[out] = K.same_ranges(self.eight, found.first[i[out]], found.first[j[out]], size[i[out]])
+            return out
 
-def _characters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place, first byte highest. data has eight bytes to spare."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | data[at + k].astype(np.uint64)
-    return out
+        return same
 
 
-def multikey_sort(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _characters(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place, first byte highest."""
+    return eight[at].astype(np.uint64)
+
+
+def multikey_sort(eight: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes by their first `depth` bytes, and group numbers of what is equal so far.
 
     A multikey quicksort whose characters are eight bytes: each level sorts, by the next character,
@@ -100,8 +118,8 @@ def multikey_sort(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndar
         open_ = np.flatnonzero(size[group] > 1)
         if not len(open_):
             break
-        key = _characters(data, at[order[open_]] + level)
-        way = np.lexsort((key, group[open_]))  # groups stay in place
+        key = _characters(eight, at[order[open_]] + level)
+        way = np.lexsort((key, group[open_])) if level else np.argsort(key, kind="stable")  # groups stay in place
         order[open_] = order[open_][way]
         value = np.zeros(len(at), np.uint64)
         value[open_] = key[way]
@@ -161,7 +179,8 @@ def blind_trie(texts: list[bytes]) -> list[list[int]]:
 def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = WINDOW, shallow: int = SHALLOW) -> np.ndarray:
     """Class numbers of the strings of `length` bytes at these places, in the strings' order."""
     data = np.concatenate((data, np.zeros(8, np.uint8)))
-    order, group = multikey_sort(data, at, shallow)
+    eight = K.eights(data)
+    order, group = multikey_sort(eight, at, shallow)
     if not len(order):
         return np.zeros(0, np.int64)
     firsts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
@@ -171,7 +190,7 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = WINDOW, shallow
     a, b = at[order[two]], at[order[two + 1]]
     verdict, open_ = np.zeros(len(two), np.int8), np.ones(len(two), bool)  # 0: equal, 1 or -1: which is larger
     for level in range(shallow, length, 8):
-        ka, kb = (_characters(data, np.minimum(x + level, len(data) - 8)) for x in (a, b))
+        ka, kb = (_characters(eight, np.minimum(x + level, len(eight) - 1)) for x in (a, b))
         if length - level < 8:
             cut = np.uint64(8 * (8 - (length - level)))
             ka, kb = ka >> cut, kb >> cut
@@ -195,124 +214,133 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = WINDOW, shallow
     return out
 
 
-def compare_contexts(blobs: list[tuple[bytes, int]]) -> list[bytes]:
-    """For blobs of contexts: for each window in turn whether a smaller id has it (a bit each)."""
-    spots, ids, texts, counts, base = [], [], [], [], 0
-    for blob, _ in blobs:
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def compare_contexts(blobs: list[bytes]) -> list[bytes]:
+    """For blobs of contexts: a verdict byte for each context, and bits for the windows of those whose verdict is SOME."""
+    ids, sizes, texts, counts = [], [], [], []
+    for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
-        at = 4
-        own, at = from_planes(blob, at, n, 8)
-        size, at = from_planes(blob, at, n, 2)
-        text = np.frombuffer(zstandard.decompress(blob[at:]), np.uint8)
-        size = size.astype(np.int64)
-        begin = np.cumsum(size) - size
-        windows = size - WINDOW + 1
-        spots.append(base + np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum())))
-        ids.append(np.repeat(own.view(np.int64), windows))
-        texts.append(text)
-        counts.append(int(windows.sum()))
-        base += len(text)
-    at, id_ = np.concatenate(spots), np.concatenate(ids)
-    kind = deep_shallow(np.concatenate(texts), at)
-    least = np.full(int(kind.max()) + 1, NO_ID)
+        body = zstandard.decompress(blob[4:])
+        own, at = from_planes(body, 0, n, 8)
+        size, at = from_planes(body, at, n, 1)
+        ids.append(own.view(np.int64))
+        sizes.append(size.astype(np.int64))
+        texts.append(body[at:])
+        counts.append(n)
+    raw, id_, size = b"".join(texts), np.concatenate(ids), np.concatenate(sizes)
+    begin = np.cumsum(size) - size
+    seen: dict[bytes, int] = {}  # equal contexts, byte for byte, are compared once
+    kind = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)], dtype=np.int64)
+    _, one = np.unique(kind, return_index=True)
+    least = np.full(len(one), NO_ID)
     np.minimum.at(least, kind, id_)
-    again = id_ > least[kind]
+    windows = size[one] - WINDOW + 1
+    class_ = deep_shallow(np.frombuffer(raw, np.uint8), _ranges(begin[one], windows))
+    of_class = np.full(int(class_.max()) + 1, NO_ID)
+    mine = np.repeat(least, windows)
+    np.minimum.at(of_class, class_, mine)
+    again = mine > of_class[class_]
+    where = np.cumsum(windows) - windows
+    hits = np.add.reduceat(again.astype(np.int64), where)
+    code = np.where((id_ > least[kind]) | (hits == windows)[kind], ALL, np.where(hits[kind] > 0, SOME, NO)).astype(np.uint8)
     out, k = [], 0
     for n in counts:
-        out.append(np.packbits(again[k : k + n]).tobytes() if again[k : k + n].any() else b"")
+        own = code[k : k + n]
+        some = kind[k : k + n][own == SOME]
         k += n
+        out.append(zstandard.compress(own.tobytes() + np.packbits(again[_ranges(where[some], windows[some])]).tobytes(), 1) if own.any() else b"")
     return out
 
 
-#: Contexts are compared in runs of about so many bytes; buckets are never cut.
-RUN_BYTES = 3 << 20
-
-
-def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame, object]:
-    """Slices, and both verdicts: the first one's buckets as -1 - bucket, contexts' as bucket + 2**40."""
-    work, parts, told = first_verdict(docs, Bytes)
+class _Asked:
+    """What of a slice has to be compared after the first verdict: the same, in the same order, when it is sent and when the answers come."""
+
+    def __init__(self, work, units: Bytes, part: Slice, f: Found, told: dict[int, bytes]) -> None:
+        self.f, self.code = f, work.told_codes(f, told)
+        rep = f.like == np.arange(len(f.ids))
+        self.contexts = sent_items(f.anchors.anchor, np.flatnonzero(rep & (self.code == COMPARE)), work.buckets)
+        at = self.at = np.flatnonzero(work.windows(units, f, self.code == SPREAD))
+        hashes = K.range_hash(units.prefix, at, at + WINDOW)
+        self.ids = part.ids[np.searchsorted(units.firsts, at, side="right") - 1]
+        self.like = representatives((hashes,), self.ids, lambda i, j: K.same_ranges(units.eight, at[i], at[j], np.full(len(i), WINDOW)))
+        self.windows = sent_items(hashes, np.flatnonzero(self.like == np.arange(len(at))), work.buckets)
+
+    def blobs(self, part: Slice) -> tuple[list[int], list[int], list[bytes]]:
+        a = self.f.anchors
+        found = [(CONTEXTS, self.contexts, a.first, a.last + WINDOW - a.first, self.f.ids), (WINDOWS, self.windows, self.at, np.full(len(self.at), WINDOW), self.ids)]
+        buckets, kinds, blobs = [], [], []
+        for kind, sent, first, size, ids in found:
+            for bucket, x, y in _by_bucket(sent):
+                own = sent.item[x:y]
+                body = planes(ids[own], 8) + planes(size[own], 1) + part.data[_ranges(first[own], size[own])].tobytes()
+                buckets.append(bucket)
+                kinds.append(kind)
+                blobs.append(len(own).to_bytes(4, "little") + zstandard.compress(body, 1))
+        return buckets, kinds, blobs
+
+    def repeats(self, work, units: Bytes, told: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """Which of the slice's windows stand in a document with a smaller id."""
+        a, f = self.f.anchors, self.f
+        repeat = work.windows(units, f, f.above)
+        for bucket, x, y in _by_bucket(self.contexts):
+            blob = told.get((CONTEXTS, bucket))
+            if blob:
+                own, body = self.contexts.item[x:y], np.frombuffer(zstandard.decompress(blob), np.uint8)
+                code, size = body[: len(own)], a.last[own] - a.first[own] + 1
+                repeat[_ranges(a.first[own[code == ALL]], size[code == ALL])] = True
+                place = _ranges(a.first[own[code == SOME]], size[code == SOME])
+                repeat[place] |= np.unpackbits(body[len(own) :], count=len(place)).astype(bool)
+        single = np.zeros(len(self.at), dtype=bool)
+        for bucket, x, y in _by_bucket(self.windows):
+            blob = told.get((WINDOWS, bucket))
+            if blob:
+                single[self.windows.item[x:y]] = np.frombuffer(zstandard.decompress(blob), np.uint8, y - x) == ALL
+        repeat[self.at[single[self.like] | (self.ids > self.ids[self.like])]] = True
+        # contexts of the same document that equal one that was sent
+        copy = np.flatnonzero((f.like != np.arange(len(f.ids))) & ~f.above & (self.code == COMPARE))
+        size = a.last[copy] - a.first[copy] + 1
+        repeat[_ranges(a.first[copy], size)] |= repeat[_ranges(a.first[f.like[copy]], size)]
+        return repeat
+
+
+def _by_bucket(sent: Sent) -> Iterator[tuple[int, int, int]]:
+    return zip(sent.bucket.tolist(), sent.cut[:-1].tolist(), sent.cut[1:].tolist(), strict=True)
+
+
+#: Answers to contexts and windows come under their bucket and kind; the first verdict's buckets as -1 - bucket.
+_KIND = 1 << 40
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in runs_of_buckets(batches):
+        told = [(slice_id, bucket + kind * _KIND, blob) for (bucket, slice_id, kind, _), blob in zip(run, compare_contexts([r[3] for r in run]), strict=True) if blob]
+        if told:
+            yield told_batch(told)
+
+
+def dedup_bytes(docs: DataFrame, spread_over: int = SPREAD_OVER) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
+    work, parts, told, tasks = first_verdict(docs, Bytes, spread_over)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Bytes()
+        units = work.units()
         for slice_id, part, said in told_slices(batches):
             units.load(part)
-            found, fids, code, repeat = work.whole(units, part, said)
-            _, a, b, ids, _, sent = work.spread_windows(units, part, found, code, repeat, (SPREAD,))
-            buckets, kinds, blobs = [], [], []
-            for bucket, x, y in zip(sent.bucket.tolist(), sent.cut[:-1].tolist(), sent.cut[1:].tolist(), strict=True):
-                own = sent.item[x:y]
-                buckets.append(bucket)
-                kinds.append(HASHES)
-                blobs.append(planes(a[own], 8) + planes(b[own], 6) + planes(ids[own], 8))
-            for bucket, own in _asked(work, found, code):
-                text = b"".join([part.data[x:y].tobytes() for x, y in zip(found.first[own].tolist(), (found.last[own] + WINDOW).tolist(), strict=True)])
-                buckets.append(bucket)
-                kinds.append(CONTEXTS)
-                size = found.last[own] + WINDOW - found.first[own]
-                blobs.append(len(own).to_bytes(4, "little") + planes(fids[own], 8) + planes(size, 2) + zstandard.compress(text, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([slice_id] * len(blobs), pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "slice_id", "kind", "blob"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of kind and bucket."""
-        run: list[tuple[int, int, bytes]] = []
-        size, last = 0, None
-
-        def verdicts() -> Iterator[pa.RecordBatch]:
-            found = [(s, b + (1 << 40), x) for (s, b, _), x in zip(run, compare_contexts([(r[2], 0) for r in run]), strict=True) if x]
-            if found:
-                columns = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["slice_id", "bucket", "blob"])
-
-        hashes = []
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            some = np.flatnonzero(kind == HASHES)
-            if len(some):
-                hashes.append(batch.take(pa.array(some)))
-            for k in np.flatnonzero(kind == CONTEXTS).tolist():
-                bucket, blob = batch.column("bucket")[k].as_py(), batch.column("blob")[k].as_py()
-                if bucket != last and size > RUN_BYTES:
-                    yield from verdicts()
-                    run, size = [], 0
-                run.append((batch.column("slice_id")[k].as_py(), bucket, blob))
-                size, last = size + 2 * len(blob), bucket
-        if run:
-            yield from verdicts()
-        if hashes:
-            yield from work.judge(iter(hashes))
-
-    dealt = told_rows(parts, told).mapInArrow(send, SENT).repartition("bucket").sortWithinPartitions("kind", "bucket")
-    second = materialize(dealt.mapInArrow(judge, TOLD), "verdict")
-    return parts, second.unionByName(told.withColumn("bucket", -1 - F.col("bucket"))), work
-
-
-def _asked(work, found: Anchors, code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Anchors whose contexts are compared, by bucket."""
-    sent = sent_items(found.anchor, np.flatnonzero(code == COMPARE), work.buckets)
-    for bucket, x, y in zip(sent.bucket.tolist(), sent.cut[:-1].tolist(), sent.cut[1:].tolist(), strict=True):
-        yield bucket, sent.item[x:y]
-
-
-def dedup_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
-    parts, both, work = marked(docs)
+            yield sent_rows(slice_id, *_Asked(work, units, part, work.found(units, part), said).blobs(part))
+
+    second = materialize(dealt(told_rows(parts, told, tasks).mapInArrow(send, SENT), tasks).mapInArrow(_judge, TOLD), "verdict")
+    both = second.unionByName(told.withColumn("bucket", -1 - F.col("bucket")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Bytes()
+        units = work.units()
         for _, part, said in told_slices(batches):
             units.load(part)
-            found, _, code, repeat = work.whole(units, part, {-1 - b: x for b, x in said.items() if b < 0})
-            at, _, _, _, here, sent = work.spread_windows(units, part, found, code, repeat, (SPREAD,))
-            again = work.codes(len(at), sent, {b: x for b, x in said.items() if 0 <= b < 1 << 40}) == WHOLE
-            repeat = repeat.copy()
-            repeat[at[again | here]] = True
-            for bucket, own in _asked(work, found, code):
-                bits = said.get(bucket + (1 << 40))
-                if bits:
-                    windows = found.last[own] - found.first[own] + 1
-                    place = np.repeat(found.first[own] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-                    repeat[place[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(place)).astype(bool)]] = True
-            where = np.flatnonzero(repeat)
+            asked = _Asked(work, units, part, work.found(units, part), {-1 - b: x for b, x in said.items() if b < 0})
+            where = np.flatnonzero(asked.repeats(work, units, {divmod(b, _KIND): x for b, x in said.items() if b >= 0}))
             gone = K.covered(units.n, where, where + WINDOW)
             kept, removed, spans = [], [], []
             for a, b in zip(units.firsts[:-1].tolist(), units.firsts[1:].tolist(), strict=True):
@@ -323,7 +351,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
             ids = pa.array(part.ids, mask=part.null.astype(bool))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.firsts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return told_rows(parts, both).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return told_rows(parts, both, tasks).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lectern.llm import cover_dedup, fm_index, kernels, mixing, noisy_channel, quality_rules, queries, simhash, subwords, suffix_dedup, token_files, warc
+from lectern.llm import cover_dedup, fm_index, kernels, mixing, noisy_channel, quality_rules, queries, repeats, simhash, subwords, suffix_dedup, token_files, warc
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -63,19 +63,59 @@ def repeats_brute(rows, split, window):
     return out
 
 
-@pytest.mark.parametrize("spread", [4096, 0])
-def test_suffix_dedup_brute(spark, tables, monkeypatch, spread):
-    monkeypatch.setattr("lectern.llm.repeats.SPREAD_OVER", spread)
-    got = rows_of(suffix_dedup.op2_suffix_dedup(spark, tables.repeated))
+def brute_bytes(rows):
     want = []
-    for i, u, gone in repeats_brute(tables.repeated_rows, lambda b: b, 50):
+    for i, u, gone in repeats_brute(rows, lambda b: b, 50):
         kept = bytes(b for b, g in zip(u, gone, strict=True) if not g)
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
-        want.append((i, hashlib.sha256(kept).hexdigest(), len(u), sum(gone), spans))
-    assert got == sorted(want, key=str)
+        want.append((i, kept, len(u), sum(gone), spans))
+    return sorted(want, key=str)
+
+
+def test_suffix_dedup_brute(spark, tables):
+    want = [(i, hashlib.sha256(kept).hexdigest(), *rest) for i, kept, *rest in brute_bytes(tables.repeated_rows)]
+    assert rows_of(suffix_dedup.op2_suffix_dedup(spark, tables.repeated)) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("spread", [4096, 1, 0])
+def test_suffix_dedup_spreads(spark, tables, monkeypatch, spread):
+    monkeypatch.setattr(repeats, "pack_slices", lambda docs, pack=repeats.pack_slices: pack(docs, 1))
+    docs = spark.read.parquet(f"{tables.repeated}/documents.parquet")
+    found = [(r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_bytes(docs, spread).collect()]
+    assert sorted(found, key=str) == brute_bytes(tables.repeated_rows)
+
+
+class Forged(suffix_dedup.Bytes):
+    """Anchors and contexts of few bits, so that very different ones collide."""
+
+    def anchors(self):
+        a = super().anchors()
+        return repeats.Anchors(a.anchor & np.uint64(3 << 40), a.context & np.uint64(1), a.doc, a.first, a.last)
+
+
+def test_suffix_dedup_looks_at_bytes(spark, tables, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "Bytes", Forged)
+    docs = spark.read.parquet(f"{tables.repeated}/documents.parquet")
+    found = [(r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_bytes(docs).collect()]
+    assert sorted(found, key=str) == brute_bytes(tables.repeated_rows)
+
+
+def test_minimizers_of_long_texts_fall_alike():
+    rng = np.random.default_rng(4)
+    copy = rng.integers(97, 99, 3000).astype(np.uint8)
+    units, starts = suffix_dedup.Bytes(), (100, suffix_dedup.PIECE - 1500, 17 << 20)
+    data = rng.integers(97, 101, 18 << 20).astype(np.uint8)
+    for at in starts:
+        data[at : at + 3000] = copy
+    units.load(repeats.Slice(np.array([1]), np.array([0], np.uint8), data, np.array([0, len(data)])))
+    least = units._least()
+    a, b, c = (least[at : at + 2951] - at for at in starts)
+    assert (a == b).all() and (a == c).all()
 
 
-def test_cover_dedup_brute(spark, tables):
+@pytest.mark.parametrize("most", [4 << 20, 1])
+def test_cover_dedup_brute(spark, tables, monkeypatch, most):
+    monkeypatch.setattr(repeats, "pack_slices", lambda docs, pack=repeats.pack_slices: pack(docs, most))
     got = rows_of(cover_dedup.op8_cover_dedup(spark, tables.repeated))
     want = []
     for i, u, gone in repeats_brute(tables.repeated_rows, WORD.findall, 13):
