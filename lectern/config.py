@@ -55,10 +55,11 @@ class Settings:
     def stride(self) -> int:
         return self.chunk_size - self.overlap
 
-    def fingerprint(self) -> str:
-        """A short name for what determines an index: stored indexes of other settings aren't read."""
-        names = ("chunk_size", "overlap", "min_chunk_chars", "dedup_min_chars", "max_features", "embed_dim")
-        return hashlib.md5(json.dumps({k: v for k, v in asdict(self).items() if k in names}, sort_keys=True).encode()).hexdigest()[:12]
+    def fingerprint(self, *made_with) -> str:
+        """A short name for what determines an index (and what else it was made with): stored indexes of others aren't read."""
+        names = ("chunk_size", "overlap", "min_chunk_chars", "min_chunks", "dedup_min_chars", "max_features", "embed_dim")
+        given = {k: v for k, v in asdict(self).items() if k in names} | ({"made_with": made_with} if made_with else {})
+        return hashlib.md5(json.dumps(given, sort_keys=True).encode()).hexdigest()[:12]
 
 
 DEFAULT = Settings()

@@ -19,13 +19,13 @@ def content_words(x: Column | str) -> Column:
 
 def overlap_ratio(answer: Column | str, evidence: Column | str) -> Column:
     """Share of the answer's words of four letters or more that stand in the evidence."""
-    known = content_words(evidence)
-    return let(content_words(answer), lambda a: F.when(F.size(a) > 0, F.size(F.filter(a, lambda w: F.array_contains(known, w))) / F.size(a)).otherwise(F.lit(0.0)))
+    share = lambda a, known: F.when(F.size(a) > 0, F.size(F.filter(a, lambda w: F.array_contains(known, w))) / F.size(a)).otherwise(F.lit(0.0))
+    return let(F.array_distinct(content_words(evidence)), lambda known: let(content_words(answer), lambda a: share(a, known)))
 
 
 def repeat_share(answer: Column | str) -> Column:
     """Share of the most frequent word, 0 for answers of fewer than four words."""
-    low = F.array_sort(F.transform(words(answer), F.lower))
+    low = F.sort_array(F.transform(words(answer), F.lower))
     # in sorted order the longest run of a word gives its count
     runs = lambda w: F.aggregate(
         w, F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),

@@ -17,8 +17,8 @@ from lectern.config import DEFAULT, Settings
 from lectern.functions import gates
 from lectern.functions import text as T
 from lectern.operators import vectors
-from lectern.operators.retrieve import PAIR
-from lectern.providers import Embedder, Generator, HashingEmbedder
+from lectern.operators.retrieve import PAIR, default_embedder
+from lectern.providers import Embedder, Generator
 
 #: Fixed value: the reply to a question that nothing answers.
 NOTHING = "Nothing relevant found. Try rephrasing using keywords from the document."
@@ -26,12 +26,13 @@ NOTHING = "Nothing relevant found. Try rephrasing using keywords from the docume
 FALLBACK_SENTENCES = 3
 
 
-def gathered(reranked: DataFrame, embedder: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
+def gathered(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None) -> DataFrame:
     """One row per question and collection: question, and tops, an array in order of rank.
 
     tops: rank, chunk_idx, chunk, score, attr, sents (all sentences in order: si, sent, noise, clean, rel, emb, raw_rel).
     rel and emb are those of the sentence without a leading formula, raw_rel is that of the sentence as it stands.
     """
+    embedder = embedder or default_embedder(cfg)
     columns = [*PAIR, "question", "q_embedding", "rank", "chunk_idx", "chunk", "score", T.attribution("section", "page").alias("attr")]
     sents = reranked.select(*columns, F.posexplode_outer(T.split_sentences("chunk")).alias("si", "sent"))
     sents = sents.withColumn("noise", T.is_noise_sentence(F.coalesce("sent", F.lit("")))).withColumn("clean", F.when(~F.col("noise"), T.strip_leading_latex("sent")))
@@ -103,12 +104,12 @@ def extras(tops: Column | str, cfg: Settings = DEFAULT) -> Column:
     return F.filter(F.transform(T.let(keyed, new), lambda r: snippet(r["top"])), lambda e: e["snippet"] != "")
 
 
-def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] = HashingEmbedder, generator: Callable[[], Generator] | None = None) -> DataFrame:
+def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, generator: Callable[[], Generator] | None = None) -> DataFrame:
     """Per question and collection: answer_html, answer_text, score, extras, attr_text, and what they were made of.
 
     More columns: picked (sentences), sup_ci and sup_si (chunk and sentences of the most picks), focused, evidence, label.
     """
-    rows = gathered(reranked, embedder)
+    rows = gathered(reranked, cfg, embedder)
     rows = rows.withColumn("pool", sentence_pool("tops", cfg))
     rows = rows.withColumn("chosen", vectors.mmr("pool", cfg.mmr_k, cfg.mmr_min_rel, cfg.mmr_lambda, cfg.mmr_max_chars))
     rows = rows.withColumn("picks", F.transform("chosen", lambda i: F.get(F.col("pool"), i))).withColumn("top", F.get("tops", 0))

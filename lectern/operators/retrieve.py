@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,11 @@ class Index:
     stop_words: tuple[str, ...] = tfidf.STOP_WORDS
 
 
-def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] = HashingEmbedder, stop_words: tuple[str, ...] = tfidf.STOP_WORDS) -> Index:
+def default_embedder(cfg: Settings) -> Callable[[], Embedder]:
+    return partial(HashingEmbedder, cfg.embed_dim)
+
+
+def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, stop_words: tuple[str, ...] = tfidf.STOP_WORDS) -> Index:
     """Vectors and TF-IDF of chunks; collections of fewer than `min_chunks` chunks aren't indexed (see `chunking.indexable`).
 
     Term counts and vocabulary, which all else needs, are written to the shared folder.
@@ -40,7 +45,7 @@ def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[
     chunks = chunks.join(few, "kb_id", "left_anti")
     counts = materialize(tfidf.term_counts(chunks, ["kb_id", "chunk_idx"], "embed_text", stop_words), "term-counts")
     vocab = materialize(tfidf.vocabulary(counts, cfg), "vocab")
-    return Index(chunks.withColumn("embedding", vectors.embed("embed_text", embedder)), vocab, tfidf.weights(counts, vocab, ["kb_id", "chunk_idx"]), stop_words)
+    return Index(chunks.withColumn("embedding", vectors.embed("embed_text", embedder or default_embedder(cfg))), vocab, tfidf.weights(counts, vocab, ["kb_id", "chunk_idx"]), stop_words)
 
 
 def norm01(x: Column, low: Column, high: Column) -> Column:
@@ -58,14 +63,14 @@ def sparse_scores(index: Index, asks: DataFrame) -> DataFrame:
     return tfidf.cosine(asked, index.postings, PAIR, ["kb_id", "chunk_idx"]).withColumnRenamed("cosine", "sparse")
 
 
-def hybrid(index: Index, asks: DataFrame, cfg: Settings = DEFAULT, top_k: int | None = None, embedder: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
+def hybrid(index: Index, asks: DataFrame, cfg: Settings = DEFAULT, top_k: int | None = None, embedder: Callable[[], Embedder] | None = None) -> DataFrame:
     """The best chunks of each question and collection: chunk columns, question, dense, sparse, score, rank, n_chunks.
 
     Both scores go with ids only and are written once.  Their ranges are aggregates, and ranks cut every
     task's rows to the most that can be asked for before the shuffle, so a question to a large collection
     is spread over tasks; texts are fetched for the chosen chunks alone.
     """
-    asked = materialize(asks.withColumn("q_embedding", vectors.embed("question", embedder)), "asked")
+    asked = materialize(asks.withColumn("q_embedding", vectors.embed("question", embedder or default_embedder(cfg))), "asked")
     near = index.chunks.select("kb_id", "chunk_idx", "embedding").join(asked.select(*PAIR, "q_embedding"), "kb_id")
     near = near.select(*PAIR, "chunk_idx", vectors.dot("embedding", "q_embedding").alias("dense"))
     scores = near.join(sparse_scores(index, asks), [*PAIR, "chunk_idx"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))

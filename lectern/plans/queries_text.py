@@ -72,7 +72,7 @@ def word_prefixes(spark, d):
 
 
 def prompts(spark, d):
-    b = _read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"), F.col("text").alias("e"))
+    b = _read(spark, d, "benchmark").select("item_id", F.reverse("text").alias("q"), F.col("text").alias("e"))
     return b.select("item_id", F.md5(gates.hosted_prompt("q", "e").cast("binary")).alias("hosted_md5"), F.md5(gates.local_prompt("q", "e").cast("binary")).alias("local_md5"))
 
 
@@ -224,7 +224,7 @@ page_texts AS (
 para AS (
   SELECT conv_id, page, line, row_number() OVER (PARTITION BY conv_id ORDER BY page, pos) - 1 AS para_idx FROM (
     SELECT conv_id, page, trim(unnest(string_split(page_text, chr(10)))) AS line, generate_subscripts(string_split(page_text, chr(10)), 1) AS pos FROM page_texts) WHERE line <> ''),
-heads AS (SELECT conv_id, para_idx, line AS section FROM para WHERE regexp_matches(line, '^(?:\d+[\d\.]*[ \t]+)?[A-Z][^\n]{0,80}$') AND NOT line LIKE '%.' AND length(line) < 80),
+heads AS (SELECT conv_id, para_idx, line AS section FROM para WHERE regexp_matches(line, '^(?:\d+[\d\.]*\s+)?[A-Z][^\n]{0,80}$') AND NOT line LIKE '%.' AND length(line) < 80),
 starts AS (
   SELECT conv_id, para_idx, max(page) AS page FROM (
     SELECT p.conv_id, p.page, coalesce(sum(n) OVER (PARTITION BY p.conv_id ORDER BY p.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para_idx
@@ -246,7 +246,7 @@ ORACLES = {
     "html_escape": """SELECT page_id, md5(replace(replace(replace(replace(replace(html || '''"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_md5 FROM pages""",
     "short_labels": "SELECT page_id, CASE WHEN length(url) > 28 THEN substr(url, 1, 28) || '…' ELSE url END AS label, CASE WHEN length(url) > 40 THEN substr(url, 1, 40) || '…' ELSE url END AS caption FROM pages",
     "word_prefixes": r"SELECT item_id, len(w)::INT AS n_steps, md5(array_to_string(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[1:i], ' ')), '|')) AS steps_md5 FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)",
-    "prompts": f"SELECT item_id, md5({_text(gates.HOSTED_PROMPT)} || text || chr(10) || chr(10) || 'QUESTION:' || chr(10) || substr(text, 1, 60) || ' [/INST]') AS hosted_md5, md5({_text(gates.LOCAL_PROMPT)} || text || chr(10) || chr(10) || 'QUESTION:' || chr(10) || substr(text, 1, 60) || chr(10) || chr(10) || 'ANSWER:') AS local_md5 FROM benchmark",
+    "prompts": f"SELECT item_id, md5({_text(gates.HOSTED_PROMPT)} || text || chr(10) || chr(10) || 'QUESTION:' || chr(10) || reverse(text) || ' [/INST]') AS hosted_md5, md5({_text(gates.LOCAL_PROMPT)} || text || chr(10) || chr(10) || 'QUESTION:' || chr(10) || reverse(text) || chr(10) || chr(10) || 'ANSWER:') AS local_md5 FROM benchmark",
     "cache_keys": "SELECT doc_id, md5(text) AS text_hash, md5(source || ':' || md5(text)) AS cache_key FROM documents",
     "overlap_gate": f"WITH {_TURNS}, r AS (SELECT conv_id, turn, round({_OVERLAP.format(a='a', e='e')}, 6) AS ratio FROM (SELECT conv_id, turn, {_WORDS.format('text')} AS a, {_WORDS.format('evidence')} AS e FROM turns)) SELECT conv_id, turn, ratio, ratio >= 0.18 AS hosted_ok, ratio >= 0.12 AS local_ok FROM r",
     "repetition_gate": f"WITH {_TURNS}, r AS (SELECT conv_id, turn, {_REPEAT.format('text')} AS share FROM turns) SELECT conv_id, turn, round(share, 6) AS share, share <= 0.4 AS ok FROM r",

@@ -1,15 +1,20 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` when the cluster names one.  Where it is unset (tests, a
-notebook on one machine) a fresh temporary folder is made.  Tables written here survive the loss
-of any executor and cut the lineage of long plans; they are deleted when the driver ends.
+notebook on one machine) and the session runs on this machine alone, a fresh temporary folder is made;
+on a cluster an unset folder is an error, since executors would write to their own disks.  Tables
+written here survive the loss of any executor and cut the lineage of long plans; `tables_of` deletes
+those of one piece of work when it is done, and all others are deleted when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
@@ -51,11 +58,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@atexit.register
-def _sweep() -> None:
-    while _MADE:
+@contextmanager
+def tables_of() -> Iterator[None]:
+    """Deletes at its end the tables that were written within it; nothing may read them afterwards."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        _delete(before)
+
+
+def _delete(keep: int) -> None:
+    while len(_MADE) > keep:
         spark, path = _MADE.pop()
         try:
             delete_path(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may have gone first
-            return
+        except Exception:  # noqa: BLE001 - the JVM may have gone first, or this session; go on with the others
+            continue
+
+
+@atexit.register
+def _sweep() -> None:
+    _delete(0)

@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, Settings
 from lectern.operators.retrieve import Index
+from lectern.operators.tfidf import STOP_WORDS
+from lectern.plans.storage import materialize
 
 PARTS = ("chunks", "vocab", "postings")
 
 
-def _place(path: str, part: str, cfg: Settings) -> str:
-    return f"{path.rstrip('/')}/{cfg.fingerprint()}/{part}"
+#: What the default embedder is called in the name of a stored index.
+HASHING = "hashing"
+SLOTS = 64
 
 
-def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = 64) -> None:
+def _place(path: str, cfg: Settings, stop_words: tuple[str, ...], model: str) -> str:
+    return f"{path.rstrip('/')}/{cfg.fingerprint(model, *stop_words)}"
+
+
+def _slots(spark, place: str) -> int | None:
+    """The number of slots of what is stored at a place: its folder's name says it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return next((int(n.removeprefix("slots-")) for n in names if n.startswith("slots-")), None)
+
+
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("kb_id").cast("string")), F.lit(slots)).cast("int")
+
+
+def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, writers: int = 1, model: str = HASHING) -> None:
     """Write an index; collections that are there already are replaced with their slot's other ones kept.
 
     Collections are dealt to `slots` folders by hash, so that many small ones don't make many small
-    files; a folder is replaced as a whole, by Spark's committer, after its new rows are complete.
+    files; each is written by `writers` tasks (more for more data).  A folder is replaced as a whole, by
+    Spark's committer, after its new rows are complete.  A store keeps the number of slots it began with.
     """
-    from lectern.plans.storage import materialize
-
     spark = index.chunks.sparkSession
+    place = _place(path, cfg, index.stop_words, model)
+    slots = _slots(spark, place) or slots
     ids = materialize(index.chunks.select("kb_id").distinct(), "store-ids")
     for part in PARTS:
-        rows = getattr(index, part).withColumn("slot", F.pmod(F.xxhash64(F.col("kb_id").cast("string")), F.lit(slots)).cast("int"))
-        target = _place(path, part, cfg)
+        rows = getattr(index, part).withColumn("slot", _slot(slots))
+        target = f"{place}/slots-{slots}/{part}"
         if exists(spark, target):
             old = spark.read.parquet(target).join(ids, "kb_id", "left_anti")
-            touched = ids.select(F.pmod(F.xxhash64(F.col("kb_id").cast("string")), F.lit(slots)).cast("int").alias("slot")).distinct()
+            touched = ids.select(_slot(slots).alias("slot")).distinct()
             rows = materialize(rows.unionByName(old.join(touched, "slot", "left_semi").select(*rows.columns)), f"store-{part}")
-        rows.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(target)
+        writer = F.pmod(F.xxhash64(F.col("kb_id").cast("string"), F.lit(1)), F.lit(writers))
+        rows = rows.repartition(slots * writers, "slot", writer)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(target)
 
 
 def exists(spark, path: str) -> bool:
@@ -40,19 +62,20 @@ def exists(spark, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def load(spark, path: str, cfg: Settings = DEFAULT, kb_ids: list | None = None, slots: int = 64) -> Index | None:
-    """The index stored for these settings, of some collections if named; None if any part is absent."""
-    frames = []
+def load(spark, path: str, cfg: Settings = DEFAULT, kb_ids: list | None = None, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> Index | None:
+    """The index stored for these settings, stop list and model, of some collections if named; None if any part is absent."""
+    place, frames = _place(path, cfg, stop_words, model), []
+    slots = _slots(spark, place)
     for part in PARTS:
-        target = _place(path, part, cfg)
-        if not exists(spark, target):
+        target = f"{place}/slots-{slots}/{part}"
+        if slots is None or not exists(spark, target):
             return None
         rows = spark.read.parquet(target)
         if kb_ids is not None:
-            wanted = spark.createDataFrame([(str(k),) for k in kb_ids], "k string").select(F.pmod(F.xxhash64("k"), F.lit(slots)).cast("int")).collect()
+            wanted = spark.createDataFrame([(str(k),) for k in kb_ids], "kb_id string").select(_slot(slots)).collect()
             rows = rows.where(F.col("slot").isin(sorted({r[0] for r in wanted})) & F.col("kb_id").isin(list(kb_ids)))
         frames.append(rows.drop("slot"))
-    return Index(*frames)
+    return Index(*frames, stop_words)
 
 
 def missing(documents: DataFrame, stored: Index | None) -> DataFrame:

@@ -7,12 +7,17 @@ Arrow batches.  The default embedder is feature hashing: reproducible, in SQL to
 from __future__ import annotations
 
 import hashlib
+import importlib
+import importlib.util
+import json
+import logging
 from collections.abc import Iterable
 from typing import Protocol
 
 import numpy as np
 import regex
 
+log = logging.getLogger(__name__)
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 _TOKEN = regex.compile(TOKEN)
 
@@ -84,3 +89,123 @@ class FunctionGenerator:
             except Exception:  # noqa: BLE001 - a failed call falls back to the extractive answer
                 out.append("")
         return out
+
+
+class ModelEmbedder:
+    """Unit vectors of a sentence-transformers model, where that library is installed."""
+
+    def __init__(self, name: str = "all-MiniLM-L6-v2") -> None:
+        from sentence_transformers import SentenceTransformer
+
+        self.model = SentenceTransformer(name)
+        self.dim = self.model.get_sentence_embedding_dimension()
+
+    def encode(self, texts: Iterable[str]) -> np.ndarray:
+        return np.asarray(self.model.encode(list(texts), normalize_embeddings=True), dtype=np.float64)
+
+
+class CrossEncoderReranker:
+    """Pair scores of a sentence-transformers cross-encoder, where that library is installed; equal scores, which keep the order, where it fails."""
+
+    def __init__(self, name: str = "cross-encoder/ms-marco-MiniLM-L-6-v2") -> None:
+        self.model = None
+        try:
+            from sentence_transformers.cross_encoder import CrossEncoder
+
+            self.model = CrossEncoder(name)
+        except Exception as e:  # noqa: BLE001 - no library, no model file: retrieval's order stays
+            log.warning("no cross-encoder: %s", e)
+
+    def score(self, questions: Iterable[str], chunks: Iterable[str]) -> np.ndarray:
+        pairs = list(zip(questions, chunks, strict=True))
+        try:
+            return np.asarray(self.model.predict(pairs), dtype=np.float64) if self.model is not None else np.zeros(len(pairs))
+        except Exception as e:  # noqa: BLE001
+            log.warning("reranking failed: %s", e)
+            return np.zeros(len(pairs))
+
+
+class _Posting:
+    """A generator that posts each prompt as JSON; whatever goes wrong, or is no text, counts as no answer."""
+
+    url: str
+    timeout: float
+
+    def headers(self) -> dict[str, str]:
+        return {"Content-Type": "application/json"}
+
+    def body(self, prompt: str) -> dict:
+        raise NotImplementedError
+
+    def answer(self, data) -> str:
+        raise NotImplementedError
+
+    def generate(self, prompts: Iterable[str]) -> list[str]:
+        from urllib.request import Request, urlopen
+
+        out = []
+        for prompt in prompts:
+            try:
+                with urlopen(Request(self.url, json.dumps(self.body(prompt)).encode(), self.headers()), timeout=self.timeout) as reply:  # noqa: S310
+                    out.append((self.answer(json.load(reply)) or "").strip())
+            except Exception as e:  # noqa: BLE001 - a status like 503 (the model loads), a timeout, a broken reply
+                log.warning("no generated answer: %s", e)
+                out.append("")
+        return out
+
+
+class HostedGenerator(_Posting):
+    """A hosted text-generation endpoint. 300 new tokens, temperature 0.2, 45 seconds."""
+
+    def __init__(self, url: str, token: str = "", max_new_tokens: int = 300, temperature: float = 0.2, timeout: float = 45) -> None:
+        self.url, self.token, self.max_new_tokens, self.temperature, self.timeout = url, token, max_new_tokens, temperature, timeout
+
+    def headers(self) -> dict[str, str]:
+        return super().headers() | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
+
+    def body(self, prompt: str) -> dict:
+        return {"inputs": prompt, "parameters": {"max_new_tokens": self.max_new_tokens, "temperature": self.temperature, "do_sample": False, "return_full_text": False}}
+
+    def answer(self, data) -> str:
+        return data[0].get("generated_text", "") if isinstance(data, list) and data else ""
+
+
+class LocalGenerator(_Posting):
+    """A local generation server. The model's name, its port, 60 seconds."""
+
+    def __init__(self, url: str = "http://localhost:11434/api/generate", model: str = "llama3.1:8b", timeout: float = 60) -> None:
+        self.url, self.model, self.timeout = url, model, timeout
+
+    def body(self, prompt: str) -> dict:
+        return {"model": self.model, "prompt": prompt, "stream": False}
+
+    def answer(self, data) -> str:
+        return data.get("response", "") if isinstance(data, dict) else ""
+
+
+class MuPdfPages:
+    """Pages of PDF files by PyMuPDF, where it is installed; images are read by Tesseract, where that is."""
+
+    @staticmethod
+    def available() -> bool:
+        return importlib.util.find_spec("pymupdf") is not None or importlib.util.find_spec("fitz") is not None
+
+    def __init__(self) -> None:
+        self.library = importlib.import_module("pymupdf" if importlib.util.find_spec("pymupdf") else "fitz")
+
+    def pages(self, content: bytes) -> list[tuple[str, list[tuple[float, float, str]]]]:
+        with self.library.open(stream=content, filetype="pdf") as document:
+            return [(page.get_text("text") or "", [(b[0], b[1], b[4] or "") for b in page.get_text("blocks") or []]) for page in document]
+
+    def ocr(self, content: bytes, number: int) -> str:
+        try:
+            import io
+
+            import pytesseract
+            from PIL import Image
+
+            with self.library.open(stream=content, filetype="pdf") as document:
+                return pytesseract.image_to_string(Image.open(io.BytesIO(document[number - 1].get_pixmap(dpi=200).tobytes("png")))) or ""
+        except Exception as e:  # noqa: BLE001 - no library or no text: the page stays empty
+            log.warning("a page wasn't read: %s", e)
+            return ""

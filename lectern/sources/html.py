@@ -22,6 +22,7 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "li", "td", "div", "blockquote", "pre"}
 INNER = {"p", "li", "td", "div", "blockquote"}
 NOISE = {"script", "style", "nav", "footer", "header", "aside", "noscript", "form", "button", "iframe"}
+UNREAD = {"template", "rt", "rp"}  # what stands right in these is no text of the page
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
 TOO_SHORT = "Page fetched but no usable text extracted. The site may require JavaScript. Try Paste Text instead."
 NO_URL = "Please enter a URL."
@@ -80,7 +81,7 @@ class _Reader(HTMLParser):
         for node in self.open:
             if node.name in HEADINGS:
                 node.texts.append(text)
-        if not (self.open and self.open[-1].noisy):
+        if not (self.open and (self.open[-1].noisy or self.open[-1].name in UNREAD)):
             self.texts.append(text)
 
 

@@ -19,6 +19,7 @@ from lectern.config import DEFAULT, Settings
 from lectern.functions import text as T
 from lectern.providers import PageParser
 
+#: Messages about files.
 NO_TEXT = "PDF parsed but no usable text found. It appears to be scanned/image-only and OCR is not available. Install pytesseract and Pillow to enable OCR support."
 OCR_NOTE = " (OCR used for some pages)"
 NO_PARSER = "No PDF parser is installed."
@@ -55,8 +56,18 @@ def within_limit(files: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return files.withColumn("err", F.when(F.col("length") > cfg.pdf_max_bytes, F.lit(message)).otherwise(F.lit("")))
 
 
-def parse_pages(files: DataFrame, parser: Callable[[], PageParser] | None) -> DataFrame:
-    """path, page, raw, blocks, err: a row per page, or one row (page null) with the error of a file."""
+def installed_parser() -> Callable[[], PageParser] | None:
+    """The adapter to an installed PDF library, if there is one."""
+    from lectern.providers import MuPdfPages
+
+    return MuPdfPages if MuPdfPages.available() else None
+
+
+def parse_pages(files: DataFrame, parser: Callable[[], PageParser] | None, scanned: int = 0) -> DataFrame:
+    """path, page, raw, blocks, ocr, err: a row per page, or one row (page null) with the error of a file.
+
+    A parser that can read images (`ocr(content, page)`) is asked for pages with fewer than `scanned` characters.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = parser() if parser else None
@@ -68,15 +79,18 @@ def parse_pages(files: DataFrame, parser: Callable[[], PageParser] | None) -> Da
                     err = NO_PARSER
                 if not err:
                     try:
-                        rows = [(path, n, raw, [{"x0": x, "y0": y, "text": t} for x, y, t in blocks], "") for n, (raw, blocks) in enumerate(reader.pages(content.as_py()), 1)]
+                        data, look = content.as_py(), getattr(reader, "ocr", None)
+                        for n, (raw, blocks) in enumerate(reader.pages(data), 1):
+                            thin = max(len(raw.strip()), len("\n".join(t.strip() for _, _, t in blocks))) < scanned
+                            rows.append((path, n, raw, [{"x0": x, "y0": y, "text": t} for x, y, t in blocks], look(data, n) if look and thin else "", ""))
                     except Exception as e:  # noqa: BLE001 - errors are data
-                        err = f"PDF parse error: {e}"
-                rows = rows or [(path, None, "", [], err or NO_TEXT)]
+                        rows, err = [], f"PDF parse error: {e}"
+                rows = rows or [(path, None, "", [], "", err or NO_TEXT)]
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), block, pa.string()), strict=True)], names=["path", "page", "raw", "blocks", "err"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), block, pa.string(), pa.string()), strict=True)], names=["path", "page", "raw", "blocks", "ocr", "err"])
 
     lean = files.select("path", F.when(F.col("err") == "", F.col("content")).alias("content"), "err")
-    return lean.mapInArrow(work, "path string, page int, raw string, blocks array<struct<x0:double,y0:double,text:string>>, err string")
+    return lean.mapInArrow(work, "path string, page int, raw string, blocks array<struct<x0:double,y0:double,text:string>>, ocr string, err string")
 
 
 def page_texts(pages: DataFrame, ocr: Column | None = None, cfg: Settings = DEFAULT, compose: bool = True) -> DataFrame:
@@ -125,6 +139,14 @@ def assemble(pages: DataFrame, key: str = "path") -> DataFrame:
 
 
 def load_pdfs(spark, path: str, parser: Callable[[], PageParser] | None = None, ocr: Callable[[DataFrame], Column] | None = None, cfg: Settings = DEFAULT) -> DataFrame:
-    """path, text, section_map, page_map, err of the PDF files under a path."""
-    pages = parse_pages(within_limit(spark.read.format("binaryFile").load(path), cfg), parser)
-    return assemble(page_texts(pages, ocr(pages) if ocr else None, cfg))
+    """path, text, section_map, page_map, err of the PDF files under a path.
+
+    The limit is a filter on the files' lengths, which the source applies before it reads contents.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    read = within_limit(files.where(F.col("length") <= cfg.pdf_max_bytes).select("path", "length", "content"), cfg)
+    refused = within_limit(files.where(F.col("length") > cfg.pdf_max_bytes).select("path", "length"), cfg)
+    pages = parse_pages(read, parser if parser is not None else installed_parser(), scanned=cfg.scanned_chars if ocr is None else 0)
+    done = assemble(page_texts(pages, ocr(pages) if ocr else F.col("ocr"), cfg))
+    empty = [F.create_map().cast(kind).alias(name) for name, kind in (("section_map", "map<int,string>"), ("page_map", "map<int,int>"))]
+    return done.unionByName(refused.select("path", F.lit("").alias("text"), *empty, "err"))

@@ -1,11 +1,19 @@
 """Registry, store, streaming, rerankers and generators."""
 
+import json
+import os
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.config import SMALL, Settings
-from lectern.operators import answer, chunking, registry, retrieve
-from lectern.plans import store
-from lectern.providers import FunctionGenerator
+from lectern.operators import answer, chunking, registry, retrieve, tfidf
+from lectern.plans import storage, store
+from lectern.providers import CrossEncoderReranker, FunctionGenerator, HostedGenerator, LocalGenerator
 from lectern.streaming import ingest
 
 
@@ -76,6 +84,144 @@ def test_store_reads_only_its_settings(spark, tmp_path):
     assert '"term"' in store.vocabulary_json(back.vocab).first().json
 
 
+def test_store_keeps_its_slots(spark, tmp_path):
+    path, made = f"file://{tmp_path}/index", index(spark)
+    store.save(made, path, SMALL, slots=3, writers=2)
+    store.save(retrieve.Index(*(getattr(made, p).where("kb_id = 'd2'") for p in store.PARTS)), path, SMALL)
+    assert store.load(spark, path, SMALL, ["d2", "d3"]).chunks.select("kb_id").distinct().count() == 2
+    assert store.load(spark, path, SMALL).postings.count() == made.postings.count()
+    assert store.load(spark, path, SMALL, model="other") is None and store.load(spark, path, SMALL, stop_words=("a",)) is None
+
+
+def test_collections_of_one_chunk_are_not_indexed(spark):
+    docs = documents(spark, 1).unionByName(spark.createDataFrame([("one", "a single short paragraph about reactors")], "kb_id string, text string"))
+    made = retrieve.build_index(chunking.chunks(docs, SMALL), SMALL)
+    assert {r.kb_id for r in made.chunks.select("kb_id").distinct().collect()} == {"d0"} == {r.kb_id for r in made.vocab.select("kb_id").distinct().collect()}
+    assert {(r.kb_id, r.err) for r in chunking.indexable(chunking.chunks(docs, SMALL), SMALL).collect()} == {("d0", ""), ("one", "Not enough text to index. Try a longer document.")}
+
+
+def test_vocabulary_caps_large_collections_alone(spark):
+    few = Settings(chunk_size=100, overlap=10, max_features=30)
+    rows = [("big", k, " ".join(f"t{j}" for j in range(k % 7, 120, k % 5 + 1))) for k in range(12)] + [("small", 0, "some few words here")]
+    counts = tfidf.term_counts(spark.createDataFrame(rows, "kb_id string, chunk_idx int, embed_text string"), ["kb_id", "chunk_idx"], "embed_text")
+    got = tfidf.vocabulary(counts, few).collect()
+    seen = {}
+    for kb, _, text in rows:
+        words = [w for w in text.split() if len(w) > 1 and w not in tfidf.STOP_WORDS]
+        for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
+            seen.setdefault(kb, {}).setdefault(term, 0)
+            seen[kb][term] += 1
+    want = {(kb, t) for kb, n in seen.items() for t, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:30]}
+    assert {(r.kb_id, r.term) for r in got} == want and all(seen[r.kb_id][r.term] == r.cf for r in got)
+
+
+def test_passages_fall_back_to_three_sentences(spark):
+    lines = ["\\[ x = y + a formula of some length \\]"] + [f"Sentence number {k} of a chunk that nothing in the question comes near to." for k in range(5)]
+    sents = [(k, s, False, "" if k == 0 else s, 0.0, [0.0], 0.0) for k, s in enumerate(lines)]
+    cols = "q_id long, kb_id string, question string, tops array<struct<rank:int,chunk_idx:int,chunk:string,score:double,attr:string,sents:array<struct<si:int,sent:string,noise:boolean,clean:string,rel:double,emb:array<double>,raw_rel:double>>>>"
+    rows = spark.createDataFrame([(1, "k", "why", [(1, 0, " ".join(lines), 0.5, "", sents)])], cols)
+    original, answer.gathered = answer.gathered, lambda *a: rows
+    try:
+        got = answer.answers(rows, SMALL).first()
+    finally:
+        answer.gathered = original
+    assert got.picked == [] and got.answer_text == "I cannot determine this from the document." and got.focused == " ".join(lines[1:4])
+
+
+def test_evidence_ranks_sentences_as_they_stand(spark):
+    class Counts:
+        dim = 2
+
+        def encode(self, texts):
+            return np.array([[float("formula" in t), float("question" in t)] for t in texts]) if len(texts) else np.zeros((0, 2))
+
+    chunk = "\\[ formula \\] The first sentence is about nothing at all here. The second sentence is about a question asked. The third one is plain text without anything."
+    cols = "q_id long, kb_id string, question string, q_embedding array<double>, rank int, chunk_idx int, chunk string, score double, section string, page int"
+    rows = spark.createDataFrame([(1, "k", "formula", [1.0, 0.2], 1, 0, chunk, 0.5, "", None)], cols)
+    sents = answer.gathered(rows, SMALL, Counts).first().tops[0].sents
+    assert [(s.rel, s.raw_rel) for s in sents] == [(0.0, 1.0), (0.2, 0.2), (0.0, 0.0)]
+
+
+class Service(BaseHTTPRequestHandler):
+    asked: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Service.asked.append((self.path, self.headers.get("Authorization"), body))
+        prompt = body.get("inputs") or body.get("prompt")
+        if "slow" in prompt:
+            time.sleep(1.5)
+        self.send_response(503 if "loading" in prompt else 200)
+        self.end_headers()
+        reply = [{"generated_text": f" hosted {prompt} "}] if "inputs" in body else {"response": f"local {prompt}"}
+        self.wfile.write(b"{broken" if "broken" in prompt else json.dumps(reply).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_generators_over_http():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        hosted, local = HostedGenerator(f"{url}/hosted", "secret", timeout=1), LocalGenerator(f"{url}/local", timeout=1)
+        assert hosted.generate(["one", "loading", "broken", "slow", "two"]) == ["hosted one", "", "", "", "hosted two"]
+        assert local.generate(["one", "slow"]) == ["local one", ""]
+        assert Service.asked[0] == ("/hosted", "Bearer secret", {"inputs": "one", "parameters": {"max_new_tokens": 300, "temperature": 0.2, "do_sample": False, "return_full_text": False}})
+        assert next(a for a in Service.asked if a[0] == "/local")[2] == {"model": "llama3.1:8b", "prompt": "one", "stream": False}
+    finally:
+        server.shutdown()
+    assert LocalGenerator(f"{url}/gone", timeout=1).generate(["x"]) == [""]
+    assert HostedGenerator("").timeout == 45 and LocalGenerator().timeout == 60
+
+
+def test_generators_see_relevant_questions_only(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def note(prompt):
+        with log.open("a") as f:
+            f.write("x\n")
+        return "The reactor reached criticality after some hours."
+
+    odd = asks(spark).unionByName(spark.createDataFrame([(9, "d1", "zzz qqq")], "q_id long, kb_id string, question string"))
+    hosted = Settings(chunk_size=100, overlap=10, mode="hosted")
+    found = retrieve.rerank(retrieve.hybrid(index(spark), odd, SMALL), SMALL).withColumn("score", F.when(F.col("q_id") == 9, 0.0).otherwise(F.col("score")))
+    got = {r.q_id: r.answer_text for r in answer.answers(found, hosted, generator=lambda: FunctionGenerator(note)).collect()}
+    assert got[9] == answer.NOTHING and len(got) == 5 and log.read_text().count("x") == 4
+
+
+def test_rerankers_without_a_model_keep_the_order(spark):
+    found = retrieve.hybrid(index(spark), asks(spark), SMALL)
+    plain, again = (retrieve.rerank(found, SMALL, r).orderBy("q_id", "rank").select("q_id", "chunk_idx").collect() for r in (None, CrossEncoderReranker))
+    assert plain == again
+
+
+def test_clusters_need_a_shared_folder(spark):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = Conf
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+
+
+def test_tables_of_a_piece_of_work_are_deleted(spark):
+    with storage.tables_of():
+        made = storage.materialize(spark.range(3), "gone")
+        assert made.count() == 3
+        path = storage._MADE[-1][1].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_streaming_ingest_adds_each_file_once(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     schema = "kb_id string, text string"

@@ -218,3 +218,43 @@ def test_url_loading_with_errors(spark):
     got = {r.url: r for r in html.load_urls(urls, Fetch).collect()}
     assert got["https://good.example"].err == "" and got["https://bad.example"].err.startswith("HTTP 404") and got[""].err == html.NO_URL
     assert re.search("15s", html.fetch_error("timeout")) and html.fetch_error("connection")
+
+
+def test_pdf_files_over_the_limit_are_not_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"ok")
+    (tmp_path / "b.pdf").write_bytes(b"x" * 50)
+    cfg = Settings(pdf_max_bytes=20)
+    got = {r.path.rsplit("/", 1)[1]: r for r in pdf.load_pdfs(spark, f"file://{tmp_path}", Pages, cfg=cfg).collect()}
+    assert got["a.pdf"].err == "" and got["a.pdf"].page_map and got["b.pdf"].err.startswith("PDF exceeds the 0 MB") and got["b.pdf"].section_map == {}
+    plan = spark.read.format("binaryFile").load(f"file://{tmp_path}").where(F.col("length") <= 20)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,20)]" in plan
+    monkeypatch.setattr(pdf, "installed_parser", lambda: None)
+    assert pdf.load_pdfs(spark, f"file://{tmp_path}/a.pdf").first().err == pdf.NO_PARSER
+
+
+class Scans(Pages):
+    def ocr(self, content, page):
+        return f"TEXT OF PAGE {page}, read from its image and long enough to count"
+
+
+def test_parsers_that_read_images(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"ok")
+    got = pdf.load_pdfs(spark, f"file://{tmp_path}", Scans).first()
+    assert got.err == pdf.OCR_NOTE and "TEXT OF PAGE 3" in got.text and "TEXT OF PAGE 1" not in got.text and "TEXT OF PAGE 2" not in got.text
+
+
+def test_chunks_are_computed_once(spark):
+    docs = spark.createDataFrame([("k", "word " * 400)], "kb_id string, text string")
+    plan = chunking.chunks(docs, Settings(chunk_size=100, overlap=10))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_headings_with_any_space(spark):
+    assert value(spark, T.is_heading("x"), x="2.1\u00a0Results") is True
+    assert value(spark, T.is_heading("x"), x="2.1\tResults") is True
+
+
+def test_text_of_templates_is_left_out():
+    page = "<html><body><template>hidden</template><ruby>kan<rp>(</rp><rt>reading</rt></ruby><p>" + "enough text for a page " * 6 + "</p></body></html>"
+    text = html.read_page(page)[0]
+    assert "hidden" not in text and "reading" not in text and "(" not in text and "kan" in text
