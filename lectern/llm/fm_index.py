@@ -10,8 +10,10 @@ costs its shards only.  The benchmark is a query set: it is read in blocks of at
 so what is broadcast is bounded; one pass over the documents serves each block.
 
 Nulls: null and empty texts have no words, and aren't contaminated.  Benchmark rows without words are
-ignored; rows that repeat an item id count as that item once, and all rows without an id as one item (a null in item_ids).  An empty benchmark leaves all documents
-clean.  Extra columns of either table are ignored.
+ignored; rows that repeat an item id count as that item once.  Rows without an id are searched like
+others: their words are hit and make a document contaminated, but they are no items.  An empty
+benchmark leaves all documents clean.  Extra columns of either table are ignored.  Long texts are
+shards of their own, whole.  There are no ties: every occurrence counts.
 """
 
 from __future__ import annotations
@@ -233,7 +235,8 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
                 which = phrases.items[np.repeat(phrases.item_first[pairs[:, 1]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
                 both = np.unique(np.stack((np.repeat(pairs[:, 0], sizes), which), axis=1), axis=0)
                 for d, i in both.tolist():
-                    items[d].append(None if phrases.item_ids[i] is None else str(phrases.item_ids[i]))
+                    if phrases.item_ids[i] is not None:
+                        items[d].append(str(phrases.item_ids[i]))
             lists = []
             hits = np.flatnonzero(hit)
             cut = np.searchsorted(hits, firsts)
@@ -250,7 +253,7 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     rows, size = [], 0
     for row in bench.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         rows.append((row[0], row[1]))
-        size += len(row[1])
+        size += len(row[1].encode("utf-8", "surrogatepass"))
         if size >= block_bytes:
             yield rows
             rows, size = [], 0
@@ -318,7 +321,7 @@ spots AS (
     SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n)),
 found AS (SELECT s.doc_id, s.n, s.i, p.item_id FROM spots s JOIN phrases p ON s.n = p.n AND s.p = p.p),
 hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
-named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY doc_id)
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found WHERE item_id IS NOT NULL GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)

@@ -9,13 +9,17 @@ Restored words join the text's own words.
 
 A lexicon of words and of word beginnings (4 to 6 bytes) is learned from the labels: those that mark
 toxic documents of different make with high precision.  A document's score is a logistic function of
-the evidence of its distinct lexicon entries.  Trigrams are counted in all texts; lexicon and curve come
-from a bounded sample (`max_train` labelled documents, whole texts); scoring reads whole texts of all
-documents.  What is broadcast is bounded.
+the evidence of its distinct lexicon entries: each weighs the log-odds that the lower end of its
+precision's confidence interval gives, so that an entry seen in a few toxic documents only can't
+decide alone.  Trigrams are counted in all texts; lexicon and curve come from a bounded sample of
+labelled documents (`Training.max_train` documents, whole texts of `Training.max_bytes` together, none
+of over a sixteenth of that); scoring reads whole texts of all documents, however long.  What is
+broadcast is bounded.
 
 Nulls: null and empty texts have no words and get the score of no evidence.  Without labelled rows
-every score is 0.5; with one class only it is that class's share.  Repeated rows are scored each for
-itself.  Extra columns are ignored.
+every score is 0.5; with one class only it is that class's share; of contradicting labels of one
+document 1 counts.  Repeated rows are scored each for itself.  Ties: of readings that cost the same the
+first in the order of characters stays; a score of exactly 0.5 is predicted 1.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -292,6 +296,7 @@ def evidence(low: np.ndarray, offsets: np.ndarray, memo: Memo) -> Iterator[tuple
 @dataclass(frozen=True)
 class Training:
     max_train: int = 5000
+    max_bytes: int = 16 << 20
     support: int = 6
     precision: float = 0.85
 
@@ -353,6 +358,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def sure_precision(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
+    """The lower end of the Wilson interval of hits out of n."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def train(documents: list[tuple[int, bytes]], costs: np.ndarray, how: Training) -> Model:
     """The lexicon and the score's curve from (y, entry hashes) of sampled documents."""
     none = np.zeros(0, np.uint64)
@@ -378,8 +389,8 @@ def train(documents: list[tuple[int, bytes]], costs: np.ndarray, how: Training)
                 makes[k].add(sign)
     support = np.array([len(m) for m in makes], dtype=np.int64)
     good = (support >= how.support) & (support >= how.precision * (support + clean))
-    lexicon, weights = some[good], np.log((support[good] + 0.5) / (clean[good] + 0.5) * (1 - share) / share)
-    weights = np.clip(weights, 0.0, _MOST / 2)
+    lexicon, sure = some[good], sure_precision(support[good], support[good] + clean[good])
+    weights = np.clip(np.log(sure / (1 - sure) * (1 - share) / share), 0.0, _MOST)
     x = np.array([min(_MOST, weights[np.searchsorted(lexicon, np.intersect1d(lexicon, h, assume_unique=True))].sum()) for h in hashes])
     slope, bias = _logistic(x, y.astype(np.float64))
     return Model(costs, lexicon, weights, max(slope, 0.0), bias)
@@ -388,7 +399,7 @@ def train(documents: list[tuple[int, bytes]], costs: np.ndarray, how: Training)
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", how: Training | None = None) -> Model:
     """The language model from all texts, lexicon and curve from a bounded sample; the executors read the texts."""
     how = how or Training()
-    rows = sample(docs, labels, label, how.max_train)
+    rows = sample(docs, labels, label, how.max_train, how.max_bytes)
     costs = language_model(trigram_totals(docs))
     found = _evident(rows, costs).collect()
     found.sort(key=lambda r: (r.doc_id, r.y, bytes(r.hashes)))

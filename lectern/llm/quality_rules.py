@@ -6,14 +6,19 @@ that loses too much of its text is rejected.  A line fails
 * `punctuation`: it has at least `long_line` words and no sentence mark anywhere, or at least
   `shouted` of its words end in a run of marks no sentence uses (``***``, ``%%%``, ``!!`` ...);
 * `navigation`: at least `separated` of its tokens are menu separators, three or more of them;
-* `boilerplate`: at most `short_line` words around a stock phrase, or the line repeats an earlier
-  line of the document word for word.
+* `boilerplate`: at most `short_line` words around a stock phrase (of English, German, French or
+  Spanish, in any case; longer lines may quote one), or the line repeats an earlier line of the document.
+
+Words are the contract's everywhere: only ASCII white space ends them, so a no-break space, a line
+separator or the control characters U+001C to U+001F are parts of words.
 
 A document is rejected by the base rules (too few words, or over half of its words in repeated
 three-word windows) or if over `max_lost` of its word characters stand in removed lines.
 
 Null and empty texts have no words: they fail the base rules.  Repeated rows are judged each for
-itself.  An empty table gives an empty result.  Other columns of the input don't matter.
+itself.  An empty table gives an empty result.  Other columns of the input don't matter.  Long texts
+are read whole, block by block: windows are counted on numbers of words, so that memory stays at some
+fifteen times the longest text's bytes.  There are no ties: every document is judged by itself.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -37,7 +43,15 @@ SEPARATORS = {"|", "||", ">", ">>", "»", "›", "«", "•", "·", "/", "-", "
 PHRASES = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "enable javascript",
     "click here", "subscribe to our newsletter", "sign up for", "log in to", "skip to content", "back to top", "share on facebook", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "zum inhalt springen", "zum seitenanfang",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "accepter les cookies", "cliquez ici", "aller au contenu", "retour en haut",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos y condiciones", "aceptar cookies", "haga clic aquí", "ir al contenido", "volver arriba",
 )
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
+_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f]")
+#: Texts of more characters are counted on numbers of words, a block of so many characters at a time.
+LONG = 1 << 20
 _MARKED = re.compile(r"(?:[#*$%&|<>]+|!{2,}|\?{2,})$")
 _SENTENCE_MARK = re.compile(r"[.!?…。！？]")
 
@@ -51,20 +65,55 @@ class LineRules:
     max_lost: float = 0.5
 
 
-def base_counts(text: str) -> tuple[list[bytes], int, int, int, int]:
-    """Words, and the counts word_chars, n_symbols, n_dup_lines, n_repeat_words of the contract."""
-    words = text.encode("utf-8", "surrogatepass").split()
+def words_of(line: str) -> list[str]:
+    """The contract's words; where no other white space can stand, str.split finds the same ones faster."""
+    return line.split() if line.isascii() and not _OTHER_SPACE.search(line) else _WORDS.findall(line)
+
+
+def lowered(line: str) -> str:
+    """In lower case, character by character (str.lower makes two characters of a capital i with a dot)."""
+    return (line.replace("\u0130", "i") if "\u0130" in line else line).lower()
+
+
+def repeated_words(words: list[bytes]) -> int:
+    """Words in three-word windows that stand twice or more."""
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    if len(set(windows)) == len(windows):
+        return 0
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    hit = [w in often for w in windows]
+    return sum(map(any, zip([*hit, False, False], [False, *hit, False], [False, False, *hit], strict=True)))
+
+
+def long_counts(text: str, block: int = LONG) -> tuple[int, int]:
+    """Words, and those in repeated windows, of a long text: its words become numbers block by block."""
+    numbers: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + block)
+        end = cut.end() if cut else len(text)
+        parts.append(np.array([numbers.setdefault(w, len(numbers)) for w in text[at:end].encode("utf-8", "surrogatepass").split()], dtype=np.int64))
+        at = end
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if len(ids) < 3:
+        return len(ids), 0
+    pairs = np.unique(ids[:-1] * len(numbers) + ids[1:], return_inverse=True)[1]
+    _, same, n = np.unique(pairs[:-1] * len(numbers) + ids[2:], return_inverse=True, return_counts=True)
+    hit = np.concatenate((n[same] > 1, [False, False]))
+    return len(ids), int((hit | np.roll(hit, 1) | np.roll(hit, 2)).sum())
+
+
+def base_counts(text: str) -> tuple[int, int, int, int, int]:
+    """The counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the contract."""
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    repeated = 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) < len(windows):
-        often = {w for w, n in Counter(windows).items() if n > 1}
-        hit = [w in often for w in windows]
-        hit1, hit2 = [False, *hit], [False, False, *hit]
-        repeated = sum(map(any, zip([*hit, False, False], [*hit1, False], hit2, strict=True)))
-    return words, chars, symbols, len(lines) - len(set(lines)), repeated
+    if len(text) > LONG:
+        n, repeated = long_counts(text)
+    else:
+        words = text.encode("utf-8", "surrogatepass").split()
+        n, repeated = len(words), repeated_words(words)
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
 def line_fails(line: str, words: list[str], rules: LineRules) -> bool:
@@ -81,7 +130,7 @@ def line_fails(line: str, words: list[str], rules: LineRules) -> bool:
     elif sum(1 for w in words if w in SEPARATORS) >= max(3, rules.separated * n):
         return True
     if n <= rules.short_line:
-        low = line.lower()
+        low = lowered(line)
         return any(p in low for p in PHRASES)
     return False
 
@@ -90,7 +139,7 @@ def clean(text: str, rules: LineRules) -> tuple[str, float]:
     """The text without failing lines, and the share of word characters that went with them."""
     kept, seen, total, lost = [], set(), 0, 0
     for line in text.split("\n"):
-        words = line.split()
+        words = words_of(line)
         size = sum(map(len, words))
         total += size
         if words and (line in seen or line_fails(line, words, rules)):
@@ -105,9 +154,9 @@ def clean(text: str, rules: LineRules) -> tuple[str, float]:
 def judge(text: str | None, rules: LineRules, want_text: bool = False) -> dict:
     """All counts and verdicts of one document."""
     text = text or ""
-    words, chars, symbols, dup, repeat = base_counts(text)
-    failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-    out = {"n_words": len(words), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "lost": 0.0, "kept": False}
+    n_words, chars, symbols, dup, repeat = base_counts(text)
+    failed = n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n_words
+    out = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "lost": 0.0, "kept": False}
     if not failed or want_text:
         cleaned, out["lost"] = clean(text, rules)
         out["kept"] = not failed and out["lost"] <= rules.max_lost
@@ -151,7 +200,7 @@ words AS (
 lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc),
 judged AS (
-  SELECT doc_id, line, i, regexp_extract_all(line, '[^\s\x0B]+') AS w,
+  SELECT doc_id, line, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w,
          row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM lines),
 counted AS (
   SELECT doc_id, line, again, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS size,
@@ -160,7 +209,7 @@ counted AS (
   FROM judged WHERE len(w) > 0),
 failing AS (
   SELECT *, again OR (n >= 8 AND NOT regexp_matches(line, '[.!?…。！？]')) OR marked >= greatest(2, 0.3 * n) OR menu >= greatest(3, 0.2 * n)
-    OR (n <= 20 AND regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of use|terms of service|cookie policy|accept cookies|enable javascript|click here|subscribe to our newsletter|sign up for|log in to|skip to content|back to top|share on facebook|powered by')) AS fails
+    OR (n <= 20 AND regexp_matches(lower(line), 'PHRASES')) AS fails
   FROM counted),
 lost AS (
   SELECT doc_id, coalesce(sum(size) FILTER (WHERE fails), 0) / sum(size) AS lost, count(*) FILTER (WHERE again) AS n_dup_lines FROM failing GROUP BY doc_id),
@@ -178,4 +227,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 AS kept
 FROM base
-"""
+""".replace("PHRASES", "|".join(p.replace("'", "''") for p in PHRASES))

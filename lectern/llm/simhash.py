@@ -13,7 +13,9 @@ A group of over `split_over` fingerprints is dealt out again by the four 12-bit
 
 Nulls: a null text has no words and fingerprint zero, which links like any other.  A null doc_id
 gets a fingerprint and its component's smallest id (null if there is none).  Rows that repeat have
-equal fingerprints.  An empty table gives an empty result.  Extra columns are ignored.
+equal fingerprints.  An empty table gives an empty result.  Texts of any length are read whole, their
+shingles hashed in runs of 65,536.  Ties: a bit that exactly half of the hashes have is 0; a component
+is named by its smallest id.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,14 +129,32 @@ def trie_links(groups: np.ndarray, values: np.ndarray, budget: int = MAX_BITS) -
     return values[own], values[label[own]]
 
 
+#: Fingerprints that a task walks at once; groups are never cut.
+RUN = 1 << 20
+
+
 def _trie_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(b.column("grp").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-    if not parts:
-        return
-    groups, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-    a, b = trie_links(groups, values.view(np.uint64))
-    for at in range(0, len(a), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 18)].view(np.int64)), pa.array(b[at : at + (1 << 18)].view(np.int64))], names=["u", "v"])
+    """Rows come in order of group; a few groups are walked at a time."""
+
+    def links(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        groups, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, b = trie_links(groups, values.view(np.uint64))
+        for at in range(0, len(a), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 18)].view(np.int64)), pa.array(b[at : at + (1 << 18)].view(np.int64))], names=["u", "v"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        groups, values = batch.column("grp").to_numpy(), batch.column("fp").to_numpy()
+        if size + len(groups) > RUN and len(groups):
+            cut = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
+            if cut or (held and held[-1][0][-1] != groups[0]):
+                yield from links([*held, (groups[:cut], values[:cut])])
+                held, size, groups, values = [], 0, groups[cut:], values[cut:]
+        held.append((groups, values))
+        size += len(groups)
+    if size:
+        yield from links(held)
 
 
 def _parts(value, width: int, shifts: list[int], tag) -> F.Column:
@@ -158,7 +178,7 @@ def link_fingerprints(distinct: DataFrame, split_over: int = 100_000) -> DataFra
             rest = low.bitwiseOR(high)
             own = marked.where(F.col("is_large") & (F.shiftrightunsigned(F.col("grp"), 16) == block))
             keyed = keyed.unionByName(own.select("fp", F.explode(_parts(rest, 12, [0, 12, 24, 36], F.col("grp") + (1 << 18))).alias("grp")))
-    return keyed.repartition("grp").mapInArrow(_trie_task, "u long, v long")
+    return keyed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_trie_task, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -1,16 +1,19 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed features: words, pairs of neighbouring
-words (a word that repeats the one before has a feature of its own), and byte n-grams.  A softmax
-layer reads the average.  Vectors and layer are trained by stochastic gradient descent in numpy on a
-bounded sample (`max_train` labelled documents, whole texts; the executors count their features).
+words (a word that repeats the one before has a feature of its own), and n-grams of three and four
+characters within words.  A softmax layer reads the average.  All kinds of features share one table of
+65,536 buckets, so some share a vector.  Vectors and layer are trained by stochastic gradient descent
+in numpy on a bounded sample of labelled documents (`Training.max_train` documents, whole texts of
+`Training.max_bytes` together, none of over a sixteenth of that; the executors count their features).
 
 The layer is linear, so a trained model collapses to one number per hash bucket; scoring sums these
-over all features of whole texts in numpy.  What is broadcast has a fixed size.
+over all features of whole texts, however long, in numpy.  What is broadcast has a fixed size.
 
 Nulls: null and empty texts have no features and get the score of the bias.  Missing labels are left
-out of the sample; with no labelled rows, or one class only, every score is the share of label 1
-(0.5 without any).  Repeated rows are scored each for itself.  Extra columns are ignored.
+out of the sample; of contradicting labels of one document 1 counts; with no labelled rows, or one class
+only, every score is the share of label 1 (0.5 without any).  Repeated rows are scored each for itself.
+Ties: a score of exactly 0.3 is predicted 1.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ GRAMS = (3, 4)
 @dataclass(frozen=True)
 class Training:
     max_train: int = 3000
+    max_bytes: int = 16 << 20
     dim: int = 16
     epochs: int = 6
     rate: float = 40.0
@@ -52,17 +56,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         pairs = np.where(words[:-1] == words[1:], np.uint64(1), K.mix64(words[:-1] * np.uint64(3) + words[1:]))
         at = np.concatenate(([0], np.cumsum(inner)))
         yield (pairs[inner] & np.uint64(BUCKETS - 1)).astype(np.int64), at[np.clip(firsts, 0, len(inner))]
-    _, down = K.powers(len(prefix))
+    inside = K.TEXT_WORD[data] & ((data & 0xC0) != 0x80)  # first bytes of the words' characters
+    place = np.flatnonzero(inside)
+    word = np.searchsorted(starts, place, side="right") - 1
+    after = np.append(place[1:], len(data))
+    after = np.minimum(after, ends[word]) if len(place) else place  # where each character ends
     for n in GRAMS:
-        if len(data) < n:
-            continue
-        inner = np.ones(len(data) - n + 1, dtype=bool)
-        for k in range(1, n):  # n-grams that would pass a document's end
-            cut = offsets[1:] - k
-            inner[cut[(cut >= 0) & (cut < len(inner))]] = False
-        grams = ((prefix[n:] - prefix[:-n]) * down[: len(data) - n + 1]) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
-        at = np.concatenate(([0], np.cumsum(inner)))
-        yield (grams[inner] >> np.uint64(48)).astype(np.int64), at[np.clip(offsets, 0, len(inner))]
+        some = np.flatnonzero(word[: len(word) - n + 1] == word[n - 1 :]) if len(word) >= n else np.zeros(0, np.int64)
+        grams = K.range_hash(prefix, place[some], after[some + n - 1]) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+        yield (grams >> np.uint64(48)).astype(np.int64), np.searchsorted(word[some], firsts)
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def train(documents: list[tuple[int, bytes, bytes]], how: Training) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", how: Training | None = None) -> Model:
     """A model from a bounded sample, trained on the driver."""
     how = how or Training()
-    rows = counted(sample(docs, labels, label, how.max_train)).collect()
+    rows = counted(sample(docs, labels, label, how.max_train, how.max_bytes)).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, bytes(r.ids)))
     return train([(r.y, bytes(r.ids), bytes(r.counts)) for r in rows], how)
 

@@ -4,7 +4,7 @@ A file holds the ids of consecutive documents.  Its frequency table, scaled to a
 shared by all its blocks; a block of 65,536 ids is coded by 64 interleaved 64-bit states that share
 one stream of 32-bit words.  The block index is a list of checkpoints (first id, first word, the
 states) with a CRC-32 of each block's ids, so that blocks decode independently and in parallel, and
-all blocks of a file go through numpy together.
+32 blocks at a time go through numpy together.  A file holds about eight million ids (some 14 MB).
 
     magic "LTOK0001" | header length u32 | header JSON | sections, zlib-packed as the header says:
     symbols u32, frequencies u32, doc ids i64 and null flags, doc lengths u64, words per block u64,
@@ -13,11 +13,13 @@ all blocks of a file go through numpy together.
 Documents are brought in doc_id order by a range shuffle of their texts; each partition tokenises,
 codes and writes its documents, so that ids are never shuffled.  Texts are split where the byte-level
 pre-tokeniser surely splits them (before a single space or line feed between other characters) and
-the pieces' ids are kept in a bounded memo, which gives the same ids as coding the text at once.
+the pieces' ids are kept in a memo bounded by its bytes, which gives the same ids as coding the text at
+once; pieces of over 64 characters (text without spaces) are coded each time.
 
 Nulls: a null text is empty and has the end id only.  A null doc_id sorts first.  Repeated rows are
 documents of their own, in an order among them that depends on their text only.  An empty table gives
-no files and no rows.  Extra columns are ignored.
+no files and no rows.  Texts of any length are coded whole; one of over eight million ids is a file of
+its own.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ MAGIC = b"LTOK0001"
 BLOCK = 1 << 16
 LANES = 64
 LOW = np.uint64(1 << 32)
-FILE_IDS = 1 << 21
-MEMO = 600_000
+FILE_IDS = 1 << 23
+GROUP = 32  # blocks that are coded together
+#: Bytes of a worker's memo, what an entry needs besides its text and ids, and the longest piece it keeps.
+MEMO_BYTES, ENTRY_BYTES, LONGEST_PIECE = 96 << 20, 180, 64
 
 
 def scaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -130,7 +134,9 @@ def pack_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, o
     else:
         present, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
     freq, bits = scaled(counts)
-    words, per_block, states = rans_encode(dense, freq, bits)
+    dense = dense.astype(np.uint32)
+    coded = [rans_encode(dense[i : i + GROUP * BLOCK], freq, bits) for i in range(0, len(dense), GROUP * BLOCK)]
+    words, per_block, states = (np.concatenate(x) for x in zip(*coded, strict=True))
     checks = np.array([zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)], dtype="<u4")
     parts = {
         "symbols": present.astype("<u4"), "freq": freq.astype("<u4"), "doc_ids": np.array([d or 0 for d in doc_ids], dtype="<i8"), "doc_null": np.array([d is None for d in doc_ids], dtype="u1"),
@@ -153,8 +159,12 @@ def unpack_file(data: bytes) -> tuple[dict, list[int | None], np.ndarray, np.nda
         at += length
     words = np.frombuffer(data, "<u4", header["words"], at)
     freq = got["freq"].astype(np.int64)
-    dense = rans_decode(words, got["per_block"].astype(np.int64), got["states"].reshape(-1, LANES), header["ids"], freq, header["bits"])
-    ids = got["symbols"][dense].astype("<u4")
+    per_block, states, ids, word = got["per_block"].astype(np.int64), got["states"].reshape(-1, LANES), np.empty(header["ids"], "<u4"), 0
+    for k in range(0, len(per_block), GROUP):
+        own = per_block[k : k + GROUP]
+        part = ids[k * BLOCK : (k + GROUP) * BLOCK]
+        part[:] = got["symbols"][rans_decode(words[word : word + int(own.sum())], own, states[k : k + GROUP], len(part), freq, header["bits"])]
+        word += int(own.sum())
     for k, check in enumerate(got["checks"]):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) != check:
             raise ValueError(f"block {k} doesn't match its checksum")
@@ -185,7 +195,7 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, special: tuple[str, ...]) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.special, self.marks = tokenizer, tokenizer.model, special, {}
+        self.tokenizer, self.model, self.special, self.marks, self.size = tokenizer, tokenizer.model, special, {}, 0
         self.line = self.coded("\n")
 
     @staticmethod
@@ -200,12 +210,12 @@ class Pieces(dict):
         word = body.rstrip(self.BEHIND)
         if word.isalpha() and len(word) < len(body):
             marks = body[len(word) :]
-            if marks not in self.marks:
-                if len(self.marks) >= MEMO:
-                    self.marks.clear()
-                self.marks[marks] = self.coded(marks)
-            got = self[piece[: -len(marks)]] + self.marks[marks]
-            self[piece] = got
+            end = self.marks.get(marks)
+            if end is None:
+                end = self.coded(marks)
+                self.keep(self.marks, marks, end)
+            got = self[piece[: -len(marks)]] + end
+            self.keep(self, piece, got)
             return got
         if word.isalpha():
             token = (lead + word).encode().decode("latin-1").translate(self.LETTERS)
@@ -216,11 +226,19 @@ class Pieces(dict):
             got = self.coded(lead + body)
         if piece[:1] == "\n":
             got = self.line + got
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = got
+        self.keep(self, piece, got)
         return got
 
+    def keep(self, memo: dict[str, bytes], piece: str, got: bytes) -> None:
+        if len(piece) > LONGEST_PIECE:
+            return
+        self.size += len(piece) + len(got) + ENTRY_BYTES
+        if self.size > MEMO_BYTES:
+            self.clear()
+            self.marks.clear()
+            self.size = 0
+        memo[piece] = got
+
     def document(self, text: str) -> bytes:
         if not text:
             return b""
@@ -296,10 +314,13 @@ def read_token_files(spark, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     found = materialize(files.mapInArrow(work, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-docs")
-    sizes = found.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    sizes = materialize(sizes.select("part", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "token-file-starts")
-    return found.join(sizes, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    # ids before a file: those of earlier partitions (one row each in a window), then of earlier files of its own
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = materialize(found.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n")), "token-files")
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("before_part"))
+    starts = files.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("before")).join(parts, "part")
+    starts = materialize(starts.select("part", "seq", (F.col("before") + F.col("before_part")).alias("before")), "token-file-starts")
+    return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ def corpus(seed=3):
         texts[k] += "\n" + passage
     texts += [texts[1], texts[1], texts[4] + " extra.", "Dear " + texts[5][3:], texts[6][:200] + "X" + texts[6][201:]]
     texts += [None, "", " \n\t ", "one", "two words", " ".join(["same"] * 400), "x" * 5000, "ÄÖÜ " * 30, "\n".join([sentence(9)] * 6)]
+    odd = [sentence(9)[:-1].replace(" ", c) + " " + sentence(9) for c in "\xa0\u3000\x1c\x1f\u2028"]
+    texts += ["\n".join(odd * 2 + [sentence(12) for _ in range(6)]), "\r".join(odd) + " TOUS DROITS RÉSERVÉS\n" + "\n".join(sentence(10) for _ in range(8)) + "\nTous Droits Réservés.\nAccept cookİes.\nClicK here. \u212a"]
     texts += [" | ".join(vocab[:40]), "A\x0bb\x0cc\rd\x1ce  f g", "\n".join(sentence(12) for _ in range(900))]
     return [(i * 2 + 1, t, f"src{i % 4}" if i % 7 else None) for i, t in enumerate(texts)]
 
@@ -35,7 +37,7 @@ def tables(tmp_path_factory):
     rng = random.Random(5)
     rows = corpus()
     rng.shuffle(rows)
-    bench = [(1, rows[3][1] or "none"), (2, "short one here"), (3, None), (4, " ".join((rows[8][1] or "a b").split()[5:25])), (10, "!!"), (4, "two words")]
+    bench = [(1, rows[3][1] or "none"), (2, "short one here"), (3, None), (4, " ".join((rows[8][1] or "a b").split()[5:25])), (10, "!!"), (4, "two words"), (None, "dear "), (None, " ".join((rows[12][1] or "c d").split()[1:9]))]
     bench += [(20 + k, " ".join(t.split()[2:16])) for k, (_, t, _) in enumerate(rows) if t and len(t.split()) > 30][:8]
     pages = [(3, "http://a.example/x y?z", "<p>é</p>"), (1, None, None), (2, "http://b.example", "<p>é</p>"), (9, "http://c.example", ""), (5, "ftp://d", "WARC/1.1\r\n\r\nHTTP/1.1 200\r\n\r\nx"), (6, "http://e", "a\nb\r\nc\r\n\r\n"), (7, "http://f", "<p>é</p>"), (8, "", "z" * 300_000)]
     labels = [(r[0], None if k % 9 == 0 else int(k % 3 > 0), int(k % 4 == 0)) for k, r in enumerate(rows)]

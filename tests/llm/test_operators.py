@@ -43,6 +43,71 @@ def test_repeated_rows_and_null_ids(spark, tables, name):
     assert sorted((r[key] for r in got.select(key).collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("name", ["op1_warc", "op3_decontaminate", "op4_quality_rules"])
+def test_values_on_repeated_rows(spark, tables, name):
+    """Against the SQL; documents get numbers there, since the SQL groups by their id."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tables.repeated}/pages.parquet'; CREATE VIEW benchmark AS SELECT * FROM '{tables.repeated}/benchmark.parquet'")
+    con.sql(f"CREATE TABLE named AS SELECT *, row_number() OVER () AS n FROM '{tables.repeated}/documents.parquet'; CREATE VIEW documents AS SELECT n AS doc_id, text FROM named")
+    got, want = queries.QUERIES[name](spark, tables.repeated), con.sql(queries.ORACLES[name])
+    if name != "op1_warc":
+        want = con.sql(f"SELECT k.doc_id, q.* EXCLUDE (doc_id) FROM ({queries.ORACLES[name]}) q JOIN named k ON q.doc_id = k.n")
+    names = sorted(got.columns)
+    index = [want.columns.index(n) for n in names]
+    assert rows_of(got) == sorted((tuple(r[i] for i in index) for r in want.fetchall()), key=str)
+
+
+def test_files_and_fingerprints_of_repeated_rows(spark, tables):
+    """Rows with equal texts get equal values, whatever their ids."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
+    want = []
+    for i, text, _ in tables.repeated_rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((i, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)))
+    got = token_files.op7_token_files(spark, tables.repeated).collect()
+    assert sorted(((r.doc_id, r.ids_crc32, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    marks = simhash.op6_simhash(spark, tables.repeated).collect()
+    assert sorted(((r.doc_id, r.fingerprint) for r in marks), key=str) == sorted(((i, f"{simhash.fingerprint((t or '').encode()):016x}") for i, t, _ in tables.repeated_rows), key=str)
+    least = {}
+    for r in marks:
+        least.setdefault(r.fingerprint, set()).add(r.component_id)
+    assert all(len(x) == 1 for x in least.values())
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_long_texts_are_counted_in_blocks(block):
+    rng = np.random.default_rng(block)
+    for _ in range(60):
+        text = "".join(rng.choice(list("ab é\xa0\x1c\n"), int(rng.integers(0, 80))))
+        words = WORD.findall(text.encode())
+        assert quality_rules.long_counts(text, block) == (len(words), quality_rules.repeated_words(words))
+
+
+def test_trie_tasks_keep_groups_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    groups = np.sort(rng.integers(0, 9, 400))
+    values = rng.integers(0, 200, 400)
+    once = np.unique(np.stack((groups, values), axis=1), axis=0)
+    batches = [pa.RecordBatch.from_arrays([pa.array(once[a : a + 13, 0]), pa.array(once[a : a + 13, 1])], names=["grp", "fp"]) for a in range(0, len(once), 13)]
+
+    def found():
+        return {(int(u), int(v)) for b in simhash._trie_task(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+
+    whole = found()
+    monkeypatch.setattr(simhash, "RUN", 20)
+    assert found() == whole and whole
+
+
 def repeats_brute(rows, split, window):
     """For each row: units and which of them stand in windows that start in a smaller id."""
     units = [split((t or "").encode()) for _, t, _ in rows]
@@ -270,7 +335,7 @@ def test_benchmark_rows_without_id(spark, block_bytes):
     docs = spark.createDataFrame([(1, "so one two three then"), (2, "four five"), (3, "none")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, "four five"), (None, None)], "item_id long, text string")
     got = {r.doc_id: r for r in fm_index.removal_spans(fm_index.decontaminate(docs, bench, block_bytes=block_bytes)).collect()}
-    assert {i: (len(r.hit_from), r.item_ids, r.clean_text) for i, r in got.items()} == {1: (3, [None], "so  then"), 2: (2, ["7", None], ""), 3: (0, [], "none")}
+    assert {i: (len(r.hit_from), r.item_ids, r.clean_text) for i, r in got.items()} == {1: (3, [], "so  then"), 2: (2, ["7"], ""), 3: (0, [], "none")}
 
 
 def test_fm_index_search_and_locate():
@@ -315,19 +380,182 @@ def test_targets_clamp_and_reshare(spark):
     assert got == {"a": 20, "b": 200, "c": 1.5 * 10_110 - 220, None: 0}
 
 
-SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
+
+
+def held_out_scores(spark, query, label):
+    got = query(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    y, rank = got[label].to_numpy() == 1, got.score.rank().to_numpy()
+    auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    return got, y, got.predicted.to_numpy() == 1, auc
 
 
 def test_quality_classifier_held_out(spark):
-    got = subwords.op5_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out")
-    good = got.where("predicted = quality").count()
-    assert good >= 0.9 * got.count()
-    assert got.where("score < 0 or score > 1").count() == 0
+    got, y, said, auc = held_out_scores(spark, subwords.op5_quality_classifier, "quality")
+    assert got.score.between(0, 1).all()
+    assert auc >= 0.99 and said[y].mean() >= 0.98 and (~said[~y]).mean() >= 0.98
 
 
 def test_toxicity_held_out(spark):
-    got = noisy_channel.op10_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out")
-    assert got.where("predicted = toxic").count() >= 0.85 * got.count()
+    """Documents with a word that many toxic ones and no clean ones have are all found; some labels mark documents without anything of the kind, which bounds the plain recall."""
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: set(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in docs.join(labels, "doc_id", "left_semi").collect()}
+    toxic, clean = {}, set()
+    for r in labels.where(~noisy_channel.held_out()).collect():
+        if r.toxic:
+            for w in texts[r.doc_id]:
+                toxic[w] = toxic.get(w, 0) + 1
+        else:
+            clean |= texts[r.doc_id]
+    lexicon = {w for w, n in toxic.items() if n >= 40 and w not in clean}
+    got, y, said, auc = held_out_scores(spark, noisy_channel.op10_toxicity, "toxic")
+    named = np.array([bool(texts[i] & lexicon) for i in got.doc_id])
+    assert len(lexicon) >= 5 and (y & named).sum() >= 40
+    assert said[y & named].all() and (~said[~y]).mean() >= 0.99
+    assert said[y].mean() >= 0.88 and auc >= 0.95
+
+
+def hash_of(data):
+    return int(kernels.range_hash(kernels.prefix_hash(kernels.BYTE_VALUE[np.frombuffer(data, np.uint8)]), np.array([0]), np.array([len(data)]))[0])
+
+
+def mixed(value):
+    return int(kernels.mix64(np.array([value % 2**64], np.uint64))[0])
+
+
+def brute_quality(text, model):
+    """A document's score from its features one by one."""
+    words, buckets = WORD.findall(text.encode()), []
+    hashes = [hash_of(w) for w in words]
+    buckets += [h % subwords.BUCKETS for h in hashes]
+    buckets += [(1 if a == b else mixed(a * 3 + b)) % subwords.BUCKETS for a, b in zip(hashes, hashes[1:], strict=False)]
+    for w in words:
+        chars = w.decode()
+        for n in (3, 4):
+            buckets += [hash_of(chars[k : k + n].encode()) * (0x9E3779B97F4A7C15 + 2 * n) % 2**64 >> 48 for k in range(len(chars) - n + 1)]
+    logit = sum(model.table[b] for b in buckets) / max(1, len(buckets)) + model.bias
+    return 1 / (1 + np.exp(-logit))
+
+
+@pytest.mark.parametrize("which", ["full", "repeated"])
+def test_quality_scores_brute(spark, tables, which):
+    docs, labels = (spark.read.parquet(f"{getattr(tables, which)}/{t}.parquet") for t in ("documents", "labels"))
+    model = subwords.fit(docs, labels)
+    assert len(set(model.table.tolist())) > 100
+    rows = tables.rows if which == "full" else tables.repeated_rows
+    want = sorted(((i, brute_quality(t or "", model)) for i, t, _ in rows), key=str)
+    got = sorted(((r.doc_id, r.score) for r in subwords.score(docs, model).collect()), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert sorted(g[1] for g in got) == pytest.approx(sorted(w[1] for w in want), abs=2e-9)
+
+
+def brute_entries(word, longest=True):
+    return {hash_of(word), *(mixed(hash_of(word[:n]) + n) for n in (4, 5, 6) if longest and len(word) > n)}
+
+
+def brute_disguised(text):
+    """Tokens and runs of single letters that may be disguised, found token by token."""
+    letter = lambda c: "a" <= c <= "z" or ord(c) >= 128
+    size = lambda s: len(s.encode())
+    found, run = [], []
+    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
+
+    def end_run():
+        if len(run) >= 3:
+            found.append(text[run[0][0] : run[-1][1]])
+        run.clear()
+
+    for a, b, t in tokens:
+        signs = [c in "0123456789" or c in noisy_channel.IMITATES for c in t]
+        letters = [letter(c) for c in t]
+        n_letters = sum(size(c) for c, x in zip(t, letters, strict=True) if x)
+        ending = t[-1] in "@$!|+(<%#"
+        solid = [x or y for x, y in zip(signs, letters, strict=True)]
+        inner = any(not solid[k] and any(solid[:k]) and any(solid[k + 1 :]) for k in range(len(t)))
+        twice = any(x == y and letter(x) for x, y in zip(t, t[1:], strict=False))
+        alone = (n_letters == 1 or sum(signs) == 1) and size(t) <= 2
+        if n_letters and (sum(signs) - ending >= 1 or inner or twice) and not alone:
+            found.append(t)
+        if run and (not alone or a - run[-1][1] != 1):
+            end_run()
+        if alone:
+            run.append((a, b))
+    end_run()
+    return found
+
+
+def brute_toxicity(text, model):
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    known = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    hashes = set().union(*(brute_entries(w) for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low.encode())))
+    for token in brute_disguised(low):
+        for piece in noisy_channel.pieces(token):
+            for reading in noisy_channel.readings(piece, model.costs):
+                parts = [p.encode() for p in reading.split(noisy_channel.GLUE) if p]
+                for i in range(len(parts)):
+                    for j in range(i + 1, len(parts) + 1):
+                        hashes |= brute_entries(b"".join(parts[i:j]), longest=j == len(parts))
+    total = min(noisy_channel._MOST, sum(known.get(h, 0.0) for h in hashes))
+    return 1 / (1 + np.exp(-(model.slope * total + model.bias)))
+
+
+def test_toxicity_scores_brute(spark):
+    rng = np.random.default_rng(8)
+    plain = ["the", "house", "stands", "near", "water", "and", "people", "walk", "there", "often", "é", "日本"]
+    bad = ["idiot", "stupid", "1d10t", "s t u p i d", "id-iot", "stuuupid", "i.d.i.o.t", "such a i d i o t x"]
+    texts = []
+    for k in range(160):
+        words = [plain[i] for i in rng.integers(0, 12, 25)] + [f"w{k}q{j}" for j in range(12)]
+        if k % 4 == 0:
+            words[int(rng.integers(0, 20))] = bad[0] if k < 80 else bad[k // 4 % 8]
+        texts.append(" ".join(words))
+    texts += ["", None, "a " * 40, "IDIOT!!! st.upid " + "x" * 200, "\x1c i\x1cdiot 1d¡0t"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(120)], "doc_id long, toxic int")
+    model = noisy_channel.fit(docs, labels)
+    assert len(model.hashes) and model.slope > 0
+    got = {r.doc_id: r.score for r in noisy_channel.score(docs, model).collect()}
+    want = {k: brute_toxicity(t or "", model) for k, t in enumerate(texts)}
+    assert got == pytest.approx(want, abs=2e-9)
+    assert len({round(v, 6) for v in want.values()}) > 1
+
+
+@pytest.mark.parametrize("word", ["1d10t", "!d!ot", "i-d1t", "a.b", "aab", "x1", "¡i", "iiit", "@@s"])
+def test_readings_are_the_cheapest(word):
+    import itertools
+
+    costs, edge = language(["idiot", "audio", "bat", "the", "ab"] * 20), noisy_channel.EDGE
+    best = {}
+    for path in itertools.product(*noisy_channel.lattice(word)):
+        cost, a, b, text = 0.0, edge, edge, ""
+        for c, fee in path:
+            cost += fee
+            if c == noisy_channel.GAP:
+                if b == edge:
+                    break
+                cost, a, b, text = cost + costs[a, b, edge], edge, edge, text + noisy_channel.GLUE
+            elif c == noisy_channel.GLUE:
+                text += c
+            elif c:
+                k = noisy_channel.letter(c)
+                cost, a, b, text = cost + costs[a, b, k], b, k, text + c
+        else:
+            cost += costs[a, b, edge] if b != edge else 0.0
+            if text.strip(noisy_channel.GLUE):
+                best[text] = min(cost, best.get(text, np.inf))
+    want = [t for t, _ in sorted(best.items(), key=lambda x: x[1])]
+    got = noisy_channel.readings(word, costs)
+    assert [best[t] for t in got] == pytest.approx([best[t] for t in want[: len(got)]])
+
+
+def test_samples_are_bounded(spark):
+    from lectern.llm.labelled import sample
+
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(200)] + [(k, "x" * 100) for k in range(50)] + [(300, "y" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in [*range(200), 300]], "doc_id long, quality int")
+    rows = sample(docs, labels, "quality", 1000, 4000).collect()
+    assert len(rows) == 40 and len({r.doc_id for r in rows}) == 40 and all(len(r.text) == 100 for r in rows)
+    assert len(sample(docs, labels, "quality", 7, 1 << 20).collect()) <= 7
 
 
 def language(words):

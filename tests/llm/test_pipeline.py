@@ -1,13 +1,17 @@
 """The pipeline against a brute-force version, stage by stage, and on awkward tables."""
 
+import hashlib
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from lectern.llm import mixing, quality_rules, simhash, token_files
+from lectern.llm import quality_rules, token_files
+
+TEXT_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -40,15 +44,72 @@ def without_passages(text, bench):
     return "".join(out) + text[at:]
 
 
-def brute(spark, rows, bench):
-    rules = quality_rules.LineRules()
-    kept = []
-    for i, text, source in rows:
-        found = quality_rules.judge(text, rules, want_text=True)
-        if found["kept"]:
-            kept.append((i, found["clean_text"], source))
-    kept.sort()
-    marks, stay = [simhash.fingerprint(t.encode()) for _, t, _ in kept], []
+def kept_lines(text):
+    """The text without failing lines, or None if the rules reject it: the module's rules, said again."""
+    text = text or ""
+    words = TEXT_WORD.findall(text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    repeated = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)} if len(set(windows)) < len(windows) else ()
+    if len(words) < 50 or 2 * len(repeated) > len(words):
+        return None
+    kept, seen, lost = [], [], 0
+    for line in text.split("\n"):
+        own = TEXT_WORD.findall(line)
+        n = len(own)
+        shouted = sum(bool(re.search(r"([#*$%&|<>]+|!!+|\?\?+)$", w)) for w in own)
+        menu = sum(w in quality_rules.SEPARATORS for w in own)
+        phrase = n <= 20 and any(p in line.replace("\u0130", "i").lower() for p in quality_rules.PHRASES)
+        fails = line in seen or (n >= 8 and not set(line) & set(".!?…。！？")) or (shouted >= 2 and shouted >= 0.3 * n) or (menu >= 3 and menu >= 0.2 * n) or phrase
+        if own and fails:
+            lost += sum(map(len, own))
+        else:
+            kept.append(line)
+        if own:
+            seen.append(line)
+    return "\n".join(kept) if lost <= 0.5 * sum(map(len, words)) else None
+
+
+def fingerprint(text):
+    words = TEXT_WORD.findall("".join(c.lower() if c.isascii() else c for c in text))
+    if not words:
+        return 0
+    k = min(3, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def mixed(rows):
+    """For rows (id, text, source): (id, whole copies, words of a part, size), by water-filling in rounds."""
+    sizes = [len(TEXT_WORD.findall(t)) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    total = {s: sum(n for n, r in zip(sizes, rows, strict=True) if r[2] == s) for s in sources}
+    target, left, free = {}, 1.5 * sum(sizes), list(sources)
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        over = [s for s in free if level * weight[s] > 2 * total[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2 * total[s]
+            left -= target[s]
+            free.remove(s)
+    target |= {s: level * weight[s] for s in free}
+    out = []
+    for s in sources:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        rest = round(target[s] - whole * total[s])
+        own = [(hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), i, n) for (i, _, src), n in zip(rows, sizes, strict=True) if src == s]
+        for _, i, n in sorted(own):
+            part = max(0, min(n, rest))
+            rest -= part
+            out.append((i, whole, part, n))
+    return out
+
+
+def brute(rows, bench):
+    kept = sorted((i, clean, source) for i, text, source in rows if (clean := kept_lines(text)) is not None)
+    marks = [fingerprint(t) for _, t, _ in kept]
     label = list(range(len(kept)))
     for _ in kept:
         for a in range(len(kept)):
@@ -57,15 +118,11 @@ def brute(spark, rows, bench):
                     label[a] = label[b] = min(label[a], label[b])
     stay = [r for k, r in enumerate(kept) if label[k] == k]
     clean = [(i, without_passages(t, bench), s) for i, t, s in stay]
-    frame = spark.createDataFrame(clean, "doc_id long, text string, source string")
-    taken = {r.doc_id: r for r in mixing.mix(frame).collect()}
-    copies = []
-    for i, t, _ in clean:
-        copies += [(i, t)] * taken[i].whole
-        if taken[i].part >= taken[i].size > 0:
-            copies.append((i, t))
-        elif taken[i].part:
-            copies.append((i, " ".join(re.findall(r"[^\x20\x09-\x0D]+", t)[: taken[i].part])))
+    texts, copies = {i: t for i, t, _ in clean}, []
+    for i, whole, part, size in mixed(clean):
+        copies += [(i, texts[i])] * (whole + (part >= size > 0))
+        if 0 < part < size:
+            copies.append((i, " ".join(TEXT_WORD.findall(texts[i])[:part])))
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
@@ -78,7 +135,7 @@ def brute(spark, rows, bench):
 
 def test_pipeline_equals_brute_force(spark, tables):
     got = corpus_pipeline.run(spark, tables.full).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == brute(spark, tables.rows, tables.bench)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == brute(tables.rows, tables.bench)
     at = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
