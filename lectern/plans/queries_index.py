@@ -15,6 +15,7 @@ from lectern.operators import answer, chunking, registry, retrieve, tfidf, vecto
 from lectern.plans import store
 from lectern.plans.queries_text import DEDUP, NOISE, NORM, SENTENCES
 from lectern.plans.storage import materialize, new_path
+from lectern.providers import OverlapReranker
 
 
 def _documents(spark: SparkSession, d: str, maps: bool = True) -> DataFrame:
@@ -131,6 +132,12 @@ def hybrid_topk(spark, d):
 _KEY_WORDS = 6
 
 
+def rerank_pairs(spark, d):
+    """Candidates ranked anew by a pair scorer; their scores stay those of retrieval."""
+    r = retrieve.rerank(_hybrid(spark, d), SMALL, OverlapReranker)
+    return r.select("q_id", "kb_id", "chunk_idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _runs_of_words(n: int) -> Column:
     """The distinct runs of n words of an array w."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
@@ -203,16 +210,25 @@ def message_history(spark, d):
     return registry.append_turn(old, done, turns).select("kb_id", "turn", "role", "content", "answer_text", "attr_text", F.size("extras").alias("n_extras"))
 
 
-def index_roundtrip(spark, d):
-    """Postings of an index that was stored in two parts, the second over some of the first, and read back."""
+def _stored(spark, d) -> retrieve.Index:
+    """An index that was stored in two parts, the second over some of the first, and read back."""
     index, path = _index(spark, d), new_path(spark, "index")
-    postings = materialize(index.postings, "postings")
-    index = retrieve.Index(index.chunks, materialize(index.vocab, "vocab"), postings)
+    index = retrieve.Index(index.chunks, index.vocab, materialize(index.postings, "postings"))
     part = lambda cond: retrieve.Index(*(getattr(index, p).where(cond) for p in store.PARTS))
-    store.save(part("kb_id % 3 <> 0"), path, SMALL)
-    store.save(part("kb_id % 3 <> 1"), path, SMALL)
-    back = store.load(spark, path, SMALL)
-    return back.postings.select("kb_id", "chunk_idx", "term", F.round("weight", 6).alias("weight"))
+    store.save(part("kb_id % 3 <> 0"), path, SMALL, slots=8)
+    store.save(part("kb_id % 3 <> 1"), path, SMALL, slots=8)
+    return store.load(spark, path, SMALL)
+
+
+def index_roundtrip(spark, d):
+    """Postings of a stored index."""
+    return _stored(spark, d).postings.select("kb_id", "chunk_idx", "term", F.round("weight", 6).alias("weight"))
+
+
+def vocabulary_roundtrip(spark, d):
+    """The vocabulary of a stored index, through its JSON export."""
+    rows = store.vocabulary_json(_stored(spark, d).vocab).select("kb_id", F.from_json("json", "terms array<struct<term:string,idf:double>>").alias("j"))
+    return rows.select("kb_id", F.posexplode("j.terms").alias("number", "t")).select("kb_id", "number", "t.term", F.round("t.idf", 6).alias("idf"))
 
 
 def missing_index(spark, d):
@@ -223,7 +239,7 @@ def missing_index(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     chunk_docs_default, chunk_docs_small, indexable, attributed_chunks, asof_section, tfidf_vocab, tfidf_weights, sparse_scores, score_sentences, dense_topk, mmr_select, hybrid_topk,
-    retrieval_recall, extractive_answer, answer_html, focused_passage, evidence_pack, extras, context_pack, message_history, index_roundtrip, missing_index,
+    retrieval_recall, extractive_answer, answer_html, focused_passage, evidence_pack, extras, context_pack, message_history, rerank_pairs, index_roundtrip, vocabulary_roundtrip, missing_index,
 )}
 
 
@@ -381,5 +397,9 @@ SELECT kb_id, t::INT AS turn, CASE WHEN t % 2 = 0 THEN 'user' ELSE 'assistant' E
 UNION ALL SELECT g.kb_id, next, 'user', question, NULL, NULL, NULL FROM given g JOIN asks a USING (q_id, kb_id)
 UNION ALL SELECT kb_id, next + 1, 'assistant', NULL, answer_text, attr_text, CASE WHEN relevant THEN (SELECT count(*) FROM extras_ e WHERE e.q_id = g.q_id AND e.kb_id = g.kb_id) ELSE 0 END::INT FROM given g""",
     "index_roundtrip": _with(*_TO_INDEX) + "SELECT kb_id, chunk_idx, term, round(weight, 6) AS weight FROM postings",
+    "vocabulary_roundtrip": _with(*_TO_INDEX) + "SELECT kb_id, (row_number() OVER (PARTITION BY kb_id ORDER BY term) - 1)::INT AS number, term, round(idf, 6) AS idf FROM vocab",
+    "rerank_pairs": _with(*_TO_HYBRID, r"""paired AS (
+  SELECT h.q_id, h.kb_id, h.chunk_idx, h.score, h.rank, len(list_filter(list_distinct(string_split_regex(trim(a.question), '\s+')), lambda x: list_contains(string_split(c.chunk, ' '), x))) AS pair
+  FROM hybrid h JOIN chunks c ON c.kb_id = h.kb_id AND c.chunk_idx = h.chunk_idx JOIN asks a ON a.q_id = h.q_id AND a.kb_id = h.kb_id)""") + "SELECT * FROM (SELECT q_id, kb_id, chunk_idx, round(score, 6) AS score, row_number() OVER (PARTITION BY q_id, kb_id ORDER BY pair DESC, rank) AS rank FROM paired) WHERE rank <= 5",
     "missing_index": _with(_SMALL) + "SELECT doc_id AS kb_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id NOT IN (SELECT kb_id FROM chunks0 GROUP BY kb_id HAVING count(*) >= 2)",
 }

@@ -75,6 +75,13 @@ class HashingEmbedder:
         return np.stack(rows) if rows else np.zeros((0, self.dim))
 
 
+class OverlapReranker:
+    """Scores a pair by the number of distinct words that question and chunk share: a stand-in for a model that SQL can follow."""
+
+    def score(self, questions: Iterable[str], chunks: Iterable[str]) -> np.ndarray:
+        return np.array([float(len({*q.split()} & {*c.split()})) for q, c in zip(questions, chunks, strict=True)])
+
+
 class FunctionGenerator:
     """A generator around a function of one prompt; whatever it raises counts as no answer."""
 

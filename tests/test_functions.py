@@ -2,6 +2,7 @@
 
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,103 @@ def test_text_of_templates_is_left_out():
     page = "<html><body><template>hidden</template><ruby>kan<rp>(</rp><rt>reading</rt></ruby><p>" + "enough text for a page " * 6 + "</p></body></html>"
     text = html.read_page(page)[0]
     assert "hidden" not in text and "reading" not in text and "(" not in text and "kan" in text
+
+
+class Tree(HTMLParser):
+    """A page as nested lists [name, children], built first and walked afterwards."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", []]
+        self.path = [self.root]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, []]
+        self.path[-1][1].append(node)
+        if tag not in html.VOID:
+            self.path.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.path[-1][1].append([tag, []])
+
+    def handle_endtag(self, tag):
+        names = [n[0] for n in self.path]
+        if tag in names[1:]:
+            del self.path[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        self.path[-1][1].append(data)
+
+
+def page_plain(source):
+    """Text and sections by walks over the whole tree."""
+    root = Tree(source).root
+
+    def names_below(node):
+        return {x for c in node[1] if not isinstance(c, str) for x in {c[0], *names_below(c)}}
+
+    def strings(node):
+        return [s for c in node[1] for s in ([c.strip()] if isinstance(c, str) else strings(c)) if s]
+
+    def visible(node):
+        for c in node[1]:
+            if isinstance(c, str):
+                if c.strip() and node[0] not in html.UNREAD:
+                    yield c.strip()
+            elif c[0] not in html.NOISE:
+                yield from visible(c)
+
+    found, heading, at = {}, "", 0
+
+    def walk(node):
+        nonlocal heading, at
+        for c in node[1]:
+            if isinstance(c, str):
+                continue
+            if c[0] in {f"h{k}" for k in range(1, 7)}:
+                heading = "".join(strings(c))
+            elif c[0] in ("p", "li", "td", "div", "blockquote", "pre") and not names_below(c) & {"p", "li", "td", "div", "blockquote"}:
+                if heading:
+                    found[at] = heading
+                at += 1
+            walk(c)
+
+    walk(root)
+    text = "\n".join(visible(root)).strip()
+    return (text, found, "") if len(text) >= 100 else ("", {}, html.TOO_SHORT)
+
+
+def test_pages_against_a_tree():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pandas().html.tolist()
+    rng = random.Random(6)
+    tags = ["p", "div", "h1", "h3", "li", "td", "nav", "script", "br", "pre", "span", "template", "button", "rt"]
+    for _ in range(400):
+        pages.append("".join(rng.choice((f"<{(t := rng.choice(tags))}>", f"</{t}>", f"some words number {rng.randint(0, 99)} &amp; more ", "<br/>", "<!-- c -->")) for _ in range(rng.randint(3, 60))))
+    made = [html.read_page(p) for p in pages]
+    assert made == [page_plain(p or "") for p in pages]
+    assert sum(bool(s) for _, s, _ in made) > 50
+
+
+def test_clean_passage_cases(spark):
+    """Each rule alone, with Unicode spaces and digits."""
+    cases = {
+        "Note:\u00a0kept text": "kept text", "No label:here": "No label:here", "A\u2003B: both": "both", "\u0663.\u0664 Heading: rest": ": rest", "x 1.2 y": "x", "1 y": "1 y",
+        "a\\[ b \n c \\]d": "ad", "line\n\n \u2003\nother": "line\n\nother", "sum \u2211 gone\nstays": "stays", "see 8.9 The Heading. After it": "see . After it", "": "", "Word: ": "Word:",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "given string, want string")
+    got = {r.given: r.v for r in rows.select("given", T.clean_raw_passage("given").alias("v")).collect()}
+    assert got == cases
+
+
+def test_normalising_and_sentences_against_python(spark):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pandas().text.tolist() + ["a\x85b\u2028c\x1cd \u3000 e. f!\xa0g?h", "\x1f", "One.\u2003Two? three"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.normalize_ws("t").alias("n"), T.split_sentences("t").alias("s"), T.words("t").alias("w"))
+    for r in rows.collect():
+        words = texts[r.k].split()
+        assert r.w == words and r.n == " ".join(words) and r.s == [s for s in re.split(r"(?<=[.!?])\s+", " ".join(words)) if s]
