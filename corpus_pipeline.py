@@ -6,7 +6,9 @@ the columns of documents; the last returns what it read back from its token file
 Nulls: a null text fails the quality rules.  A null doc_id is a document like any other; in the
 near-duplicate stage, where one document of each group stays, it stays only if no other of its group has
 an id.  Rows that repeat the id that stays leave one row.  Empty tables pass through all stages.  Columns
-of documents beyond those that a stage changes are kept as they are, whatever their names.
+of documents beyond those that a stage changes are kept as they are, whatever their names.  Texts of any
+length are worked on whole.  Ties: of a group the smallest id stays, and of equal ids the row that was
+read first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import fm_index, mixing, quality_rules, simhash, token_files
 from lectern.plans.session import ready
-from lectern.plans.storage import materialize, new_path
+from lectern.plans.storage import materialize, materialize_alone, new_path, release
 
 
 def _row_numbers(docs: DataFrame, tag: str) -> DataFrame:
@@ -104,5 +106,6 @@ def run(spark, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written and read by the next."""
     docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # written by the stage before; the documents' own table isn't ours
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,8 +3,8 @@
 The folder is ``spark.checkpoint.dir`` when the cluster names one.  Where it is unset (tests, a
 notebook on one machine) and the session runs on this machine alone, a fresh temporary folder is made;
 on a cluster an unset folder is an error, since executors would write to their own disks.  Tables
-written here survive the loss of any executor and cut the lineage of long plans; `tables_of` deletes
-those of one piece of work when it is done, and all others are deleted when the driver ends.
+written here survive the loss of any executor and cut the lineage of long plans; `tables_of`,
+`materialize_alone` and `release` delete what a piece of work has done with, and all others are deleted when the driver ends.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +48,28 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     path = new_path(spark, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def materialize_alone(build: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Write what build gives, then delete all tables that were written to make it."""
+    before = len(_MADE)
+    out = materialize(build(), tag)
+    last = _MADE.pop()
+    _delete(before)
+    _MADE.append(last)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that `materialize` gave; nothing may read them afterwards."""
+    for frame in frames:
+        path = getattr(frame, "_written_at", None)
+        if path is not None:
+            delete_path(frame.sparkSession, path)
+            _MADE[:] = [m for m in _MADE if m[1] != path]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
