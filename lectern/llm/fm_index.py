@@ -7,7 +7,7 @@ the occurrences are held against the bytes of the words, and their words merge t
 
 Shards are slices of a partition of some MB, so an index needs little memory and a lost executor
 costs its shards only.  The benchmark is a query set: it is read in blocks of at most `block_bytes`,
-so what is broadcast is bounded; one pass over the documents serves each block.
+so what is broadcast is bounded; one pass over the documents serves each block, and hands on hits only.
 
 Nulls: null and empty texts have no words, and aren't contaminated.  Benchmark rows without words are
 ignored; rows that repeat an item id count as that item once.  Rows without an id are searched like
@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -261,20 +263,30 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield rows
 
 
+#: The number that rows get while several blocks are searched.
+_ROW = "_decontaminated_row"
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, the columns to carry, n_words, hit_from and hit_to (byte ranges of the hit words, in order), item_ids (sorted as strings)."""
-    own, out = ["doc_id", "text", *(carry or [])], None
-    for rows in _blocks(bench, block_bytes):
-        if out is None:
-            out = _pass(docs.select(*own), phrases_of(rows, window))
-            continue
-        done = materialize(out, "decontaminate").select(*own, F.arrays_zip("hit_from", "hit_to").alias("old"), F.col("item_ids").alias("old_items"))
-        both = _pass(done, phrases_of(rows, window))
-        hits = F.array_sort(F.array_distinct(F.concat("old", F.arrays_zip("hit_from", "hit_to"))))
-        out = both.select(*own, "n_words", hits.getField("hit_from").alias("hit_from"), hits.getField("hit_to").alias("hit_to"), F.array_distinct(F.concat("old_items", "item_ids")).alias("item_ids"))
-    if out is None:
-        out = _pass(docs.select(*own), None)
-    return out.withColumn("item_ids", F.array_sort("item_ids"))
+    own, blocks = ["doc_id", "text", *(carry or [])], _blocks(bench, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return _pass(docs.select(*own), phrases_of(first, window) if first else None).withColumn("item_ids", F.array_sort("item_ids"))
+    # several blocks: texts are written once, with numbers, and the blocks' hits meet them at the end
+    rows = materialize(docs.select(*own).withColumn(_ROW, F.monotonically_increasing_id()), "decontaminate")
+    found = None
+    for block in chain([first, second], blocks):
+        part = _pass(rows.select(_ROW, "text"), phrases_of(block, window)).where(F.size("hit_from") > 0)
+        part = materialize(part.select(_ROW, F.arrays_zip("hit_from", "hit_to").alias("hits"), "item_ids"), "decontaminate")
+        found = part if found is None else found.unionByName(part)
+    once = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = found.groupBy(_ROW).agg(once("hits").alias("hits"), once("item_ids").alias("item_ids"))
+    low = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
+    ranges = lambda name: F.coalesce(F.col("hits").getField(name), F.array().cast("array<long>")).alias(name)
+    return rows.join(found, _ROW, "left").select(
+        *own, F.regexp_count(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), ranges("hit_from"), ranges("hit_to"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
+    )
 
 
 def removal_spans(marked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.storage import materialize
+from lectern.plans.storage import materialize, release
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,13 +42,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = _print(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "stars")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "stars")
+        large = both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large-star")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         pairs = large.join(least, "u")
         small = pairs.select("u", F.col("m").alias("v")).unionByName(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "small-star")
+        small = materialize(small, "small-star")
+        release(edges, first, large, least)  # the round's result is written: only that is read again
+        edges = small
         now = _print(edges)
         if now == before:
             break
