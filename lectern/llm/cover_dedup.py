@@ -6,11 +6,8 @@ q + shift in the cover, so two equal windows of 2 * PERIOD - 1 words or more hol
 same place in them, wherever they stand.  An anchor extends to all windows that hold it (its
 context); what contexts don't settle is compared window by window.
 
-Words are never sent: what is compared are hashes of two families (other values of bytes, so that a
-pair of texts which collides in one has no reason to in the other).  Contexts are equal where 50 bits
-of the anchor's hash and 48 of the context's agree, windows where 64 and 48 do.  Among n different
-contexts some two are taken for equal with a probability of at most n * n / 2**99: below one in ten
-million for the 10**11 contexts of a few TB.
+Contexts go, as words joined by one space, to the task that holds all of an anchor's.  Windows of equal
+hash are held against each other byte for byte there, so hashes decide only what is compared.
 
 Nulls: a null or empty text has no words and the SHA-256 of nothing.  Texts of fewer words than a
 window stay whole.  Rows that repeat a doc_id are each compared with smaller ids only.  Extra columns
@@ -19,17 +16,13 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels as K
-from lectern.llm.repeats import COMPARE, SENT, SPREAD, SPREAD_OVER, TOLD, WHOLE, Anchors, Found, Slice, Units, dealt, first_verdict, planes, representatives, sent_items, sent_rows, told_rows, told_slices
-from lectern.plans.storage import materialize
+from lectern.llm.repeats import SPREAD_OVER, Anchors, Slice, Units, dedup, ranges, representatives
 
 WINDOW = 13
 #: A perfect difference cover; the differences of its members modulo 7 are all of 0..6.
@@ -37,21 +30,19 @@ PERIOD = 7
 COVER = (0, 1, 3)
 
 
-#: Values of bytes for a second hash that shares nothing with the first but the method.
-_OTHER_VALUE = K.mix64(K.BYTE_VALUE + np.uint64(0xD6E8FEB86659FD93))
-
-
 class Words(Units):
     window = WINDOW
 
     def load(self, part: Slice) -> None:
-        self.starts, self.ends, self.firsts = K.word_bounds(part.data, part.offsets, K.TEXT_WORD)
-        self.n = len(self.starts)
-        self.prefix = K.prefix_hash(self._words(part.data, K.BYTE_VALUE))
-        self.second = K.prefix_hash(self._words(part.data, _OTHER_VALUE))
-
-    def _words(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return K.range_hash(K.prefix_hash(values[data]), self.starts, self.ends)
+        starts, ends, self.firsts = K.word_bounds(part.data, part.offsets, K.TEXT_WORD)
+        self.n = len(starts)
+        # the words of the slice behind each other, with one space behind each
+        size = ends - starts
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        self.text = np.full(int(self.ends[-1]) + 1 if self.n else 0, 0x20, np.uint8)
+        self.text[ranges(self.starts, size)] = part.data[ranges(starts, size)]
+        self.prefix = K.prefix_hash(K.range_hash(K.prefix_hash(K.BYTE_VALUE[self.text]), self.starts, self.ends))
 
     def anchors(self) -> Anchors:
         doc = K.owner(self.firsts)
@@ -61,69 +52,50 @@ class Words(Units):
         doc = doc[at]
         first = np.maximum(self.firsts[doc], at - (WINDOW - PERIOD))
         last = np.minimum(self.firsts[doc + 1] - WINDOW, at)
-        context = K.mix64(K.range_hash(self.second, first, last + WINDOW) + np.uint64(3) * (at - first).astype(np.uint64))
+        context = K.mix64(K.range_hash(self.prefix, first, last + WINDOW) + np.uint64(3) * (at - first).astype(np.uint64))
         return Anchors(K.range_hash(self.prefix, at, at + PERIOD), context, doc, first, last)
 
-    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return K.range_hash(self.prefix, at, at + WINDOW), K.range_hash(self.second, at, at + WINDOW)
+    def context_bytes(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = self.starts[first]
+        return begin, self.ends[last + WINDOW - 1] + 1 - begin  # with the space behind the last word
+
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+        return K.range_hash(self.prefix, at, at + WINDOW)
 
+    @staticmethod
+    def classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        space = np.flatnonzero(text == 0x20) + 1  # where words end, their space included
+        after = np.searchsorted(space, begin + size, side="right")
+        before = np.searchsorted(space, begin, side="right")  # words of the text before each context
+        windows = after - before - WINDOW + 1
+        first = ranges(before, windows)
+        start = np.where(first > 0, space[first - 1], 0)
+        length = space[first + WINDOW - 1] - start
+        prefix, eight = K.prefix_hash(K.BYTE_VALUE[text]), K.eights(text)
 
-class _Asked:
-    """The windows that have to be compared after the first verdict, in the same order when they are sent and when the answers come."""
+        def equal(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = length[i] == length[j]
+            out[out] = K.same_ranges(eight, start[i[out]], start[j[out]], length[i[out]])
+            return out
 
-    def __init__(self, work, units: Words, part: Slice, f: Found, told: dict[int, bytes]) -> None:
-        code = work.told_codes(f, told)
-        self.repeat = work.windows(units, f, code == WHOLE)
-        at = self.at = np.flatnonzero(work.windows(units, f, (code == COMPARE) | (code == SPREAD)) & ~self.repeat)
-        self.a, self.b = units.window_hashes(at)
-        self.ids = part.ids[np.searchsorted(units.firsts, at, side="right") - 1]
-        self.like = representatives((self.a, self.b), self.ids)
-        self.sent = sent_items(self.a, np.flatnonzero(self.like == np.arange(len(at))), work.buckets)
+        return representatives((K.range_hash(prefix, start, start + length),), np.arange(len(start)), equal, exact=True), windows
 
-    def blobs(self) -> tuple[list[int], list[int], list[bytes]]:
-        blobs = []
-        for x, y in zip(self.sent.cut[:-1].tolist(), self.sent.cut[1:].tolist(), strict=True):
-            own = self.sent.item[x:y]
-            blobs.append(planes(self.a[own], 8) + planes(self.b[own], 6) + planes(self.ids[own], 8))
-        return self.sent.bucket.tolist(), [22] * len(blobs), blobs
 
-    def repeats(self, work, told: dict[int, bytes]) -> np.ndarray:
-        """Which of the slice's windows stand in a document with a smaller id."""
-        again = work.codes(len(self.at), self.sent, told) == WHOLE
-        self.repeat[self.at[again[self.like] | (self.ids > self.ids[self.like])]] = True
-        return self.repeat
+def _cut(units: Words, part: Slice, repeat: np.ndarray) -> pa.RecordBatch:
+    where = np.flatnonzero(repeat)
+    gone = K.covered(units.n, where, np.minimum(where + WINDOW, units.n))
+    raw, kept, removed = units.text.tobytes(), [], []
+    for a, b in zip(units.firsts[:-1].tolist(), units.firsts[1:].tolist(), strict=True):
+        opens, closes = K.runs(~gone[a:b])
+        removed.append(int(gone[a:b].sum()))
+        kept.append(b" ".join([raw[x:y] for x, y in zip(units.starts[a + opens].tolist(), units.ends[a + closes - 1].tolist(), strict=True)]))
+    ids = pa.array(part.ids, mask=part.null.astype(bool))
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.firsts)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def dedup_words(docs: DataFrame, spread_over: int = SPREAD_OVER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row."""
-    work, parts, told, tasks = first_verdict(docs, Words, spread_over, trust_contexts=True)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = work.units()
-        for slice_id, part, said in told_slices(batches):
-            units.load(part)
-            yield sent_rows(slice_id, *_Asked(work, units, part, work.found(units, part), said).blobs())
-
-    second = materialize(dealt(told_rows(parts, told, tasks).mapInArrow(send, SENT), tasks).mapInArrow(work.judge, TOLD), "verdict")
-    both = second.unionByName(told.withColumn("bucket", -1 - F.col("bucket")))  # the first verdict's buckets are negative
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = work.units()
-        for _, part, said in told_slices(batches):
-            units.load(part)
-            asked = _Asked(work, units, part, work.found(units, part), {-1 - b: x for b, x in said.items() if b < 0})
-            where = np.flatnonzero(asked.repeats(work, {b: x for b, x in said.items() if b >= 0}))
-            gone = K.covered(units.n, where, np.minimum(where + WINDOW, units.n))
-            raw, kept, removed = part.data.tobytes(), [], []
-            for d in range(len(part.ids)):
-                a, b = units.firsts[d], units.firsts[d + 1]
-                own = np.flatnonzero(~gone[a:b]) + a
-                removed.append(int(b - a) - len(own))
-                kept.append(b" ".join([raw[x:y] for x, y in zip(units.starts[own].tolist(), units.ends[own].tolist(), strict=True)]))
-            ids = pa.array(part.ids, mask=part.null.astype(bool))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.firsts)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return told_rows(parts, both, tasks).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text binary")
+    return dedup(docs, Words, _cut, "doc_id long, n_words long, n_removed long, kept_text binary", spread_over)
 
 
 def op8_cover_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ joined by document and no key is hot.  Then
 
 1. every slice samples anchors, such that equal windows hold equal anchors at equal places, and sends
    short hashes of each anchor and of its context (all windows it speaks for), dealt out by anchor;
-2. a task that holds all occurrences of an anchor tells each whether it has to be compared;
-3. the slices send what has to be compared, and a second task compares it: bytes (`suffix_dedup`), or
-   hashes of windows (`cover_dedup`, which takes equal context hashes for equal contexts in step 2);
+2. a task that holds all occurrences of an anchor tells each whether it stands in several documents;
+3. the slices send the contexts of those that do, as bytes; the task that holds all contexts of an anchor
+   keeps each different one once, with its smallest id, and finds the classes of equal windows in them;
 4. the slices gather what repeats and cut it.
 
+Hashes only decide what is compared: nothing is removed whose bytes weren't found equal.
+
 A slice sends one occurrence only for each anchor and context among its documents, that of the
 smallest id (of larger ones in it the windows are known to repeat), so a passage that a third of all
 documents share gives as many rows as there are slices.  Anchors with more than `spread_over` contexts
@@ -81,9 +83,10 @@ class Anchors:
 
 
 class Units:
-    """How an operator sees a slice: its units, anchors and windows."""
+    """How an operator sees a slice: its units, anchors and windows, and a text in which windows are ranges of bytes (eight at least)."""
 
     window: int
+    text: np.ndarray
 
     def load(self, part: Slice) -> None:
         """Take a slice; sets n, the number of units, and firsts, the first unit of each document."""
@@ -92,9 +95,30 @@ class Units:
     def anchors(self) -> Anchors:
         raise NotImplementedError
 
-    def same_contexts(self, found: Anchors) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
-        """Whether the contexts of pairs of anchors are equal, for operators that look."""
-        return None
+    def context_bytes(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows from `first` to `last` begin in `text`, and how many bytes they cover."""
+        raise NotImplementedError
+
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at these units."""
+        raise NotImplementedError
+
+    @staticmethod
+    def classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts (ranges of a text, all different): a class number for each of their windows, and how many windows each has."""
+        raise NotImplementedError
+
+    def same(self, first: np.ndarray, last: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Whether pairs of these contexts are equal, byte for byte."""
+        begin, size = self.context_bytes(first, last)
+        eight = K.eights(self.text)
+
+        def equal(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = size[i] == size[j]
+            out[out] = K.same_ranges(eight, begin[i[out]], begin[j[out]], size[i[out]])
+            return out
+
+        return equal
 
 
 def pack_slices(docs: DataFrame, most: int = K.SLICE_BYTES) -> DataFrame:
@@ -145,19 +169,26 @@ def sent_items(hashes: np.ndarray, items: np.ndarray, n: int) -> Sent:
     return Sent(items[order], names, np.append(cut, len(items)))
 
 
-def representatives(keys: tuple[np.ndarray, ...], ids: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """For each item the first item of the smallest id with equal keys; itself where `same` finds that the two differ."""
-    order = np.lexsort((ids, *keys))
-    new = np.zeros(len(ids), dtype=bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    like = np.empty(len(ids), np.int64)
-    like[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else like
-    if same is not None:
-        some = np.flatnonzero(like != np.arange(len(ids)))
-        wrong = some[~same(some, like[some])]
-        like[wrong] = wrong
+def representatives(keys: tuple[np.ndarray, ...], ids: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], exact: bool = False) -> np.ndarray:
+    """For each item the first item of the smallest id with equal keys that `same` finds equal too.
+
+    Items that only collide with that one stand for themselves; if exact is set, they are grouped again
+    until every two equal items have one representative.
+    """
+    like = np.arange(len(ids))
+    open_ = like
+    while len(open_):
+        order = open_[np.lexsort((ids[open_], *(k[open_] for k in keys)))]
+        new = np.zeros(len(order), dtype=bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        equal = first == order
+        some = np.flatnonzero(~equal)
+        equal[some] = same(order[some], first[some])
+        like[order[equal]] = first[equal]
+        open_ = np.sort(order[~equal]) if exact else order[:0]
     return like
 
 
@@ -185,6 +216,9 @@ def told_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["slice_id", "bucket", "blob"])
 
 
+_ANCHOR_BYTES = 19
+
+
 @dataclass
 class Found:
     """A slice's anchors of documents with an id, their ids, the one each is like, and what is sent.
@@ -202,8 +236,8 @@ class Found:
 class _Work:
     """The tasks of both operators. Made on the driver, sent to the executors with its limits."""
 
-    def __init__(self, units: Callable[[], Units], buckets: int, spread_over: int = SPREAD_OVER, trust_contexts: bool = False) -> None:
-        self.units, self.buckets, self.spread_over, self.trust = units, buckets, spread_over, trust_contexts
+    def __init__(self, units: Callable[[], Units], buckets: int, spread_over: int = SPREAD_OVER) -> None:
+        self.units, self.buckets, self.spread_over = units, buckets, spread_over
 
     # 1: anchors to hashes
     def found(self, units: Units, part: Slice) -> Found:
@@ -211,7 +245,7 @@ class _Work:
         own = np.flatnonzero(part.ids[a.doc] != NO_ID)
         a = Anchors(a.anchor[own], a.context[own], a.doc[own], a.first[own], a.last[own])
         ids = part.ids[a.doc]
-        like = representatives((a.anchor, a.context), ids, units.same_contexts(a))
+        like = representatives((a.anchor, a.context), ids, units.same(a.first, a.last))
         return Found(a, ids, like, ids > ids[like], sent_items(a.anchor, np.flatnonzero(like == np.arange(len(ids))), self.buckets))
 
     def send_anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +259,7 @@ class _Work:
                 for a, b in zip(f.sent.cut[:-1].tolist(), f.sent.cut[1:].tolist(), strict=True):
                     own = f.sent.item[a:b]
                     blobs.append(planes(f.anchors.anchor[own], 5) + planes(f.anchors.context[own], 6) + planes(f.ids[own], 8))
-                yield sent_rows(slice_id, f.sent.bucket.tolist(), [19] * len(blobs), blobs)
+                yield sent_rows(slice_id, f.sent.bucket.tolist(), [0] * len(blobs), blobs)
 
     # 2: verdicts on hashes
     def judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,29 +272,24 @@ class _Work:
     def _judged(self, run: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
         rows, parts = [], []
         for bucket, slice_id, kind, blob in run:
-            n, at = len(blob) // kind, 0
-            a, at = from_planes(blob, at, n, 5 if kind == 19 else 8)
+            n, at = len(blob) // _ANCHOR_BYTES, 0
+            a, at = from_planes(blob, at, n, 5)
             c, at = from_planes(blob, at, n, 6)
             ids, at = from_planes(blob, at, n, 8)
             rows.append((slice_id, bucket, n))
-            if kind == 19:  # the bucket is a part of the hash that isn't sent
-                a |= np.uint64(bucket << 40)
-            parts.append((a, c, ids.view(np.int64)))
+            parts.append((a | np.uint64(bucket << 40), c, ids.view(np.int64)))  # the bucket is a part of the hash that isn't sent
         anchor, context, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         order = np.lexsort((ids, context, anchor))
         anchor, context, ids = anchor[order], context[order], ids[order]
         new_a = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         new_c = new_a | np.concatenate(([True], context[1:] != context[:-1]))
-        group, sub = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
+        group = np.cumsum(new_a) - 1
         starts = np.flatnonzero(new_a)
         least, most = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
         contexts = np.add.reduceat(new_c.astype(np.int64), starts)
         code = np.where((contexts > self.spread_over)[group], SPREAD, COMPARE)
         code = np.where((least < most)[group], code, NONE)
-        if self.trust:  # the first of each context has its smallest id
-            above = ids > ids[new_c][sub]
-            code = np.where(above, WHOLE, np.where((contexts > 1)[group], code, NONE))
         back = np.empty(len(code), np.uint8)
         back[order] = code
         at, out = 0, []
@@ -328,11 +357,149 @@ SENT = "bucket long, slice_id long, kind int, blob binary"
 TOLD = "slice_id long, bucket long, blob binary"
 
 
-def first_verdict(docs: DataFrame, units: Callable[[], Units], spread_over: int = SPREAD_OVER, trust_contexts: bool = False) -> tuple[_Work, DataFrame, DataFrame, int]:
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+#: Kinds of what slices send in the second round: contexts, and windows of anchors that are spread.
+CONTEXTS, WINDOWS = 1, 2
+#: Verdicts on contexts: no window repeats, all do, or as the bits say.
+NO, ALL, SOME = 0, 1, 2
+#: Answers to contexts and windows come under their bucket and kind; the first verdict's buckets as -1 - bucket.
+_KIND = 1 << 40
+
+
+def compare_contexts(blobs: list[bytes], classes: Callable) -> list[bytes]:
+    """For blobs of contexts: a verdict byte for each context, and bits for the windows of those whose verdict is SOME."""
+    ids, sizes, texts, counts = [], [], [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        body = zstandard.decompress(blob[4:])
+        own, at = from_planes(body, 0, n, 8)
+        size, at = from_planes(body, at, n, 8)
+        ids.append(own.view(np.int64))
+        sizes.append(size.view(np.int64))
+        texts.append(body[at:])
+        counts.append(n)
+    raw, id_, size = b"".join(texts), np.concatenate(ids), np.concatenate(sizes)
+    begin = np.cumsum(size) - size
+    seen: dict[bytes, int] = {}  # equal contexts, byte for byte, are compared once
+    kind = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)], dtype=np.int64)
+    seen.clear()
+    _, one = np.unique(kind, return_index=True)
+    least = np.full(len(one), NO_ID)
+    np.minimum.at(least, kind, id_)
+    class_, windows = classes(np.frombuffer(raw, np.uint8), begin[one], size[one])
+    of_class = np.full(int(class_.max()) + 1, NO_ID)
+    mine = np.repeat(least, windows)
+    np.minimum.at(of_class, class_, mine)
+    again = mine > of_class[class_]
+    where = np.cumsum(windows) - windows
+    hits = np.add.reduceat(again.astype(np.int64), where)
+    code = np.where((id_ > least[kind]) | (hits == windows)[kind], ALL, np.where(hits[kind] > 0, SOME, NO)).astype(np.uint8)
+    out, k = [], 0
+    for n in counts:
+        own = code[k : k + n]
+        some = kind[k : k + n][own == SOME]
+        k += n
+        out.append(zstandard.compress(own.tobytes() + np.packbits(again[ranges(where[some], windows[some])]).tobytes(), 1) if own.any() else b"")
+    return out
+
+
+def _by_bucket(sent: Sent) -> Iterator[tuple[int, int, int]]:
+    return zip(sent.bucket.tolist(), sent.cut[:-1].tolist(), sent.cut[1:].tolist(), strict=True)
+
+
+class _Asked:
+    """What of a slice has to be compared after the first verdict: the same, in the same order, when it is sent and when the answers come."""
+
+    def __init__(self, work: _Work, units: Units, part: Slice, told: dict[int, bytes]) -> None:
+        f = self.f = work.found(units, part)
+        self.work, self.units, self.code = work, units, work.told_codes(f, told)
+        rep = f.like == np.arange(len(f.ids))
+        self.contexts = sent_items(f.anchors.anchor, np.flatnonzero(rep & (self.code == COMPARE)), work.buckets)
+        at = self.at = np.flatnonzero(work.windows(units, f, self.code == SPREAD))
+        hashes = units.window_hashes(at)
+        self.ids = part.ids[np.searchsorted(units.firsts, at, side="right") - 1]
+        self.like = representatives((hashes,), self.ids, units.same(at, at))
+        self.windows = sent_items(hashes, np.flatnonzero(self.like == np.arange(len(at))), work.buckets)
+
+    def rows(self, slice_id: int) -> pa.RecordBatch:
+        a, text = self.f.anchors, self.units.text
+        buckets, kinds, blobs = [], [], []
+        for kind, sent, first, last, ids in ((CONTEXTS, self.contexts, a.first, a.last, self.f.ids), (WINDOWS, self.windows, self.at, self.at, self.ids)):
+            for bucket, x, y in _by_bucket(sent):
+                own = sent.item[x:y]
+                begin, size = self.units.context_bytes(first[own], last[own])
+                buckets.append(bucket)
+                kinds.append(kind)
+                blobs.append(len(own).to_bytes(4, "little") + zstandard.compress(planes(ids[own], 8) + planes(size, 8) + text[ranges(begin, size)].tobytes(), 1))
+        return sent_rows(slice_id, buckets, kinds, blobs)
+
+    def repeats(self, told: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """Which of the slice's windows stand in a document with a smaller id."""
+        a, f = self.f.anchors, self.f
+        repeat = self.work.windows(self.units, f, f.above)
+        for bucket, x, y in _by_bucket(self.contexts):
+            blob = told.get((CONTEXTS, bucket))
+            if blob:
+                own, body = self.contexts.item[x:y], np.frombuffer(zstandard.decompress(blob), np.uint8)
+                code, size = body[: len(own)], a.last[own] - a.first[own] + 1
+                repeat[ranges(a.first[own[code == ALL]], size[code == ALL])] = True
+                place = ranges(a.first[own[code == SOME]], size[code == SOME])
+                # places are of different anchors, whose windows may be the same ones
+                repeat[place[np.unpackbits(body[len(own) :], count=len(place)).astype(bool)]] = True
+        single = np.zeros(len(self.at), dtype=bool)
+        for bucket, x, y in _by_bucket(self.windows):
+            blob = told.get((WINDOWS, bucket))
+            if blob:
+                single[self.windows.item[x:y]] = np.frombuffer(zstandard.decompress(blob), np.uint8, y - x) == ALL
+        repeat[self.at[single[self.like] | (self.ids > self.ids[self.like])]] = True
+        # contexts of the same document that equal one that was sent
+        copy = np.flatnonzero((f.like != np.arange(len(f.ids))) & ~f.above & (self.code == COMPARE))
+        size = a.last[copy] - a.first[copy] + 1
+        to, of = ranges(a.first[copy], size), ranges(a.first[f.like[copy]], size)
+        repeat[to[repeat[of]]] = True
+        return repeat
+
+
+def first_verdict(docs: DataFrame, units: Callable[[], Units], spread_over: int = SPREAD_OVER) -> tuple[_Work, DataFrame, DataFrame, int]:
     """The tasks, packed slices, the first verdict on their anchors, and the number of partitions."""
     parts = materialize(pack_slices(docs), "slices")
     slices = parts.count()
     tasks = task_count(docs, slices)
-    work = _Work(units, max(BUCKETS_A_TASK * tasks, slices), spread_over, trust_contexts)
+    work = _Work(units, max(BUCKETS_A_TASK * tasks, slices), spread_over)
     told = materialize(dealt(parts.mapInArrow(work.send_anchors, SENT), tasks).mapInArrow(work.judge, TOLD), "verdict")
     return work, parts, told, tasks
+
+
+def dedup(docs: DataFrame, units: Callable[[], Units], cut: Callable[[Units, Slice, np.ndarray], pa.RecordBatch], schema: str, spread_over: int = SPREAD_OVER) -> DataFrame:
+    """What `cut` makes of each slice and the mask of its windows that stand in a document with a smaller id."""
+    work, parts, told, tasks = first_verdict(docs, units, spread_over)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = work.units()
+        for slice_id, part, said in told_slices(batches):
+            own.load(part)
+            yield _Asked(work, own, part, said).rows(slice_id)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = work.units().classes
+        for run in runs_of_buckets(batches):
+            verdicts = compare_contexts([r[3] for r in run], classes)
+            found = [(slice_id, bucket + kind * _KIND, blob) for (bucket, slice_id, kind, _), blob in zip(run, verdicts, strict=True) if blob]
+            if found:
+                yield told_batch(found)
+
+    second = materialize(dealt(told_rows(parts, told, tasks).mapInArrow(send, SENT), tasks).mapInArrow(judge, TOLD), "verdict")
+    both = second.unionByName(told.withColumn("bucket", -1 - F.col("bucket")))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = work.units()
+        for _, part, said in told_slices(batches):
+            own.load(part)
+            asked = _Asked(work, own, part, {-1 - b: x for b, x in said.items() if b < 0})
+            yield cut(own, part, asked.repeats({divmod(b, _KIND): x for b, x in said.items() if b >= 0}))
+
+    return told_rows(parts, both, tasks).mapInArrow(gather, schema)

@@ -23,25 +23,17 @@ in which anchors are found piece by piece.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels as K
-from lectern.llm.repeats import COMPARE, NO_ID, SENT, SPREAD, SPREAD_OVER, TOLD, Anchors, Found, Sent, Slice, Units, dealt, first_verdict, from_planes, planes, representatives, runs_of_buckets, sent_items, sent_rows, told_batch, told_rows, told_slices
-from lectern.plans.storage import materialize
+from lectern.llm.repeats import SPREAD_OVER, Anchors, Slice, Units, dedup, ranges
 
 WINDOW = 50
 GRAM = 16
 SHALLOW = 16
-#: Kinds of what slices send in the second round: contexts, and windows of anchors that are spread.
-CONTEXTS, WINDOWS = 1, 2
-#: Verdicts on contexts: no window repeats, all do, or as the bits say.
-NO, ALL, SOME = 0, 1, 2
 #: Windows whose anchors are found at once; places in a piece, and 49 bytes more, fit in 24 bits.
 PIECE = 1 << 20
 
@@ -50,9 +42,8 @@ class Bytes(Units):
     window = WINDOW
 
     def load(self, part: Slice) -> None:
-        self.data, self.firsts, self.n = part.data, part.offsets, len(part.data)
+        self.text, self.firsts, self.n = part.data, part.offsets, len(part.data)
         self.prefix = K.prefix_hash(K.BYTE_VALUE[part.data])
-        self.eight = K.eights(part.data)
 
     def _least(self) -> np.ndarray:
         """For each window the place of its 16-byte string with the least hash (its first 40 bits; the first of equals)."""
@@ -89,15 +80,16 @@ class Bytes(Units):
         context = K.mix64(K.range_hash(self.prefix, first, last + WINDOW) + np.uint64(3) * (at - first).astype(np.uint64))
         return Anchors(K.range_hash(self.prefix, at, at + GRAM), context, doc, first, last)
 
-    def same_contexts(self, found: Anchors):
-        size = found.last + WINDOW - found.first
+    def context_bytes(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return first, last + WINDOW - first
 
-        def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            out = size[i] == size[j]
-            out[out] = K.same_ranges(self.eight, found.first[i[out]], found.first[j[out]], size[i[out]])
-            return out
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+        return K.range_hash(self.prefix, at, at + WINDOW)
 
-        return same
+    @staticmethod
+    def classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        windows = size - WINDOW + 1
+        return deep_shallow(text, ranges(begin, windows)), windows
 
 
 def _characters(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -214,144 +206,22 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = WINDOW, shallow
     return out
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of the ranges, one range after the other."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
-def compare_contexts(blobs: list[bytes]) -> list[bytes]:
-    """For blobs of contexts: a verdict byte for each context, and bits for the windows of those whose verdict is SOME."""
-    ids, sizes, texts, counts = [], [], [], []
-    for blob in blobs:
-        n = int.from_bytes(blob[:4], "little")
-        body = zstandard.decompress(blob[4:])
-        own, at = from_planes(body, 0, n, 8)
-        size, at = from_planes(body, at, n, 1)
-        ids.append(own.view(np.int64))
-        sizes.append(size.astype(np.int64))
-        texts.append(body[at:])
-        counts.append(n)
-    raw, id_, size = b"".join(texts), np.concatenate(ids), np.concatenate(sizes)
-    begin = np.cumsum(size) - size
-    seen: dict[bytes, int] = {}  # equal contexts, byte for byte, are compared once
-    kind = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)], dtype=np.int64)
-    _, one = np.unique(kind, return_index=True)
-    least = np.full(len(one), NO_ID)
-    np.minimum.at(least, kind, id_)
-    windows = size[one] - WINDOW + 1
-    class_ = deep_shallow(np.frombuffer(raw, np.uint8), _ranges(begin[one], windows))
-    of_class = np.full(int(class_.max()) + 1, NO_ID)
-    mine = np.repeat(least, windows)
-    np.minimum.at(of_class, class_, mine)
-    again = mine > of_class[class_]
-    where = np.cumsum(windows) - windows
-    hits = np.add.reduceat(again.astype(np.int64), where)
-    code = np.where((id_ > least[kind]) | (hits == windows)[kind], ALL, np.where(hits[kind] > 0, SOME, NO)).astype(np.uint8)
-    out, k = [], 0
-    for n in counts:
-        own = code[k : k + n]
-        some = kind[k : k + n][own == SOME]
-        k += n
-        out.append(zstandard.compress(own.tobytes() + np.packbits(again[_ranges(where[some], windows[some])]).tobytes(), 1) if own.any() else b"")
-    return out
-
-
-class _Asked:
-    """What of a slice has to be compared after the first verdict: the same, in the same order, when it is sent and when the answers come."""
-
-    def __init__(self, work, units: Bytes, part: Slice, f: Found, told: dict[int, bytes]) -> None:
-        self.f, self.code = f, work.told_codes(f, told)
-        rep = f.like == np.arange(len(f.ids))
-        self.contexts = sent_items(f.anchors.anchor, np.flatnonzero(rep & (self.code == COMPARE)), work.buckets)
-        at = self.at = np.flatnonzero(work.windows(units, f, self.code == SPREAD))
-        hashes = K.range_hash(units.prefix, at, at + WINDOW)
-        self.ids = part.ids[np.searchsorted(units.firsts, at, side="right") - 1]
-        self.like = representatives((hashes,), self.ids, lambda i, j: K.same_ranges(units.eight, at[i], at[j], np.full(len(i), WINDOW)))
-        self.windows = sent_items(hashes, np.flatnonzero(self.like == np.arange(len(at))), work.buckets)
-
-    def blobs(self, part: Slice) -> tuple[list[int], list[int], list[bytes]]:
-        a = self.f.anchors
-        found = [(CONTEXTS, self.contexts, a.first, a.last + WINDOW - a.first, self.f.ids), (WINDOWS, self.windows, self.at, np.full(len(self.at), WINDOW), self.ids)]
-        buckets, kinds, blobs = [], [], []
-        for kind, sent, first, size, ids in found:
-            for bucket, x, y in _by_bucket(sent):
-                own = sent.item[x:y]
-                body = planes(ids[own], 8) + planes(size[own], 1) + part.data[_ranges(first[own], size[own])].tobytes()
-                buckets.append(bucket)
-                kinds.append(kind)
-                blobs.append(len(own).to_bytes(4, "little") + zstandard.compress(body, 1))
-        return buckets, kinds, blobs
-
-    def repeats(self, work, units: Bytes, told: dict[tuple[int, int], bytes]) -> np.ndarray:
-        """Which of the slice's windows stand in a document with a smaller id."""
-        a, f = self.f.anchors, self.f
-        repeat = work.windows(units, f, f.above)
-        for bucket, x, y in _by_bucket(self.contexts):
-            blob = told.get((CONTEXTS, bucket))
-            if blob:
-                own, body = self.contexts.item[x:y], np.frombuffer(zstandard.decompress(blob), np.uint8)
-                code, size = body[: len(own)], a.last[own] - a.first[own] + 1
-                repeat[_ranges(a.first[own[code == ALL]], size[code == ALL])] = True
-                place = _ranges(a.first[own[code == SOME]], size[code == SOME])
-                repeat[place] |= np.unpackbits(body[len(own) :], count=len(place)).astype(bool)
-        single = np.zeros(len(self.at), dtype=bool)
-        for bucket, x, y in _by_bucket(self.windows):
-            blob = told.get((WINDOWS, bucket))
-            if blob:
-                single[self.windows.item[x:y]] = np.frombuffer(zstandard.decompress(blob), np.uint8, y - x) == ALL
-        repeat[self.at[single[self.like] | (self.ids > self.ids[self.like])]] = True
-        # contexts of the same document that equal one that was sent
-        copy = np.flatnonzero((f.like != np.arange(len(f.ids))) & ~f.above & (self.code == COMPARE))
-        size = a.last[copy] - a.first[copy] + 1
-        repeat[_ranges(a.first[copy], size)] |= repeat[_ranges(a.first[f.like[copy]], size)]
-        return repeat
-
-
-def _by_bucket(sent: Sent) -> Iterator[tuple[int, int, int]]:
-    return zip(sent.bucket.tolist(), sent.cut[:-1].tolist(), sent.cut[1:].tolist(), strict=True)
-
-
-#: Answers to contexts and windows come under their bucket and kind; the first verdict's buckets as -1 - bucket.
-_KIND = 1 << 40
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in runs_of_buckets(batches):
-        told = [(slice_id, bucket + kind * _KIND, blob) for (bucket, slice_id, kind, _), blob in zip(run, compare_contexts([r[3] for r in run]), strict=True) if blob]
-        if told:
-            yield told_batch(told)
+def _cut(units: Bytes, part: Slice, repeat: np.ndarray) -> pa.RecordBatch:
+    where = np.flatnonzero(repeat)
+    gone = K.covered(units.n, where, where + WINDOW)
+    kept, removed, spans = [], [], []
+    for a, b in zip(units.firsts[:-1].tolist(), units.firsts[1:].tolist(), strict=True):
+        own = gone[a:b]
+        removed.append(int(own.sum()))
+        spans.append(len(K.runs(own)[0]))
+        kept.append(part.data[a:b][~own].tobytes())
+    ids = pa.array(part.ids, mask=part.null.astype(bool))
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.firsts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup_bytes(docs: DataFrame, spread_over: int = SPREAD_OVER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
-    work, parts, told, tasks = first_verdict(docs, Bytes, spread_over)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = work.units()
-        for slice_id, part, said in told_slices(batches):
-            units.load(part)
-            yield sent_rows(slice_id, *_Asked(work, units, part, work.found(units, part), said).blobs(part))
-
-    second = materialize(dealt(told_rows(parts, told, tasks).mapInArrow(send, SENT), tasks).mapInArrow(_judge, TOLD), "verdict")
-    both = second.unionByName(told.withColumn("bucket", -1 - F.col("bucket")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = work.units()
-        for _, part, said in told_slices(batches):
-            units.load(part)
-            asked = _Asked(work, units, part, work.found(units, part), {-1 - b: x for b, x in said.items() if b < 0})
-            where = np.flatnonzero(asked.repeats(work, units, {divmod(b, _KIND): x for b, x in said.items() if b >= 0}))
-            gone = K.covered(units.n, where, where + WINDOW)
-            kept, removed, spans = [], [], []
-            for a, b in zip(units.firsts[:-1].tolist(), units.firsts[1:].tolist(), strict=True):
-                own = gone[a:b]
-                removed.append(int(own.sum()))
-                spans.append(len(K.runs(own)[0]))
-                kept.append(part.data[a:b][~own].tobytes())
-            ids = pa.array(part.ids, mask=part.null.astype(bool))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.firsts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return told_rows(parts, both, tasks).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return dedup(docs, Bytes, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", spread_over)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

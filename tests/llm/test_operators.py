@@ -165,6 +165,38 @@ def test_suffix_dedup_looks_at_bytes(spark, tables, monkeypatch):
     assert sorted(found, key=str) == brute_bytes(tables.repeated_rows)
 
 
+def brute_words(rows):
+    return sorted(((i, b" ".join(w for w, g in zip(u, gone, strict=True) if not g), sum(gone), len(u)) for i, u, gone in repeats_brute(rows, WORD.findall, 13)), key=str)
+
+
+class ForgedWords(cover_dedup.Words):
+    def anchors(self):
+        a = super().anchors()
+        return repeats.Anchors(a.anchor & np.uint64(3 << 40), a.context & np.uint64(1), a.doc, a.first, a.last)
+
+    def window_hashes(self, at):
+        return super().window_hashes(at) & np.uint64(7 << 40)
+
+
+@pytest.mark.parametrize("spread,forged", [(4096, True), (0, True), (1, False), (0, False)])
+def test_cover_dedup_looks_at_words(spark, tables, monkeypatch, spread, forged):
+    if forged:
+        monkeypatch.setattr(cover_dedup, "Words", ForgedWords)
+    else:
+        monkeypatch.setattr(repeats, "pack_slices", lambda docs, pack=repeats.pack_slices: pack(docs, 1))
+    docs = spark.read.parquet(f"{tables.repeated}/documents.parquet")
+    found = [(r.doc_id, bytes(r.kept_text), r.n_removed, r.n_words) for r in cover_dedup.dedup_words(docs, spread).collect()]
+    assert sorted(found, key=str) == brute_words(tables.repeated_rows)
+
+
+def test_representatives_of_collisions():
+    rng = np.random.default_rng(2)
+    ids, texts, hashes = rng.integers(0, 9, 300), rng.integers(0, 20, 300), rng.integers(0, 3, 20)
+    like = repeats.representatives((hashes[texts],), ids, lambda i, j: texts[i] == texts[j], exact=True)
+    assert all(texts[like] == texts) and all(ids[like][k] == ids[texts == texts[k]].min() for k in range(300))
+    assert all(len(set(like[texts == t])) == 1 for t in texts)
+
+
 def test_minimizers_of_long_texts_fall_alike():
     rng = np.random.default_rng(4)
     copy = rng.integers(97, 99, 3000).astype(np.uint8)
