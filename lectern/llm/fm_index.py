@@ -6,8 +6,8 @@ phrases through backward search at once; the rows found are walked back to sampl
 the occurrences are held against the bytes of the words, and their words merge to removal spans.
 
 Shards are slices of a partition of some MB, so an index needs little memory and a lost executor
-costs its shards only.  The benchmark is a query set: it is read in blocks of at most `block_bytes`,
-so what is broadcast is bounded; one pass over the documents serves each block, and hands on hits only.
+costs its shards only.  The benchmark is a query set: it is read in blocks of about `block_bytes` (a
+longer text in parts that share nine words), so what is broadcast is bounded; one pass over the documents serves each block, and hands on hits only.
 
 Nulls: null and empty texts have no words, and aren't contaminated.  Benchmark rows without words are
 ignored; rows that repeat an item id count as that item once.  Rows without an id are searched like
@@ -19,6 +19,7 @@ shards of their own, whole.  There are no ties: every occurrence counts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -251,14 +252,31 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_DDL).fields]))
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+def _parts(text: str, window: int, most: int) -> Iterator[str]:
+    """A benchmark text, or the parts of a long one, of about `most` bytes, which share words so that every window lies whole in one."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= most:
+        yield text
+        return
+    spans = [m.span() for m in _WORD.finditer(raw.lower())]
+    ends, at = [b for _, b in spans], 0
+    while at < len(spans):
+        end = max(at + window, bisect_right(ends, spans[at][0] + most))
+        yield raw[spans[at][0] : ends[min(end, len(ends)) - 1]].decode("utf-8", "surrogatepass")
+        if end >= len(spans):
+            return
+        at = end - (window - 1)
+
+
+def _blocks(bench: DataFrame, window: int, block_bytes: int) -> Iterator[list[tuple]]:
     rows, size = [], 0
     for row in bench.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        rows.append((row[0], row[1]))
-        size += len(row[1].encode("utf-8", "surrogatepass"))
-        if size >= block_bytes:
-            yield rows
-            rows, size = [], 0
+        for part in _parts(row[1], window, block_bytes):
+            rows.append((row[0], part))
+            size += len(part.encode("utf-8", "surrogatepass"))
+            if size >= block_bytes:
+                yield rows
+                rows, size = [], 0
     if rows:
         yield rows
 
@@ -269,7 +287,7 @@ _ROW = "_decontaminated_row"
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, the columns to carry, n_words, hit_from and hit_to (byte ranges of the hit words, in order), item_ids (sorted as strings)."""
-    own, blocks = ["doc_id", "text", *(carry or [])], _blocks(bench, block_bytes)
+    own, blocks = ["doc_id", "text", *(carry or [])], _blocks(bench, window, block_bytes)
     first, second = next(blocks, None), next(blocks, None)
     if second is None:
         return _pass(docs.select(*own), phrases_of(first, window) if first else None).withColumn("item_ids", F.array_sort("item_ids"))
