@@ -248,6 +248,7 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
                 lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(value, pa.int64())))
             columns = [*batch.columns, pa.array(np.diff(firsts)), *lists, pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_words", "hit_from", "hit_to", "item_ids"])
+        K.trim()
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_DDL).fields]))
 
@@ -326,6 +327,7 @@ def removal_spans(marked: DataFrame) -> DataFrame:
                     at = b
                 kept.append(None if raw is None else b"".join([*out, raw[at:]]).decode("utf-8", "replace"))
             yield batch.append_column("clean_text", pa.array(kept, pa.string()))
+        K.trim()
 
     return marked.mapInArrow(work, T.StructType([*marked.schema.fields, T.StructField("clean_text", T.StringType())]))
 

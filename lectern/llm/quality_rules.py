@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lectern.llm import kernels as K
+
 #: Fixed values of the contract: white space that ends words, symbols, and the base limits.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -183,6 +185,7 @@ def quality_rules(docs: DataFrame, rules: LineRules | None = None, want_text: bo
                 found = [judge(t.as_py(), rules, want_text) for t in part.column("text")]
                 columns = [*(part.column(c) for c in own), *(pa.array([f[name] for f in found], kind) for name, kind in fields)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*own, *(name for name, _ in fields)])
+        K.trim()
 
     added = T.StructType.fromDDL(_DDL + ", clean_text string" * want_text)
     return docs.select(*own, "text").mapInArrow(work, T.StructType([*(docs.schema[c] for c in own), *added.fields]))

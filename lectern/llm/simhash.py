@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import kernels as K
 from lectern.llm.graphs import components, local_components
 from lectern.plans.storage import materialize
 
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             texts = batch.column("text").cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        K.trim()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp long")
@@ -155,6 +157,8 @@ def _trie_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += len(groups)
     if size:
         yield from links(held)
+    held.clear()
+    K.trim()
 
 
 def _parts(value, width: int, shifts: list[int], tag) -> F.Column:

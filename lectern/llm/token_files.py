@@ -13,7 +13,7 @@ states) with a CRC-32 of each block's ids, so that blocks decode independently a
 Documents are brought in doc_id order by a range shuffle of their texts; each partition tokenises,
 codes and writes its documents, so that ids are never shuffled.  Texts are split where the byte-level
 pre-tokeniser surely splits them (before a single space or line feed between other characters) and
-the pieces' ids are kept in a memo bounded by its bytes, which gives the same ids as coding the text at
+the pieces' ids are kept in a memo bounded by its bytes (two generations, so that frequent ones stay), which gives the same ids as coding the text at
 once; pieces of over 64 characters (text without spaces) are coded each time.
 
 Nulls: a null text is empty and has the end id only.  A null doc_id sorts first.  Repeated rows are
@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import kernels as K
 from lectern.plans.storage import materialize, new_path
 
 MAGIC = b"LTOK0001"
@@ -44,7 +45,7 @@ LOW = np.uint64(1 << 32)
 FILE_IDS = 1 << 23
 GROUP = 32  # blocks that are coded together
 #: Bytes of a worker's memo, what an entry needs besides its text and ids, and the longest piece it keeps.
-MEMO_BYTES, ENTRY_BYTES, LONGEST_PIECE = 96 << 20, 180, 64
+MEMO_BYTES, ENTRY_BYTES, LONGEST_PIECE = 128 << 20, 180, 64
 
 
 def scaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -75,7 +76,7 @@ def rans_encode(symbols: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.nd
     """
     blocks = max(1, -(-len(symbols) // BLOCK))
     steps = -(-min(len(symbols), BLOCK) // LANES) if blocks == 1 else BLOCK // LANES
-    padded = np.zeros(blocks * steps * LANES, dtype=np.int64)
+    padded = np.zeros(blocks * steps * LANES, dtype=np.uint32)
     padded[: len(symbols)] = symbols
     grid = padded.reshape(blocks, steps, LANES)
     start, _ = _lookup(freq)
@@ -128,13 +129,13 @@ def pack_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, o
     if top < 1 << 22:  # vocabularies are small: count by position
         every = np.bincount(ids)
         present = np.flatnonzero(every)
-        rank = np.zeros(top + 1, dtype=np.int64)
-        rank[present] = np.arange(len(present))
+        rank = np.zeros(top + 1, dtype=np.uint32)
+        rank[present] = np.arange(len(present), dtype=np.uint32)
         dense, counts = rank[ids], every[present]
     else:
         present, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
     freq, bits = scaled(counts)
-    dense = dense.astype(np.uint32)
+    dense = dense.astype(np.uint32, copy=False)
     coded = [rans_encode(dense[i : i + GROUP * BLOCK], freq, bits) for i in range(0, len(dense), GROUP * BLOCK)]
     words, per_block, states = (np.concatenate(x) for x in zip(*coded, strict=True))
     checks = np.array([zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)], dtype="<u4")
@@ -196,6 +197,7 @@ class Pieces(dict):
     def __init__(self, tokenizer, special: tuple[str, ...]) -> None:
         super().__init__()
         self.tokenizer, self.model, self.special, self.marks, self.size = tokenizer, tokenizer.model, special, {}, 0
+        self.old: dict[str, bytes] = {}  # the generation before: what is asked again comes back from there
         self.line = self.coded("\n")
 
     @staticmethod
@@ -206,6 +208,10 @@ class Pieces(dict):
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is not None:
+            self.keep(self, piece, got)
+            return got
         lead, body = ("", piece[1:]) if piece[:1] in ("\n", "\x00") else (" ", piece)
         word = body.rstrip(self.BEHIND)
         if word.isalpha() and len(word) < len(body):
@@ -233,7 +239,8 @@ class Pieces(dict):
         if len(piece) > LONGEST_PIECE:
             return
         self.size += len(piece) + len(got) + ENTRY_BYTES
-        if self.size > MEMO_BYTES:
+        if self.size > MEMO_BYTES // 2:
+            self.old = dict(self)
             self.clear()
             self.marks.clear()
             self.size = 0
@@ -292,6 +299,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
                     seq, parts, names, size = seq + 1, [], [], 0
         if parts:
             yield packed()
+        parts.clear()
+        K.trim()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = ordered.mapInArrow(work, "file binary").select(F.col("file").cast("string").alias("value"))

@@ -318,6 +318,22 @@ def test_rans_round_trip_and_damage(n):
             token_files.unpack_file(bytes(broken))
 
 
+@pytest.mark.parametrize("n", [131_072, 131_073, 300_000])
+def test_rans_groups_of_blocks(monkeypatch, n):
+    monkeypatch.setattr(token_files, "GROUP", 2)
+    ids = np.random.default_rng(n).integers(0, 3000, n).astype("<u4")
+    assert (token_files.unpack_file(token_files.pack_file(ids, [7], np.array([n]), (1, 2), 2))[3] == ids).all()
+
+
+def test_memo_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 20_000)
+    whole = token_files.load_pieces(token_files.default_vocabulary())
+    pieces = token_files.Pieces(whole.tokenizer, whole.special)
+    text = " ".join(f"word{k % 700}, x{k}." for k in range(3000)) + " " + "y" * 500
+    assert pieces.document(text) == whole.coded(text)
+    assert pieces.size <= 10_300 and len(pieces) + len(pieces.old) < 150 and all(len(p) <= 64 for p in pieces)
+
+
 def test_scaled_frequencies():
     counts = np.concatenate((np.ones(5000, int), [10**9]))
     freq, bits = token_files.scaled(counts)
@@ -370,6 +386,16 @@ def test_benchmark_rows_without_id(spark, block_bytes):
     assert {i: (len(r.hit_from), r.item_ids, r.clean_text) for i, r in got.items()} == {1: (3, [], "so  then"), 2: (2, ["7"], ""), 3: (0, [], "none")}
 
 
+@pytest.mark.parametrize("most", [1, 20, 90, 10_000])
+def test_parts_of_long_items_hold_all_windows(most):
+    text = "Aé, b" + " word-é x1; ".join(str(k) for k in range(60))
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower().encode())
+    windows = lambda t: {tuple(w[k : k + 10]) for w in [re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower().encode())] for k in range(len(w) - 9)}
+    parts = list(fm_index._parts(text, 10, most))
+    assert set().union(*map(windows, parts)) == windows(text) and len(words) > 60
+    assert all(len(p.encode()) <= max(most, 120) or len(parts) == 1 for p in parts)
+
+
 def test_fm_index_search_and_locate():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 400)
