@@ -18,6 +18,7 @@ from lectern.functions import gates
 from lectern.functions import text as T
 from lectern.operators import vectors
 from lectern.operators.retrieve import PAIR, default_embedder
+from lectern.plans.storage import materialize
 from lectern.providers import Embedder, Generator
 
 #: Fixed value: the reply to a question that nothing answers.
@@ -164,6 +165,7 @@ def _generated(rows: DataFrame, cfg: Settings, make: Callable[[], Generator]) ->
     prompt = gates.hosted_prompt if hosted else gates.local_prompt
     gate = gates.hosted_answer if hosted else gates.local_answer
     # Spark computes a Python function for all rows, whatever a condition says: only relevant ones go there
+    rows = materialize(rows, "to-generate")
     raw = rows.where("relevant").withColumn("_raw", generate(prompt("question", "evidence")))
     made = raw.withColumn("generated", gate("_raw", "evidence")).drop("_raw")
     return made.unionByName(rows.where("NOT relevant").withColumn("generated", F.lit(None).cast("string")))
