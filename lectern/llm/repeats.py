@@ -216,7 +216,8 @@ def told_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["slice_id", "bucket", "blob"])
 
 
-_ANCHOR_BYTES = 19
+#: Bytes of an anchor's hash (its bucket is a part of the hash that isn't sent), of its context's (which only tells how many there are), and of its id.
+_ANCHOR_BYTES = 4 + 3 + 8
 
 
 @dataclass
@@ -258,7 +259,7 @@ class _Work:
                 blobs = []
                 for a, b in zip(f.sent.cut[:-1].tolist(), f.sent.cut[1:].tolist(), strict=True):
                     own = f.sent.item[a:b]
-                    blobs.append(planes(f.anchors.anchor[own], 5) + planes(f.anchors.context[own], 6) + planes(f.ids[own], 8))
+                    blobs.append(planes(f.anchors.anchor[own], 4) + planes(f.anchors.context[own], 3) + planes(f.ids[own], 8))
                 yield sent_rows(slice_id, f.sent.bucket.tolist(), [0] * len(blobs), blobs)
 
     # 2: verdicts on hashes
@@ -273,11 +274,11 @@ class _Work:
         rows, parts = [], []
         for bucket, slice_id, kind, blob in run:
             n, at = len(blob) // _ANCHOR_BYTES, 0
-            a, at = from_planes(blob, at, n, 5)
-            c, at = from_planes(blob, at, n, 6)
+            a, at = from_planes(blob, at, n, 4)
+            c, at = from_planes(blob, at, n, 3)
             ids, at = from_planes(blob, at, n, 8)
             rows.append((slice_id, bucket, n))
-            parts.append((a | np.uint64(bucket << 40), c, ids.view(np.int64)))  # the bucket is a part of the hash that isn't sent
+            parts.append((a | np.uint64(bucket << 32), c, ids.view(np.int64)))
         anchor, context, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         order = np.lexsort((ids, context, anchor))
