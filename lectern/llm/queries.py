@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import cover_dedup, fm_index, mixing, noisy_channel, quality_rules, simhash, subwords, suffix_dedup, token_files, warc
+from lectern.llm import cover_dedup, fill_middle, fm_index, mixing, noisy_channel, periodic_runs, piece_table, quality_rules, simhash, subwords, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_cover_dedup": cover_dedup.op8_cover_dedup,
     "op10_toxicity": noisy_channel.op10_toxicity,
     "op9_mixing": mixing.op9_mixing,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_sentencepiece": piece_table.op13_sentencepiece,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op8_cover_dedup": cover_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_fill_in_middle": fill_middle.OP11_SQL,
+    "op12_periodic_runs": periodic_runs.OP12_SQL,
 }
