@@ -126,7 +126,7 @@ def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[],
     around = T.remove_latex(T.strip_leading_latex(F.array_join(F.transform(near, lambda s: s["sent"]), " ")))
     cleaned = F.filter(F.transform(_good(F.col("top")), lambda s: s["clean"]), lambda c: c != "")
     instead = F.array_join(F.when(F.size("picked") > 0, F.col("picked")).otherwise(F.slice(cleaned, 1, FALLBACK_SENTENCES)), " ")
-    rows = rows.withColumn("focused", F.when(has, around).otherwise(T.strip(instead)))
+    rows = rows.withColumn("focused", F.when(has, around).otherwise(T.remove_latex(instead)))
     rows = rows.withColumn("evidence", evidence_pack("tops", cfg)).withColumn("extras", extras("tops", cfg))
     extractive = T.remove_latex(T.format_extractive("picked", "attr_text"))
     if generator is None or cfg.mode == "structured":

@@ -91,6 +91,8 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, key: s
 def chunks(docs: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
     """kb_id, chunk_idx, chunk, section, page, embed_text of documents (kb_id, text, and section_map, page_map if there are).
 
+    Null and empty texts, and those whose chunks are all too short, give no rows; `indexable` has a message for them.
+    Rows are independent of each other: documents that repeat an id give chunks of equal names, which `indexable` tells.
     Attribution probes the maps, which are keyed by paragraph, with the chunk's index; this is how the
     engine has always read them.
     """
@@ -103,7 +105,24 @@ def chunks(docs: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataF
     return made.select(kb, "chunk_idx", "chunk", section.alias("section"), page.alias("page")).withColumn("embed_text", T.embed_text("section", "chunk"))
 
 
-def indexable(chunked: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
-    """n_chunks of each collection, and err where there are too few."""
-    err = F.when(F.col("n_chunks") < cfg.min_chunks, F.lit("Not enough text to index. Try a longer document.")).otherwise(F.lit(""))
-    return chunked.groupBy(kb).agg(F.count(F.lit(1)).alias("n_chunks")).withColumn("err", err)
+#: Fixed value: what is said of a document that is too short.
+TOO_SHORT = "Not enough text to index. Try a longer document."
+REPEATED = "The collection's id is given more than once."
+
+
+def indexable(docs: DataFrame, chunked: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
+    """n_chunks of each collection of docs, those without any chunk included, and err where it can't be indexed.
+
+    A null or empty text has no chunks. Chunks of two documents under one id can't be told apart: such a collection isn't indexed either.
+    """
+    ids = docs.groupBy(kb).agg(F.count(F.lit(1)).alias("_given"))
+    counts = chunked.groupBy(kb).agg(F.count(F.lit(1)).alias("n_chunks"))
+    found = ids.join(counts, ids[kb].eqNullSafe(counts[kb]), "left").select(ids[kb], F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "_given")
+    err = F.when(F.col("_given") > 1, REPEATED).when(F.col("n_chunks") < cfg.min_chunks, TOO_SHORT).otherwise("")
+    return found.select(kb, "n_chunks", err.alias("err"))
+
+
+def rejected(chunked: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
+    """kb of the collections with chunks that can't be indexed: too few, or under an id that is given twice."""
+    counts = chunked.groupBy(kb).agg(F.count(F.lit(1)).alias("n"), F.max("chunk_idx").alias("last"))
+    return counts.where((F.col("n") < cfg.min_chunks) | (F.col("n") > F.col("last") + 1)).select(kb)

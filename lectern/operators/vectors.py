@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -34,58 +35,77 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-QUERY_BLOCK = 4096
-_SLICE = 512
+#: Vectors of a cell and questions of a pack: a task multiplies one cell by one pack at a time.
+CELL, PACK = 1024, 256
 
 
-def _query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list = []
-    for row in queries.where("q_embedding IS NOT NULL").select("q_id", "q_embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == rows:
-            yield np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)
-            held = []
-    if held:
-        yield np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)
+def cells(vectors: DataFrame, by: list[str], cell: Column, key: str, embedding: str = "embedding") -> DataFrame:
+    """by columns, cell, vectors: an array of (key, embedding) for each cell, a piece of its collection of bounded size."""
+    rows = vectors.where(F.col(embedding).isNotNull()).select(*by, cell.cast("long").alias("cell"), F.struct(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("embedding")).alias("v"))
+    return rows.groupBy(*by, "cell").agg(F.collect_list("v").alias("vectors"))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest of all vectors (vec_id, embedding) to each query (q_id, q_embedding): q_id, vec_id, score, rank.
+def packs(asked: DataFrame, by: list[str], sizes: DataFrame, columns: list[str]) -> DataFrame:
+    """by columns, cell, pack, asks: the questions of a collection, in packs of about `PACK`, for each of its cells.
 
-    Queries are read in blocks of `block_rows`, which bounds what is broadcast; a pass over the vectors
-    serves a block by matrix products, and a task hands on its k best for each query only.
+    sizes: by columns, n_cells, n_packs.  Questions are packed before they are copied, so a copy is an array.
     """
-    spark = vectors.sparkSession
-    found = spark.createDataFrame([], "q_id long, vec_id long, score double")
-    for block in _query_blocks(queries, block_rows):
-        found = found.unionByName(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(block), k), found.schema))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    rows = asked.where("q_embedding IS NOT NULL").join(sizes, by) if by else asked.where("q_embedding IS NOT NULL").crossJoin(sizes)
+    packed = rows.groupBy(*by, "n_cells", F.pmod(F.xxhash64("q_id"), "n_packs").alias("pack")).agg(F.collect_list(F.struct(*columns)).alias("asks"))
+    return packed.select(*by, "pack", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_cells") - 1)).alias("cell"))
+
+
+def _structs(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """n + 1 offsets and the structs of a column of arrays of structs; null counts as empty."""
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(sizes))), column.flatten()
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
 
+def _best(values: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` greatest values, the smaller key first among equals, in that order."""
+    if len(values) > most:
+        least = np.partition(values, len(values) - most)[len(values) - most]
+        near = np.flatnonzero(values >= least)
+    else:
+        near = np.arange(len(values))
+    return near[np.lexsort((keys[near], -values[near]))[:most]]
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all vectors (vec_id, embedding) to each query (q_id, q_embedding): q_id, vec_id, score, rank.
+
+    Vectors and queries are dealt into cells and packs by hash, each cell meets each pack by matrix product,
+    and hands on its k best for each query only.  Nothing goes through the driver but two counts.  Vectors
+    and queries that are null are left out; a query given twice is answered twice; ties go by vec_id.
+    """
+    n_cells, n_packs = (max(1, -(-df.count() // size)) for df, size in ((vectors, CELL), (queries, PACK)))
+    made = cells(vectors, [], F.pmod(F.xxhash64("vec_id"), F.lit(n_cells)), "vec_id")
+    sizes = vectors.sparkSession.range(1).select(F.lit(n_cells).cast("long").alias("n_cells"), F.lit(n_packs).cast("long").alias("n_packs"))  # one row
+    numbered = queries.select("q_id", "q_embedding", F.monotonically_increasing_id().alias("n"))
+    asked = packs(numbered, [], sizes, ["q_id", "n", F.col("q_embedding").cast("array<double>").alias("q_embedding")])
 
-def _nearest(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
-        query, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        least = np.full(len(names), -np.inf)
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                rows = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                every = np.round(matrix @ rows.T, 6)
-                q, v = np.nonzero(every >= least[:, None])
-                query, score = np.concatenate((query, q)), np.concatenate((score, every[q, v]))
-                vec = np.concatenate((vec, part.column("vec_id").to_numpy()[v]))
-                order = np.lexsort((vec, -score, query))
-                query, vec, score = query[order], vec[order], score[order]
-                first = np.searchsorted(query, np.arange(len(names)))
-                place = np.arange(len(query)) - first[query]
-                full = place == k - 1
-                least[query[full]] = score[full]
-                query, vec, score = (x[place < k] for x in (query, vec, score))
-        yield pa.RecordBatch.from_arrays([pa.array(names[query], pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["q_id", "vec_id", "score"])
-
-    return work
+            (v_at, v), (q_at, q) = (_structs(batch.column(c)) for c in ("vectors", "asks"))
+            for row in range(batch.num_rows):
+                own, asks = v.slice(v_at[row], v_at[row + 1] - v_at[row]), q.slice(q_at[row], q_at[row + 1] - q_at[row])
+                keys = own.field("key").to_numpy()
+                scores = np.round(_matrix(asks.field("q_embedding")) @ _matrix(own.field("embedding")).T, 6)
+                best = [_best(line, keys, k) for line in scores]
+                who = np.repeat(np.arange(len(best)), [len(b) for b in best])
+                place = np.concatenate(best)
+                yield pa.RecordBatch.from_arrays(
+                    [asks.field("q_id").take(pa.array(who)), asks.field("n").take(pa.array(who)), pa.array(keys[place]), pa.array(scores[who, place])], names=["q_id", "n", "vec_id", "score"]
+                )
+
+    kind = dict(queries.dtypes)["q_id"]
+    found = made.join(asked, "cell").mapInArrow(work, f"q_id {kind}, n long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("n")
 
 
 def mmr(pool: Column | str, k: int = 3, min_rel: float = 0.2, weight: float = 0.72, max_chars: int = 650) -> Column:

@@ -65,7 +65,8 @@ def chunk_docs_small(spark, d):
 
 
 def indexable(spark, d):
-    return chunking.indexable(_chunks(spark, d, False), SMALL)
+    docs = _documents(spark, d, False)
+    return chunking.indexable(docs, chunking.chunks(docs, SMALL), SMALL)
 
 
 def attributed_chunks(spark, d):
@@ -364,7 +365,7 @@ _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'),
 ORACLES = {
     "chunk_docs_default": _with(_fold(800, 30)) + "SELECT kb_id, chunk_idx, md5(chunk) AS chunk_md5 FROM chunks0",
     "chunk_docs_small": _with(_SMALL) + "SELECT kb_id, chunk_idx, md5(chunk) AS chunk_md5 FROM chunks0",
-    "indexable": _with(_SMALL) + "SELECT kb_id, count(*) AS n_chunks, CASE WHEN count(*) < 2 THEN 'Not enough text to index. Try a longer document.' ELSE '' END AS err FROM chunks0 GROUP BY kb_id",
+    "indexable": _with(_SMALL) + "SELECT doc_id AS kb_id, count(c.kb_id) AS n_chunks, CASE WHEN count(c.kb_id) < 2 THEN 'Not enough text to index. Try a longer document.' ELSE '' END AS err FROM documents LEFT JOIN chunks0 c ON c.kb_id = doc_id GROUP BY doc_id",
     "attributed_chunks": _with(_SMALL, _ATTR) + "SELECT kb_id, chunk_idx, section, page, attr, md5(embed_text) AS embed_md5 FROM chunks",
     "asof_section": _with(_SMALL, "entries AS (SELECT doc_id AS kb_id, i AS para_idx, source || ' part ' || i AS section FROM documents, range(1, 32, 3) t(i))") + "SELECT c.kb_id, c.chunk_idx, e.section FROM chunks0 c ASOF LEFT JOIN entries e ON c.kb_id = e.kb_id AND c.chunk_idx >= e.para_idx",
     "tfidf_vocab": _with(*_TO_VOCAB) + "SELECT kb_id, term, df, cf, round(idf, 6) AS idf FROM vocab",

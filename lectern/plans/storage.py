@@ -3,8 +3,10 @@
 The folder is ``spark.checkpoint.dir`` when the cluster names one.  Where it is unset (tests, a
 notebook on one machine) and the session runs on this machine alone, a fresh temporary folder is made;
 on a cluster an unset folder is an error, since executors would write to their own disks.  Tables
-written here survive the loss of any executor and cut the lineage of long plans; `tables_of`,
-`materialize_alone` and `release` delete what a piece of work has done with, and all others are deleted when the driver ends.
+written here survive the loss of any executor and cut the lineage of long plans.  `tables_of`,
+`materialize_alone` and `release` delete what a piece of work has done with: a piece of work owns the
+tables that are written within it, by its own thread, and deletes no others, so pieces of work in several
+threads don't touch each other's.  Tables that no piece of work deletes go when the driver ends.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
+#: All tables that there are, by path.
+_MADE: dict[str, SparkSession] = {}
+#: The paths that the innermost open piece of work has written.
+_OWN: ContextVar[list[str] | None] = ContextVar("lectern_tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing has used."""
     path = f"{shared_dir(spark)}/lectern/{tag}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
+    _MADE[path] = spark
+    own = _OWN.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
@@ -55,11 +64,12 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
 
 def materialize_alone(build: Callable[[], DataFrame], tag: str) -> DataFrame:
     """Write what build gives, then delete all tables that were written to make it."""
-    before = len(_MADE)
-    out = materialize(build(), tag)
-    last = _MADE.pop()
-    _delete(before)
-    _MADE.append(last)
+    outer = _OWN.get()
+    with tables_of():
+        out = materialize(build(), tag)
+        _OWN.get().remove(out._written_at)
+    if outer is not None:
+        outer.append(out._written_at)
     return out
 
 
@@ -69,7 +79,7 @@ def release(*frames: DataFrame) -> None:
         path = getattr(frame, "_written_at", None)
         if path is not None:
             delete_path(frame.sparkSession, path)
-            _MADE[:] = [m for m in _MADE if m[1] != path]
+            _MADE.pop(path, None)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -82,16 +92,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
 @contextmanager
 def tables_of() -> Iterator[None]:
     """Deletes at its end the tables that were written within it; nothing may read them afterwards."""
-    before = len(_MADE)
+    own: list[str] = []
+    token = _OWN.set(own)
     try:
         yield
     finally:
-        _delete(before)
+        _OWN.reset(token)
+        _delete(own)
 
 
-def _delete(keep: int) -> None:
-    while len(_MADE) > keep:
-        spark, path = _MADE.pop()
+def _delete(paths: list[str]) -> None:
+    for path in reversed(paths):
+        spark = _MADE.pop(path, None)
+        if spark is None:  # released already
+            continue
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may have gone first, or this session; go on with the others
@@ -100,4 +114,4 @@ def _delete(keep: int) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    _delete(0)
+    _delete(list(_MADE))

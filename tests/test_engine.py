@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.config import SMALL, Settings
-from lectern.operators import answer, chunking, registry, retrieve, tfidf
+from lectern.operators import answer, chunking, registry, retrieve, tfidf, vectors
 from lectern.plans import storage, store
 from lectern.providers import CrossEncoderReranker, FunctionGenerator, HostedGenerator, LocalGenerator
 from lectern.streaming import ingest
@@ -95,9 +95,80 @@ def test_store_keeps_its_slots(spark, tmp_path):
 
 def test_collections_of_one_chunk_are_not_indexed(spark):
     docs = documents(spark, 1).unionByName(spark.createDataFrame([("one", "a single short paragraph about reactors")], "kb_id string, text string"))
+    docs = docs.unionByName(spark.createDataFrame([("null", None), ("empty", ""), ("short", "too short"), (None, "x")], "kb_id string, text string")).unionByName(documents(spark, 2).where("kb_id = 'd1'")).unionByName(documents(spark, 2).where("kb_id = 'd1'"))
     made = retrieve.build_index(chunking.chunks(docs, SMALL), SMALL)
     assert {r.kb_id for r in made.chunks.select("kb_id").distinct().collect()} == {"d0"} == {r.kb_id for r in made.vocab.select("kb_id").distinct().collect()}
-    assert {(r.kb_id, r.err) for r in chunking.indexable(chunking.chunks(docs, SMALL), SMALL).collect()} == {("d0", ""), ("one", "Not enough text to index. Try a longer document.")}
+    told = {(r.kb_id, r.n_chunks > 1, r.err) for r in chunking.indexable(docs, chunking.chunks(docs, SMALL), SMALL).collect()}
+    short = "Not enough text to index. Try a longer document."
+    assert told == {("d0", True, ""), ("one", False, short), ("null", False, short), ("empty", False, short), ("short", False, short), (None, False, short), ("d1", True, "The collection's id is given more than once.")}
+    assert chunking.indexable(docs.limit(0), chunking.chunks(docs.limit(0), SMALL), SMALL).count() == 0
+
+
+def hybrid_plain(chunks, asked, sparse, cfg, k=None):
+    """Every pair scored: {(q, kb): [(chunk, score)]} in order of rank."""
+    out = {}
+    for (q, kb), vector in asked.items():
+        own = {i: v for (b, i), v in chunks.items() if b == kb}
+        if not own:
+            continue
+        dense = {i: float(np.dot(v, vector)) for i, v in own.items()}
+        thin = {i: sparse.get((q, kb, i), 0.0) for i in own}
+        scale = lambda x: {i: 0.0 if max(x.values()) - min(x.values()) < 1e-12 else (v - min(x.values())) / (max(x.values()) - min(x.values())) for i, v in x.items()}
+        a, b = scale(dense), scale(thin)
+        score = {i: cfg.alpha * a[i] + (1 - cfg.alpha) * b[i] for i in own}
+        most = k or min(cfg.dynamic_high, max(cfg.dynamic_low, len(own) // cfg.dynamic_divisor))
+        out[q, kb] = [(i, round(score[i], 9)) for i in sorted(own, key=lambda i: (-round(score[i], 9), i))[:most]]
+    return out
+
+
+@pytest.mark.parametrize(("cell", "pack", "k"), [(1024, 256, None), (7, 3, 5), (16, 1, 60), (5, 2, 1)])
+def test_hybrid_is_complete(spark, monkeypatch, cell, pack, k):
+    """Against all pairs: collections of one size and another, many chunks of one score, questions given twice."""
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "PACK", pack)
+    rng = np.random.default_rng(4)
+    few = [np.round(rng.normal(size=6), 2) for _ in range(3)]  # few different vectors make ties
+    chunks = {(f"kb{b}", i): few[int(rng.integers(3))] if b % 2 else rng.normal(size=6) for b, n in enumerate((1, 130, 90, 3, 61)) for i in range(n)}
+    asked = {(q, f"kb{b}"): rng.normal(size=6) for q in range(5) for b in range(6)}
+    sparse = {(q, kb, i): float(np.round(rng.random(), 3)) for q in range(4) for kb, i in chunks if rng.random() < 0.15}
+    rows = spark.createDataFrame([(kb, i, f"text {i}", "", None, f"text {i}", [float(x) for x in v]) for (kb, i), v in chunks.items()], "kb_id string, chunk_idx int, chunk string, section string, page int, embed_text string, embedding array<double>")
+    given = spark.createDataFrame([(q, kb, f"{q}/{kb}") for q, kb in asked] * 2 + [(None, "kb0", "x"), (1, None, "x")], "q_id long, kb_id string, question string")
+
+    class Known:
+        dim = 6
+
+        def encode(self, texts):
+            return np.array([asked[int(t.split("/")[0]), t.split("/")[1]] for t in texts])
+
+    monkeypatch.setattr(retrieve, "sparse_scores", lambda *a: spark.createDataFrame([(*key, v) for key, v in sparse.items()], "q_id long, kb_id string, chunk_idx int, sparse double"))
+    got = {}
+    for r in retrieve.hybrid(retrieve.Index(rows, None, None), given, SMALL, k, Known).orderBy("rank").collect():
+        got.setdefault((r.q_id, r.kb_id), []).append((r.chunk_idx, round(r.score, 9)))
+        assert r["rank"] == len(got[r.q_id, r.kb_id])
+    want = hybrid_plain(chunks, asked, sparse, SMALL, k)
+    assert {p: [i for i, _ in x] for p, x in got.items()} == {p: [i for i, _ in x] for p, x in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-8 for p in want for a, b in zip(got[p], want[p], strict=True))
+
+
+@pytest.mark.parametrize("cell", [3, 64, 1024])
+def test_dense_topk_with_ties_and_repeats(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "PACK", 2)
+    rng = np.random.default_rng(7)
+    table = {i: np.round(rng.normal(size=4), 1) for i in range(100)} | {i: np.ones(4) for i in range(100, 130)}
+    vecs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in table.items()] + [(500, None)], "vec_id long, embedding array<double>")
+    asks_ = spark.createDataFrame([(k, [float(x) for x in table[k]]) for k in (3, 50, 110)] * 2 + [(9, None)], "q_id long, q_embedding array<double>")
+    got = sorted((r.q_id, r["rank"], r.vec_id) for r in vectors.dense_topk(vecs, asks_, 4).collect())
+    want = [(q, n + 1, i) for q in (3, 50, 110) for n, i in enumerate(sorted(table, key=lambda i: (-round(float(table[i] @ table[q]), 6), i))[:4])]
+    assert got == sorted(want * 2)
+    assert vectors.dense_topk(vecs.limit(0), asks_, 4).count() == 0 == vectors.dense_topk(vecs, asks_.limit(0), 4).count()
+
+
+def test_terms_count_like_words(spark):
+    rows = spark.createDataFrame([(0, "The reactor, the REACTOR core of a reactor_2"), (1, None), (2, ""), (3, "İstanbul ΟΔΟΣ été 42")], "n long, t string")
+    got = {r.n: {x.term: x.n for x in r.tf} for r in tfidf.term_counts(rows, ["n"], "t").collect()}
+    assert got[0] == {"reactor": 2, "core": 1, "reactor_2": 1, "reactor reactor": 1, "reactor core": 1, "core reactor_2": 1} and got[1] == got[2] == {}
+    assert got[3]["οδος"] == 1 and got[3]["été 42"] == 1
 
 
 def test_vocabulary_caps_large_collections_alone(spark):
@@ -128,6 +199,19 @@ def test_passages_fall_back_to_three_sentences(spark):
     assert got.picked == [] and got.answer_text == "I cannot determine this from the document." and got.focused == " ".join(lines[1:4])
 
 
+def test_formulas_leave_passages_that_stand_in(spark):
+    """A picked sentence may hold a formula; the supporting passage doesn't, and isn't shown where it says what the answer says."""
+    sent = "The first sentence \\[ x = y \\] carries a formula inside its words."
+    cols = "q_id long, kb_id string, question string, tops array<struct<rank:int,chunk_idx:int,chunk:string,score:double,attr:string,sents:array<struct<si:int,sent:string,noise:boolean,clean:string,rel:double,emb:array<double>,raw_rel:double>>>>"
+    rows = spark.createDataFrame([(1, "k", "why", [(1, 0, sent, 0.5, "", [(0, sent, False, sent, 0.0, [0.0], 0.0)])])], cols)
+    original, answer.gathered = answer.gathered, lambda *a: rows
+    try:
+        got = answer.answers(rows, SMALL).first()
+    finally:
+        answer.gathered = original
+    assert got.focused == "The first sentence carries a formula inside its words." == got.answer_text and "Supporting passage" not in got.answer_html
+
+
 def test_evidence_ranks_sentences_as_they_stand(spark):
     class Counts:
         dim = 2
@@ -217,11 +301,55 @@ def test_tables_of_a_piece_of_work_are_deleted(spark):
     with storage.tables_of():
         made = storage.materialize(spark.range(3), "gone")
         assert made.count() == 3
-        path = storage._MADE[-1][1].removeprefix("file://")
+        path = made._written_at.removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
 
 
+def test_pieces_of_work_in_threads_keep_their_tables(spark):
+    """Each piece of work deletes its own tables alone, however they overlap in time."""
+    gate, results, left = threading.Barrier(2), {}, {}
+
+    def work(name, n):
+        with storage.tables_of():
+            first = storage.materialize(spark.range(n), f"first-{name}")
+            gate.wait()
+
+            def build():
+                inner = storage.materialize(first.selectExpr("id * 2 AS id"), f"inner-{name}")
+                gate.wait()
+                return inner.where("id >= 0")
+
+            made = storage.materialize_alone(build, f"made-{name}")
+            gate.wait()
+            results[name] = (first.count(), made.count())
+            left[name] = (first._written_at, made._written_at)
+            if name == "a":  # ends while the other still reads
+                return
+            done.wait()
+            results[name] += (first.count(), made.count())
+
+    done = threading.Event()
+    threads = [threading.Thread(target=work, args=x) for x in (("a", 3), ("b", 5))]
+    for t in threads:
+        t.start()
+    threads[0].join()
+    done.set()
+    threads[1].join()
+    assert results == {"a": (3, 3), "b": (5, 5, 5, 5)}
+    for paths in left.values():
+        assert not any(os.path.exists(p.removeprefix("file://")) or p in storage._MADE for p in paths)
+
+
+def test_tables_pass_to_the_work_around(spark):
+    with storage.tables_of():
+        made = storage.materialize_alone(lambda: storage.materialize(spark.range(4), "inner"), "outer")
+        storage.release(storage.materialize(spark.range(1), "released"))
+        assert made.count() == 4
+        path = made._written_at.removeprefix("file://")
+    assert not os.path.exists(path)
+
+
 def test_streaming_ingest_adds_each_file_once(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     schema = "kb_id string, text string"
