@@ -1,24 +1,24 @@
 """From reranked chunks to answers: sentences, MMR, evidence, supporting passage, extras, markup.
 
-Sentences of the few chunks of each question are embedded once and gathered in one row; every later
-step is a native expression on that row, so answering adds one shuffle to retrieval.
+Sentences stay arrays in the rows of their chunks, are embedded there, and gathered in one row for each
+question; every later step is a native expression on that row, so answering adds one shuffle to retrieval.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from lectern.config import DEFAULT, Settings
 from lectern.functions import gates
 from lectern.functions import text as T
 from lectern.operators import vectors
 from lectern.operators.retrieve import PAIR, default_embedder
-from lectern.plans.storage import materialize
+from lectern.plans.ledger import Ledger
+from lectern.plans.storage import materialize, new_path
+from lectern.plans.vector_table import VectorTable
 from lectern.providers import Embedder, Generator
 
 #: Fixed value: the reply to a question that nothing answers.
@@ -27,22 +27,39 @@ NOTHING = "Nothing relevant found. Try rephrasing using keywords from the docume
 FALLBACK_SENTENCES = 3
 
 
-def gathered(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None) -> DataFrame:
+def gathered(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, table: VectorTable | None = None) -> DataFrame:
     """One row per question and collection: question, and tops, an array in order of rank.
 
     tops: rank, chunk_idx, chunk, score, attr, sents (all sentences in order: si, sent, noise, clean, rel, emb, raw_rel).
     rel and emb are those of the sentence without a leading formula, raw_rel is that of the sentence as it stands.
     """
-    embedder = embedder or default_embedder(cfg)
-    columns = [*PAIR, "question", "q_embedding", "rank", "chunk_idx", "chunk", "score", T.attribution("section", "page").alias("attr")]
-    sents = reranked.select(*columns, F.posexplode_outer(T.split_sentences("chunk")).alias("si", "sent"))
-    sents = sents.withColumn("noise", T.is_noise_sentence(F.coalesce("sent", F.lit("")))).withColumn("clean", F.when(~F.col("noise"), T.strip_leading_latex("sent")))
-    sents = sents.withColumn("emb", vectors.embed(F.coalesce("clean", F.lit("")), embedder)).withColumn("rel", vectors.dot("emb", "q_embedding"))
-    other = vectors.dot(vectors.embed(F.when(~F.col("noise") & (F.col("clean") != F.col("sent")), F.col("sent")), embedder), "q_embedding")
-    sents = sents.withColumn("raw_rel", F.when(F.col("clean") == F.col("sent"), F.col("rel")).otherwise(other))
-    sent = F.struct("si", "sent", "noise", "clean", "rel", "emb", "raw_rel")
-    tops = sents.groupBy(*PAIR, "question", "rank", "chunk_idx", "chunk", "score", "attr").agg(F.sort_array(F.collect_list(F.when(F.col("sent").isNotNull(), sent))).alias("sents"))
-    return tops.groupBy(*PAIR, "question").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_idx", "chunk", "score", "attr", "sents"))).alias("tops"))
+    cut = F.transform(T.split_sentences("chunk"), lambda s, i: F.struct(i.alias("si"), s.alias("sent"), T.is_noise_sentence(s).alias("noise")))
+    cut = F.transform(cut, lambda s: F.struct(s["si"].alias("si"), s["sent"].alias("sent"), s["noise"].alias("noise"), F.when(~s["noise"], T.strip_leading_latex(s["sent"])).alias("clean")))
+    rows = reranked.select(*PAIR, "question", "q_embedding", "rank", "chunk_idx", "chunk", "score", T.attribution("section", "page").alias("attr"), cut.alias("cut"))
+    own = F.transform("cut", lambda s: F.coalesce(s["clean"], F.lit("")))
+    other = F.transform("cut", lambda s: F.when(~s["noise"] & (s["clean"] != s["sent"]), s["sent"]))  # few
+    if table is None:
+        make = embedder or default_embedder(cfg)
+        rows = rows.withColumn("own", vectors.embed_each(own, make)).withColumn("other", vectors.embed_each(other, make))
+    else:
+        rows = _by_content(rows.withColumns({"own": own, "other": other}), table)
+    sents = F.transform("cut", lambda s, i: F.struct(
+        s["si"].alias("si"), s["sent"].alias("sent"), s["noise"].alias("noise"), s["clean"].alias("clean"), vectors.dot(F.get("own", i), "q_embedding").alias("rel"), F.get("own", i).alias("emb"),
+        F.when(F.get("other", i).isNull(), vectors.dot(F.get("own", i), "q_embedding")).otherwise(vectors.dot(F.get("other", i), "q_embedding")).alias("raw_rel"),
+    ))
+    tops = F.struct("rank", "chunk_idx", "chunk", "score", "attr", sents.alias("sents"))
+    return rows.groupBy(*PAIR, "question").agg(F.sort_array(F.collect_list(tops)).alias("tops"))
+
+
+def _by_content(rows: DataFrame, table: VectorTable) -> DataFrame:
+    """rows with own and other as vectors: their texts go to the table, each once, and vectors come back by place."""
+    rows = materialize(rows, "cut")
+    place = [*PAIR, "rank"]
+    long = rows.select(*place, F.posexplode(F.transform("own", lambda x, i: F.struct(x.alias("own"), F.get("other", i).alias("other")))).alias("si", "t"))
+    long = long.select(*place, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "si", F.col("t.own").alias("text")), F.struct(F.lit(1).alias("kind"), "si", F.col("t.other").alias("text")))).alias("t")).select(*place, "t.*").where("text IS NOT NULL")
+    found = table.embedded(long, "text", "emb").groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "si").alias("k"), "emb"))).alias("found"))
+    got = lambda kind: F.transform("cut", lambda s: F.element_at("found", F.struct(F.lit(kind).alias("kind"), s["si"].alias("si"))))
+    return rows.drop("own", "other").join(found, place, "left").withColumns({"own": got(0), "other": got(1)}).drop("found")
 
 
 def sentence_pool(tops: Column | str, cfg: Settings = DEFAULT) -> Column:
@@ -105,12 +122,12 @@ def extras(tops: Column | str, cfg: Settings = DEFAULT) -> Column:
     return F.filter(F.transform(T.let(keyed, new), lambda r: snippet(r["top"])), lambda e: e["snippet"] != "")
 
 
-def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, generator: Callable[[], Generator] | None = None) -> DataFrame:
+def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, generator: Callable[[], Generator] | None = None, table: VectorTable | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Per question and collection: answer_html, answer_text, score, extras, attr_text, and what they were made of.
 
     More columns: picked (sentences), sup_ci and sup_si (chunk and sentences of the most picks), focused, evidence, label.
     """
-    rows = gathered(reranked, cfg, embedder)
+    rows = gathered(reranked, cfg, embedder, table)
     rows = rows.withColumn("pool", sentence_pool("tops", cfg))
     rows = rows.withColumn("chosen", vectors.mmr("pool", cfg.mmr_k, cfg.mmr_min_rel, cfg.mmr_lambda, cfg.mmr_max_chars))
     rows = rows.withColumn("picks", F.transform("chosen", lambda i: F.get(F.col("pool"), i))).withColumn("top", F.get("tops", 0))
@@ -129,10 +146,10 @@ def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[],
     rows = rows.withColumn("focused", F.when(has, around).otherwise(T.remove_latex(instead)))
     rows = rows.withColumn("evidence", evidence_pack("tops", cfg)).withColumn("extras", extras("tops", cfg))
     extractive = T.remove_latex(T.format_extractive("picked", "attr_text"))
-    if generator is None or cfg.mode == "structured":
+    if (generator is None and ledger is None) or cfg.mode == "structured":
         rows = rows.withColumn("generated", F.lit(None).cast("string"))
     else:
-        rows = _generated(rows, cfg, generator)
+        rows = _generated(rows, cfg, generator, ledger)
     made = F.col("generated").isNotNull()
     rows = rows.withColumn("answer_text", F.when(made, T.remove_latex("generated")).otherwise(extractive))
     rows = rows.withColumn("source_label", F.when(made, "generated answer").otherwise("grounded answer"))
@@ -152,20 +169,13 @@ def answers(reranked: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[],
     )
 
 
-def _generated(rows: DataFrame, cfg: Settings, make: Callable[[], Generator]) -> DataFrame:
-    """rows with generated: an answer that passed its gates, or null."""
-
-    @pandas_udf("string")
-    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
-        for prompts in batches:
-            yield pd.Series(model.generate(prompts))
-
+def _generated(rows: DataFrame, cfg: Settings, make: Callable[[], Generator], ledger: Ledger | None) -> DataFrame:
+    """rows with generated: an answer that passed its gates, or null. Calls are made once, into a ledger, before anything reads them."""
     hosted = cfg.mode == "hosted"
     prompt = gates.hosted_prompt if hosted else gates.local_prompt
     gate = gates.hosted_answer if hosted else gates.local_answer
-    # Spark computes a Python function for all rows, whatever a condition says: only relevant ones go there
     rows = materialize(rows, "to-generate")
-    raw = rows.where("relevant").withColumn("_raw", generate(prompt("question", "evidence")))
-    made = raw.withColumn("generated", gate("_raw", "evidence")).drop("_raw")
+    ledger = ledger or Ledger(rows.sparkSession, new_path(rows.sparkSession, "ledger"), cfg.mode, make)
+    raw = ledger.answered(rows.where("relevant").withColumn("_prompt", prompt("question", "evidence")), "_prompt", "_raw")
+    made = raw.withColumn("generated", gate("_raw", "evidence")).drop("_raw", "_prompt")
     return made.unionByName(rows.where("NOT relevant").withColumn("generated", F.lit(None).cast("string")))

@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from lectern.config import DEFAULT, Settings
 from lectern.operators import chunking, tfidf, vectors
 from lectern.plans.storage import materialize
+from lectern.plans.vector_table import VectorTable
 from lectern.providers import Embedder, HashingEmbedder, Reranker
 
 PAIR = ["q_id", "kb_id"]
@@ -38,16 +39,23 @@ def default_embedder(cfg: Settings) -> Callable[[], Embedder]:
     return partial(HashingEmbedder, cfg.embed_dim)
 
 
-def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, stop_words: tuple[str, ...] = tfidf.STOP_WORDS) -> Index:
+def embedded(rows: DataFrame, text: str, out: str, cfg: Settings, embedder: Callable[[], Embedder] | None, table: VectorTable | None) -> DataFrame:
+    """rows with vectors of a column of texts: those of a table, which encodes new texts only, or made anew."""
+    return table.embedded(rows, text, out) if table is not None else rows.withColumn(out, vectors.embed(text, embedder or default_embedder(cfg)))
+
+
+def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[], Embedder] | None = None, stop_words: tuple[str, ...] = tfidf.STOP_WORDS, table: VectorTable | None = None) -> Index:
     """Vectors and TF-IDF of chunks; collections of fewer than `min_chunks` chunks aren't indexed (see `chunking.indexable`).
 
-    Term counts and vocabulary, which all else needs, are written to the shared folder.
+    All parts are written to the shared folder, so that no action makes them again: a model sees a chunk
+    once, and not at all if `table` (which then stands for the embedder) has its text already.
     """
     few = materialize(chunking.rejected(chunks, cfg), "rejected")  # its size is known: a small one is broadcast
     chunks = chunks.join(few, "kb_id", "left_anti")
     counts = materialize(tfidf.term_counts(chunks, ["kb_id", "chunk_idx"], "embed_text", stop_words), "term-counts")
     vocab = materialize(tfidf.vocabulary(counts, cfg), "vocab")
-    return Index(chunks.withColumn("embedding", vectors.embed("embed_text", embedder or default_embedder(cfg))), vocab, tfidf.weights(counts, vocab, ["kb_id", "chunk_idx"]), stop_words)
+    postings = materialize(tfidf.weights(counts, vocab, ["kb_id", "chunk_idx"]), "postings")
+    return Index(materialize(embedded(chunks, "embed_text", "embedding", cfg, embedder, table), "index-chunks"), vocab, postings, stop_words)
 
 
 def norm01(x: Column, low: Column, high: Column) -> Column:
@@ -138,7 +146,7 @@ def _scanned(index: Index, asked: DataFrame, sparse: DataFrame, keep: int, alpha
     return work.select("kb_id", "vectors", "asks", "matched").mapInArrow(_scan(keep, exact, alpha), f"q_id {kinds['q_id']}, kb_id {kinds['kb_id']}, {_PART}")
 
 
-def hybrid(index: Index, asks: DataFrame, cfg: Settings = DEFAULT, top_k: int | None = None, embedder: Callable[[], Embedder] | None = None) -> DataFrame:
+def hybrid(index: Index, asks: DataFrame, cfg: Settings = DEFAULT, top_k: int | None = None, embedder: Callable[[], Embedder] | None = None, table: VectorTable | None = None) -> DataFrame:
     """The best chunks of each question and collection: chunk columns, question, dense, sparse, score, rank, n_chunks.
 
     A collection is cut into cells of `vectors.CELL` chunks, so a question to a large one is spread over
@@ -152,7 +160,7 @@ def hybrid(index: Index, asks: DataFrame, cfg: Settings = DEFAULT, top_k: int |
     A question that is given twice for a collection is asked once (`distinct_asks`).
     """
     asks = distinct_asks(asks)
-    asked = materialize(asks.withColumn("q_embedding", vectors.embed("question", embedder or default_embedder(cfg))), "asked")
+    asked = materialize(embedded(asks, "question", "q_embedding", cfg, embedder, table), "asked")
     sparse = materialize(sparse_scores(index, asks), "sparse")
     most = top_k or cfg.dynamic_high
     parts = materialize(_scanned(index, asked, sparse, most + 1, cfg.alpha), "parts")

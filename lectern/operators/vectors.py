@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,24 @@ def embed(text: Column | str, make: Callable[[], Embedder] = HashingEmbedder) ->
     return encode(as_column(text))
 
 
+def embed_each(texts: Column | str, make: Callable[[], Embedder] = HashingEmbedder) -> Column:
+    """array<array<double>> of an array of texts; null stays null. A text is encoded once for each batch."""
+
+    @pandas_udf("array<array<double>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for batch in batches:
+            flat = pd.Series([t for row in batch for t in row], dtype=object)
+            place, once = pd.factorize(flat.dropna())
+            coded, out = model.encode(once) if len(once) else None, [None] * len(flat)
+            for at, k in zip(np.flatnonzero(flat.notna()), place, strict=True):
+                out[at] = coded[k]
+            ends = np.cumsum([0, *map(len, batch)])
+            yield pd.Series([out[a:b] for a, b in pairwise(ends)])
+
+    return encode(as_column(texts))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Sum of products, in order."""
     products = F.zip_with(as_column(a), as_column(b), lambda x, y: x.cast("double") * y.cast("double"))

@@ -1,13 +1,21 @@
-"""Stored indexes: Parquet by collection and settings, replaced collection by collection, read with pruning."""
+"""Stored indexes: Parquet by collection and settings, changed by whole versions, read with pruning.
+
+Collections are dealt to slots by hash. A version's manifest says, slot by slot, which folder holds it; a
+save writes the slots it touches into a folder of its own, all parts of the index, and publishes a manifest
+that points to it. So readers never see chunks of one save with postings of another, an interrupted save
+changes nothing, and of two saves at once the later one starts from what the earlier one published.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.config import DEFAULT, Settings
 from lectern.operators.retrieve import Index
 from lectern.operators.tfidf import STOP_WORDS
+from lectern.plans.snapshots import ATTEMPTS, Snapshots
 from lectern.plans.storage import materialize
 
 PARTS = ("chunks", "vocab", "postings")
@@ -18,64 +26,85 @@ HASHING = "hashing"
 SLOTS = 64
 
 
-def _place(path: str, cfg: Settings, stop_words: tuple[str, ...], model: str) -> str:
-    return f"{path.rstrip('/')}/{cfg.fingerprint(model, *stop_words)}"
-
-
-def _slots(spark, place: str) -> int | None:
-    """The number of slots of what is stored at a place: its folder's name says it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
-    return next((int(n.removeprefix("slots-")) for n in names if n.startswith("slots-")), None)
+def versions(spark: SparkSession, path: str, cfg: Settings = DEFAULT, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> Snapshots:
+    """The versions of the index stored for these settings, stop list and model."""
+    return Snapshots(spark, f"{path.rstrip('/')}/{cfg.fingerprint(model, *stop_words)}")
 
 
 def _slot(slots: int) -> Column:
     return F.pmod(F.xxhash64(F.col("kb_id").cast("string")), F.lit(slots)).cast("int")
 
 
+def _read(at: Snapshots, manifest: dict, part: str, slots: list[int] | None = None) -> DataFrame | None:
+    """A part of a version, of some slots if given; None where no version has it."""
+    if part not in manifest.get("schemas", {}):
+        return None
+    schema = T.StructType.fromJson(manifest["schemas"][part])
+    paths = [f"{at.place}/{folder}/{part}/slot={s}" for s, folder in manifest["slot_folders"].items() if (slots is None or int(s) in slots) and part in manifest["slot_parts"][s]]
+    return at.spark.read.schema(schema).parquet(*paths) if paths else at.spark.createDataFrame([], schema)
+
+
 def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, writers: int = 1, model: str = HASHING) -> None:
-    """Write an index; collections that are there already are replaced with their slot's other ones kept.
+    """Write an index; collections that are there already are replaced, others are kept.
 
-    Collections are dealt to `slots` folders by hash, so that many small ones don't make many small
-    files; each is written by `writers` tasks (more for more data).  A folder is replaced as a whole, by
-    Spark's committer, after its new rows are complete.  A store keeps the number of slots it began with.
+    Each slot is written by `writers` tasks (more for more data). A store keeps the number of slots it began
+    with. If another save is published meanwhile, the slots that both touch are written again over its version.
     """
     spark = index.chunks.sparkSession
-    place = _place(path, cfg, index.stop_words, model)
-    slots = _slots(spark, place) or slots
+    at = versions(spark, path, cfg, index.stop_words, model)
     ids = materialize(index.chunks.select("kb_id").distinct(), "store-ids")
-    for part in PARTS:
-        rows = getattr(index, part).withColumn("slot", _slot(slots))
-        target = f"{place}/slots-{slots}/{part}"
-        if exists(spark, target):
-            old = spark.read.parquet(target).join(ids, "kb_id", "left_anti")
-            touched = ids.select(_slot(slots).alias("slot")).distinct()
-            rows = materialize(rows.unionByName(old.join(touched, "slot", "left_semi").select(*rows.columns)), f"store-{part}")
-        writer = F.pmod(F.xxhash64(F.col("kb_id").cast("string"), F.lit(1)), F.lit(writers))
-        rows = rows.repartition(slots * writers, "slot", writer)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(target)
-
-
-def exists(spark, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    number, manifest = at.latest()
+    folder, base = None, None
+    for _ in range(ATTEMPTS):
+        slots = manifest.get("slots", slots)
+        touched = sorted(r[0] for r in ids.select(_slot(slots)).distinct().collect())  # as many numbers as slots at most
+        if not touched:
+            return
+        known = manifest.get("slot_folders", {})
+        if folder is None or any(known.get(str(s)) != base.get(str(s)) for s in touched):
+            folder, base = at.new_folder(), known
+            parts = {str(s): [] for s in touched}
+            for part in PARTS:
+                rows = getattr(index, part)
+                old = _read(at, manifest, part, touched)
+                if old is not None:
+                    rows = rows.unionByName(old.join(ids, "kb_id", "left_anti").select(*rows.columns))
+                _write(rows.withColumn("slot", _slot(slots)), f"{at.place}/{folder}/{part}", slots, writers)
+                for name in at.names(f"{folder}/{part}"):
+                    if name.startswith("slot="):
+                        parts[name.removeprefix("slot=")].append(part)
+        placed = {**known, **{str(s): folder for s in touched}}
+        content = {
+            "slots": slots, "slot_folders": placed, "slot_parts": {**manifest.get("slot_parts", {}), **parts}, "folders": sorted(set(placed.values())),
+            "schemas": {part: getattr(index, part).schema.jsonValue() for part in PARTS},
+        }
+        if at.publish(number + 1, content):
+            return
+        number, manifest = at.latest()
+    raise RuntimeError("other writers publish all the time")
+
+
+def _write(rows: DataFrame, target: str, slots: int, writers: int) -> None:
+    writer = F.pmod(F.xxhash64(F.col("kb_id").cast("string"), F.lit(1)), F.lit(writers))
+    rows.repartition(slots * writers, "slot", writer).write.partitionBy("slot").parquet(target)
 
 
 def load(spark, path: str, cfg: Settings = DEFAULT, kb_ids: list | None = None, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> Index | None:
-    """The index stored for these settings, stop list and model, of some collections if named; None if any part is absent."""
-    place, frames = _place(path, cfg, stop_words, model), []
-    slots = _slots(spark, place)
-    for part in PARTS:
-        target = f"{place}/slots-{slots}/{part}"
-        if slots is None or not exists(spark, target):
-            return None
-        rows = spark.read.parquet(target)
-        if kb_ids is not None:
-            wanted = spark.createDataFrame([(str(k),) for k in kb_ids], "kb_id string").select(_slot(slots)).collect()
-            rows = rows.where(F.col("slot").isin(sorted({r[0] for r in wanted})) & F.col("kb_id").isin(list(kb_ids)))
-        frames.append(rows.drop("slot"))
-    return Index(*frames, stop_words)
+    """The newest version of the index stored for these settings, stop list and model, of some collections if named; None without one."""
+    at = versions(spark, path, cfg, stop_words, model)
+    _, manifest = at.latest()
+    if not manifest:
+        return None
+    wanted = None
+    if kb_ids is not None:
+        wanted = sorted({r[0] for r in spark.createDataFrame([(str(k),) for k in kb_ids], "kb_id string").select(_slot(manifest["slots"])).collect()})
+    frames = [_read(at, manifest, part, wanted) for part in PARTS]
+    return Index(*(f if kb_ids is None else f.where(F.col("kb_id").isin(list(kb_ids))) for f in frames), stop_words)
+
+
+def expire(spark, path: str, cfg: Settings = DEFAULT, keep: int = 2, older_than_s: float = 3600, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> list[str]:
+    """Delete old versions and what no kept one names."""
+    return versions(spark, path, cfg, stop_words, model).expire(keep, older_than_s)
 
 
 def missing(documents: DataFrame, stored: Index | None) -> DataFrame:

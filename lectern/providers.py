@@ -133,7 +133,10 @@ class CrossEncoderReranker:
 
 
 class _Posting:
-    """A generator that posts each prompt as JSON; whatever goes wrong, or is no text, counts as no answer."""
+    """A generator that posts each prompt as JSON; whatever goes wrong, or is no text, counts as no answer.
+
+    Requests carry a key made from the prompt, by which an endpoint can tell a repeated call.
+    """
 
     url: str
     timeout: float
@@ -153,7 +156,8 @@ class _Posting:
         out = []
         for prompt in prompts:
             try:
-                with urlopen(Request(self.url, json.dumps(self.body(prompt)).encode(), self.headers()), timeout=self.timeout) as reply:  # noqa: S310
+                headers = self.headers() | {"Idempotency-Key": hashlib.sha256(prompt.encode()).hexdigest()}
+                with urlopen(Request(self.url, json.dumps(self.body(prompt)).encode(), headers), timeout=self.timeout) as reply:  # noqa: S310
                     out.append((self.answer(json.load(reply)) or "").strip())
             except Exception as e:  # noqa: BLE001 - a status like 503 (the model loads), a timeout, a broken reply
                 log.warning("no generated answer: %s", e)
