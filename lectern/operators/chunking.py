@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, Settings
 from lectern.functions import text as T
+from lectern.operators.ordered import last_value
 from lectern.plans.session import spread
 
 
@@ -79,13 +80,16 @@ def as_of(entries: Column | str, at: Column | str) -> Column:
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, key: str, value: str) -> DataFrame:
-    """The same for maps of any size, given as rows (by, key, value): a window over the union of both sides."""
+    """The same for maps of any size, given as rows (by, key, value): both sides in one order, the last value carried on.
+
+    Ranges of (by, key) are worked through apart (`ordered.last_value`), so a collection with half of all rows is
+    spread over tasks. Null values are passed over; rows of left without a key before them get null.
+    """
     width = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in by]
-    rows = left.withColumns({"_at": F.col(at).cast("long"), "_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)})
-    other = right.select(*by, *width, F.col(key).cast("long").alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    frame = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(other).withColumn(value, F.last("_value", ignorenulls=True).over(frame))
-    return both.where("_side = 1").drop("_at", "_side", "_value")
+    rows = left.withColumns({"_key": F.col(at).cast("long"), "_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)})
+    other = right.select(*by, *width, F.col(key).cast("long").alias("_key"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    both = last_value(rows.unionByName(other), by, ["_key", "_side"], "_value", value)
+    return both.where("_side = 1").drop("_key", "_side", "_value")
 
 
 def chunks(docs: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
