@@ -52,9 +52,7 @@ def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[
     """
     few = materialize(chunking.rejected(chunks, cfg), "rejected")  # its size is known: a small one is broadcast
     chunks = chunks.join(few, "kb_id", "left_anti")
-    counts = materialize(tfidf.term_counts(chunks, ["kb_id", "chunk_idx"], "embed_text", stop_words), "term-counts")
-    vocab = materialize(tfidf.vocabulary(counts, cfg), "vocab")
-    postings = materialize(tfidf.weights(counts, vocab, ["kb_id", "chunk_idx"]), "postings")
+    vocab, postings = tfidf.index_terms(chunks, cfg, stop_words)
     return Index(materialize(embedded(chunks, "embed_text", "embedding", cfg, embedder, table), "index-chunks"), vocab, postings, stop_words)
 
 
@@ -69,7 +67,9 @@ def dynamic_k(n: Column, cfg: Settings = DEFAULT) -> Column:
 
 def sparse_scores(index: Index, asks: DataFrame) -> DataFrame:
     """q_id, kb_id, chunk_idx, sparse: cosine of every chunk that shares a term with the question."""
-    asked = tfidf.weights(tfidf.term_counts(asks, PAIR, "question", index.stop_words), index.vocab, PAIR)
+    # written, so that the sizes of what meets the index are known
+    counts = materialize(tfidf.term_counts(asks, PAIR, "question", index.stop_words), "ask-terms")
+    asked = materialize(tfidf.weights(counts, index.vocab, PAIR), "ask-weights")
     return tfidf.cosine(asked, index.postings, PAIR, ["kb_id", "chunk_idx"]).withColumnRenamed("cosine", "sparse")
 
 

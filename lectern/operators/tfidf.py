@@ -1,7 +1,8 @@
 """TF-IDF per collection as relations: vocabulary, weights, and cosine scores by an inverted-index join.
 
-A text's terms are counted within its row (`term_counts`), so that counting needs no shuffle; the counts
-are written once and serve the vocabulary and the weights.
+A text's terms are counted where it is read (`term_counts`), so that counting needs no shuffle. Small
+collections are weighed as a whole (`index_terms`); of large ones the counts are written once and serve the
+vocabulary and the weights.
 
 Unigrams and bigrams of tokens of two word characters or more, lower case; stop words go before bigrams
 are formed.  tf = 1 + ln(count), idf = ln((1 + n) / (1 + df)) + 1, rows of unit length.  The vocabulary
@@ -10,22 +11,22 @@ keeps the most frequent terms of a collection (ties by term).
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.config import DEFAULT, Settings
 from lectern.plans.storage import materialize
-from lectern.providers import TOKEN
-
-_TOKEN = regex.compile(TOKEN)
+#: Word characters are letters, numbers and the underscore in every alphabet: the same as [\\p{L}\\p{N}_].
+_TOKEN = re.compile(r"\w\w+")
 
 #: The default stop list: English function words. Another one can be given wherever this is used.
 STOP_WORDS = tuple(
@@ -37,8 +38,10 @@ STOP_WORDS = tuple(
 
 #: Collections with more terms than the cap are ranked in so many parts first.
 RANK_PARTS = 64
-#: Texts whose terms are counted before they are handed on.
-BATCH_ROWS = 1024
+#: Texts whose terms are counted before they are handed on, and terms of whole collections that are.
+BATCH_ROWS, BATCH_TERMS = 1024, 1 << 17
+#: Characters up to which a collection is weighed as a whole.
+TOGETHER_CHARS = 1 << 20
 
 
 def terms(text: str | None, stop_words: frozenset[str] = frozenset(STOP_WORDS)) -> list[str]:
@@ -48,9 +51,10 @@ def terms(text: str | None, stop_words: frozenset[str] = frozenset(STOP_WORDS))
 
 
 def term_counts(texts: DataFrame, by: list[str], text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """by columns (which tell rows apart) and tf: array<struct<term, n>>, how often each term of a text occurs.
+    """by columns (which tell rows apart), term, n, head: how often each term of a text occurs; head marks a text's first row.
 
-    Counted batch by batch in Arrow: native lambdas over arrays of tokens are interpreted, and took five times as long.
+    A text without terms has one row, without a term. Counted batch by batch in Arrow, since native lambdas
+    over arrays of tokens are interpreted, and handed on flat, since nested rows take longer to copy than to count.
     """
     stop = frozenset(stop_words)
 
@@ -58,18 +62,21 @@ def term_counts(texts: DataFrame, by: list[str], text: str, stop_words: tuple[st
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                found = [Counter(terms(x, stop)) for x in part.column("_text").to_pylist()]
-                ends = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
-                pairs = pa.StructArray.from_arrays([pa.array(chain.from_iterable(found), pa.string()), pa.array(chain.from_iterable(c.values() for c in found), pa.int64())], names=["term", "n"])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in by), pa.ListArray.from_arrays(ends, pairs)], names=[*by, "tf"])
-
-    kinds = T.StructType([*(texts.schema[c] for c in by), *T.StructType.fromDDL("tf array<struct<term:string,n:long>>").fields])
+                found = [Counter(terms(x, stop)) or {None: 0} for x in part.column("_text").to_pylist()]
+                sizes = np.array([len(c) for c in found])
+                head = np.zeros(int(sizes.sum()), dtype=bool)
+                head[np.cumsum(sizes) - sizes] = True
+                who = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                own = [pa.array([x for c in found for x in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64()), pa.array(head)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(who) for c in by), *own], names=[*by, "term", "n", "head"])
+
+    kinds = T.StructType([*(texts.schema[c] for c in by), *T.StructType.fromDDL("term string, n long, head boolean").fields])
     return texts.select(*by, F.col(text).alias("_text")).mapInArrow(work, kinds)
 
 
-def _exploded(counts: DataFrame, by: list[str]) -> DataFrame:
+def _found(counts: DataFrame, by: list[str]) -> DataFrame:
     """by columns, term, n."""
-    return counts.select(*by, F.explode_outer("tf").alias("t")).where("t IS NOT NULL").select(*by, "t.term", "t.n")
+    return counts.where("term IS NOT NULL").select(*by, "term", "n")
 
 
 def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
@@ -78,8 +85,8 @@ def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") ->
     Only collections that may have more terms than the cap are ranked: in parts by hash first, each of
     which keeps `max_features` terms, then the parts' terms together, so that no task sorts a collection.
     """
-    every = lambda rows: _exploded(rows, [kb]).groupBy(kb, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
-    sizes = materialize(counts.groupBy(kb).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.size("tf")).alias("most")), "tfidf-sizes")
+    every = lambda rows: _found(rows, [kb]).groupBy(kb, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+    sizes = materialize(counts.groupBy(kb).agg(F.count(F.when(F.col("head"), 1)).alias("n_chunks"), F.count("term").alias("most")), "tfidf-sizes")
     idf = F.log((1 + F.col("n_chunks")) / (1 + F.col("df"))) + 1
     large = sizes.where(F.col("most") > cfg.max_features)
     if large.isEmpty():
@@ -93,9 +100,86 @@ def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") ->
     return kept.unionByName(ranked.drop("part")).join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
 
 
+def index_terms(chunks: DataFrame, cfg: Settings = DEFAULT, stop_words: tuple[str, ...] = STOP_WORDS, text: str = "embed_text", together: int = TOGETHER_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary (kb_id, term, df, cf, idf) and postings (kb_id, chunk_idx, term, weight) of chunks, written.
+
+    Collections of up to `together` characters, whose terms are few, come to one task as a whole, which counts,
+    cuts and weighs them: one shuffle of texts, and no term is joined to its own count. Larger ones go through
+    `term_counts`, `vocabulary` and `weights`, which deal their terms out.
+    """
+    sizes = materialize(chunks.groupBy("kb_id").agg(F.sum(F.length(text)).alias("_chars")).where(F.col("_chars") > together).select("kb_id"), "large-collections")
+    small = chunks if sizes.isEmpty() else chunks.join(sizes, "kb_id", "left_anti")
+    dealt = small.select("kb_id", "chunk_idx", F.coalesce(F.col(text), F.lit("")).alias("_text")).repartition("kb_id").sortWithinPartitions("kb_id")
+    kinds = T.StructType([chunks.schema["kb_id"], *T.StructType.fromDDL("chunk_idx int, term string, weight double, df long, cf long, idf double, head boolean").fields])
+    weighed = materialize(dealt.mapInArrow(_weighed(cfg.max_features, frozenset(stop_words)), kinds), "weighed-terms")
+    vocab, postings = weighed.where("head").select("kb_id", "term", "df", "cf", "idf"), weighed.select("kb_id", "chunk_idx", "term", "weight")
+    if sizes.isEmpty():
+        return vocab, postings
+    counts = materialize(term_counts(chunks.join(sizes, "kb_id", "left_semi"), ["kb_id", "chunk_idx"], text, stop_words), "term-counts")
+    rest = materialize(vocabulary(counts, cfg), "vocab")
+    return vocab.unionByName(rest), postings.unionByName(materialize(weights(counts, rest, ["kb_id", "chunk_idx"]), "postings"))
+
+
+def _weighed(most: int, stop: frozenset[str]):
+    """Rows sorted by kb_id to the weighed terms of whole collections."""
+
+    def collection(rows: list[tuple[int, str]]) -> tuple[list, ...]:
+        counts = [Counter(terms(x, stop)) for _, x in rows]
+        df, cf = Counter(chain.from_iterable(counts)), Counter()
+        for c in counts:
+            cf.update(c)
+        if len(cf) > most:
+            kept = set(sorted(cf, key=lambda t: (-cf[t], t.encode()))[:most])
+            counts = [{t: n for t, n in c.items() if t in kept} for c in counts]
+        n, seen = len(rows), set()
+        idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
+        out = ([], [], [], [], [], [], [])
+        for (at, _), c in zip(rows, counts, strict=True):
+            raw = [(1 + math.log(k)) * idf[t] for t, k in c.items()]
+            norm = math.sqrt(math.fsum(w * w for w in raw))
+            new = [t not in seen for t in c]
+            seen.update(c)
+            for column, values in zip(out, ([at] * len(c), c, [w / norm for w in raw], [df[t] for t in c], [cf[t] for t in c], [idf[t] for t in c], new), strict=True):
+                column.extend(values)
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        held, columns, names, kind = [], [[] for _ in fields], [], None
+
+        def flush() -> None:
+            made = collection([(at, x) for _, at, x in held])
+            for column, values in zip(columns, made, strict=True):
+                column.extend(values)
+            names.extend([held[0][0]] * len(made[0]))
+            held.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(names, kind), *(pa.array(c, f) for c, f in zip(columns, fields, strict=True))], names=["kb_id", "chunk_idx", "term", "weight", "df", "cf", "idf", "head"])
+            names.clear()
+            for c in columns:
+                c.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.schema.field("kb_id").type
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kb_id", "chunk_idx", "_text")), strict=True):
+                if held and held[0][0] != row[0]:
+                    flush()
+                    if len(names) > BATCH_TERMS:
+                        yield batch_of()
+                held.append(row)
+        if held:
+            flush()
+        if names:
+            yield batch_of()
+
+    return work
+
+
 def weights(counts: DataFrame, vocab: DataFrame, by: list[str], kb: str = "kb_id") -> DataFrame:
     """by columns (kb_id among them), term, weight; each text's weights have unit length. Unknown terms are ignored."""
-    raw = _exploded(counts, by).join(vocab.select(kb, "term", "idf"), [kb, "term"]).withColumn("w", (1 + F.log("n")) * F.col("idf"))
+    raw = _found(counts, by).join(vocab.select(kb, "term", "idf"), [kb, "term"]).withColumn("w", (1 + F.log("n")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
     return raw.select(*by, "term", (F.col("w") / norm).alias("weight"))
 

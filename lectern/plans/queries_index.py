@@ -82,13 +82,12 @@ def asof_section(spark, d):
 
 
 def tfidf_vocab(spark, d):
-    v = tfidf.vocabulary(_counts(_chunks(spark, d)), SMALL)
+    v, _ = tfidf.index_terms(materialize(_chunks(spark, d), "chunks"), SMALL)
     return v.select("kb_id", "term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_weights(spark, d):
-    c = _counts(_chunks(spark, d))
-    w = tfidf.weights(c, tfidf.vocabulary(c, SMALL), ["kb_id", "chunk_idx"])
+    _, w = tfidf.index_terms(materialize(_chunks(spark, d), "chunks"), SMALL)
     return w.select("kb_id", "chunk_idx", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -164,9 +164,28 @@ def test_dense_topk_with_ties_and_repeats(spark, monkeypatch, cell):
     assert vectors.dense_topk(vecs.limit(0), asks_, 4).count() == 0 == vectors.dense_topk(vecs, asks_.limit(0), 4).count()
 
 
+@pytest.mark.parametrize("most", [30, 30_000])
+def test_collections_weighed_as_a_whole_or_by_terms(spark, most):
+    """Both ways of `index_terms` give the same vocabulary and weights, with a cap that bites and without, chunks without terms included."""
+    cfg = Settings(chunk_size=100, overlap=10, max_features=most)
+    rows = [(f"k{b}", k, " ".join(f"t{(j * b + k) % (9 * b + 3)}" for j in range(k % 11 + b)) if k % 4 else "a . !") for b in range(1, 7) for k in range(5 * b)] + [("none", 0, None), ("tie", 0, "é z a1 b2 c3 ｆ é")]
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_idx int, embed_text string")
+
+    def both(together):
+        vocab, postings = tfidf.index_terms(chunks, cfg, together=together)
+        return sorted((r.kb_id, r.term, r.df, r.cf, round(r.idf, 9)) for r in vocab.collect()), sorted((r.kb_id, r.chunk_idx, r.term, round(r.weight, 9)) for r in postings.collect())
+
+    whole = both(1 << 20)
+    assert whole == both(0) == both(120) and whole[0] and {r[0] for r in whole[0]} == {r[0] for r in whole[1]}
+
+
 def test_terms_count_like_words(spark):
     rows = spark.createDataFrame([(0, "The reactor, the REACTOR core of a reactor_2"), (1, None), (2, ""), (3, "İstanbul ΟΔΟΣ été 42")], "n long, t string")
-    got = {r.n: {x.term: x.n for x in r.tf} for r in tfidf.term_counts(rows, ["n"], "t").collect()}
+    got, heads = {k: {} for k in range(4)}, []
+    for r in tfidf.term_counts(rows.withColumnRenamed("n", "k"), ["k"], "t").collect():
+        got[r.k] |= {r.term: r.n} if r.term is not None else {}
+        heads += [r.k] * r["head"]
+    assert sorted(heads) == [0, 1, 2, 3]
     assert got[0] == {"reactor": 2, "core": 1, "reactor_2": 1, "reactor reactor": 1, "reactor core": 1, "core reactor_2": 1} and got[1] == got[2] == {}
     assert got[3]["οδος"] == 1 and got[3]["été 42"] == 1
 
