@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import queries_index, queries_text
+from lectern.plans import queries_index, queries_state, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES, **queries_index.QUERIES}
-ORACLES: dict = {**queries_text.ORACLES, **queries_index.ORACLES}
+QUERIES: dict = {**queries_text.QUERIES, **queries_index.QUERIES, **queries_state.QUERIES}
+ORACLES: dict = {**queries_text.ORACLES, **queries_index.ORACLES, **queries_state.ORACLES}

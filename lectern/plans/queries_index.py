@@ -306,25 +306,39 @@ scored AS (
 hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, kb_id ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM scored) WHERE rank <= least(40, greatest(20, n_chunks // 5)))"""
 _N = NORM.format("s")
 _LATEX = r"regexp_replace({}, '\\\[(?s:.*?)\\\]', '', 'g')"
+def _lead(x: str) -> str:
+    """A text without one display formula at its start."""
+    return rf"trim(regexp_replace({x}, '^\s*\\\[(?s:.*?)\\\]', ''))"
+
+
+def _no_latex(x: str) -> str:
+    """A text without display formulas, with single spaces."""
+    return NORM.format(_LATEX.format(x))
+
+
 _SENTS = rf"""tops AS (SELECT h.q_id, h.kb_id, h.rank, h.chunk_idx, h.score, c.chunk, c.attr FROM hybrid h JOIN chunks c USING (kb_id, chunk_idx) WHERE rank <= 5),
 sents0 AS (SELECT q_id, kb_id, rank, chunk_idx, score, attr, unnest(ss) AS sent, generate_subscripts(ss, 1) - 1 AS si FROM (SELECT *, {SENTENCES.format('chunk')} AS ss FROM tops)),
-good0 AS (SELECT *, q_id || '/' || kb_id || '/' || rank || '/' || si AS id FROM sents0 WHERE NOT {NOISE.format('sent')}),
-{_embedded("sent_emb", "id", "sent", "good0")},
-good AS (SELECT g.*, e.emb, list_inner_product(e.emb, a.emb) AS rel FROM good0 g JOIN sent_emb e USING (id) JOIN ask_emb a ON a.q_id = g.q_id AND a.kb_id = g.kb_id),
-pool AS (SELECT * FROM good WHERE rank <= 3 AND round(rel, 9) >= 0.2),
-pick1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, kb_id ORDER BY round(0.72::DOUBLE * rel, 9) DESC, rank, si) AS r, length(sent) + 1 AS total FROM pool) WHERE r = 1),
+good0 AS (SELECT *, q_id || '/' || kb_id || '/' || rank || '/' || si AS id, {_lead('sent')} AS clean FROM sents0 WHERE NOT {NOISE.format('sent')}),
+changed0 AS (SELECT * FROM good0 WHERE clean <> sent),
+{_embedded("sent_emb", "id", "clean", "good0")},
+{_embedded("raw_emb", "id", "sent", "changed0")},
+good AS (
+  SELECT g.*, e.emb, list_inner_product(e.emb, a.emb) AS rel, coalesce(list_inner_product(r.emb, a.emb), list_inner_product(e.emb, a.emb)) AS raw_rel
+  FROM good0 g JOIN sent_emb e USING (id) JOIN ask_emb a ON a.q_id = g.q_id AND a.kb_id = g.kb_id LEFT JOIN raw_emb r ON r.id = g.id),
+pool AS (SELECT * FROM good WHERE rank <= 3 AND clean <> '' AND round(rel, 9) >= 0.2),
+pick1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, kb_id ORDER BY round(0.72::DOUBLE * rel, 9) DESC, rank, si) AS r, length(clean) + 1 AS total FROM pool) WHERE r = 1),
 pick2 AS (SELECT * FROM (
   SELECT p.*, row_number() OVER (PARTITION BY p.q_id, p.kb_id ORDER BY round(0.72::DOUBLE * p.rel - (1 - 0.72::DOUBLE) * list_inner_product(p.emb, a.emb), 9) DESC, p.rank, p.si) AS r, a.total AS before, a.emb AS emb1, a.id AS id1
-  FROM pool p JOIN pick1 a USING (q_id, kb_id) WHERE p.id <> a.id AND a.total < 650) WHERE r = 1 AND before + 1 + length(sent) <= 650),
+  FROM pool p JOIN pick1 a USING (q_id, kb_id) WHERE p.id <> a.id AND a.total < 650) WHERE r = 1 AND before + 1 + length(clean) <= 650),
 pick3 AS (SELECT * FROM (
-  SELECT p.*, row_number() OVER (PARTITION BY p.q_id, p.kb_id ORDER BY round(0.72::DOUBLE * p.rel - (1 - 0.72::DOUBLE) * greatest(list_inner_product(p.emb, b.emb1), list_inner_product(p.emb, b.emb)), 9) DESC, p.rank, p.si) AS r, b.before + length(b.sent) + 1 AS before3
-  FROM pool p JOIN pick2 b USING (q_id, kb_id) WHERE p.id NOT IN (b.id, b.id1) AND b.before + length(b.sent) + 1 < 650) WHERE r = 1 AND before3 + 1 + length(sent) <= 650),
-picks AS (SELECT q_id, kb_id, rank, si, sent FROM pick1 UNION ALL SELECT q_id, kb_id, rank, si, sent FROM pick2 UNION ALL SELECT q_id, kb_id, rank, si, sent FROM pick3),
-picked AS (SELECT q_id, kb_id, string_agg(sent, ' ' ORDER BY rank, si) AS body FROM picks GROUP BY ALL),
-fallback AS (SELECT q_id, kb_id, sent AS body FROM good WHERE rank = 1 QUALIFY row_number() OVER (PARTITION BY q_id, kb_id ORDER BY si) = 1),
+  SELECT p.*, row_number() OVER (PARTITION BY p.q_id, p.kb_id ORDER BY round(0.72::DOUBLE * p.rel - (1 - 0.72::DOUBLE) * greatest(list_inner_product(p.emb, b.emb1), list_inner_product(p.emb, b.emb)), 9) DESC, p.rank, p.si) AS r, b.before + length(b.clean) + 1 AS before3
+  FROM pool p JOIN pick2 b USING (q_id, kb_id) WHERE p.id NOT IN (b.id, b.id1) AND b.before + length(b.clean) + 1 < 650) WHERE r = 1 AND before3 + 1 + length(clean) <= 650),
+picks AS (SELECT q_id, kb_id, rank, si, clean FROM pick1 UNION ALL SELECT q_id, kb_id, rank, si, clean FROM pick2 UNION ALL SELECT q_id, kb_id, rank, si, clean FROM pick3),
+picked AS (SELECT q_id, kb_id, {_no_latex("string_agg(clean, ' ' ORDER BY rank, si)")} AS body FROM picks GROUP BY ALL),
+fallback AS (SELECT q_id, kb_id, {_no_latex('clean')} AS body FROM good WHERE rank = 1 QUALIFY row_number() OVER (PARTITION BY q_id, kb_id ORDER BY si) = 1),
 votes AS (SELECT q_id, kb_id, rank AS sup FROM (SELECT q_id, kb_id, rank, count(*) AS n FROM picks GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY q_id, kb_id ORDER BY n DESC, rank) = 1),
 near AS (
-  SELECT q_id, kb_id, sup, string_agg(sent, ' ' ORDER BY si) AS body FROM (
+  SELECT q_id, kb_id, sup, {_no_latex(_lead("string_agg(sent, ' ' ORDER BY si)"))} AS body FROM (
     SELECT DISTINCT s.q_id, s.kb_id, v.sup, s.si, s.sent FROM sents0 s JOIN votes v ON s.q_id = v.q_id AND s.kb_id = v.kb_id AND s.rank = v.sup
     JOIN picks p ON p.q_id = s.q_id AND p.kb_id = s.kb_id AND p.rank = v.sup AND abs(p.si - s.si) <= 1) GROUP BY ALL),
 answered AS (
@@ -335,17 +349,17 @@ answered AS (
          CASE WHEN score >= 0.25 THEN 'strong match' WHEN score >= 0.08 THEN 'partial match' ELSE 'weak match' END AS label,
          CASE WHEN score >= 0.25 THEN 'match-high' WHEN score >= 0.08 THEN 'match-medium' ELSE 'match-low' END AS css
   FROM tops t LEFT JOIN picked p USING (q_id, kb_id) LEFT JOIN fallback f USING (q_id, kb_id) LEFT JOIN near n USING (q_id, kb_id) WHERE t.rank = 1)"""
-_EVIDENCE = r"""lines_ AS (
-  SELECT q_id, kb_id, rank, r, '[' || CASE WHEN attr <> '' THEN attr ELSE 'Chunk: ' || chunk_idx END || '] ' || sent AS line FROM (
-    SELECT *, row_number() OVER (PARTITION BY q_id, kb_id, rank ORDER BY round(rel, 9) DESC, si) AS r FROM good WHERE rank <= 4 AND score >= 0.01) WHERE r <= 2),
+_EVIDENCE = rf"""lines_ AS (
+  SELECT q_id, kb_id, rank, r, '[' || CASE WHEN attr <> '' THEN attr ELSE 'Chunk: ' || chunk_idx END || '] ' || {_no_latex('sent')} AS line FROM (
+    SELECT *, row_number() OVER (PARTITION BY q_id, kb_id, rank ORDER BY round(raw_rel, 9) DESC, si) AS r FROM good WHERE rank <= 4 AND score >= 0.01) WHERE r <= 2),
 packed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY q_id, kb_id ORDER BY rank, r ROWS UNBOUNDED PRECEDING) AS total FROM lines_),
 packs AS (SELECT q_id, kb_id, string_agg(line, chr(10) ORDER BY rank, r) AS evidence FROM packed WHERE total <= 1400 GROUP BY ALL)"""
 _EXTRAS = rf"""rest AS (
   SELECT q_id, kb_id, rank, score FROM (
     SELECT q_id, kb_id, rank, score, row_number() OVER (PARTITION BY q_id, kb_id, lower({NORM.format('substr(chunk, 1, 200)')}) ORDER BY rank) AS again FROM tops WHERE rank > 1 AND score >= 0.01) WHERE again = 1),
 snippets AS (
-  SELECT q_id, kb_id, rank, any_value(r.score) AS score, string_agg(sent, ' ' ORDER BY si) AS snippet FROM (
-    SELECT q_id, kb_id, rank, si, sent, row_number() OVER (PARTITION BY q_id, kb_id, rank ORDER BY round(rel, 9) DESC, si) AS n FROM good) g JOIN rest r USING (q_id, kb_id, rank) WHERE n <= 3 GROUP BY ALL),
+  SELECT q_id, kb_id, rank, any_value(r.score) AS score, {_no_latex("string_agg(sent, ' ' ORDER BY si)")} AS snippet FROM (
+    SELECT q_id, kb_id, rank, si, sent, row_number() OVER (PARTITION BY q_id, kb_id, rank ORDER BY round(raw_rel, 9) DESC, si) AS n FROM good) g JOIN rest r USING (q_id, kb_id, rank) WHERE n <= 3 GROUP BY ALL),
 extras_ AS (SELECT q_id, kb_id, (row_number() OVER (PARTITION BY q_id, kb_id ORDER BY rank) - 1)::INT AS n, snippet, score FROM snippets)"""
 
 
