@@ -41,7 +41,7 @@ MARK = "▁"
 #: Stands for the last piece of an empty prefix.
 NONE = (1 << 31) - 1
 #: Bytes of a worker's memo of parts, what an entry needs besides its text and ids, the longest part it keeps, and how many pairs are remembered.
-MEMO_BYTES, ENTRY_BYTES, LONGEST_PART, MOST_PAIRS = 160 << 20, 180, 64, 1_000_000
+MEMO_BYTES, ENTRY_BYTES, LONGEST_PART, MOST_PAIRS = 256 << 20, 180, 64, 1_000_000
 #: Parts whose tables are filled together.
 TOGETHER = 1 << 15
 
@@ -318,9 +318,26 @@ def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return coded.select(*others, "ids").mapInArrow(work, T.StructType([*(coded.schema[c] for c in others), T.StructField("text", T.StringType())]))
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns to carry, ids, and decoded: `encode` and `decode` in one pass, so that ids cross over once and one worker does both."""
+    vocabulary, own = vocabulary or default_vocabulary(), ["doc_id", *(carry or [])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sentencepiece import SentencePieceProcessor
+
+        parts, library = load_parts(vocabulary), SentencePieceProcessor(model_file=vocabulary)
+        for batch, _, _ in K.slices(batches):
+            ids = parts.documents(batch.column("text").to_pylist())
+            texts = pa.array([library.decode(np.frombuffer(row, np.int32).tolist()) if row else "" for row in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), _list_of(ids), texts], names=[*own, "ids", "decoded"])
+        K.trim()
+
+    added = T.StructType.fromDDL("ids array<int>, decoded string")
+    return docs.select(*dict.fromkeys([*own, "text"])).mapInArrow(work, T.StructType([*(docs.schema[c] for c in own), *added.fields]))
+
+
 def op13_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts that they decode to, as digests."""
-    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    coded = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
-    return decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
