@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Words that may be disguised (a digit or sign beside a letter, a doubled letter, letters parted by spaces
-or marks) become lattices: each character may stand for itself, for a letter it imitates, or
+Words that may be disguised (a digit or sign beside a letter, signs alone, a doubled letter, letters parted
+by any white space or marks) become lattices: each character may stand for itself, for a letter it imitates, or
 for nothing (a separator, a repetition), at a cost.  Viterbi search over pairs of last letters finds
 the cheapest readings under a character trigram model.  A separator may part letters of one word or two
 words: the search takes what is cheaper, and all that stands between any two separators is looked up.
@@ -19,7 +19,12 @@ broadcast is bounded.
 Nulls: null and empty texts have no words and get the score of no evidence.  Without labelled rows
 every score is 0.5; with one class only it is that class's share; of contradicting labels of one
 document 1 counts.  Repeated rows are scored each for itself.  Ties: of readings that cost the same the
-first in the order of characters stays; a score of exactly 0.5 is predicted 1.  Extra columns are ignored.
+first in the order of characters stays; a score of exactly 0.5 is predicted 1.  An empty table gives an
+empty one.  Extra columns are ignored.
+
+Known bounds: a word parted into pieces of several letters by spaces alone (``id iot``) isn't tried.  A
+disguised word whose own characters (repetitions cut to three, parting marks to one) are over half of
+`MAX_WORD` may fall between two windows.
 """
 
 from __future__ import annotations
@@ -43,13 +48,15 @@ IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "°": "o", "%": "o", "#": "h",
 }
-SEPARATORS = " .-_*~'`^/\\,"
+SEPARATORS = " .-_*~'`^/\\,|"
 GLUE, GAP = "\x1f", " "  # a separator within a word, and between two; readings have GLUE for both
 COST_IMITATES, COST_SEPARATOR, COST_REPEAT = 1.0, 0.2, 0.4
 LETTERS = 28  # a-z, 26: a word's edge, 27: any other letter
 EDGE, OTHER = 26, 27
 MAX_WORD = 64  # characters that are read at once
 READINGS = 4
+#: Signs of a word without letters, single letters of a run, and bytes of a word beside a run that may belong to it.
+ALL_SIGNS, LEAST_RUN, SHORT = 3, 3, 4
 PREFIXES = (4, 5, 6)
 
 
@@ -139,7 +146,9 @@ def restore(word: str, costs: np.ndarray, most: int = READINGS) -> list[str]:
     return list(dict.fromkeys(text.replace(GLUE, "") for text in readings(word, costs, most)))
 
 
-_AGAIN = re.compile(r"(.)\1{2,}", re.DOTALL)
+_AGAIN = re.compile(r"(.)\1{3,}", re.DOTALL)
+_PARTING = rf"(?:[^\w{re.escape(''.join(IMITATES))}]|_)"  # characters that only part letters
+_PARTINGS = re.compile(rf"({_PARTING}){_PARTING}+")
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
@@ -175,7 +184,7 @@ def _twice(low: np.ndarray) -> np.ndarray:
 
 
 def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Document numbers and texts (lower case) of what may be disguised words: tokens, and runs of single letters."""
+    """Document numbers and texts (lower case) of what may be disguised words: tokens, and runs of single letters with a short word on either side."""
     starts, ends, firsts = K.word_bounds(low, offsets, K.TEXT_WORD)
     if not len(starts):
         return np.zeros(0, np.int64), []
@@ -195,16 +204,27 @@ def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[st
     inner[word[(mark < ends[word]) & (solid[mark] > solid[starts[word]]) & (solid[ends[word]] > solid[mark])]] = True
     alone = ((letters == 1) | (signs == 1)) & (size <= 2)
     odd = (letters >= 1) & ((signs - ending >= 1) | inner | (sums(twice) > 0)) & ~alone
+    odd |= (letters == 0) & (signs >= ALL_SIGNS) & (signs > sums(_DIGIT[low])) & ~alone  # words without any plain letter, numbers left out
     doc = K.owner(firsts)
     raw = low.tobytes()
     where = np.flatnonzero(odd)
     docs, texts = [doc[where]], [raw[a:b].decode("utf-8", "ignore") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-    # runs of at least three single letters or signs within a document, one space apart
-    linked = alone[1:] & alone[:-1] & (starts[1:] - ends[:-1] == 1) & (doc[1:] == doc[:-1])
-    opens, closes = K.runs(linked)
-    long = closes - opens >= 2
-    docs.append(doc[opens[long]])
-    texts += [raw[a:b].decode("utf-8", "ignore") for a, b in zip(starts[opens[long]].tolist(), ends[closes[long]].tolist(), strict=True)]
+    # runs of single letters or signs within a document, any white space and tokens of marks alone between them
+    linked = alone | ((letters == 0) & (signs == 0) & (size <= 2))
+    joined = linked[1:] & linked[:-1] & (doc[1:] == doc[:-1])
+    opens, closes = K.runs(joined)
+    singles = np.concatenate(([0], np.cumsum(alone)))
+    long = singles[closes + 1] - singles[opens] >= LEAST_RUN
+    opens, closes = opens[long], closes[long]
+    # a short word on either side may be a part of what is spelled: such runs are read with and without
+    short = (letters > 0) & (size <= SHORT)
+    before, after = np.maximum(opens - 1, 0), np.minimum(closes + 1, len(starts) - 1)
+    first = np.where((before < opens) & short[before] & (doc[before] == doc[opens]), before, opens)
+    last = np.where((after > closes) & short[after] & (doc[after] == doc[closes]), after, closes)
+    more = (first < opens) | (last > closes)
+    for a, b in ((opens, closes), (first[more], last[more])):
+        docs.append(doc[a])
+        texts += [raw[x:y].decode("utf-8", "ignore") for x, y in zip(starts[a].tolist(), ends[b].tolist(), strict=True)]
     return np.concatenate(docs), texts
 
 
@@ -220,11 +240,12 @@ def entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: np.
 
 
 def squeezed(word: str) -> str:
-    """The word with at most three of a character in a row, or one separator.
+    """The word with at most three of a character in a row, and one of characters that only part letters.
 
-    Leaving out a repetition costs the same for each, so the order of readings with up to three doesn't change.
+    Leaving out a repetition costs the same for each, and so does passing over a separator (of several in a
+    row one may end a word at most), so the order of readings doesn't change.
     """
-    return _AGAIN.sub(lambda m: m[1] if m[1] in SEPARATORS else m[1] * 3, word)
+    return _AGAIN.sub(r"\1\1\1", _PARTINGS.sub(r"\1", word))
 
 
 def pieces(word: str) -> list[str]:

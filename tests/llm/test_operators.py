@@ -516,29 +516,38 @@ def brute_disguised(text):
     letter = lambda c: "a" <= c <= "z" or ord(c) >= 128
     size = lambda s: len(s.encode())
     found, run = [], []
-    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
-
-    def end_run():
-        if len(run) >= 3:
-            found.append(text[run[0][0] : run[-1][1]])
-        run.clear()
-
-    for a, b, t in tokens:
+    tokens = []
+    for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
+        t = m[0]
         signs = [c in "0123456789" or c in noisy_channel.IMITATES for c in t]
         letters = [letter(c) for c in t]
         n_letters = sum(size(c) for c, x in zip(t, letters, strict=True) if x)
+        alone = (n_letters == 1 or sum(signs) == 1) and size(t) <= 2
+        marks = not n_letters and not any(signs) and size(t) <= 2
+        tokens.append((m.start(), m.end(), t, n_letters, alone, alone or marks))
         ending = t[-1] in "@$!|+(<%#"
         solid = [x or y for x, y in zip(signs, letters, strict=True)]
         inner = any(not solid[k] and any(solid[:k]) and any(solid[k + 1 :]) for k in range(len(t)))
         twice = any(x == y and letter(x) for x, y in zip(t, t[1:], strict=False))
-        alone = (n_letters == 1 or sum(signs) == 1) and size(t) <= 2
         if n_letters and (sum(signs) - ending >= 1 or inner or twice) and not alone:
             found.append(t)
-        if run and (not alone or a - run[-1][1] != 1):
-            end_run()
-        if alone:
-            run.append((a, b))
-    end_run()
+        if not n_letters and sum(signs) >= 3 and sum(signs) > sum(c in "0123456789" for c in t) and not alone:
+            found.append(t)
+
+    def end_run(k):
+        if sum(tokens[i][4] for i in run) >= 3:
+            a, b = run[0], run[-1]
+            near = lambda i: 0 <= i < len(tokens) and tokens[i][3] > 0 and size(tokens[i][2]) <= 4
+            found.append(text[tokens[a][0] : tokens[b][1]])
+            found.append(text[tokens[a - 1 if near(a - 1) else a][0] : tokens[b + 1 if near(b + 1) else b][1]])
+        run.clear()
+
+    for k, token in enumerate(tokens):
+        if token[5]:
+            run.append(k)
+        else:
+            end_run(k)
+    end_run(len(tokens))
     return found
 
 
@@ -668,11 +677,23 @@ def test_spaced_words_are_found_anywhere_in_a_run(before, after):
     assert found_in(f"such {before}s t u p 1 d i d i 0 t{after} it is") == ["idiot", "stupid"]
 
 
-@pytest.mark.parametrize("form", ["id" + "i" * 90 + "ot", "i" * 5000 + "d1ot", "id10" + "t" * 70, "-".join("suchapatriot" * 4 + "idiot"), ".".join("idiot" + "other" * 9), ".".join("thesuch" * 300 + "idiot" + "audio" * 300), "i" + "-" * 80 + "d-i-o-t"])
+@pytest.mark.parametrize("form", ["id" + "i" * 90 + "ot", "i" * 5000 + "d1ot", "id10" + "t" * 70, "-".join("suchapatriot" * 4 + "idiot"), ".".join("idiot" + "other" * 9), ".".join("thesuch" * 300 + "idiot" + "audio" * 300), "i" + "-" * 80 + "d-i-o-t", ".-.-".join("idiot"), (".-" * 10).join("idiot"), ("-." * 8).join("idi0t"), " .: ".join("id1ot")])
 def test_long_disguised_words_are_found(form):
     assert found_in(f"so {form} it is") == ["idiot"]
 
 
+@pytest.mark.parametrize("form", ["i  d  i  o  t", "i\nd\ti \n o t", "i / d / i / o / t", "i|d|i|o|t", "i d i ot", "s t u pid", "id i o t", "! d ! 0 7"])
+def test_spaced_and_signed_words_are_found(form):
+    assert ("stupid" if "pid" in form else "idiot") in found_in(f"so {form} it is")
+    assert found_in("an @$$ and 455 there", words=("ass",), corpus=("ass", "the", "other")) == ["ass"] and found_in("455 there", words=("ass",), corpus=("ass", "the", "other")) == []
+
+
+def test_squeezing_keeps_the_order_of_readings():
+    costs = language(["idiot", "audio", "bat", "the", "ab"] * 20)
+    for word in ("i.-.-d-i", "a..b", "!--1..t", "iiiiid", "a-b_.c", "..ab--"):
+        assert noisy_channel.readings(noisy_channel.squeezed(word), costs, 1)[0].replace(noisy_channel.GLUE, "") == noisy_channel.readings(word, costs, 1)[0].replace(noisy_channel.GLUE, "")
+
+
 def test_windows_of_long_words_overlap():
     word = "".join(chr(0x4E00 + k) for k in range(500))
     for size in (1, 64, 65, 96, 97, 500):
