@@ -107,24 +107,33 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     numbered = queries.select("q_id", "q_embedding", F.monotonically_increasing_id().alias("n"))
     asked = packs(numbered, [], sizes, ["q_id", "n", F.col("q_embedding").cast("array<double>").alias("q_embedding")])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return ranked(nearest(made.join(asked, "cell"), k, dict(queries.dtypes)["q_id"]), k).drop("n")
+
+
+def nearest(work: DataFrame, k: int, kind: str) -> DataFrame:
+    """q_id, n, vec_id, score: the k best of every row's vectors (key, embedding) for each of its asks (q_id, n, q_embedding)."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (v_at, v), (q_at, q) = (_structs(batch.column(c)) for c in ("vectors", "asks"))
             for row in range(batch.num_rows):
                 own, asks = v.slice(v_at[row], v_at[row + 1] - v_at[row]), q.slice(q_at[row], q_at[row + 1] - q_at[row])
                 keys = own.field("key").to_numpy()
                 scores = np.round(_matrix(asks.field("q_embedding")) @ _matrix(own.field("embedding")).T, 6)
-                best = [_best(line, keys, k) for line in scores]
-                who = np.repeat(np.arange(len(best)), [len(b) for b in best])
-                place = np.concatenate(best)
+                found = [_best(line, keys, k) for line in scores]
+                who = np.repeat(np.arange(len(found)), [len(b) for b in found])
+                place = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays(
                     [asks.field("q_id").take(pa.array(who)), asks.field("n").take(pa.array(who)), pa.array(keys[place]), pa.array(scores[who, place])], names=["q_id", "n", "vec_id", "score"]
                 )
 
-    kind = dict(queries.dtypes)["q_id"]
-    found = made.join(asked, "cell").mapInArrow(work, f"q_id {kind}, n long, vec_id long, score double")
+    return work.select("vectors", "asks").mapInArrow(best, f"q_id {kind}, n long, vec_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each asking (n), with their rank."""
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("n")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def mmr(pool: Column | str, k: int = 3, min_rel: float = 0.2, weight: float = 0.72, max_chars: int = 650) -> Column:

@@ -12,6 +12,7 @@ from lectern.config import SMALL
 from lectern.functions import gates
 from lectern.functions import text as T
 from lectern.operators import answer, chunking, registry, retrieve
+from lectern.operators.vector_lists import Lists
 from lectern.plans import queries_index as Q
 from lectern.plans.ledger import Ledger
 from lectern.plans.queries_text import _TURNS, DEDUP, SENTENCES, _read, _text, _turns
@@ -116,8 +117,15 @@ def short_documents(spark, d):
     return chunking.indexable(docs, chunking.chunks(docs, SMALL), SMALL)
 
 
+def lists_topk(spark, d):
+    """The five nearest of all vectors to each vector whose id is divisible by 50, by lists with bounds."""
+    e = _read(spark, d, "embeddings").select("vec_id", "embedding")
+    q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"))
+    return Lists.fit(e).search(q, 5, probes=4, exact=True).select("q_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES = {f.__name__: f for f in (
-    ledger_answers, vectors_once, registry_documents, registry_stream, registry_messages, registry_numbers, answers_with_formulas, repeated_asks, short_documents,
+    lists_topk, ledger_answers, vectors_once, registry_documents, registry_stream, registry_messages, registry_numbers, answers_with_formulas, repeated_asks, short_documents,
 )}
 
 
@@ -146,6 +154,7 @@ _SENTENCE_SQL = f"s AS (SELECT doc_id, unnest({SENTENCES.format('text')}) AS t F
 _FORMULAS = r"documents AS (SELECT doc_id, source, replace(replace(text, '. ', '. \[ a = b \] '), ', ', ' \[ c \], ') AS text FROM main.documents)"
 
 ORACLES = {
+    "lists_topk": Q.ORACLES["dense_topk"],
     "ledger_answers": f"WITH {_TURNS}, p AS (SELECT conv_id, turn, {_PROMPT_SQL} AS prompt FROM turns) SELECT conv_id, turn, 'answer ' || md5(prompt) AS answer, (SELECT count(DISTINCT prompt) FROM p) AS first_calls, 0::BIGINT AS again_calls FROM p",
     "vectors_once": f"""WITH {_SENTENCE_SQL}, n AS (SELECT count(DISTINCT t) FILTER (WHERE doc_id % 2 = 0) AS a, count(DISTINCT t) AS b FROM s)
 SELECT doc_id, count(*) AS n_vectors, count(DISTINCT t) AS n_texts, any_value(a) AS encoded_0, any_value(b - a) AS encoded_1, 0::BIGINT AS encoded_2 FROM s, n GROUP BY doc_id""",

@@ -142,10 +142,10 @@ def load_urls(urls: DataFrame, fetcher: Callable[[], Fetcher], cfg: Settings = D
 
 
 class HttpFetcher:
-    """One GET per address with the standard library; errors are values."""
+    """One GET per address with the standard library; errors are values, and so is a reply of over `max_bytes`, which isn't read to its end."""
 
-    def __init__(self, timeout: float = TIMEOUT_SECONDS, agent: str = "Mozilla/5.0 (X11; Linux x86_64) lectern") -> None:
-        self.timeout, self.agent = timeout, agent
+    def __init__(self, timeout: float = TIMEOUT_SECONDS, agent: str = "Mozilla/5.0 (X11; Linux x86_64) lectern", max_bytes: int = 64 << 20) -> None:
+        self.timeout, self.agent, self.max_bytes = timeout, agent, max_bytes
 
     def fetch(self, url: str) -> tuple[str, str]:
         from urllib.error import HTTPError, URLError
@@ -153,7 +153,10 @@ class HttpFetcher:
 
         try:
             with urlopen(Request(url, headers={"User-Agent": self.agent}), timeout=self.timeout) as reply:  # noqa: S310
-                return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace"), ""
+                body = reply.read(self.max_bytes + 1)
+                if len(body) > self.max_bytes:
+                    return "", fetch_error("other", f"over {self.max_bytes} bytes")
+                return body.decode(reply.headers.get_content_charset() or "utf-8", "replace"), ""
         except HTTPError as e:
             return "", fetch_error("http", str(e.code))
         except TimeoutError:

@@ -279,6 +279,28 @@ def test_generators_over_http():
     assert HostedGenerator("").timeout == 45 and LocalGenerator().timeout == 60
 
 
+def test_large_replies_are_errors():
+    from http.server import BaseHTTPRequestHandler as Handler
+
+    from lectern.sources.html import HttpFetcher
+
+    class Large(Handler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"<p>" + b"x" * 1000)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Large)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert HttpFetcher().fetch(url)[1] == "" and HttpFetcher(max_bytes=1003).fetch(url)[1] == ""
+    assert HttpFetcher(max_bytes=1002).fetch(url)[0] == "" and "1002" in HttpFetcher(max_bytes=1002).fetch(url)[1]
+    server.shutdown()
+
+
 def test_generators_see_relevant_questions_only(spark, tmp_path):
     log = tmp_path / "asked"
 
