@@ -53,5 +53,5 @@ def test_recall_of_few_lists(spark):
     few = {(q, i) for q, _, i in got(found.search(asks, 5))}
     assert len(few & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
     assert set(got(found.search(asks, 5, probes=4, exact=True))) == want
-    bounds = asks.selectExpr("q_id", "q_embedding", "q_id AS n").mapInArrow(vector_lists._bounds(found.centroids, np.zeros(len(found.centroids)), 12), "q_id long, q_embedding array<double>, n long, list int, bound double, place int")
+    bounds = asks.selectExpr("q_id", "CAST(q_embedding AS array<double>) AS q_embedding", "q_id AS n").mapInArrow(vector_lists._bounds(found.centroids, np.zeros(len(found.centroids)), 12), "q_id long, q_embedding array<double>, n long, list int, bound double, place int")
     assert bounds.groupBy("q_id").count().where("count <> 12").count() == 0
