@@ -40,6 +40,8 @@ STOP_WORDS = tuple(
 RANK_PARTS = 64
 #: Texts whose terms are counted before they are handed on, and terms of whole collections that are.
 BATCH_ROWS, BATCH_TERMS = 1024, 1 << 17
+#: Terms that a task's summaries hold before they go out.
+MOST_HELD = 2_000_000
 #: Characters up to which a collection is weighed as a whole.
 TOGETHER_CHARS = 1 << 20
 
@@ -79,27 +81,99 @@ def _found(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.where("term IS NOT NULL").select(*by, "term", "n")
 
 
-def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id") -> DataFrame:
+def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id", summary: int | None = None) -> DataFrame:
     """kb_id, term, df, cf, idf of the terms a collection keeps, from the counts (best written before) of its chunks.
 
-    Only collections that may have more terms than the cap are ranked: in parts by hash first, each of
-    which keeps `max_features` terms, then the parts' terms together, so that no task sorts a collection.
+    Collections of no more terms than the cap keep all. Of others every task keeps a summary of its frequent
+    terms (`_summaries`, of `summary` terms, four times the cap unless given). Together the summaries name the
+    terms that can be among the most frequent, and only these are counted exactly, so the many rare terms aren't
+    shuffled. Where the summaries can't tell (the cap reaches terms as rare as what they have dropped), all terms
+    are counted and ranked: in parts by hash first, each of which keeps `max_features` terms, then the parts'
+    terms together, so that no task sorts a collection.
     """
     every = lambda rows: _found(rows, [kb]).groupBy(kb, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
     sizes = materialize(counts.groupBy(kb).agg(F.count(F.when(F.col("head"), 1)).alias("n_chunks"), F.count("term").alias("most")), "tfidf-sizes")
     idf = F.log((1 + F.col("n_chunks")) / (1 + F.col("df"))) + 1
-    large = sizes.where(F.col("most") > cfg.max_features)
+    large = sizes.where(F.col("most") > cfg.max_features).select(kb)
     if large.isEmpty():
         return every(counts).join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
     kept = every(counts.join(large, kb, "left_anti"))
+    some = counts.join(large, kb, "left_semi")
+    likely = materialize(candidates(some, cfg.max_features, summary or 4 * cfg.max_features, kb), "likely-terms")
+    told = materialize(likely.select(kb).distinct(), "told")
+    sure = every(_found(some, [kb]).join(likely, [kb, "term"], "left_semi"))
+    rest = every(some.join(told, kb, "left_anti"))
     part = F.pmod(F.xxhash64("term"), F.lit(RANK_PARTS)).alias("part")
     order = [F.col("cf").desc(), F.col("term")]
-    ranked = every(counts.join(large, kb, "left_semi")).select("*", part)
+    ranked = sure.unionByName(rest).select("*", part)
     for keys in ([kb, "part"], [kb]):
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= cfg.max_features).drop("rank")
     return kept.unionByName(ranked.drop("part")).join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
 
 
+def candidates(counts: DataFrame, most: int, summary: int, kb: str = "kb_id") -> DataFrame:
+    """kb_id, term: all terms that can be among the `most` most frequent of a collection; no row for collections that summaries can't tell about.
+
+    A summary's count of a term is too small by at most what the summary has dropped. So is the sum over summaries
+    by the sum of what they dropped: a term that is in none has no more occurrences than that. If the `most`-th
+    largest sum is above it, all terms that reach that sum at best are candidates, and no others are.
+    """
+    own = materialize(_found(counts, [kb]).mapInArrow(_summaries(kb, summary), T.StructType([counts.schema[kb], *T.StructType.fromDDL("term string, n long, dropped long").fields])), "summaries")
+    lost = own.where("term IS NULL").groupBy(kb).agg(F.sum("dropped").alias("lost"))
+    sums = own.where("term IS NOT NULL").groupBy(kb, "term").agg(F.sum("n").alias("n"))
+    # the most-th largest count, by a table of how many terms have each count
+    table = sums.groupBy(kb, "n").agg(F.count(F.lit(1)).alias("terms"))
+    above = F.sum("terms").over(Window.partitionBy(kb).orderBy(F.col("n").desc()))
+    least = table.withColumn("above", above).where(F.col("above") >= most).groupBy(kb).agg(F.max("n").alias("least")).join(lost, kb, "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    return sums.join(least.where(F.col("least") > F.col("lost")), kb).where(F.col("n") + F.col("lost") >= F.col("least")).select(kb, "term")
+
+
+def _summaries(kb: str, most: int):
+    """Frequent terms of each collection in a task (Misra-Gries, in batches), and a row without a term that says what was dropped."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, Counter] = {}
+        dropped: Counter = Counter()
+        total, kind = 0, None
+
+        def cut(key: object) -> None:
+            counter = held[key]
+            if len(counter) > most:
+                least = sorted(counter.values(), reverse=True)[most]
+                dropped[key] += least
+                held[key] = Counter({t: n - least for t, n in counter.items() if n > least})
+
+        def rows(keys: list) -> pa.RecordBatch:
+            flat = [(k, t, n, 0) for k in keys for t, n in held[k].items()] + [(k, None, 0, dropped[k]) for k in keys]
+            columns = list(zip(*flat, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=[kb, "term", "n", "dropped"])
+
+        for batch in batches:
+            kind = batch.schema.field(kb).type
+            for key, term, n in zip(batch.column(kb).to_pylist(), batch.column("term").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                counter = held.setdefault(key, Counter())
+                if term not in counter:
+                    total += 1
+                counter[term] += n
+                if len(counter) >= 2 * most:
+                    total -= len(counter)
+                    cut(key)
+                    total += len(held[key])
+            if total > MOST_HELD:  # many collections in one task: what there is goes out, in several summaries
+                for k in held:
+                    cut(k)
+                yield rows(list(held))
+                held.clear()
+                dropped.clear()
+                total = 0
+        for k in held:
+            cut(k)
+        if held:
+            yield rows(list(held))
+
+    return work
+
+
 def index_terms(chunks: DataFrame, cfg: Settings = DEFAULT, stop_words: tuple[str, ...] = STOP_WORDS, text: str = "embed_text", together: int = TOGETHER_CHARS) -> tuple[DataFrame, DataFrame]:
     """Vocabulary (kb_id, term, df, cf, idf) and postings (kb_id, chunk_idx, term, weight) of chunks, written.
 

@@ -179,6 +179,31 @@ def test_collections_weighed_as_a_whole_or_by_terms(spark, most):
     assert whole == both(0) == both(120) and whole[0] and {r[0] for r in whole[0]} == {r[0] for r in whole[1]}
 
 
+@pytest.mark.parametrize(("most", "summary", "held"), [(5, 8, 10**6), (5, 20, 60), (30, 31, 10**6), (12, 400, 10**6), (300, 300, 40)])
+def test_summaries_name_the_frequent_terms(spark, monkeypatch, most, summary, held):
+    """The cut by summaries equals an exact one, whether they can tell or not, and names few terms where a few are frequent."""
+    monkeypatch.setattr(tfidf, "MOST_HELD", held)
+    rng = np.random.default_rng(most)
+    rows = [(f"k{b}", k, " ".join(f"t{int(x)}x" for x in rng.zipf(1.5, 60) % 5000)) for b in range(3) for k in range(40)]
+    counts = storage.materialize(tfidf.term_counts(spark.createDataFrame(rows, "kb_id string, chunk_idx int, t string").repartition(6), ["kb_id", "chunk_idx"], "t", ()), "counts")
+    exact, seen = {}, {}
+    for r in counts.collect():
+        seen.setdefault(r.kb_id, {}).setdefault(r.term, [0, 0])
+        seen[r.kb_id][r.term][0] += 1
+        seen[r.kb_id][r.term][1] += r.n
+    for kb, table in seen.items():
+        exact |= {(kb, t): tuple(table[t]) for t in sorted(table, key=lambda t: (-table[t][1], t))[:most]}
+    cfg = Settings(chunk_size=100, overlap=10, max_features=most)
+    got = {(r.kb_id, r.term): (r.df, r.cf) for r in tfidf.vocabulary(counts, cfg, summary=summary).collect()}
+    assert got == exact
+    likely = tfidf.candidates(counts, most, summary).collect()
+    named = {(r.kb_id, r.term) for r in likely}
+    told = {kb for kb, _ in named}
+    assert {x for x in exact if x[0] in told} <= named
+    if (most, summary) == (12, 400):
+        assert told == set(seen) and len(named) < 0.2 * sum(map(len, seen.values()))
+
+
 def test_terms_count_like_words(spark):
     rows = spark.createDataFrame([(0, "The reactor, the REACTOR core of a reactor_2"), (1, None), (2, ""), (3, "İstanbul ΟΔΟΣ été 42")], "n long, t string")
     got, heads = {k: {} for k in range(4)}, []
