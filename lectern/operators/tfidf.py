@@ -85,7 +85,7 @@ def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id", su
     """kb_id, term, df, cf, idf of the terms a collection keeps, from the counts (best written before) of its chunks.
 
     Collections of no more terms than the cap keep all. Of others every task keeps a summary of its frequent
-    terms (`_summaries`, of `summary` terms, four times the cap unless given). Together the summaries name the
+    terms (`_summaries`, of `summary` terms, sixteen times the cap unless given). Together the summaries name the
     terms that can be among the most frequent, and only these are counted exactly, so the many rare terms aren't
     shuffled. Where the summaries can't tell (the cap reaches terms as rare as what they have dropped), all terms
     are counted and ranked: in parts by hash first, each of which keeps `max_features` terms, then the parts'
@@ -99,7 +99,7 @@ def vocabulary(counts: DataFrame, cfg: Settings = DEFAULT, kb: str = "kb_id", su
         return every(counts).join(sizes, kb).select(kb, "term", "df", "cf", idf.alias("idf"))
     kept = every(counts.join(large, kb, "left_anti"))
     some = counts.join(large, kb, "left_semi")
-    likely = materialize(candidates(some, cfg.max_features, summary or 4 * cfg.max_features, kb), "likely-terms")
+    likely = materialize(candidates(some, cfg.max_features, summary or 16 * cfg.max_features, kb), "likely-terms")
     told = materialize(likely.select(kb).distinct(), "told")
     sure = every(_found(some, [kb]).join(likely, [kb, "term"], "left_semi"))
     rest = every(some.join(told, kb, "left_anti"))

@@ -80,9 +80,9 @@ def registry_stream(spark, d):
 
 
 def registry_messages(spark, d):
-    """Messages (one for each third event) that their document still has."""
+    """Messages (one for each event, three places later) that their document still has."""
     events = _events(spark, d)
-    messages = events.where("seq % 3 = 0").select("workspace", "source_name", "seq")
+    messages = events.select("workspace", "source_name", (F.col("seq") + 3).alias("seq"))
     return registry.live_messages(events, messages, ["workspace"])
 
 
@@ -160,7 +160,7 @@ ORACLES = {
 SELECT doc_id, count(*) AS n_vectors, count(DISTINCT t) AS n_texts, any_value(a) AS encoded_0, any_value(b - a) AS encoded_1, 0::BIGINT AS encoded_2 FROM s, n GROUP BY doc_id""",
     "registry_documents": _ACTIVE_SQL,
     "registry_stream": _ACTIVE_SQL,
-    "registry_messages": f"{_EVENTS_SQL}, {_NOW_SQL.format(by='workspace, ', part='PARTITION BY workspace ')} SELECT workspace, source_name, m.seq FROM e m JOIN now_ n USING (workspace, source_name) WHERE m.seq % 3 = 0 AND m.seq > n.seq",
+    "registry_messages": f"{_EVENTS_SQL}, {_NOW_SQL.format(by='workspace, ', part='PARTITION BY workspace ')} SELECT workspace, source_name, m.seq + 3 AS seq FROM e m JOIN now_ n USING (workspace, source_name) WHERE m.seq + 3 > n.seq",
     "registry_numbers": f"{_EVENTS_SQL}, {_NOW_SQL.format(by='', part='')} SELECT source_name, md5(seq::VARCHAR) AS kb_id, position FROM now_",
     "answers_with_formulas": Q._with(_FORMULAS, *Q._TO_ANSWER, Q._EVIDENCE, Q._EXTRAS) + f"""SELECT q_id, kb_id, body AS answer_text, focused, '<div class="msg-label">grounded answer</div><p>' || {Q._ESC.format("'Grounded answer: ' || body")} || CASE WHEN focused <> '' AND focused <> body THEN '</p><p>' || {Q._ESC.format("'Supporting passage: ' || focused")} ELSE '' END || '</p><span class="match-pill ' || css || '">' || label || '</span>' AS answer_html,
 coalesce(evidence, '') AS evidence, (SELECT count(*) FROM extras_ e WHERE e.q_id = a.q_id AND e.kb_id = a.kb_id)::INT AS n_extras FROM answered a LEFT JOIN packs USING (q_id, kb_id) WHERE relevant""",
