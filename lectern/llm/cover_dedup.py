@@ -10,8 +10,9 @@ Contexts go, as words joined by one space, to the task that holds all of an anch
 hash are held against each other byte for byte there, so hashes decide only what is compared.
 
 Nulls: a null or empty text has no words and the SHA-256 of nothing.  Texts of fewer words than a
-window stay whole.  Rows that repeat a doc_id are each compared with smaller ids only.  Extra columns
-are ignored.
+window stay whole.  Rows that repeat a doc_id are each compared with smaller ids only.  Ties: of equal
+windows those of the smallest id stay, in every row that has it.  An empty table gives an empty result.  A
+text longer than a slice is a slice of its own and is worked on whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations

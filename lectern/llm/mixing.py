@@ -13,7 +13,9 @@ and only its documents are sorted, so no source, however large, is sorted in one
 
 Nulls: a null text has size 0; a null source is a source of its own that comes last.  Rows that
 repeat are documents of their own.  An empty table gives an empty result.  Columns of the input
-named like an output column are dropped from the result; the text and other columns aren't read.
+named like an output column are dropped from the result; of the text only its size is read, other columns
+aren't.  Texts of any length count whole.  Ties: documents at equal places of the seeded order follow each
+other by hash, id and size; rows that are equal in all of these may take each other's part.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ sorted in the same way.
 Nulls: a null or empty text has no bytes and the SHA-256 of nothing.  Texts of fewer than 50 bytes
 stay whole.  Rows that repeat a doc_id are each compared with smaller ids only.  Removal can cut a
 character of several bytes, so kept texts are bytes.  A text longer than a slice is a slice of its own,
-in which anchors are found piece by piece.  Extra columns are ignored.
+in which anchors are found piece by piece.  Ties: of equal windows those of the smallest id stay, in every
+row that has it.  An empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
