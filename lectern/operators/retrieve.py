@@ -50,6 +50,7 @@ def build_index(chunks: DataFrame, cfg: Settings = DEFAULT, embedder: Callable[[
     All parts are written to the shared folder, so that no action makes them again: a model sees a chunk
     once, and not at all if `table` (which then stands for the embedder) has its text already.
     """
+    chunks = chunks if hasattr(chunks, "_written_at") else materialize(chunks, "given-chunks")  # it is read four times
     few = materialize(chunking.rejected(chunks, cfg), "rejected")  # its size is known: a small one is broadcast
     chunks = chunks.join(few, "kb_id", "left_anti")
     vocab, postings = tfidf.index_terms(chunks, cfg, stop_words)

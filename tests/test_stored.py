@@ -8,6 +8,7 @@ import threading
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.config import SMALL, Settings
 from lectern.operators import answer, chunking, ordered, retrieve
@@ -263,7 +264,22 @@ def test_running_and_last_values(spark, partitions):
 
 def test_a_hot_key_lies_in_many_partitions(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("at"))
-    done = ordered._sorted(rows, ["key", "at"], 16)
+    done = ordered._worked(rows.withColumn("_value", F.lit(1).cast("long")), ["key"], ["at"], 16, ordered._running, T.LongType())
     spread = done.groupBy("_part").count().collect()
     assert len(spread) == 16 and max(r["count"] for r in spread) < 2 * 20_000 / 16
     assert done.where("key = 0").select("_part").distinct().count() >= 8
+
+
+def test_written_partitions_may_be_read_in_pieces(spark, monkeypatch):
+    """Files that are cut and dealt anew when they are read change nothing."""
+    rows = ordered_rows(random.Random(12), 4000)
+    df = spark.createDataFrame(rows, "key string, at long, v int")
+    write = storage.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda frame, tag: write(write(frame, tag).repartition(13), tag))
+    got = {r.at: r.s for r in ordered.running(df, ["key"], ["at"], F.col("v"), "s", 7).collect()}
+    filled = {r.at: r.f for r in ordered.last_value(df, ["key"], ["at"], "v", "f", 7).collect()}
+    total, last = {}, {}
+    for key, at, v in rows:
+        last[key] = v if v is not None else last.get(key)
+        assert got[at] == total.get(key, 0) and filled[at] == last[key]
+        total[key] = total.get(key, 0) + (v or 0)
