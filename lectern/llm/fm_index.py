@@ -219,7 +219,7 @@ _DDL = "n_words long, hit_from array<long>, hit_to array<long>, item_ids array<s
 
 
 def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
-    """docs with n_words, the hit words as ranges of bytes (hit_from, hit_to) and item_ids of one block of phrases."""
+    """docs with n_words, the hit words as ranges of bytes (hit_from, hit_to) and item_ids of one block of phrases; its broadcast goes along in _phrases."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,9 @@ def _pass(docs: DataFrame, phrases: Phrases | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_words", "hit_from", "hit_to", "item_ids"])
         K.trim()
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_DDL).fields]))
+    out = docs.mapInArrow(work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_DDL).fields]))
+    out._phrases = shared
+    return out
 
 
 def _parts(text: str, window: int, most: int) -> Iterator[str]:
@@ -296,8 +298,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     rows = materialize(docs.select(*own).withColumn(_ROW, F.monotonically_increasing_id()), "decontaminate")
     found = None
     for block in chain([first, second], blocks):
-        part = _pass(rows.select(_ROW, "text"), phrases_of(block, window)).where(F.size("hit_from") > 0)
-        part = materialize(part.select(_ROW, F.arrays_zip("hit_from", "hit_to").alias("hits"), "item_ids"), "decontaminate")
+        searched = _pass(rows.select(_ROW, "text"), phrases_of(block, window))
+        part = searched.where(F.size("hit_from") > 0).select(_ROW, F.arrays_zip("hit_from", "hit_to").alias("hits"), "item_ids")
+        part = materialize(part, "decontaminate")
+        searched._phrases.destroy()  # the block's hits are written: one block is held at a time
         found = part if found is None else found.unionByName(part)
     once = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     found = found.groupBy(_ROW).agg(once("hits").alias("hits"), once("item_ids").alias("item_ids"))
