@@ -424,3 +424,13 @@ def test_streaming_ingest_adds_each_file_once(spark, tmp_path):
         ingest.ingest(ingest.stream_documents(spark, source, schema), out, mark, SMALL).awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() == chunking.chunks(documents(spark), SMALL).count() and got.select("kb_id").distinct().count() == 4
+
+
+def test_dense_topk_copies_no_packs_into_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 20)
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(400)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"))
+    top = vectors.dense_topk(rows, asked, 3)
+    assert top.count() == 24
+    top.collect()
+    assert "BroadcastHashJoin" not in top._jdf.queryExecution().executedPlan().toString()
