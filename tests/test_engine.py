@@ -426,6 +426,39 @@ def test_streaming_ingest_adds_each_file_once(spark, tmp_path):
     assert got.count() == chunking.chunks(documents(spark), SMALL).count() and got.select("kb_id").distinct().count() == 4
 
 
+def _plans(monkeypatch, *modules):
+    """The plans of all tables that modules write, by tag."""
+    seen = {}
+    for module in modules:
+        def recorded(df, tag, *rest, write=module.materialize):
+            seen[tag] = df._jdf.queryExecution().executedPlan().toString()
+            return write(df, tag, *rest)
+
+        monkeypatch.setattr(module, "materialize", recorded)
+    return seen
+
+
+def test_hybrid_broadcasts_no_table_that_grows(spark, monkeypatch):
+    chunks = storage.materialize(chunking.chunks(documents(spark), SMALL), "chunks")
+    built = retrieve.build_index(chunks, SMALL)
+    seen = _plans(monkeypatch, retrieve, tfidf)
+    found = retrieve.hybrid(built, asks(spark), SMALL)
+    seen["found"] = found._jdf.queryExecution().executedPlan().toString()
+    assert {"ask-weights", "sparse", "cells", "parts", "ranked", "open"} <= set(seen)
+    assert [tag for tag, plan in seen.items() if "Broadcast" in plan] == []
+    assert found.select("q_id").distinct().count() == 4
+
+
+def test_turns_are_not_broadcast(spark):
+    kind = "q_id long, kb_id string, question string, answer_text string, attr_text string, extras array<string>"
+    done = storage.materialize(spark.createDataFrame([(k, f"d{k % 3}", "q", "a", "", []) for k in range(9)], kind), "done")
+    old = spark.createDataFrame([], "kb_id string, turn int, role string, content string, answer_text string, attr_text string, extras array<string>")
+    turns = done.select("kb_id").distinct().withColumn("next_turn", F.lit(2))
+    out = registry.append_turn(old, done, turns)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.turn for r in out.where("kb_id = 'd1'").collect()) == [2, 3, 4, 5, 6, 7]
+
+
 def test_dense_topk_copies_no_packs_into_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL", 20)
     rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(400)], "vec_id long, embedding array<double>")
@@ -434,3 +467,24 @@ def test_dense_topk_copies_no_packs_into_a_broadcast(spark, monkeypatch):
     assert top.count() == 24
     top.collect()
     assert "BroadcastHashJoin" not in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_meet_packed(spark):
+    texts = [(q, f"k{q % 3}", t) for q, t in enumerate(["red fox", "red red hen", "", "blue fox fox", None, "hen house", "red fox red fox", "nothing known"])]
+    asked = spark.createDataFrame(texts, "q_id long, kb_id string, question string")
+    rows = spark.createDataFrame([(f"k{k % 3}", k, t) for k, t in enumerate(["red fox and hen", "blue hen house", "fox red fox", "hen hen fox", "red fox", "house of fox"])], "kb_id string, chunk_idx int, embed_text string")
+    vocab, postings = tfidf.index_terms(rows, SMALL)
+    by = ["q_id", "kb_id"]
+    key = lambda f, *names: {tuple(r[n] for n in names[:-1]): pytest.approx(r[names[-1]], abs=1e-12) for r in f.collect()}
+    made = tfidf.text_weights(asked, by, "question", vocab)
+    flat = tfidf.weights(tfidf.term_counts(asked, by, "question"), vocab, by)
+    assert key(made, *by, "term", "weight") == {k: v.expected for k, v in key(flat, *by, "term", "weight").items()} and flat.count() > 8
+    some = made.where("term <> 'fox'")
+    kept = tfidf.text_weights(asked, by, "question", vocab, only=some)
+    assert key(kept, *by, "term", "weight") == {(r.q_id, r.kb_id, r.term): r.weight for r in made.join(some.select("kb_id", "term").distinct(), ["kb_id", "term"]).collect()}
+    plain = made.withColumnRenamed("weight", "w").join(postings, ["kb_id", "term"]).groupBy(*by, "chunk_idx").agg(F.sum(F.col("w") * F.col("weight")).alias("cosine"))
+    close = tfidf.cosine(made, postings, by, ["kb_id", "chunk_idx"])
+    assert key(close, *by, "chunk_idx", "cosine") == {(r.q_id, r.kb_id, r.chunk_idx): r.cosine for r in plain.collect()}
+    # no row of a term is shuffled for itself
+    assert not any("Exchange" in line and "term" in line.split("Exchange")[1].split("]")[0] for line in close._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert tfidf.unpacked(tfidf.packed(postings)).exceptAll(postings).isEmpty()
