@@ -488,3 +488,13 @@ def test_terms_meet_packed(spark):
     # no row of a term is shuffled for itself
     assert not any("Exchange" in line and "term" in line.split("Exchange")[1].split("]")[0] for line in close._jdf.queryExecution().executedPlan().toString().splitlines())
     assert tfidf.unpacked(tfidf.packed(postings)).exceptAll(postings).isEmpty()
+
+
+def test_sentences_meet_their_terms_packed(spark, monkeypatch):
+    from lectern.plans import queries_index
+
+    seen = _plans(monkeypatch, queries_index)
+    out = queries_index.score_sentences(spark, "/root/testdata/sf0.001")
+    assert "term-counts" not in seen and "vocab" not in seen
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "term" in line.split("Exchange")[1].split("]")[0] for line in plan.splitlines())
