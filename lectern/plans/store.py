@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lectern.config import DEFAULT, Settings
 from lectern.operators.retrieve import Index
-from lectern.operators.tfidf import STOP_WORDS
+from lectern.operators.tfidf import STOP_WORDS, packed, unpacked
 from lectern.plans.snapshots import ATTEMPTS, Snapshots
 from lectern.plans.storage import materialize
 
@@ -69,7 +69,7 @@ def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, w
                 old = _read(at, manifest, part, touched)
                 if old is not None:
                     rows = rows.unionByName(old.join(ids, "kb_id", "left_anti").select(*rows.columns))
-                _write(rows.withColumn("slot", _slot(slots)), f"{at.place}/{folder}/{part}", slots, writers)
+                _write(rows, f"{at.place}/{folder}/{part}", slots, writers)
                 for name in at.names(f"{folder}/{part}"):
                     if name.startswith("slot="):
                         parts[name.removeprefix("slot=")].append(part)
@@ -85,8 +85,11 @@ def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, w
 
 
 def _write(rows: DataFrame, target: str, slots: int, writers: int) -> None:
+    """Rows of terms are dealt out packed by collection, since they are many and narrow."""
     writer = F.pmod(F.xxhash64(F.col("kb_id").cast("string"), F.lit(1)), F.lit(writers))
-    rows.repartition(slots * writers, "slot", writer).write.partitionBy("slot").parquet(target)
+    slot = _slot(slots)
+    dealt = unpacked(packed(rows).repartition(slots * writers, slot, writer)) if "term" in rows.columns else rows.repartition(slots * writers, slot, writer)
+    dealt.withColumn("slot", slot).write.option("compression", "zstd").partitionBy("slot").parquet(target)
 
 
 def load(spark, path: str, cfg: Settings = DEFAULT, kb_ids: list | None = None, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> Index | None:

@@ -498,3 +498,12 @@ def test_sentences_meet_their_terms_packed(spark, monkeypatch):
     assert "term-counts" not in seen and "vocab" not in seen
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any("Exchange" in line and "term" in line.split("Exchange")[1].split("]")[0] for line in plan.splitlines())
+
+
+def test_stored_index_is_copied_once(spark):
+    from lectern.plans import queries_index
+
+    before = set(storage._MADE)
+    assert queries_index.index_roundtrip(spark, "/root/testdata/sf0.001").count() > 0
+    made = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in set(storage._MADE) - before}
+    assert "weighed-terms" in made and not made & {"postings", "chunks"}
