@@ -25,8 +25,11 @@ its own.  Extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,8 +192,13 @@ class Pieces(dict):
     A piece that starts with a line feed or with NUL (the start of a text) stands for what follows
     these; any other stands for itself behind a space.  Letters and the marks behind them are never
     one pre-token, so letters go to the library's model alone, and marks have a memo of their own.
+    A comma or full stop between a letter or digit and a space is a pre-token of its own, so where all
+    are such (no `UNSURE`), they are split off as pieces that start with `ALONE`: a word isn't kept once for each.
     """
 
+    ALONE = "\x01"
+    UNSURE = re.compile(r"[,.](?<=[\W_].) ")
+
     BEHIND = ".,;:!?*%&$#|)\"]}"
     LETTERS = _byte_letters()
 
@@ -198,11 +206,11 @@ class Pieces(dict):
         super().__init__()
         self.tokenizer, self.model, self.special, self.marks, self.size = tokenizer, tokenizer.model, special, {}, 0
         self.old: dict[str, bytes] = {}  # the generation before: what is asked again comes back from there
-        self.line = self.coded("\n")
+        self.line, self.space = self.coded("\n"), chr(self.LETTERS[0x20])
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else struct.pack(f"<{len(ids)}I", *ids)
 
     def coded(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -212,7 +220,7 @@ class Pieces(dict):
         if got is not None:
             self.keep(self, piece, got)
             return got
-        lead, body = ("", piece[1:]) if piece[:1] in ("\n", "\x00") else (" ", piece)
+        lead, body = ("", piece[1:]) if piece[:1] in ("\n", "\x00", self.ALONE) else (" ", piece)
         word = body.rstrip(self.BEHIND)
         if word.isalpha() and len(word) < len(body):
             marks = body[len(word) :]
@@ -224,7 +232,7 @@ class Pieces(dict):
             self.keep(self, piece, got)
             return got
         if word.isalpha():
-            token = (lead + word).encode().decode("latin-1").translate(self.LETTERS)
+            token = (self.space if lead else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(self.LETTERS))
             got = self.packed([t.id for t in self.model.tokenize(token)])
         elif body.split() != [body]:
             raise OddSpace
@@ -249,10 +257,13 @@ class Pieces(dict):
     def document(self, text: str) -> bytes:
         if not text:
             return b""
-        if "\x00" in text or any(s in text for s in self.special):
+        if "\x00" in text or self.ALONE in text or any(s in text for s in self.special):
             return self.coded(text)
+        parted = "\x00" + text.replace("\n", " \n")
+        if not self.UNSURE.search(parted):
+            parted = parted.replace(", ", f" {self.ALONE}, ").replace(". ", f" {self.ALONE}. ")
         try:
-            return b"".join(map(self.__getitem__, ("\x00" + text.replace("\n", " \n")).split(" ")))
+            return b"".join(map(self.__getitem__, parted.split(" ")))
         except OddSpace:
             return self.coded(text)
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -299,6 +300,16 @@ def test_token_files_brute(spark, tables):
     assert rows_of(token_files.op7_token_files(spark, tables.full)) == sorted(want, key=str)
 
 
+def test_token_pieces_are_kept_without_commas():
+    pieces = token_files.Pieces((known := token_files.load_pieces(token_files.default_vocabulary())).tokenizer, known.special)
+    pieces.document("so foxes, foxes. and foxes, \nfoxes. end")
+    assert "foxes" in pieces and not {"foxes,", "foxes."} & set(pieces)
+    draw = random.Random(7)
+    odd = [", a", "x), y", "a_, b", "it's, 'x. y", "½, ². ", "a, , b", "\x01, a", "...., . ,", "中, 文. 字", "a,\nb. \n. c"]
+    for text in odd + ["".join(draw.choice("ab1é_()'!., \n\u0301\x01 , .") for _ in range(draw.randint(1, 14))) for _ in range(3000)]:
+        assert pieces.document(text) == pieces.coded(text), text
+
+
 @pytest.mark.parametrize("text", ["a  b", " x", "x ", "a\n\nb", "it's don't I'll", "a\tb", "x y  z", "<|endoftext|> hi", "end.\nNew 12,5 a.b! ¿qué?", "a\n b", "\n", "w'.x", "x1. y²", "", "\x00a b", "a \x00b", "don't.\n'tis", "日本語 テスト。"])
 def test_pieces_equal_whole_texts(text):
     pieces = token_files.load_pieces(token_files.default_vocabulary())
