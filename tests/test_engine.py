@@ -507,3 +507,42 @@ def test_stored_index_is_copied_once(spark):
     assert queries_index.index_roundtrip(spark, "/root/testdata/sf0.001").count() > 0
     made = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in set(storage._MADE) - before}
     assert "weighed-terms" in made and not made & {"postings", "chunks"}
+
+
+def test_index_for_questions_alone_has_their_terms(spark):
+    """The values of the whole index, for the terms that a collection's questions have; large collections are weighed as ever."""
+    docs = documents(spark).unionByName(spark.createDataFrame([("short", "Too short a text, of one chunk."), (None, "No id. " * 200)], "kb_id string, text string"))
+    chunks = chunking.chunks(docs, SMALL)
+    asked = asks(spark).unionByName(asks(spark)).unionByName(spark.createDataFrame([(7, "d1", "criticality after hours"), (8, "d2", None), (9, "short", "a text"), (10, None, "reactor"), (11, "absent", "reactor")], "q_id long, kb_id string, question string"))
+    whole, some = retrieve.build_index(chunks, SMALL), retrieve.build_index(chunks, SMALL, asks=asked)
+    known = {f"d{k}": set(tfidf.terms(f"when did reactor number {k} reach criticality")) for k in range(4)}
+    known["d1"] |= set(tfidf.terms("criticality after hours"))
+    for part in ("vocab", "postings"):
+        rows = {tuple(r) for r in getattr(some, part).collect()}
+        at = getattr(whole, part).columns.index("term")
+        every = [tuple(r) for r in getattr(whole, part).collect()]
+        assert rows == {r for r in every if r[at] in known.get(r[0], ())} and 0 < len(rows) < len(every)
+    found = lambda built: sorted(map(str, retrieve.hybrid(built, asked, SMALL).select("q_id", "kb_id", "chunk_idx", F.round("sparse", 9), F.round("score", 9), "rank").collect()))
+    assert found(some) == found(whole) != []
+    large = tfidf.index_terms(chunks.where("kb_id IS NOT NULL AND kb_id <> 'short'"), SMALL, together=10, asks=asked)
+    assert found(retrieve.Index(whole.chunks, *large)) == found(whole)
+
+
+def test_many_rejected_collections_are_not_broadcast(spark, monkeypatch):
+    """Their ids are counted: a written table of them may be few bytes and many rows."""
+    seen = {}
+    write = storage.materialize
+
+    def materialize(df, tag, *given):
+        seen[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag, *given)
+
+    for module in (retrieve, tfidf):
+        monkeypatch.setattr(module, "materialize", materialize)
+    docs = documents(spark).unionByName(spark.createDataFrame([("short", "Too short a text, of one chunk.")], "kb_id string, text string"))
+    chunks = chunking.chunks(docs, SMALL)
+    few = {r.kb_id for r in retrieve.build_index(chunks, SMALL).chunks.collect()}
+    assert "Broadcast" in seen["index-chunks"]
+    monkeypatch.setattr(retrieve, "FEW", 0)
+    assert few == {r.kb_id for r in retrieve.build_index(chunks, SMALL).chunks.collect()} == {f"d{k}" for k in range(4)}
+    assert "Broadcast" not in seen["index-chunks"]
