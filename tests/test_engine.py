@@ -546,3 +546,12 @@ def test_many_rejected_collections_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "FEW", 0)
     assert few == {r.kb_id for r in retrieve.build_index(chunks, SMALL).chunks.collect()} == {f"d{k}" for k in range(4)}
     assert "Broadcast" not in seen["index-chunks"]
+
+
+def test_questions_asked_again_are_not_planned_again(spark):
+    """Ranks of questions whose bound proves nothing are written; chunks of other collections aren't scanned for them."""
+    chunks = chunking.chunks(documents(spark, 3), Settings(chunk_size=20, overlap=2))
+    same = chunks.withColumn("embed_text", F.when(F.col("kb_id") == "d0", F.lit("one text for all")).otherwise(F.col("embed_text")))
+    found = retrieve.hybrid(retrieve.build_index(same, SMALL), asks(spark), SMALL, top_k=3)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.chunk_idx for r in found.where("kb_id = 'd0'").orderBy("rank").collect()] == [0, 1, 2]
