@@ -548,6 +548,22 @@ def test_many_rejected_collections_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" not in seen["index-chunks"]
 
 
+def test_answers_plan_neither_retrieval_nor_a_second_encoder(spark, monkeypatch):
+    """What follows retrieval is planned once, over written candidates, and sentences with and without formulas are encoded in one call."""
+    monkeypatch.setattr(vectors, "ARRAYS", 3)
+    docs = spark.createDataFrame([(f"d{k}", "\n".join(f"\\[ energy = mass \\] The reactor of plant number {k} reached criticality after hour {j}. Then it ran." for j in range(40))) for k in range(4)], "kb_id string, text string")
+    built = retrieve.build_index(chunking.chunks(docs, SMALL), SMALL)
+    found = retrieve.rerank(retrieve.hybrid(built, asks(spark), SMALL), SMALL)
+    rows = answer.gathered(found, SMALL)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    got = [s for r in rows.collect() for t in r.tops for s in t.sents if not s.noise]
+    model = retrieve.default_embedder(SMALL)()
+    assert len(got) > 4 * vectors.ARRAYS and np.allclose([s.emb for s in got], model.encode([s.clean for s in got]))
+    asked = [model.encode([r.question])[0] for r in rows.collect() for t in r.tops for s in t.sents if not s.noise]
+    assert np.allclose([s.raw_rel for s in got], (model.encode([s.sent for s in got]) * np.array(asked)).sum(axis=1))
+
+
 def test_questions_asked_again_are_not_planned_again(spark):
     """Ranks of questions whose bound proves nothing are written; chunks of other collections aren't scanned for them."""
     chunks = chunking.chunks(documents(spark, 3), Settings(chunk_size=20, overlap=2))
