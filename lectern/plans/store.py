@@ -2,7 +2,8 @@
 
 Collections are dealt to slots by hash. A version's manifest says, slot by slot, which folder holds it; a
 save writes the slots it touches into a folder of its own, all parts of the index, and publishes a manifest
-that points to it. So readers never see chunks of one save with postings of another, an interrupted save
+that points to it. Vocabulary and postings are stored together, as rows of arrays by collection
+(`tfidf.folded`), so that saves copy and merge collections, not terms. So readers never see chunks of one save with postings of another, an interrupted save
 changes nothing, and of two saves at once the later one starts from what the earlier one published.
 """
 
@@ -14,11 +15,13 @@ from pyspark.sql import types as T
 
 from lectern.config import DEFAULT, Settings
 from lectern.operators.retrieve import Index
-from lectern.operators.tfidf import STOP_WORDS, packed, unpacked
+from lectern.operators.tfidf import STOP_WORDS, folded, unfolded
 from lectern.plans.snapshots import ATTEMPTS, Snapshots
-from lectern.plans.storage import materialize
+from lectern.plans.storage import LONG_ROWS, materialize
 
 PARTS = ("chunks", "vocab", "postings")
+#: What these are stored as, and the name of this layout.
+STORED, LAYOUT = ("chunks", "runs"), "runs"
 
 
 #: What the default embedder is called in the name of a stored index.
@@ -28,7 +31,7 @@ SLOTS = 64
 
 def versions(spark: SparkSession, path: str, cfg: Settings = DEFAULT, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> Snapshots:
     """The versions of the index stored for these settings, stop list and model."""
-    return Snapshots(spark, f"{path.rstrip('/')}/{cfg.fingerprint(model, *stop_words)}")
+    return Snapshots(spark, f"{path.rstrip('/')}/{cfg.fingerprint(LAYOUT, model, *stop_words)}")
 
 
 def _slot(slots: int) -> Column:
@@ -44,15 +47,16 @@ def _read(at: Snapshots, manifest: dict, part: str, slots: list[int] | None = No
     return at.spark.read.schema(schema).parquet(*paths) if paths else at.spark.createDataFrame([], schema)
 
 
-def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, writers: int = 1, model: str = HASHING) -> None:
+def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, writers: int | None = None, model: str = HASHING) -> None:
     """Write an index; collections that are there already are replaced, others are kept.
 
-    Each slot is written by `writers` tasks (more for more data). A store keeps the number of slots it began
+    Each slot is written by `writers` tasks; unless given, by so many that there are as many as shuffle partitions. A store keeps the number of slots it began
     with. If another save is published meanwhile, the slots that both touch are written again over its version.
     """
     spark = index.chunks.sparkSession
     at = versions(spark, path, cfg, index.stop_words, model)
     ids = materialize(index.chunks.select("kb_id").distinct(), "store-ids")
+    frames = {"chunks": index.chunks, "runs": index.runs if index.runs is not None else folded(index.vocab, index.postings)}
     number, manifest = at.latest()
     folder, base = None, None
     for _ in range(ATTEMPTS):
@@ -64,19 +68,18 @@ def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, w
         if folder is None or any(known.get(str(s)) != base.get(str(s)) for s in touched):
             folder, base = at.new_folder(), known
             parts = {str(s): [] for s in touched}
-            for part in PARTS:
-                rows = getattr(index, part)
+            for part, rows in frames.items():
                 old = _read(at, manifest, part, touched)
                 if old is not None:
                     rows = rows.unionByName(old.join(ids, "kb_id", "left_anti").select(*rows.columns))
-                _write(rows, f"{at.place}/{folder}/{part}", slots, writers)
+                _write(rows, f"{at.place}/{folder}/{part}", slots, writers or max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) / slots)))
                 for name in at.names(f"{folder}/{part}"):
                     if name.startswith("slot="):
                         parts[name.removeprefix("slot=")].append(part)
         placed = {**known, **{str(s): folder for s in touched}}
         content = {
             "slots": slots, "slot_folders": placed, "slot_parts": {**manifest.get("slot_parts", {}), **parts}, "folders": sorted(set(placed.values())),
-            "schemas": {part: getattr(index, part).schema.jsonValue() for part in PARTS},
+            "schemas": {part: rows.schema.jsonValue() for part, rows in frames.items()},
         }
         if at.publish(number + 1, content):
             return
@@ -85,11 +88,10 @@ def save(index: Index, path: str, cfg: Settings = DEFAULT, slots: int = SLOTS, w
 
 
 def _write(rows: DataFrame, target: str, slots: int, writers: int) -> None:
-    """Rows of terms are dealt out packed by collection, since they are many and narrow."""
-    writer = F.pmod(F.xxhash64(F.col("kb_id").cast("string"), F.lit(1)), F.lit(writers))
+    writer = F.pmod(F.xxhash64(F.col("kb_id").cast("string"), F.lit(1)), F.lit(writers)).cast("int")
     slot = _slot(slots)
-    dealt = unpacked(packed(rows).repartition(slots * writers, slot, writer)) if "term" in rows.columns else rows.repartition(slots * writers, slot, writer)
-    dealt.withColumn("slot", slot).write.option("compression", "zstd").partitionBy("slot").parquet(target)
+    dealt = rows.repartitionById(slots * writers, slot * writers + writer)
+    dealt.withColumn("slot", slot).write.options(compression="zstd", **LONG_ROWS).partitionBy("slot").parquet(target)
 
 
 def load(spark, path: str, cfg: Settings = DEFAULT, kb_ids: list | None = None, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> Index | None:
@@ -101,8 +103,9 @@ def load(spark, path: str, cfg: Settings = DEFAULT, kb_ids: list | None = None,
     wanted = None
     if kb_ids is not None:
         wanted = sorted({r[0] for r in spark.createDataFrame([(str(k),) for k in kb_ids], "kb_id string").select(_slot(manifest["slots"])).collect()})
-    frames = [_read(at, manifest, part, wanted) for part in PARTS]
-    return Index(*(f if kb_ids is None else f.where(F.col("kb_id").isin(list(kb_ids))) for f in frames), stop_words)
+    chunks, runs = (_read(at, manifest, part, wanted) for part in STORED)
+    index = Index(chunks, *unfolded(runs), stop_words, runs)
+    return index if kb_ids is None else index.where(F.col("kb_id").isin(list(kb_ids)))
 
 
 def expire(spark, path: str, cfg: Settings = DEFAULT, keep: int = 2, older_than_s: float = 3600, stop_words: tuple[str, ...] = STOP_WORDS, model: str = HASHING) -> list[str]:

@@ -283,3 +283,19 @@ def test_written_partitions_may_be_read_in_pieces(spark, monkeypatch):
         last[key] = v if v is not None else last.get(key)
         assert got[at] == total.get(key, 0) and filled[at] == last[key]
         total[key] = total.get(key, 0) + (v or 0)
+
+
+def test_saves_move_collections_not_terms(spark, tmp_path):
+    """A stored row is a collection's vocabulary and postings; what is read back is the same by rows of terms."""
+    made = index(spark)
+    plain = retrieve.Index(made.chunks, made.vocab, made.postings, made.stop_words)
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    for name, first, second in (("runs", made, made), ("mixed", plain, made)):
+        path = f"file://{tmp_path}/{name}"
+        store.save(first.where("kb_id <> 'd0'"), path, SMALL, slots=2)
+        store.save(second.where("kb_id <> 'd1'"), path, SMALL)
+        back = store.load(spark, path, SMALL)
+        assert rows(back.postings) == rows(made.postings) and rows(back.vocab) == rows(made.vocab)
+        assert name == "mixed" or back.runs.count() == 4 < back.postings.count() / 10
+    newest = store.versions(spark, path, SMALL).latest()[1]
+    assert set(newest["schemas"]) == {"chunks", "runs"}
