@@ -118,7 +118,12 @@ def missing(documents: DataFrame, stored: Index | None) -> DataFrame:
     return documents if stored is None else documents.join(stored.chunks.select("kb_id").distinct(), "kb_id", "left_anti")
 
 
-def vocabulary_json(vocab: DataFrame) -> DataFrame:
-    """kb_id and a JSON object of terms with number and idf: a portable export of a vocabulary."""
-    entry = F.struct("term", "idf")
-    return vocab.groupBy("kb_id").agg(F.array_sort(F.collect_list(entry)).alias("terms")).select("kb_id", F.to_json(F.struct("terms")).alias("json"))
+def vocabulary_json(vocab: DataFrame | Index) -> DataFrame:
+    """kb_id and a JSON object of terms with number and idf: a portable export of a vocabulary, or of an index's, by whole runs where it has them."""
+    if isinstance(vocab, DataFrame):
+        rows, gathered = vocab, F.collect_list(F.struct("term", "idf"))
+    elif vocab.runs is None:
+        return vocabulary_json(vocab.vocab)
+    else:
+        rows, gathered = vocab.runs.where("df IS NOT NULL").select("kb_id", F.col("terms").alias("term"), "idf"), F.flatten(F.collect_list(F.arrays_zip("term", "idf")))
+    return rows.groupBy("kb_id").agg(F.sort_array(gathered).alias("terms")).select("kb_id", F.to_json(F.struct("terms")).alias("json"))

@@ -299,3 +299,12 @@ def test_saves_move_collections_not_terms(spark, tmp_path):
         assert name == "mixed" or back.runs.count() == 4 < back.postings.count() / 10
     newest = store.versions(spark, path, SMALL).latest()[1]
     assert set(newest["schemas"]) == {"chunks", "runs"}
+
+
+def test_vocabularies_are_exported_by_runs(spark):
+    """The export of an index's runs is that of its terms; no term is grouped as a row of its own."""
+    made = index(spark)
+    flat, runs = store.vocabulary_json(made.vocab), store.vocabulary_json(made)
+    assert sorted(map(str, runs.collect())) == sorted(map(str, flat.collect())) and runs.count() == 4
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan(flat) and "Generate" not in plan(runs)
